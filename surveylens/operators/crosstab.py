@@ -1,13 +1,14 @@
 """Band distributions and cross-tabulations: A5–A8, J7, T6.
 
-Counting is one partial+final hash aggregate. Zero cells are produced by a
-``pivot`` over the explicit label domain (conditional aggregation), never by
-a cross join; empty row levels come from a left join on a level domain.
+Counting is one partial+final hash aggregate with one conditional count per
+band, so zero cells exist without any cross join; empty row levels come from
+a left join on a small level domain. Row totals are the sum of a row's cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,18 +64,19 @@ def crosstab_bands(df: DataFrame, row: str, source: str, edges: Sequence[float],
     if not complete:
         binned = binned.where(F.col("_ord").isNotNull())
     ords = list(range(len(labels)))
-    wide = binned.groupBy("_lvl").pivot("_ord", ords).agg(F.count(F.lit(1)))
-    wide = wide.fillna(0, subset=[str(o) for o in ords])
+    # one partial+final aggregate: a conditional count per band (zeros come for free)
+    wide = binned.groupBy("_lvl").agg(
+        *[F.count_if(F.col("_ord") == F.lit(o)).alias(f"_c{o}") for o in ords])
     if row_levels is not None:
         spark = df.sparkSession
         dom = spark.createDataFrame([(lv,) for lv in row_levels], "_lvl string")
-        wide = dom.join(wide, "_lvl", "left").fillna(0, subset=[str(o) for o in ords])
+        wide = dom.join(wide, "_lvl", "left").fillna(0, subset=[f"_c{o}" for o in ords])
+    total = reduce(lambda a, b: a + b, [F.col(f"_c{o}") for o in ords])
     stack = F.expr("stack({}, {})".format(
-        len(ords), ", ".join(f"{o}, `{o}`" for o in ords))).alias("_o", "_n")
-    longf = wide.select("_lvl", stack)
-    longf = longf.withColumn("_rt", F.sum("_n").over(Window.partitionBy("_lvl")))
+        len(ords), ", ".join(f"{o}, _c{o}" for o in ords))).alias("_o", "_n")
+    longf = wide.select("_lvl", total.alias("_rt"), stack)
     if not complete:
-        # drop bands never observed in any level
+        # drop bands never observed in any level (tiny frame: levels x bands)
         longf = longf.withColumn("_bt", F.sum("_n").over(Window.partitionBy("_o")))
         longf = longf.where(F.col("_bt") > 0)
     band_map = E.lookup_map({i: lab for i, lab in enumerate(labels)})
@@ -87,20 +89,25 @@ def crosstab_bands(df: DataFrame, row: str, source: str, edges: Sequence[float],
 
 
 def crosstab_observed(df: DataFrame, row: str, col: str, normalize: bool = False,
-                      digits: int | None = None) -> DataFrame:
+                      digits: int | None = None, max_levels: int = 1000) -> DataFrame:
     """A8 on two categorical columns: observed levels only, zeros inside kept.
 
     Long form ``(<row>, <col>, n[, row_pct])``. The column levels are read
-    with one small distinct job (the pivot).
+    with one small distinct job (at most ``max_levels``).
     """
     base = df.select(F.col(row).alias("_r"), F.col(col).alias("_c")).where(
         F.col("_r").isNotNull() & F.col("_c").isNotNull())
-    cols = sorted(r[0] for r in base.select("_c").distinct().collect())
-    wide = base.groupBy("_r").pivot("_c", cols).agg(F.count(F.lit(1))).fillna(0)
-    names = [str(c) for c in cols]
-    stack = F.expr("stack({}, {})".format(
-        len(cols), ", ".join(f"'{n}', `{n}`" for n in names))).alias("_c", "_n")
-    longf = wide.select("_r", stack)
+    cols = sorted(r[0] for r in base.select("_c").distinct().limit(max_levels + 1).collect())
+    if len(cols) > max_levels:
+        raise ValueError(f"column {col} has more than {max_levels} levels")
+    wide = base.groupBy("_r").agg(
+        *[F.count_if(F.col("_c") == F.lit(c)).alias(f"_k{i}") for i, c in enumerate(cols)])
+    lits = []
+    for i, c in enumerate(cols):
+        lits.append(F.lit(c).cast(base.schema["_c"].dataType))
+        lits.append(F.col(f"_k{i}"))
+    pairs = F.explode(F.map_from_arrays(F.array(*lits[0::2]), F.array(*lits[1::2])))
+    longf = wide.select("_r", pairs.alias("_c", "_n"))
     out = longf.select(F.col("_r").alias(row), F.col("_c").alias(col),
                        F.col("_n").cast("bigint").alias("n"))
     if normalize:
