@@ -79,14 +79,18 @@ def anova_from_stats(stats: DataFrame, with_p: bool = True) -> DataFrame:
 
 def one_way_anova(df: DataFrame, dependent: str, factors: Sequence[str],
                   exclude: Sequence[str] | None = (P.NO_RESPONSE,),
-                  with_p: bool = True) -> tuple[DataFrame, DataFrame]:
+                  with_p: bool = True, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A20 / A21 for several factors at once.
 
     Returns ``(anova, group_stats)``; ``group_stats`` is
-    ``(factor, level, mean, std, count)``.
+    ``(factor, level, mean, std, count)``, rounded half-even to ``digits``
+    when given (the published tables use 2).
     """
     stats = level_stats(df, dependent, factors, exclude)
-    groups = stats.select("factor", "level", "mean", F.sqrt("var").alias("std"),
+    mean, std = F.col("mean"), F.sqrt("var")
+    if digits is not None:
+        mean, std = F.bround(mean, digits), F.bround(std, digits)
+    groups = stats.select("factor", "level", mean.alias("mean"), std.alias("std"),
                           F.col("n").alias("count"))
     return anova_from_stats(stats, with_p=with_p), groups
 

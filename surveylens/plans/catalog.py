@@ -174,6 +174,15 @@ def q_quantile_groups(spark, d):
         F.max("c_acctbal").alias("max_bal"))
 
 
+def q_severity_by_tertile(spark, d):
+    li = _t(spark, d, "lineitem").select("l_extendedprice", "l_quantity")
+    g = bins.quantile_groups(li, ["l_extendedprice"], n_groups=3, ties="keep",
+                             names={"l_extendedprice": "price_group"})
+    out = crosstab.crosstab_bands(g, "price_group", "l_quantity", QTY_EDGES, QTY_LABELS,
+                                  band="band", complete=True, row_levels=P.TERTILE_LABELS)
+    return out.withColumn("row_pct", _r(F.col("row_pct")))
+
+
 def q_standardize(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", "c_acctbal")
     out = scale.standardize(c, ["c_acctbal"])
@@ -326,6 +335,14 @@ def q_anova_f(spark, d):
     return _anova_cols(a)
 
 
+def q_anova_group_stats(spark, d):
+    o = _t(spark, d, "orders")
+    _, g = anova.one_way_anova(o, "o_totalprice", ["o_orderpriority", "o_orderstatus"],
+                               with_p=False)
+    return g.select("factor", "level", _r(F.col("mean")).alias("mean"),
+                    _r(F.col("std")).alias("std"), "count")
+
+
 def q_anova_p(spark, d):
     o = _t(spark, d, "orders")
     a, _ = anova.one_way_anova(o, "o_totalprice", ["o_orderpriority", "o_orderstatus"])
@@ -412,6 +429,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "select_rename": q_select_rename,
     "age_bands": q_age_bands,
     "quantile_groups": q_quantile_groups,
+    "severity_by_tertile": q_severity_by_tertile,
     "standardize": q_standardize,
     "one_hot": q_one_hot,
     "group_means": q_group_means,
@@ -429,6 +447,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corr_matrix": q_corr_matrix,
     "group_stats": q_group_stats,
     "anova_f": q_anova_f,
+    "anova_group_stats": q_anova_group_stats,
     "anova_p": q_anova_p,
     "anova_tertiles": q_anova_tertiles,
     "inverse_freq_weights": q_inverse_freq_weights,

@@ -169,6 +169,29 @@ g AS (
 SELECT c_acctbal_group, count(*) AS n, min(c_acctbal) AS min_bal, max(c_acctbal) AS max_bal
 FROM g GROUP BY c_acctbal_group"""
 
+    sql["severity_by_tertile"] = f"""
+WITH q AS (
+  SELECT quantile_cont(l_extendedprice, CAST(1 AS DOUBLE) / 3) AS e1,
+         quantile_cont(l_extendedprice, CAST(2 AS DOUBLE) / 3) AS e2
+  FROM lineitem WHERE l_extendedprice IS NOT NULL AND NOT isnan(l_extendedprice)),
+b AS (
+  SELECT CASE WHEN l_extendedprice IS NULL OR isnan(l_extendedprice) THEN NULL
+              WHEN l_extendedprice <= e1 THEN 'Low' WHEN l_extendedprice <= e2 THEN 'Medium'
+              ELSE 'High' END AS price_group,
+         {_case_bins('l_quantity', QTY_EDGES)} AS ord
+  FROM lineitem, q),
+c AS (SELECT price_group, ord, count(*) AS n FROM b WHERE price_group IS NOT NULL
+      GROUP BY 1, 2),
+lv AS (SELECT * FROM (VALUES ('Low'), ('Medium'), ('High')) AS t(price_group)),
+g AS (
+  SELECT lv.price_group, dom.ord, dom.band, coalesce(c.n, 0) AS n
+  FROM lv CROSS JOIN {_domain(QTY_LABELS)}
+  LEFT JOIN c ON c.price_group = lv.price_group AND c.ord = dom.ord)
+SELECT price_group, CAST(ord AS INTEGER) AS ord, band, CAST(n AS BIGINT) AS n,
+       round(CAST(n AS DOUBLE) * 100.0 / nullif(sum(n) OVER (PARTITION BY price_group), 0), 6)
+         AS row_pct
+FROM g"""
+
     sql["standardize"] = """
 WITH m AS (SELECT avg(c_acctbal) AS mu, stddev_pop(c_acctbal) AS sd FROM customer)
 SELECT c_custkey,
@@ -315,6 +338,15 @@ FROM orders WHERE {f} IS NOT NULL AND {f} <> 'No response' AND o_totalprice IS N
 GROUP BY {f}""")
     sql["anova_f"] = _anova_sql(" UNION ALL ".join(anova))
 
+    gstats = []
+    for f in ["o_orderpriority", "o_orderstatus"]:
+        gstats.append(f"""
+SELECT '{f}' AS factor, {f} AS level, round(avg(o_totalprice), 6) AS mean,
+       round(stddev_samp(o_totalprice), 6) AS std, count(*) AS count
+FROM orders WHERE {f} IS NOT NULL AND {f} <> 'No response' AND o_totalprice IS NOT NULL
+GROUP BY {f}""")
+    sql["anova_group_stats"] = " UNION ALL ".join(gstats)
+
     sql["anova_tertiles"] = _anova_sql("""
 WITH q AS (
   SELECT min(l_quantity) AS e0, quantile_cont(l_quantity, CAST(1 AS DOUBLE) / 3) AS e1,

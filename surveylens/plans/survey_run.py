@@ -91,6 +91,27 @@ def severity_tables(df: DataFrame, digits: int = 2) -> dict[str, DataFrame]:
     return out
 
 
+def severity_by_trait(df: DataFrame, traits: Sequence[str] = P.TRAITS,
+                      method: str = "countmap", digits: int = 2) -> dict[str, DataFrame]:
+    """Severity by trait tertile (Low / Medium / High, ties kept), counts and row %."""
+    grouped = bins.quantile_groups(df, traits, n_groups=3, ties="keep", suffix="_group",
+                                   method=method)
+    out = {}
+    for t in traits:
+        g = f"{t}_group"
+        if g not in grouped.columns:
+            continue
+        ct = crosstab.crosstab_bands(grouped, g, "dassanxiety", P.SEVERITY_EDGES,
+                                     P.SEVERITY_LABELS, band="anxiety_severity", complete=True,
+                                     row_levels=P.TERTILE_LABELS, digits=digits)
+        key = t.lower().replace(" ", "_")
+        out[f"anxiety_severity_by_{key}_counts"] = crosstab.to_wide(
+            ct, g, "anxiety_severity", "n", P.SEVERITY_LABELS)
+        out[f"anxiety_severity_by_{key}_percent"] = crosstab.to_wide(
+            ct, g, "anxiety_severity", "row_pct", P.SEVERITY_LABELS)
+    return out
+
+
 def geo_tables(df: DataFrame, k: int = 10) -> dict[str, DataFrame]:
     out = {}
     if "continent" in df.columns:

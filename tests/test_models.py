@@ -85,3 +85,9 @@ def test_three_models_and_importances(spark):
     assert sum(r.importance for r in imp) == pytest.approx(1.0, abs=1e-6)
     assert all(r.importance >= 0 for r in imp)
     assert [r.importance for r in imp] == sorted([r.importance for r in imp], reverse=True)
+
+
+def test_importance_plot_data(spark):
+    imp = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "feature string, importance double")
+    out = [r.feature for r in models.importance_plot_data(imp, 2).collect()]
+    assert out == ["b", "a"]

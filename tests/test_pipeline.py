@@ -52,3 +52,15 @@ def test_regression_models(spark):
     terms = [r.term for r in res["full"].coefficients.collect()]
     assert "Emotional Stability" in terms and any(t.startswith("gender_clean[T.") for t in terms)
     assert res["psychological"].coefficients.count() == 3
+
+
+def test_severity_by_trait(spark):
+    b = survey_run.clean_survey(raw_frame(spark, n=200, seed=2), AS_OF_YEAR, iso_dim(spark))
+    out = survey_run.severity_by_trait(b.analysis_df, ["Extraversion", "Openness"])
+    assert set(out) == {"anxiety_severity_by_extraversion_counts",
+                        "anxiety_severity_by_extraversion_percent",
+                        "anxiety_severity_by_openness_counts", "anxiety_severity_by_openness_percent"}
+    rows = out["anxiety_severity_by_extraversion_counts"].collect()
+    assert {r["Extraversion_group"] for r in rows} == {"Low", "Medium", "High"}
+    total = sum(sum(v for k, v in r.asDict().items() if k != "Extraversion_group") for r in rows)
+    assert total == b.analysis_df.where("dassanxiety BETWEEN 0 AND 56").count()
