@@ -68,8 +68,12 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None,
     out = _long(df, cols, "string").groupBy("variable", "value").agg(
         F.count(F.lit(1)).alias("n"))
     if normalize:
-        out = out.withColumn(
-            "proportion", F.col("n") / F.sum("n").over(Window.partitionBy("variable")))
+        # a column may have as many values as rows: take the per-variable total
+        # from its own aggregate (one row per listed column, so a safe broadcast)
+        # instead of a window that would pull all values of a column into one task
+        totals = out.groupBy("variable").agg(F.sum("n").alias("_tot"))
+        out = (out.join(F.broadcast(totals), "variable")
+                  .withColumn("proportion", F.col("n") / F.col("_tot")).drop("_tot"))
     return out
 
 

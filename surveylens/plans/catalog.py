@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..functions import presets as P
 from ..operators import anova, bins, clean, crosstab, describe, geo, models, scale
+from ..session import bounded_broadcast
 
 R = 6  # digits kept for floating comparisons
 
@@ -30,6 +31,7 @@ SIZE_EDGES = [0, 14, 18, 26, 34, 45]
 STATUS_MAP = {"F": "Finished", "O": "Open"}
 SEGMENT_GROUPS = {"Consumer": ["AUTOMOBILE", "HOUSEHOLD"], "Business": ["BUILDING", "MACHINERY"]}
 AS_OF_YEAR = 2026
+DIM_ROWS = 100_000  # largest dimension shipped as a broadcast (checked by a count)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +101,8 @@ def _nation_dim(spark, d, max_key: int | None = None) -> DataFrame:
     if max_key is not None:
         n = n.where(F.col("n_nationkey") <= max_key)
     r = _t(spark, d, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+    r = bounded_broadcast(r, DIM_ROWS)
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
         "n_nationkey", "n_name", "r_name")
 
 
@@ -210,7 +213,7 @@ def q_group_means(spark, d):
                                           F.count(F.lit(1)).alias("_n"))
     dim = _nation_dim(spark, d)
     joined = (per_cust.join(c, per_cust.o_custkey == c.c_custkey)
-                      .join(F.broadcast(dim), F.col("c_nationkey") == dim.n_nationkey))
+                      .join(bounded_broadcast(dim, DIM_ROWS), F.col("c_nationkey") == dim.n_nationkey))
     out = joined.groupBy("r_name").agg((F.sum("_s") / F.sum("_n")).alias("mean_totalprice"),
                                        F.sum("_n").alias("n"))
     return out.select("r_name", _r(F.col("mean_totalprice")).alias("mean_totalprice"),
@@ -220,7 +223,8 @@ def q_group_means(spark, d):
 def _customer_nations(spark, d) -> DataFrame:
     c = _t(spark, d, "customer").select("c_nationkey", "c_acctbal")
     n = _t(spark, d, "nation").select("n_nationkey", "n_name")
-    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    n = bounded_broadcast(n, DIM_ROWS)
+    return c.join(n, c.c_nationkey == n.n_nationkey)
 
 
 def q_country_mean_iso(spark, d):
