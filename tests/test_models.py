@@ -91,3 +91,14 @@ def test_importance_plot_data(spark):
     imp = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "feature string, importance double")
     out = [r.feature for r in models.importance_plot_data(imp, 2).collect()]
     assert out == ["b", "a"]
+
+
+def test_model_weights_use_filtered_rows(spark):
+    rows = [(i, float(i), float(i % 5), "Male" if i % 4 else "Female") for i in range(40)]
+    rows += [(100 + i, 1.0, 1.0, "No response") for i in range(10)]
+    rows += [(200, 1.0, None, "Male")]
+    df = spark.createDataFrame(rows, "id long, y double, x double, gender_clean string")
+    design, train, test = models.model_inputs(df, "y", ["x"], ["gender_clean"], key=["id"])
+    w = {r.id: r.weight for r in design.frame.select("id", "weight").collect()}
+    assert len(w) == 40                      # "No response" and the null-x row are gone
+    assert w[1] == 40 / 30 and w[0] == 40 / 10
