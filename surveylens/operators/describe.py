@@ -53,9 +53,12 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
     )
     qs = exact_quantiles(longf, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75},
                          by=["variable"], method=method)
-    return (stats.join(qs, "variable", "left")
-                 .select("variable", "count", "mean", "std", "min", "q25", "q50", "q75", "max",
-                         "missing"))
+    # one row per requested column, also when the table is empty
+    dom = df.sparkSession.createDataFrame([(c,) for c in cols], "variable string")
+    return (dom.join(stats, "variable", "left").join(qs, "variable", "left")
+               .select("variable", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std",
+                       "min", "q25", "q50", "q75", "max",
+                       F.coalesce("missing", F.lit(0)).alias("missing")))
 
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None,
