@@ -60,12 +60,22 @@ def create_clean_df(raw: DataFrame, as_of_year: int, iso_dim: DataFrame | None,
 
 def clean_survey(raw: DataFrame, as_of_year: int, iso_dim: DataFrame | None = None,
                  column_missing_threshold: float = 0.20, item_offset: int = 0,
-                 persist: bool = True) -> CleanedData:
-    """Build the five frames; ``analysis_df`` is persisted (MEMORY_AND_DISK)."""
+                 persist: bool = True, stage_to: str | None = None) -> CleanedData:
+    """Build the five frames.
+
+    ``analysis_df`` feeds every table. By default it is persisted
+    (MEMORY_AND_DISK). With ``stage_to`` (a folder on shared storage, e.g.
+    under ``spark.checkpoint.dir``) it is written once as Parquet and read
+    back, which cuts the lineage: a lost executor then re-reads files instead
+    of re-running the cleaning from the raw scan.
+    """
     clean_df = create_clean_df(raw, as_of_year, iso_dim, column_missing_threshold, item_offset)
     valid = clean.screen_valid(clean_df)
     analysis = clean.select_existing(valid, P.ANALYSIS_COLUMNS)
-    if persist:
+    if stage_to:
+        analysis.write.mode("overwrite").parquet(stage_to)
+        analysis = raw.sparkSession.read.parquet(stage_to)
+    elif persist:
         analysis = analysis.persist(StorageLevel.MEMORY_AND_DISK)
     standardized = scale.standardize(analysis, P.STANDARDIZE_COLUMNS)
     return CleanedData(raw, clean_df, valid, analysis, standardized)

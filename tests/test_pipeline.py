@@ -64,3 +64,16 @@ def test_severity_by_trait(spark):
     assert {r["Extraversion_group"] for r in rows} == {"Low", "Medium", "High"}
     total = sum(sum(v for k, v in r.asDict().items() if k != "Extraversion_group") for r in rows)
     assert total == b.analysis_df.where("dassanxiety BETWEEN 0 AND 56").count()
+
+
+def test_staged_analysis_table(spark, tmp_out):
+    import os
+    raw = raw_frame(spark, n=150, seed=8)
+    a = survey_run.clean_survey(raw, AS_OF_YEAR, iso_dim(spark))
+    b = survey_run.clean_survey(raw, AS_OF_YEAR, iso_dim(spark),
+                                stage_to=os.path.join(tmp_out, "analysis"))
+    cols = sorted(a.analysis_df.columns)
+    assert sorted(b.analysis_df.columns) == cols
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(key, a.analysis_df.select(*[f"`{c}`" for c in cols]).collect())) == \
+        sorted(map(key, b.analysis_df.select(*[f"`{c}`" for c in cols]).collect()))
