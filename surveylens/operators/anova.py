@@ -106,7 +106,7 @@ def demographic_anova(df: DataFrame, factors: Sequence[str] = P.DEMOGRAPHIC_FACT
 
 
 def personality_anova(df: DataFrame, traits: Sequence[str] = P.TRAITS, n_groups: int = 3,
-                      dependent: str = "dassanxiety", method: str = "sort",
+                      dependent: str = "dassanxiety", method: str = "auto",
                       with_p: bool = True):
     """Quantile groups per trait (skipping traits that cannot be cut), then A20.
 

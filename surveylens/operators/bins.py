@@ -60,30 +60,31 @@ def long_values(df: DataFrame, cols: Sequence[str], variable: str = "variable",
 
 
 def quantile_edges(df: DataFrame, cols: Sequence[str], n_groups: int,
-                   method: str = "sort") -> dict[str, dict]:
-    """Pass 1 for quantile bins: edges at k/n and the distinct count, per column.
+                   method: str = "auto", with_nunique: bool = True) -> dict[str, dict]:
+    """Pass 1 for quantile bins: edges at k/n (and the exact distinct count), per column.
 
-    One distributed job for all columns; returns ``{col: {"edges": [...], "nunique": n}}``
-    (n + 2 numbers per column, gathered to the driver).
+    All columns at once over the unpivoted form; returns
+    ``{col: {"edges": [...], "nunique": n}}`` (n + 2 numbers per column).
     """
     if not cols:
         return {}
     longf = long_values(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     probs = {f"e{k}": k / n_groups for k in range(n_groups + 1)}
     q = exact_quantiles(longf, "value", probs, by=["variable"], method=method)
-    nun = longf.groupBy("variable").agg(F.count_distinct("value").alias("nunique"))
-    rows = q.join(nun, "variable").collect()
+    if with_nunique:
+        nun = longf.groupBy("variable").agg(F.count_distinct("value").alias("nunique"))
+        q = q.join(nun, "variable")
     out = {}
-    for r in rows:
+    for r in q.collect():
         out[r["variable"]] = {"edges": [r[f"e{k}"] for k in range(n_groups + 1)],
-                              "nunique": r["nunique"]}
+                              "nunique": r["nunique"] if with_nunique else None}
     return out
 
 
 def quantile_groups(df: DataFrame, cols: Sequence[str], n_groups: int = 3,
                     labels: Sequence[str] | None = None, ties: str = "skip",
                     suffix: str = "_group", names: Mapping[str, str] | None = None,
-                    method: str = "sort", require: bool = False) -> DataFrame:
+                    method: str = "auto", require: bool = False) -> DataFrame:
     """Quantile bins per column.
 
     ``ties="skip"``: a column is skipped (no output column) when it is absent,
@@ -97,7 +98,7 @@ def quantile_groups(df: DataFrame, cols: Sequence[str], n_groups: int = 3,
     present = [c for c in cols if c in df.columns]
     if require and len(present) != len(cols):
         raise ValueError(f"Column(s) {sorted(set(cols) - set(present))} not found in DataFrame.")
-    info = quantile_edges(df, present, n_groups, method=method)
+    info = quantile_edges(df, present, n_groups, method=method, with_nunique=(ties == "skip"))
     exprs = {}
     for c in present:
         out = (names or {}).get(c, f"{c}{suffix}")

@@ -34,7 +34,7 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
-                     method: str = "sort") -> DataFrame:
+                     method: str = "auto") -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (interpolated), max, missing.
 
     NaN counts as missing. One row per column: ``(variable, count, mean, std,
@@ -80,7 +80,7 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None,
     return out
 
 
-def full_summary(df: DataFrame, normalize: bool = False, method: str = "sort") -> dict:
+def full_summary(df: DataFrame, normalize: bool = False, method: str = "auto") -> dict:
     """Bundle of the numeric summary and the categorical counts."""
     out = {"numeric_summary": describe_numeric(df, method=method),
            "categorical_counts": value_counts(df, normalize=False)}
@@ -124,7 +124,7 @@ def group_stats(df: DataFrame, factor: str, value: str) -> DataFrame:
 
 
 def box_stats(df: DataFrame, factors: Sequence[str], value: str,
-              exclude: Sequence[str] = (P.NO_RESPONSE,), method: str = "sort") -> DataFrame:
+              exclude: Sequence[str] = (P.NO_RESPONSE,), method: str = "auto") -> DataFrame:
     """Per factor level: count, mean, std, min, q1, median, q3, max of ``value``.
 
     All factors in one pass over an unpivoted ``(factor, level, value)``
@@ -144,7 +144,7 @@ def box_stats(df: DataFrame, factors: Sequence[str], value: str,
         "factor", "level", "count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
-def box_stats_global(df: DataFrame, value: str, method: str = "sort") -> DataFrame:
+def box_stats_global(df: DataFrame, value: str, method: str = "auto") -> DataFrame:
     """Mean, median, q25, q75, min, max (and count) of one column."""
     base = df.select(F.col(value).cast("double").alias("_y")).where(
         F.col("_y").isNotNull() & ~F.isnan("_y"))

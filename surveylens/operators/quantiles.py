@@ -13,6 +13,8 @@ Three methods:
   value->count map per group, so memory grows with the number of *distinct*
   values of a group: right for coded scores (a few dozen values), wrong for
   continuous measures at scale.
+* ``"auto"``: picks count-map or sort per group from a distinct-count
+  estimate (both exact).
 * ``"approx"``: ``percentile_approx`` (bounded memory, rank error
   ``1/accuracy``); not exact.
 
@@ -34,10 +36,12 @@ from ..session import ensure_checkpoint_dir
 
 # Upper bound on the per-partition count table gathered by the "sort" method.
 MAX_PARTITION_STATS = 2_000_000
+# "auto": groups with at most this many distinct values use the count map.
+COUNTMAP_MAX_DISTINCT = 50_000
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-                    by: Sequence[str] = (), method: str = "sort",
+                    by: Sequence[str] = (), method: str = "auto",
                     accuracy: int = 10_000) -> DataFrame:
     """Quantiles of ``value`` per ``by`` group, one output column per entry of ``probs``.
 
@@ -53,11 +57,43 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
     if method == "approx":
         return base.groupBy(*by).agg(
             *[F.percentile_approx("_v", float(probs[n]), accuracy).alias(n) for n in names])
+    if method == "auto":
+        return _auto(base, by, probs)
     if method != "sort":
         raise ValueError(f"unknown quantile method {method!r}")
     return _sorted_selection(base, by, probs)
 
 
+def _auto(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
+    """Route each group to the cheaper exact method.
+
+    One small aggregate estimates the distinct values per group (HyperLogLog,
+    one row per group). Groups with at most ``COUNTMAP_MAX_DISTINCT`` values
+    use the count-map aggregate (memory bounded by that number, a hot group
+    is merged map-side); the rest use the distributed sorted selection. The
+    estimate only picks the route — both routes are exact.
+    """
+    names = list(probs)
+    card = base.groupBy(*by).agg(F.approx_count_distinct("_v", 0.02).alias("_nd"))
+    rows = card.limit(MAX_PARTITION_STATS + 1).collect()
+    low = [tuple(r[c] for c in by) for r in rows if r["_nd"] <= COUNTMAP_MAX_DISTINCT]
+    high = [tuple(r[c] for c in by) for r in rows if r["_nd"] > COUNTMAP_MAX_DISTINCT]
+    if not high:
+        return exact_quantiles(base, "_v", probs, by, method="countmap")
+    if not low:
+        return _sorted_selection(base, by, probs)
+    spark = base.sparkSession
+    fields = {f.name: f for f in base.schema.fields}
+    kschema = T.StructType([T.StructField(c, fields[c].dataType, True) for c in by])
+    low_keys = F.broadcast(spark.createDataFrame(low, kschema))   # one row per group
+    high_keys = F.broadcast(spark.createDataFrame(high, kschema))
+    part_low = exact_quantiles(base.join(low_keys, by, "left_semi"), "_v", probs, by,
+                               method="countmap")
+    part_high = _sorted_selection(base.join(high_keys, by, "left_semi"), by, probs)
+    cols = [*by, *names]
+    return part_low.select(*cols).unionByName(part_high.select(*cols))
+
+
 def _sorted_selection(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
     spark = base.sparkSession
     sort_keys = [*by, "_v"]

@@ -102,7 +102,7 @@ def severity_tables(df: DataFrame, digits: int = 2) -> dict[str, DataFrame]:
 
 
 def severity_by_trait(df: DataFrame, traits: Sequence[str] = P.TRAITS,
-                      method: str = "countmap", digits: int = 2) -> dict[str, DataFrame]:
+                      method: str = "auto", digits: int = 2) -> dict[str, DataFrame]:
     """Severity by trait tertile (Low / Medium / High, ties kept), counts and row %."""
     grouped = bins.quantile_groups(df, traits, n_groups=3, ties="keep", suffix="_group",
                                    method=method)
@@ -134,11 +134,11 @@ def geo_tables(df: DataFrame, k: int = 10) -> dict[str, DataFrame]:
     return out
 
 
-def anova_tables(df: DataFrame, method: str = "countmap") -> dict[str, DataFrame]:
+def anova_tables(df: DataFrame, method: str = "auto") -> dict[str, DataFrame]:
     """Demographic and personality ANOVA summaries.
 
-    Trait scores are half-steps on a 1..7 scale, so the exact count-map
-    quantile (bounded by ~13 distinct values) is the cheapest exact method.
+    Trait scores are half-steps on a 1..7 scale, so ``method="auto"`` routes
+    them to the exact count-map quantile (bounded by ~13 distinct values).
     """
     demo, _ = anova.demographic_anova(df, P.DEMOGRAPHIC_FACTORS)
     pers, _ = anova.personality_anova(df, P.TRAITS, n_groups=3, method=method)

@@ -11,7 +11,7 @@ def _frame(spark, groups, parts):
     return spark.createDataFrame(rows, "g string, v double").repartition(parts)
 
 
-@pytest.mark.parametrize("method", ["sort", "countmap"])
+@pytest.mark.parametrize("method", ["sort", "countmap", "auto"])
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_matches_numpy_linear(spark, method, parts):
     rng = np.random.default_rng(3)
@@ -35,3 +35,15 @@ def test_tertiles_of_1_to_6(spark):
     df = spark.createDataFrame([(float(x),) for x in range(1, 7)], "v double")
     r = exact_quantiles(df, "v", {"a": 1 / 3, "b": 2 / 3}).collect()[0]
     assert r.a == pytest.approx(2 + 2 / 3) and r.b == pytest.approx(4 + 1 / 3)
+
+
+def test_auto_mixes_routes(spark, monkeypatch):
+    from surveylens.operators import quantiles as Q
+    monkeypatch.setattr(Q, "COUNTMAP_MAX_DISTINCT", 10)
+    rng = np.random.default_rng(5)
+    groups = {"coded": rng.integers(0, 4, 200), "wide": rng.normal(size=500)}
+    out = {r.g: r for r in exact_quantiles(_frame(spark, groups, 3), "v", PROBS, by=["g"],
+                                           method="auto").collect()}
+    for g, vals in groups.items():
+        for name, p in PROBS.items():
+            assert out[g][name] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
