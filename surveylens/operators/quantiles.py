@@ -27,7 +27,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,11 +103,12 @@ def _sorted_selection(base: DataFrame, by: list[str], probs: Mapping[str, float]
     # (the range bounds come from a sample), so the sorted pairs are written
     # once to the session's checkpoint folder and every later step reads
     # those files — a lost executor or a re-planned branch cannot change them.
+    # (The checkpoint job re-reads the same shuffle output, so it sees the same
+    # range bounds as the counting job.)
     ensure_checkpoint_dir(spark)
-    staged = ordered.persist(StorageLevel.MEMORY_AND_DISK)
-    ordered = staged.checkpoint(eager=True)
-    staged.unpersist()
-    stats = (ordered.groupBy(F.spark_partition_id().alias("_pid"), *by)
+    ordered = ordered.checkpoint(eager=True)
+    # the upper bits of a monotonically increasing id are the partition index
+    stats = (ordered.groupBy(F.shiftright("_rid", 33).alias("_pid"), *by)
              .agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first"))
              .limit(MAX_PARTITION_STATS + 1)
              .collect())
