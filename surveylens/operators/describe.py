@@ -53,9 +53,11 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
     )
     qs = exact_quantiles(longf, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75},
                          by=["variable"], method=method)
-    # one row per requested column, also when the table is empty
+    # one row per requested column, also when the table is empty; both
+    # aggregated sides have at most len(cols) rows, so they are broadcast
     dom = df.sparkSession.createDataFrame([(c,) for c in cols], "variable string")
-    return (dom.join(stats, "variable", "left").join(qs, "variable", "left")
+    return (dom.join(F.broadcast(stats), "variable", "left")
+               .join(F.broadcast(qs), "variable", "left")
                .select("variable", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std",
                        "min", "q25", "q50", "q75", "max",
                        F.coalesce("missing", F.lit(0)).alias("missing")))
