@@ -187,6 +187,74 @@ def export_all_core_tables(bundle: CleanedData, out_dir: str, with_models: bool
                    large=bundle.large_tables())
 
 
+def view_tables(std: DataFrame, world: DataFrame | None = None,
+                iso_dim: DataFrame | None = None, with_models: bool = True,
+                rf_trees: int = 100, rf_depth: int = 12) -> dict[str, DataFrame]:
+    """The data behind every figure of the source run (no rendering).
+
+    Histogram (43 bins) and density of the anxiety score, global box
+    statistics, box statistics by the eight demographic factors and by trait
+    tertiles (ties kept, as in the trait box plots), the 9 x 9 correlation
+    matrix, continent mean and count, the non-response table, the
+    coefficient table of the full OLS model tagged for the two forest plots,
+    the top-15 forest importances and, given a boundary table, the
+    choropleth join.
+    """
+    from ..operators import describe
+    out: dict[str, DataFrame] = {}
+    out["anxiety_histogram"] = describe.histogram(std, "dassanxiety", bins=43)
+    out["anxiety_density"] = describe.density_curve(std, "dassanxiety", grid=200)
+    out["anxiety_box_global"] = describe.box_stats_global(std, "dassanxiety")
+    demo = bins.add_age_group(bins.ensure_regrouped(std), require=False)
+    factors = [f for f in P.DEMOGRAPHIC_FACTORS if f in demo.columns]
+    out["anxiety_box_by_demographic"] = describe.box_stats(
+        demo, factors, "dassanxiety", exclude=(P.NO_RESPONSE, "Exclude"))
+    traits = [t for t in P.TRAITS if t in std.columns]
+    names = {t: t.replace(" ", "_") + "_group" for t in traits}
+    tert = bins.quantile_groups(std, traits, ties="keep", names=names)
+    out["anxiety_box_by_trait_tertile"] = describe.box_stats(
+        tert, [names[t] for t in traits if names[t] in tert.columns], "dassanxiety")
+    out["tipi_dass_correlation"] = describe.correlation_matrix(
+        std, [c for c in P.CORRELATION_COLUMNS if c in std.columns])
+    if "continent" in std.columns:
+        out["continent_mean_count"] = geo.mean_by(std, "continent", with_count=True,
+                                                  count_out="count")
+    out["nonresponse"] = describe.nonresponse_table(std)
+    if "country_name" in std.columns and iso_dim is not None:
+        means = geo.attach_codes(geo.mean_by(std, "country_name"), iso_dim)
+        out["mean_anxiety_by_country_iso"] = means
+        if world is not None:
+            table = geo.choropleth_table(world, means)
+            if table is not None:
+                out["choropleth"] = table
+    full = regression_models(std)["full"]
+    out["forest_plot_coefficients"] = models.forest_plot_data(
+        full.coefficients, ["dassstress", "dassdepression"] + P.TRAITS)
+    if with_models:
+        design, train, test = models.model_inputs(std)
+        rf_model, _ = models.fit_random_forest(train, test, num_trees=rf_trees,
+                                               max_depth=rf_depth)
+        imp = models.importances(rf_model, design.feature_names, std.sparkSession)
+        out["rf_importances_top15"] = models.importance_plot_data(imp, 15)
+    return out
+
+
+def run_all(spark, raw_path: str, out_dir: str, as_of_year: int, iso_path: str | None = None,
+            world_path: str | None = None, fmt: str | None = None, with_models: bool = True,
+            rf_trees: int = 100, rf_depth: int = 12, stage_to: str | None = None) -> dict:
+    """The single-command run: load, clean once, publish every table and view."""
+    from ..sources import readers
+    raw = readers.read_table(spark, fmt or "local", raw_path)
+    iso = readers.read_iso_dimension(spark, iso_path) if iso_path else None
+    world = readers.read_geojson_features(spark, world_path) if world_path else None
+    bundle = clean_survey(raw, as_of_year, iso, stage_to=stage_to)
+    tables = core_tables(bundle, with_models, rf_trees=rf_trees, rf_depth=rf_depth)
+    tables.update(view_tables(bundle.analysis_standardized_df, world, iso, with_models,
+                              rf_trees, rf_depth))
+    tables.update(severity_by_trait(bundle.analysis_standardized_df))
+    return publish(tables, out_dir, large=bundle.large_tables())
+
+
 def regression_models(std: DataFrame) -> dict:
     """M1–M3 on the standardised frame: psychological, + demographics, + traits."""
     df = bins.ensure_regrouped(std)

@@ -122,8 +122,13 @@ def read_geojson_features(spark: SparkSession, path: str) -> DataFrame:
         prop_names = feats.schema["f"].dataType["properties"].dataType.fieldNames()
     if "id" in names and "id" not in prop_names:
         sel.append("f.id AS id")
-    sel.append("to_json(f.geometry) AS geometry" if "geometry" in names
-               else "CAST(NULL AS STRING) AS geometry")
+    if "geometry" in names:
+        gtype = feats.schema["f"].dataType["geometry"].dataType
+        nested = isinstance(gtype, (T.StructType, T.ArrayType, T.MapType))
+        sel.append("to_json(f.geometry) AS geometry" if nested
+                   else "CAST(f.geometry AS STRING) AS geometry")
+    else:
+        sel.append("CAST(NULL AS STRING) AS geometry")
     return feats.selectExpr(*sel)
 
 

@@ -77,3 +77,30 @@ def test_staged_analysis_table(spark, tmp_out):
     key = lambda r: tuple(map(repr, r))
     assert sorted(map(key, a.analysis_df.select(*[f"`{c}`" for c in cols]).collect())) == \
         sorted(map(key, b.analysis_df.select(*[f"`{c}`" for c in cols]).collect()))
+
+
+def test_run_all_from_csv(spark, tmp_out):
+    import json
+    raw = raw_frame(spark, n=250, seed=21)
+    src = os.path.join(tmp_out, "raw.csv")
+    raw.toPandas().to_csv(src, index=False, sep=";")
+    iso = os.path.join(tmp_out, "iso.csv")
+    with open(iso, "w") as fh:
+        fh.write("alpha2,alpha3,name,continent\n")
+        for r in __import__("tests.survey_fixture", fromlist=["ISO_ROWS"]).ISO_ROWS:
+            fh.write(",".join("" if v is None else v for v in r) + "\n")
+    world = os.path.join(tmp_out, "world.geojson")
+    with open(world, "w") as fh:
+        json.dump({"type": "FeatureCollection", "features": [
+            {"type": "Feature", "properties": {"ISO_A3": "USA"}, "geometry": None},
+            {"type": "Feature", "properties": {"ISO_A3": "FRA"}, "geometry": None}]}, fh)
+    paths = survey_run.run_all(spark, src, os.path.join(tmp_out, "out"), AS_OF_YEAR, iso, world,
+                               rf_trees=5, rf_depth=4)
+    for name in ("anxiety_histogram", "anxiety_box_by_demographic", "anxiety_box_by_trait_tertile",
+                 "tipi_dass_correlation", "forest_plot_coefficients", "rf_importances_top15",
+                 "choropleth", "nonresponse", "model_comparison", "analysis_df"):
+        assert os.path.isdir(paths[name]), name
+    hist = spark.read.option("header", True).csv(paths["anxiety_histogram"])
+    assert hist.count() == 43
+    corr = spark.read.option("header", True).csv(paths["tipi_dass_correlation"])
+    assert corr.count() == 81
