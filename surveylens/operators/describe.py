@@ -43,6 +43,8 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
     cols = list(cols) if cols is not None else numeric_columns(df)
     longf = _long(df, cols, "double").withColumn(
         "value", F.when(~F.isnan("value"), F.col("value")))
+    # one aggregate (one row per column) gives the moments and the distinct
+    # estimate that routes the quantile computation
     stats = longf.groupBy("variable").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -50,17 +52,26 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.count_if(F.col("value").isNull()).alias("missing"),
-    )
+        F.approx_count_distinct("value", 0.02).alias("_nd"),
+    ).collect()
+    hint = {(r["variable"],): r["_nd"] for r in stats if r["count"]}
     qs = exact_quantiles(longf, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-                         by=["variable"], method=method)
-    # one row per requested column, also when the table is empty; both
-    # aggregated sides have at most len(cols) rows, so they are broadcast
-    dom = df.sparkSession.createDataFrame([(c,) for c in cols], "variable string")
-    return (dom.join(F.broadcast(stats), "variable", "left")
-               .join(F.broadcast(qs), "variable", "left")
-               .select("variable", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std",
-                       "min", "q25", "q50", "q75", "max",
-                       F.coalesce("missing", F.lit(0)).alias("missing")))
+                         by=["variable"], method=method,
+                         distinct_hint=hint if method == "auto" else None)
+    by_name = {r["variable"]: r for r in stats}
+    spark = df.sparkSession
+    # one row per requested column, also when the table is empty
+    rows = []
+    for c in cols:
+        r = by_name.get(c)
+        rows.append((c, r["count"] if r else 0, r["mean"] if r else None,
+                     r["std"] if r else None, r["min"] if r else None,
+                     r["max"] if r else None, r["missing"] if r else 0))
+    head = spark.createDataFrame(rows, "variable string, count bigint, mean double, "
+                                       "std double, min double, max double, missing bigint")
+    return (head.join(F.broadcast(qs), "variable", "left")
+                .select("variable", "count", "mean", "std", "min", "q25", "q50", "q75", "max",
+                        "missing"))
 
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None,

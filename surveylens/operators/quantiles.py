@@ -41,10 +41,14 @@ COUNTMAP_MAX_DISTINCT = 50_000
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
                     by: Sequence[str] = (), method: str = "auto",
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000,
+                    distinct_hint: Mapping[tuple, int] | None = None) -> DataFrame:
     """Quantiles of ``value`` per ``by`` group, one output column per entry of ``probs``.
 
     NULL and NaN values are ignored; a group with no values is absent.
+    ``distinct_hint`` (group key tuple -> estimated distinct values), when a
+    caller already computed it in its own aggregate, saves the routing pass
+    of ``method="auto"``.
     """
     by = list(by)
     names = list(probs)
@@ -57,13 +61,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
         return base.groupBy(*by).agg(
             *[F.percentile_approx("_v", float(probs[n]), accuracy).alias(n) for n in names])
     if method == "auto":
-        return _auto(base, by, probs)
+        return _auto(base, by, probs, distinct_hint)
     if method != "sort":
         raise ValueError(f"unknown quantile method {method!r}")
     return _sorted_selection(base, by, probs)
 
 
-def _auto(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
+def _auto(base: DataFrame, by: list[str], probs: Mapping[str, float],
+          distinct_hint: Mapping[tuple, int] | None = None) -> DataFrame:
     """Route each group to the cheaper exact method.
 
     One small aggregate estimates the distinct values per group (HyperLogLog,
@@ -73,10 +78,12 @@ def _auto(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFra
     estimate only picks the route — both routes are exact.
     """
     names = list(probs)
-    card = base.groupBy(*by).agg(F.approx_count_distinct("_v", 0.02).alias("_nd"))
-    rows = card.limit(MAX_PARTITION_STATS + 1).collect()
-    low = [tuple(r[c] for c in by) for r in rows if r["_nd"] <= COUNTMAP_MAX_DISTINCT]
-    high = [tuple(r[c] for c in by) for r in rows if r["_nd"] > COUNTMAP_MAX_DISTINCT]
+    if distinct_hint is None:
+        card = base.groupBy(*by).agg(F.approx_count_distinct("_v", 0.02).alias("_nd"))
+        rows = card.limit(MAX_PARTITION_STATS + 1).collect()
+        distinct_hint = {tuple(r[c] for c in by): r["_nd"] for r in rows}
+    low = [k for k, nd in distinct_hint.items() if nd <= COUNTMAP_MAX_DISTINCT]
+    high = [k for k, nd in distinct_hint.items() if nd > COUNTMAP_MAX_DISTINCT]
     if not high:
         return exact_quantiles(base, "_v", probs, by, method="countmap")
     if not low:
