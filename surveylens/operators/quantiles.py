@@ -3,9 +3,10 @@ describe, box statistics and quantile groups.
 
 Three methods:
 
-* ``"sort"`` (default): a distributed selection. The ``(group, value)`` pairs
-  are range-partitioned and sorted (a hot group is split across many
-  partitions by the range sampler), per-partition counts are gathered (at
+* ``"sort"``: a distributed selection. The ``(group, value)`` pairs are
+  range-partitioned and sorted (a hot group — even a single hot value, thanks
+  to a random tie-breaker — is split across many partitions by the range
+  sampler), per-partition counts are gathered (at
   most ``partitions + groups`` small rows — the same pattern as
   ``zipWithIndex``), and only the two neighbouring order statistics of each
   requested quantile are read back. No task ever holds a whole group.
@@ -102,9 +103,14 @@ def _auto(base: DataFrame, by: list[str], probs: Mapping[str, float],
 
 def _sorted_selection(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
     spark = base.sparkSession
-    sort_keys = [*by, "_v"]
-    ordered = (base.repartitionByRange(*sort_keys)
+    # A random tie-breaker makes equal values distinct range keys, so even a
+    # single value holding a third of a group is spread over many partitions;
+    # the order among equal values does not change any quantile.
+    sort_keys = [*by, "_v", "_tie"]
+    ordered = (base.withColumn("_tie", F.rand(17))
+               .repartitionByRange(*sort_keys)
                .sortWithinPartitions(*sort_keys)
+               .select(*by, "_v")
                .withColumn("_rid", F.monotonically_increasing_id()))
     # Row ids are only meaningful for one materialisation of the range sort
     # (the range bounds come from a sample), so the sorted pairs are written

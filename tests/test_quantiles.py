@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from surveylens.operators.quantiles import exact_quantiles
@@ -47,3 +48,16 @@ def test_auto_mixes_routes(spark, monkeypatch):
     for g, vals in groups.items():
         for name, p in PROBS.items():
             assert out[g][name] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
+
+
+def test_hot_value_is_spread_and_exact(spark):
+    # one value holds 40 % of the rows of a continuous group
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([np.zeros(4000), rng.normal(size=6000)])
+    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, v double").repartition(6)
+    out = exact_quantiles(df, "v", PROBS, by=["g"], method="sort").collect()[0]
+    for name, p in PROBS.items():
+        assert out[name] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
+    base = df.withColumn("_tie", F.rand(17)).repartitionByRange(8, "g", "v", "_tie")
+    sizes = [r["count"] for r in base.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 0.3 * len(vals)
