@@ -214,6 +214,15 @@ def view_tables(std: DataFrame, world: DataFrame | None = None,
     tert = bins.quantile_groups(std, traits, ties="keep", names=names)
     out["anxiety_box_by_trait_tertile"] = describe.box_stats(
         tert, [names[t] for t in traits if names[t] in tert.columns], "dassanxiety")
+    # crosstab form (observed levels and bands only), counts and row % in one table
+    for key, name in (("gender_clean", "gender"), ("age_group", "agegroup")):
+        if key in demo.columns:
+            out[f"severity_crosstab_{name}"] = crosstab.crosstab_bands(
+                demo, key, "dassanxiety", P.SEVERITY_EDGES, P.SEVERITY_LABELS,
+                band="anxiety_severity", complete=False, digits=2)
+    out["anxiety_severity_distribution"] = crosstab.band_distribution(
+        std, "dassanxiety", P.SEVERITY_EDGES, P.SEVERITY_LABELS, band="anxiety_severity",
+        digits=2)
     out["tipi_dass_correlation"] = describe.correlation_matrix(
         std, [c for c in P.CORRELATION_COLUMNS if c in std.columns])
     if "continent" in std.columns:

@@ -97,6 +97,7 @@ def test_run_all_from_csv(spark, tmp_out):
     paths = survey_run.run_all(spark, src, os.path.join(tmp_out, "out"), AS_OF_YEAR, iso, world,
                                rf_trees=5, rf_depth=4)
     for name in ("anxiety_histogram", "anxiety_box_by_demographic", "anxiety_box_by_trait_tertile",
+                 "severity_crosstab_gender", "severity_crosstab_agegroup",
                  "tipi_dass_correlation", "forest_plot_coefficients", "rf_importances_top15",
                  "choropleth", "nonresponse", "model_comparison", "analysis_df"):
         assert os.path.isdir(paths[name]), name
