@@ -194,8 +194,9 @@ def view_tables(std: DataFrame, world: DataFrame | None = None,
 
     Histogram (43 bins) and density of the anxiety score, global box
     statistics, box statistics by the eight demographic factors and by trait
-    tertiles (ties kept, as in the trait box plots), the 9 x 9 correlation
-    matrix, continent mean and count, the non-response table, the
+    tertiles (ties kept, as in the trait box plots), the severity distribution
+    and the observed severity crosstabs by gender and age group, the 9 x 9
+    correlation matrix, continent mean and count, the non-response table, the
     coefficient table of the full OLS model tagged for the two forest plots,
     the top-15 forest importances and, given a boundary table, the
     choropleth join.
