@@ -61,15 +61,17 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str |
     return df
 
 
-def infer_numeric(df: DataFrame, sample_rows: int = 10_000) -> DataFrame:
-    """Cast string columns whose sampled values all parse as numbers.
+def infer_numeric(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """Cast string columns whose values all parse as numbers (integers first).
 
-    The decision uses one bounded sample (``limit``), the cast stays lazy.
+    The decision is one aggregate over the whole table (every value is
+    checked, as a whole-file reader would), or over the first ``sample_rows``
+    rows when a sample is asked for; the casts themselves stay lazy.
     """
     cols = df.columns
     if not cols:
         return df
-    sample = df.limit(sample_rows)
+    sample = df.limit(sample_rows) if sample_rows else df
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`")
