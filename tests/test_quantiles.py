@@ -61,3 +61,13 @@ def test_hot_value_is_spread_and_exact(spark):
     base = df.withColumn("_tie", F.rand(17)).repartitionByRange(8, "g", "v", "_tie")
     sizes = [r["count"] for r in base.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert max(sizes) < 0.3 * len(vals)
+
+
+def test_approx_route_is_close(spark):
+    rng = np.random.default_rng(8)
+    vals = rng.normal(size=2000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    r = exact_quantiles(df, "v", {"m": 0.5}, method="approx").collect()[0]
+    assert abs(r.m - float(np.median(vals))) < 0.05
+    with pytest.raises(ValueError):
+        exact_quantiles(df, "v", {"m": 0.5}, method="bogus")
