@@ -105,3 +105,17 @@ def age_from_year_or_age(c: str | Column, as_of_year: int, min_year: int = 1900,
     """A value that looks like a birth year becomes an age; other values pass through."""
     x = col_of(c)
     return F.when(x.between(min_year, as_of_year - min_age), F.lit(as_of_year) - x).otherwise(x)
+
+
+def rows_of(fields: Sequence[str], rows: Sequence[Sequence]) -> Column:
+    """Generator column turning one wide row into several narrow ones.
+
+    ``rows`` holds one tuple of Columns (or literals) per output row, in the
+    order of ``fields``; use with ``select(..., rows_of(...))``. Labels are
+    passed as literals, so any text (quotes, spaces) is safe.
+    """
+    structs = []
+    for row in rows:
+        parts = [(v if isinstance(v, Column) else F.lit(v)).alias(f) for f, v in zip(fields, row)]
+        structs.append(F.struct(*parts))
+    return F.inline(F.array(*structs))

@@ -35,9 +35,8 @@ def band_distribution(df: DataFrame, source: str, edges: Sequence[float],
     aggs = [F.count(F.lit(1)).alias("_all")]
     aggs += [F.count_if(F.col("_i") == F.lit(i)).alias(f"_c{i}") for i in range(len(labels))]
     one = df.select(idx.alias("_i")).agg(*aggs)
-    stack = F.expr("stack({}, {})".format(
-        len(labels), ", ".join(f"{i}, '{lab}', _c{i}" for i, lab in enumerate(labels))
-    )).alias("ord", band, "n")
+    stack = E.rows_of(["ord", band, "n"],
+                      [(F.lit(i), F.lit(lab), F.col(f"_c{i}")) for i, lab in enumerate(labels)])
     out = one.select("_all", stack)
     pct = F.try_divide(F.col("n") * F.lit(100.0), F.col("_all"))
     return out.select(F.col("ord").cast("int").alias("ord"), band,
@@ -72,8 +71,7 @@ def crosstab_bands(df: DataFrame, row: str, source: str, edges: Sequence[float],
         dom = spark.createDataFrame([(lv,) for lv in row_levels], "_lvl string")
         wide = dom.join(wide, "_lvl", "left").fillna(0, subset=[f"_c{o}" for o in ords])
     total = reduce(lambda a, b: a + b, [F.col(f"_c{o}") for o in ords])
-    stack = F.expr("stack({}, {})".format(
-        len(ords), ", ".join(f"{o}, _c{o}" for o in ords))).alias("_o", "_n")
+    stack = E.rows_of(["_o", "_n"], [(F.lit(o), F.col(f"_c{o}")) for o in ords])
     longf = wide.select("_lvl", total.alias("_rt"), stack)
     if not complete:
         # drop bands never observed in any level (tiny frame: levels x bands)

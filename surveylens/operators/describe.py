@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import expressions as E
 from ..functions import presets as P
 from .quantiles import exact_quantiles
 
@@ -117,9 +118,8 @@ def nonresponse_table(df: DataFrame, variables: Sequence[str] = P.NONRESPONSE_VA
         aggs.append(F.count(F.col(f"`{c}`")).alias(f"t{i}"))
         aggs.append(F.count_if(F.col(f"`{c}`") == F.lit(label)).alias(f"r{i}"))
     one = df.agg(*aggs)
-    stack = F.expr("stack({}, {})".format(
-        len(present), ", ".join(f"'{c}', t{i}, r{i}" for i, c in enumerate(present))
-    )).alias("variable", "n_total", "n_no_response")
+    stack = E.rows_of(["variable", "n_total", "n_no_response"],
+                      [(F.lit(c), F.col(f"t{i}"), F.col(f"r{i}")) for i, c in enumerate(present)])
     out = one.select(stack).select(
         "variable", F.col("n_total").cast("bigint").alias("n_total"),
         F.col("n_no_response").cast("bigint").alias("n_no_response"),
@@ -250,11 +250,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
                                F.col(f"`{cols[j]}`").cast("double")).alias(f"c{i}_{j}"))
             pairs.append((i, j))
     one = df.agg(*aggs)
-    parts = []
-    for i, a in enumerate(cols):
-        parts.append(f"'{a}', '{a}', CASE WHEN s{i} > 0 THEN 1.0D END")
+    rows = [(F.lit(a), F.lit(a), F.when(F.col(f"s{i}") > 0, F.lit(1.0)))
+            for i, a in enumerate(cols)]
     for i, j in pairs:
-        parts.append(f"'{cols[i]}', '{cols[j]}', c{i}_{j}")
-        parts.append(f"'{cols[j]}', '{cols[i]}', c{i}_{j}")
-    stack = F.expr(f"stack({len(parts)}, {', '.join(parts)})").alias("var_a", "var_b", "r")
-    return one.select(stack)
+        rows.append((F.lit(cols[i]), F.lit(cols[j]), F.col(f"c{i}_{j}")))
+        rows.append((F.lit(cols[j]), F.lit(cols[i]), F.col(f"c{i}_{j}")))
+    return one.select(E.rows_of(["var_a", "var_b", "r"], rows))

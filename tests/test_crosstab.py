@@ -51,3 +51,9 @@ def test_crosstab_columns(spark):
            crosstab.crosstab_observed(df, "r", "c", normalize=True).collect()}
     assert out == {("x", "p"): (1, 50.0), ("x", "q"): (1, 50.0), ("y", "p"): (1, 100.0),
                    ("y", "q"): (0, 0.0)}
+
+
+def test_labels_with_quotes(spark):
+    df = spark.createDataFrame([(1,), (5,)], "x int")
+    out = crosstab.band_distribution(df, "x", [0, 2, 6], ["it's low", 'say "high"']).collect()
+    assert [(r.band, r.n) for r in out] == [("it's low", 1), ('say "high"', 1)]
