@@ -94,9 +94,12 @@ def _auto(base: DataFrame, by: list[str], probs: Mapping[str, float],
     kschema = T.StructType([T.StructField(c, fields[c].dataType, True) for c in by])
     low_keys = F.broadcast(spark.createDataFrame(low, kschema))   # one row per group
     high_keys = F.broadcast(spark.createDataFrame(high, kschema))
-    part_low = exact_quantiles(base.join(low_keys, by, "left_semi"), "_v", probs, by,
-                               method="countmap")
-    part_high = _sorted_selection(base.join(high_keys, by, "left_semi"), by, probs)
+    def only(keys: DataFrame) -> DataFrame:   # null-safe: a NULL group is a group too
+        cond = [base[c].eqNullSafe(keys[c]) for c in by]
+        return base.join(keys, cond, "left_semi")
+
+    part_low = exact_quantiles(only(low_keys), "_v", probs, by, method="countmap")
+    part_high = _sorted_selection(only(high_keys), by, probs)
     cols = [*by, *names]
     return part_low.select(*cols).unionByName(part_high.select(*cols))
 

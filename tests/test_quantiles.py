@@ -71,3 +71,12 @@ def test_approx_route_is_close(spark):
     assert abs(r.m - float(np.median(vals))) < 0.05
     with pytest.raises(ValueError):
         exact_quantiles(df, "v", {"m": 0.5}, method="bogus")
+
+
+def test_null_group_key_in_mixed_auto(spark, monkeypatch):
+    from surveylens.operators import quantiles as Q
+    monkeypatch.setattr(Q, "COUNTMAP_MAX_DISTINCT", 10)
+    rows = [(None, float(i % 3)) for i in range(30)] + [("w", float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = {r.g: r.m for r in exact_quantiles(df, "v", {"m": 0.5}, by=["g"]).collect()}
+    assert out == {None: 1.0, "w": 24.5}
