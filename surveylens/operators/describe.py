@@ -238,21 +238,32 @@ def density_curve(df: DataFrame, value: str, grid: int = 200, bandwidth: float |
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations, long ``(var_a, var_b, r)``.
 
-    One aggregate computes every pair once; the mirror and the diagonal are
-    produced from it.
+    Each row is expanded into one ``(pair, x, y)`` row per column pair and a
+    single ``corr`` is aggregated per pair (map-side partial aggregation). A
+    wide aggregate with one ``corr`` per pair would keep hundreds of buffer
+    fields and fall out of whole-stage codegen; this form stays inside it.
+    The diagonal is 1 for a column with variance, the mirror is copied.
     """
     cols = [c for c in (cols if cols is not None else numeric_columns(df)) if c in df.columns]
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        aggs.append(F.stddev_samp(F.col(f"`{a}`")).alias(f"s{i}"))
-        for j in range(i + 1, len(cols)):
-            aggs.append(F.corr(F.col(f"`{a}`").cast("double"),
-                               F.col(f"`{cols[j]}`").cast("double")).alias(f"c{i}_{j}"))
-            pairs.append((i, j))
-    one = df.agg(*aggs)
-    rows = [(F.lit(a), F.lit(a), F.when(F.col(f"s{i}") > 0, F.lit(1.0)))
-            for i, a in enumerate(cols)]
-    for i, j in pairs:
-        rows.append((F.lit(cols[i]), F.lit(cols[j]), F.col(f"c{i}_{j}")))
-        rows.append((F.lit(cols[j]), F.lit(cols[i]), F.col(f"c{i}_{j}")))
-    return one.select(E.rows_of(["var_a", "var_b", "r"], rows))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "var_a string, var_b string, r double")
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    longp = df.select(E.rows_of(["_p", "_x", "_y"],
+                                [(F.lit(n), x[i], x[j]) for n, (i, j) in enumerate(pairs)]))
+    agg = longp.groupBy("_p").agg(F.corr("_x", "_y").alias("_c"),
+                                  F.stddev_samp("_x").alias("_s"))
+    first = E.lookup_map({n: cols[i] for n, (i, _) in enumerate(pairs)})
+    second = E.lookup_map({n: cols[j] for n, (_, j) in enumerate(pairs)})
+    diag = [n for n, (i, j) in enumerate(pairs) if i == j]
+    a = F.try_element_at(first, F.col("_p"))
+    b = F.try_element_at(second, F.col("_p"))
+    r = F.when(F.col("_p").isin(diag), F.when(F.col("_s") > 0, F.lit(1.0))).otherwise(F.col("_c"))
+    one = agg.select(a.alias("_a"), b.alias("_b"), r.alias("r"))
+    both = F.when(F.col("_a") == F.col("_b"),
+                  F.array(F.struct(F.col("_a").alias("var_a"), F.col("_b").alias("var_b"),
+                                   F.col("r").alias("r"))))
+    both = both.otherwise(F.array(
+        F.struct(F.col("_a").alias("var_a"), F.col("_b").alias("var_b"), F.col("r").alias("r")),
+        F.struct(F.col("_b").alias("var_a"), F.col("_a").alias("var_b"), F.col("r").alias("r"))))
+    return one.select(F.inline(both))
