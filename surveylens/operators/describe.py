@@ -238,17 +238,21 @@ def density_curve(df: DataFrame, value: str, grid: int = 200, bandwidth: float |
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations, long ``(var_a, var_b, r)``.
 
-    Each row is expanded into one ``(pair, x, y)`` row per column pair and a
-    single ``corr`` is aggregated per pair (map-side partial aggregation). A
-    wide aggregate with one ``corr`` per pair would keep hundreds of buffer
-    fields and fall out of whole-stage codegen; this form stays inside it.
-    The diagonal is 1 for a column with variance, the mirror is copied.
+    Few columns: one aggregate with a ``corr`` per pair. Many columns (the
+    survey's 9 give 36 pairs): a wide aggregate would keep hundreds of buffer
+    fields and fall out of whole-stage codegen, so each row is expanded into
+    one ``(pair, x, y)`` row per pair and a single ``corr`` is aggregated per
+    pair (map-side partial aggregation). The diagonal is 1 for a column with
+    variance, the mirror is copied.
     """
     cols = [c for c in (cols if cols is not None else numeric_columns(df)) if c in df.columns]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "var_a string, var_b string, r double")
     x = [F.col(f"`{c}`").cast("double") for c in cols]
+    k = len(cols)
+    if 6 * k * (k - 1) // 2 + 3 * k <= WIDE_AGG_FIELDS:
+        return _correlation_wide(df, cols, x)
     longp = df.select(E.rows_of(["_p", "_x", "_y"],
                                 [(F.lit(n), x[i], x[j]) for n, (i, j) in enumerate(pairs)]))
     agg = longp.groupBy("_p").agg(F.corr("_x", "_y").alias("_c"),
@@ -267,3 +271,22 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
         F.struct(F.col("_a").alias("var_a"), F.col("_b").alias("var_b"), F.col("r").alias("r")),
         F.struct(F.col("_b").alias("var_a"), F.col("_a").alias("var_b"), F.col("r").alias("r"))))
     return one.select(F.inline(both))
+
+
+# Aggregation-buffer fields that still compile into one whole-stage-codegen
+# stage (Spark's default ``spark.sql.codegen.maxFields`` is 100).
+WIDE_AGG_FIELDS = 100
+
+
+def _correlation_wide(df: DataFrame, cols: list[str], x: list) -> DataFrame:
+    """Few columns: one aggregate with one ``corr`` per pair, no row expansion."""
+    aggs = [F.stddev_samp(x[i]).alias(f"s{i}") for i in range(len(cols))]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    aggs += [F.corr(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]
+    one = df.agg(*aggs)
+    rows = [(F.lit(a), F.lit(a), F.when(F.col(f"s{i}") > 0, F.lit(1.0)))
+            for i, a in enumerate(cols)]
+    for i, j in pairs:
+        rows.append((F.lit(cols[i]), F.lit(cols[j]), F.col(f"c{i}_{j}")))
+        rows.append((F.lit(cols[j]), F.lit(cols[i]), F.col(f"c{i}_{j}")))
+    return one.select(E.rows_of(["var_a", "var_b", "r"], rows))

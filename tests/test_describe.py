@@ -60,3 +60,18 @@ def test_density_integrates_to_one(spark):
     step = 21 / 399
     assert sum(r.density for r in out) * step == pytest.approx(1.0, abs=1e-3)
     assert math.isfinite(out[0].x)
+
+
+def test_correlation_many_columns_long_path(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(200, 9))
+    data[:, 1] += data[:, 0]
+    cols = [f"v{i}" for i in range(9)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], ", ".join(f"{c} double" for c in cols))
+    out = {(r.var_a, r.var_b): r.r for r in describe.correlation_matrix(df, cols).collect()}
+    ref = np.corrcoef(data.T)
+    assert len(out) == 81
+    for i in range(9):
+        for j in range(9):
+            assert out[(cols[i], cols[j])] == pytest.approx(ref[i, j], rel=1e-9, abs=1e-12)
