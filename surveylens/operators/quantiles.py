@@ -119,10 +119,12 @@ def _sorted_selection(base: DataFrame, by: list[str], probs: Mapping[str, float]
     # (the range bounds come from a sample), so the sorted pairs are written
     # once to the session's checkpoint folder and every later step reads
     # those files — a lost executor or a re-planned branch cannot change them.
-    # (The checkpoint job re-reads the same shuffle output, so it sees the same
-    # range bounds as the counting job.)
+    # The checkpoint is lazy: the first action (the per-partition counts
+    # below) computes the sorted partitions, then Spark writes them from the
+    # same shuffle output, so counts and files see the same range bounds and
+    # the same order (the tie-breaker is fixed in the shuffle output).
     ensure_checkpoint_dir(spark)
-    ordered = ordered.checkpoint(eager=True)
+    ordered = ordered.checkpoint(eager=False)
     # the upper bits of a monotonically increasing id are the partition index
     stats = (ordered.groupBy(F.shiftright("_rid", 33).alias("_pid"), *by)
              .agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first"))
