@@ -48,8 +48,13 @@ def fixed_bins(c: str | Column, edges: Sequence[float], labels: Sequence[str]) -
     return expr
 
 
-def fixed_bin_index(c: str | Column, edges: Sequence[float]) -> Column:
+def fixed_bin_index(c: str | Column, edges: Sequence[float],
+                    labels: Sequence[str] | None = None) -> Column:
     """Same bins as :func:`fixed_bins` but returns the 0-based bin number."""
+    if labels is not None and len(edges) != len(labels) + 1:
+        raise ValueError("need exactly one more edge than labels")
+    if any(b <= a for a, b in zip(edges, edges[1:])):
+        raise ValueError("bin edges must increase strictly")
     x = col_of(c)
     expr = None
     for i in range(len(edges) - 1):

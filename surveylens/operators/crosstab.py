@@ -30,7 +30,7 @@ def band_distribution(df: DataFrame, source: str, edges: Sequence[float],
     Rows whose value falls in no band stay in the denominator.
     Output: ``(ord, <band>, n, pct)`` ordered by ``ord``.
     """
-    idx = E.fixed_bin_index(source, edges)
+    idx = E.fixed_bin_index(source, edges, labels)
     # one global aggregate: total rows and one conditional count per band
     aggs = [F.count(F.lit(1)).alias("_all")]
     aggs += [F.count_if(F.col("_i") == F.lit(i)).alias(f"_c{i}") for i in range(len(labels))]
@@ -58,7 +58,8 @@ def crosstab_bands(df: DataFrame, row: str, source: str, edges: Sequence[float],
     * observed (crosstab): only levels and bands that have at least one
       binned row; zero cells inside that rectangle are kept.
     """
-    binned = df.select(F.col(row).alias("_lvl"), E.fixed_bin_index(source, edges).alias("_ord"))
+    binned = df.select(F.col(row).alias("_lvl"),
+                       E.fixed_bin_index(source, edges, labels).alias("_ord"))
     binned = binned.where(F.col("_lvl").isNotNull())
     if not complete:
         binned = binned.where(F.col("_ord").isNotNull())

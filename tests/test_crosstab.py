@@ -57,3 +57,12 @@ def test_labels_with_quotes(spark):
     df = spark.createDataFrame([(1,), (5,)], "x int")
     out = crosstab.band_distribution(df, "x", [0, 2, 6], ["it's low", 'say "high"']).collect()
     assert [(r.band, r.n) for r in out] == [("it's low", 1), ('say "high"', 1)]
+
+
+def test_edges_and_labels_must_agree(spark):
+    import pytest
+    df = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(ValueError):
+        crosstab.band_distribution(df, "x", [0, 1, 2], ["a"])
+    with pytest.raises(ValueError):
+        crosstab.band_distribution(df, "x", [0, 2, 1], ["a", "b"])
