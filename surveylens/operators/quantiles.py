@@ -1,7 +1,7 @@
 """Exact, linearly interpolated quantiles (A24) — the building block of
 describe, box statistics and quantile groups.
 
-Three methods:
+Four methods (``"auto"`` is the default):
 
 * ``"sort"``: a distributed selection. The ``(group, value)`` pairs are
   range-partitioned and sorted (a hot group — even a single hot value, thanks
@@ -9,7 +9,8 @@ Three methods:
   sampler), per-partition counts are gathered (at
   most ``partitions + groups`` small rows — the same pattern as
   ``zipWithIndex``), and only the two neighbouring order statistics of each
-  requested quantile are read back. No task ever holds a whole group.
+  requested quantile are read back from the checkpointed sort. No task ever
+  holds a whole group.
 * ``"countmap"``: Spark's exact ``percentile`` aggregate. It keeps one
   value->count map per group, so memory grows with the number of *distinct*
   values of a group: right for coded scores (a few dozen values), wrong for
