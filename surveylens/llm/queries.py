@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylens.llm import exact, packing
+from surveylens.llm import exact, near, packing
 from surveylens.llm.common import documents
 
 
@@ -16,6 +16,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies: a Jaccard similarity of 0.85 or more on five-word shingles."""
+    return near.near_groups(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the row with the largest id stays."""
     return exact.mark_copies(documents(spark, sf_dir)).select(
@@ -24,6 +29,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_hyperminhash": op4_hyperminhash,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
