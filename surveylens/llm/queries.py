@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylens.llm import exact, near, packing
+from surveylens.llm import exact, near, packing, pii, resampling, rules
 from surveylens.llm.common import documents
 
 
@@ -16,6 +16,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def _span_columns(spans, kinds: tuple[str, ...]) -> dict:
+    """Counts of base spans by kind, and the digest and list of spans, from an
+    ``array<struct<start,end,kind,base>>`` column."""
+    def said(chosen):
+        return F.array_join(F.transform(chosen, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter(spans, lambda x: x["base"])
+    of_base = F.transform(base, lambda x: x["kind"])
+    counts = {f"n_{kind}": (F.size(of_base) - F.size(F.array_remove(of_base, kind))).cast("long") for kind in kinds}
+    return counts | {"base_sha256": F.sha2(said(base).cast("binary"), 256), "spans": said(spans)}
+
+
+def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: pattern spans and those that the field adds."""
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", *(c.alias(n) for n, c in _span_columns(found.spans, pii.KINDS).items()))
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies: a Jaccard similarity of 0.85 or more on five-word shingles."""
     return near.near_groups(documents(spark, sf_dir))
@@ -27,10 +44,25 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, repetition coverage and verdict of every document."""
+    return rules.quality_rules(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_max("dup_ngram_share").alias("dup_ngram_share"), "dup_line_share")
+
+
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and Gumbel top-k decision of every document."""
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_pii_skip_chain": op2_pii_skip_chain,
     "op4_hyperminhash": op4_hyperminhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_repetition_rules": op8_repetition_rules,
+    "op9_importance_resampling": op9_importance_resampling,
 }
 
 #: DuckDB SQL of the queries that SQL can state.
