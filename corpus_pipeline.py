@@ -7,22 +7,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveylens.llm import exact, packing
+from surveylens.llm import exact, near, packing, pii, resampling
 from surveylens.session import ensure_checkpoint_dir
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling rejects go."""
+    return resampling.keep_sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, the one with the largest id."""
     return exact.drop_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return near.keep_one(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data is replaced by its kind; ``n_chars`` follows."""
+    return pii.masked_documents(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, with their place in a sequence."""
     return packing.pack_documents(docs)
 
 
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("personal data", pii_stage),
     ("best-fit packing", packing_stage),
 ]
 

@@ -33,6 +33,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids (eight bytes each) that a task may get as a broadcast.
+BROADCAST_IDS = 1 << 20
+
+
+def rows_with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among the distinct ``ids``. Up to
+    ``BROADCAST_IDS`` of them (counted) go to the rows; more are shuffled."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = ids.select(F.col(ids.columns[0]).alias("_wanted"))
+    return df.join(F.broadcast(wanted) if small else wanted,
+                   F.col(column).cast("long").eqNullSafe(F.col("_wanted")), "left_semi")
+
+
 def shards_for(n_rows: int, per_shard: int) -> int:
     return max(1, math.ceil(n_rows / per_shard))
 
@@ -66,6 +79,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
         yield batch.slice(start)
 
 
+def runs(flat: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the runs of bytes that are ``inside``; the borders of
+    texts part runs too."""
+    border = np.zeros(len(flat) + 1, bool)
+    border[offsets] = True
+    before = np.concatenate([[False], inside[:-1]])
+    after = np.concatenate([inside[1:], [False]])
+    begin = np.flatnonzero(inside & (~before | border[:-1]))
+    return begin, np.flatnonzero(inside & (~after | border[1:])) + 1
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over a uint64 array."""
     with np.errstate(over="ignore"):

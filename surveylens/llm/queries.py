@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylens.llm import exact, near, packing, pii, resampling, rules
+from surveylens.llm import exact, langid, near, packing, pii, resampling, rules, secret_scan
 from surveylens.llm.common import documents
 
 
@@ -44,6 +44,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_secret_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: pattern spans and those that the network adds."""
+    found = secret_scan.find_secrets(documents(spark, sf_dir))
+    return found.select("doc_id", *(c.alias(n) for n, c in _span_columns(found.spans, secret_scan.KINDS).items()))
+
+
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, repetition coverage and verdict of every document."""
     return rules.quality_rules(documents(spark, sf_dir)).select(
@@ -56,13 +62,20 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    return langid.identify(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_skip_chain": op2_pii_skip_chain,
     "op4_hyperminhash": op4_hyperminhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secret_convnet": op7_secret_convnet,
     "op8_repetition_rules": op8_repetition_rules,
     "op9_importance_resampling": op9_importance_resampling,
+    "op10_language_crf": op10_language_crf,
 }
 
 #: DuckDB SQL of the queries that SQL can state.

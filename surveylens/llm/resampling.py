@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import cut_lineage, id_text, mix64, text_slices, utf8_flat
+from surveylens.llm.common import cut_lineage, id_text, mix64, rows_with_ids, text_slices, utf8_flat
 from surveylens.llm.words import MULTIPLIER, TABLE_WORDS
 
 BUCKETS = 1 << 16
@@ -223,5 +223,5 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs`` that the resampling keeps, with all columns."""
-    kept = resample(docs, labels, id_col, **settings).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = resample(docs, labels, id_col, **settings).filter("kept").select("doc_id").distinct()
+    return rows_with_ids(docs, cut_lineage(kept), id_col)

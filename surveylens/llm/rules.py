@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from surveylens.llm.common import id_text, mix64, text_slices, utf8_flat
+from surveylens.llm.common import id_text, mix64, runs, text_slices, utf8_flat
 from surveylens.llm.words import MULTIPLIER, WordHashes
 
 MIN_WORDS = 50
@@ -67,24 +67,12 @@ def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(edge)[:size] > 0
 
 
-def _word_spans(flat: np.ndarray, space: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of every word; texts' borders part words too."""
-    border = np.zeros(len(flat) + 1, bool)
-    border[offsets] = True
-    word = ~space
-    before = np.concatenate([[False], word[:-1]])
-    begin = np.flatnonzero(word & (~before | border[:-1]))
-    after = np.concatenate([word[1:], [False]])
-    end = np.flatnonzero(word & (~after | border[1:])) + 1
-    return begin, end
-
-
 def measure(flat: np.ndarray, offsets: np.ndarray, table: WordHashes) -> dict[str, np.ndarray]:
     """The counts and shares of the texts ``flat[offsets[i]:offsets[i + 1]]``."""
     texts = len(offsets) - 1
     data = flat.tobytes()
     space = _table(SPACES)[flat]
-    begin, end = _word_spans(flat, space, offsets)
+    begin, end = runs(flat, ~space, offsets)
     text = np.searchsorted(offsets, begin, side="right") - 1
     n_words = np.bincount(text, minlength=texts)
     # code points: bytes that do not continue a character
