@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylens.llm import exact, langid, near, packing, pii, resampling, rules, secret_scan
+from surveylens.llm import exact, html_text, langid, near, packing, pii, resampling, rules, secret_scan
 from surveylens.llm.common import documents
 
 
@@ -38,6 +38,11 @@ def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(documents(spark, sf_dir))
 
 
+def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the row with the largest id stays."""
     return exact.mark_copies(documents(spark, sf_dir)).select(
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_skip_chain": op2_pii_skip_chain,
     "op4_hyperminhash": op4_hyperminhash,
+    "op5_site_style_tree": op5_site_style_tree,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_convnet": op7_secret_convnet,
     "op8_repetition_rules": op8_repetition_rules,
