@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import cut_lineage, id_text, mix64
+from surveylens.llm.common import cut_lineage, id_text, mix64, rows_with_ids
 from surveylens.llm.words import WordHashes, lower_ascii, ngram_hashes
 
 SHINGLE = 5
@@ -184,10 +184,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Links between components within buckets: blocks of members against
-    blocks, ``members`` being ``bucket, band, node, component, n_shingles,
-    registers, text, blocks``. A pair counts in its first common band only."""
+def _across(members: DataFrame, confirm: bool) -> DataFrame:
+    """Search between components within buckets, blocks of members against
+    blocks; a pair counts in its first common band only. ``members`` holds
+    ``bucket, band, node, component, n_shingles, registers, blocks`` and, to
+    ``confirm``, ``text``. Gives the confirmed links ``(a, b)``, or else the
+    members ``(bucket, node)`` that have a likely partner."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)
@@ -196,7 +198,7 @@ def _across(members: DataFrame) -> DataFrame:
         size, component = rows.n_shingles.to_numpy(), rows.component.to_numpy()
         node, side = rows.node.to_numpy(), rows.side.to_numpy()
         right = np.flatnonzero(side != 0)
-        table, sets, found = WordHashes(), {}, []
+        table, sets, links, likely = WordHashes(), {}, [], np.zeros(len(rows), bool)
 
         def set_of(i: int) -> np.ndarray:
             if i not in sets:
@@ -210,20 +212,28 @@ def _across(members: DataFrame) -> DataFrame:
                 continue
             equal = registers[at] == registers[i]
             first = equal.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            for j in at[first & (estimate(equal.sum(axis=1)) >= SCREEN)]:
+            at = at[first & (estimate(equal.sum(axis=1)) >= SCREEN)]
+            if not confirm:
+                likely[at] = True
+                likely[i] |= len(at) > 0
+                continue
+            for j in at:
                 common = len(np.intersect1d(set_of(i), set_of(j), assume_unique=True))
                 if 100 * common >= LINK * (size[i] + size[j] - common):
-                    found.append((node[i], node[j]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+                    links.append((node[i], node[j]))
+        if confirm:
+            return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+        return pd.DataFrame({"bucket": rows.bucket[likely], "node": node[likely]})
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))
     # a member is in its own block's row and column of the grid of blocks
     spread = members.withColumn("own", own).withColumn("other", F.explode(others)).select(
-        "bucket", "band", "node", "component", "n_shingles", "registers", "text",
+        *(c for c in members.columns if c != "blocks"),
         F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    return spread.groupBy("bucket", "row", "col").applyInPandas(run, "a long, b long").distinct()
+    schema = "a long, b long" if confirm else "bucket long, node long"
+    return spread.groupBy("bucket", "row", "col").applyInPandas(run, schema).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +248,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = buckets.join(heads.select("bucket", "a"), "bucket").filter("node > a").select(
         "a", F.col("node").alias("b")).distinct()
     likely = cut_lineage(_screened(stars, nodes))
-    texts = _node_texts(rows, sketched, likely)
+    texts = _node_texts(rows, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = cut_lineage(_confirmed(likely, texts))
     labels = components(links)
 
@@ -250,10 +260,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_ = placed.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("blocks")).filter(
         "low < high").select("bucket", "blocks")
-    members = placed.select("node", "band", "bucket").join(open_, "bucket")
-    full = named.drop("bands").join(rows.withColumnRenamed("doc_id", "node").join(
-        members.select("node").distinct(), "node", "left_semi"), "node")
-    links = cut_lineage(links.union(_across(members.join(full, "node"))))
+    members = placed.select("node", "band", "bucket").join(open_, "bucket").join(named.drop("bands"), "node")
+    likely = cut_lineage(_across(members, confirm=False))
+    texts = _node_texts(rows, likely.select("node").distinct())
+    members = members.join(likely, ["bucket", "node"]).join(texts, "node")
+    links = cut_lineage(links.union(_across(members, confirm=True)))
     labels = components(links)
     by_set = nodes.select("set_key", "node").join(labels, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
@@ -262,13 +273,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _node_texts(rows: DataFrame, sketched: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the nodes that occur in ``pairs``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return rows.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi")
+def _node_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, text)`` of the given nodes; an id that repeats counts once."""
+    return rows_with_ids(rows.withColumnRenamed("doc_id", "node"), nodes, "node").groupBy("node").agg(
+        F.min("text").alias("text"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document stands for its group, with all columns."""
-    kept = near_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = cut_lineage(near_groups(docs, id_col, text_col).filter("kept").select("doc_id").distinct())
+    return rows_with_ids(docs, kept, id_col)
