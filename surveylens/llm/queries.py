@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylens.llm import exact, html_text, langid, near, packing, pii, resampling, rules, secret_scan
+from surveylens.llm import exact, html_text, langid, near, packing, pieces, pii, resampling, rules, secret_scan
 from surveylens.llm.common import documents
 
 
@@ -33,6 +33,13 @@ def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in _span_columns(found.spans, pii.KINDS).items()))
 
 
+def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: the number and check sum of
+    its ids, and whether the text came back."""
+    return pieces.encode_and_back(documents(spark, sf_dir)).select(
+        "doc_id", "n_ids", "ids_crc32", "text_crc32", (F.col("text_crc32") == F.col("decoded_crc32")).alias("round_trip"))
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies: a Jaccard similarity of 0.85 or more on five-word shingles."""
     return near.near_groups(documents(spark, sf_dir))
@@ -75,6 +82,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_skip_chain": op2_pii_skip_chain,
+    "op3_sentencepiece_viterbi": op3_sentencepiece_viterbi,
     "op4_hyperminhash": op4_hyperminhash,
     "op5_site_style_tree": op5_site_style_tree,
     "op6_exact_dedup": op6_exact_dedup,
