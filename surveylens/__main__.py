@@ -14,11 +14,11 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--format", default=None, help="parquet | json | csv (default: delimited)")
     ap.add_argument("--out", required=True, help="output folder")
     ap.add_argument("--as-of-year", type=int, required=True, help="year used to turn birth years into ages")
-    ap.add_argument("--iso", default=None, help="country dimension: alpha2, alpha3, name, continent")
+    ap.add_argument("--iso", default=None, help="country dimension file (alpha2, alpha3, name, continent); default: built in")
     ap.add_argument("--world", default=None, help="GeoJSON boundary file for the choropleth table")
     ap.add_argument("--no-models", action="store_true", help="skip the forest/boosting fits")
-    ap.add_argument("--rf-trees", type=int, default=100)
-    ap.add_argument("--rf-depth", type=int, default=12)
+    ap.add_argument("--rf-trees", type=int, default=500)
+    ap.add_argument("--rf-depth", type=int, default=30)
     ap.add_argument("--stage-to", default=None, help="write the analysis table here and read it back")
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)

@@ -16,6 +16,17 @@ def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def clean_double(c: str | Column) -> Column:
+    """``c`` as double with NaN as NULL: NaN stands for a missing value."""
+    return F.nanvl(col_of(c).cast("double"), F.lit(None).cast("double"))
+
+
+def missing_as(c: str | Column, value) -> Column:
+    """``c`` in its own type, with NULL and NaN replaced by ``value``."""
+    x = col_of(c)
+    return F.when(x.isNull() | F.isnan(x.cast("double")), F.lit(value)).otherwise(x)
+
+
 def lookup_map(mapping: Mapping) -> Column:
     """Literal map column built from a small, fixed dictionary."""
     items = []
@@ -65,8 +76,8 @@ def fixed_bin_index(c: str | Column, edges: Sequence[float],
 
 
 def null_skipping_sum(cols: Iterable[str | Column]) -> Column:
-    """Row-wise sum that treats NULL as 0; an all-NULL row sums to 0."""
-    parts = [F.coalesce(col_of(c), F.lit(0)) for c in cols]
+    """Row-wise sum that treats NULL and NaN as 0; an all-NULL row sums to 0."""
+    parts = [missing_as(c, 0) for c in cols]
     if not parts:
         return F.lit(0)
     return reduce(lambda a, b: a + b, parts)
@@ -92,7 +103,8 @@ def all_between(cols: Iterable[str | Column], lo: float, hi: float) -> Column:
 
 def not_label(c: str | Column, label: str) -> Column:
     """``c != label`` that keeps NULL rows (pandas semantics of ``!=``)."""
-    return ~col_of(c).eqNullSafe(F.lit(label))
+    # as text: a label never equals a number, and the comparison must not cast it to one
+    return ~col_of(c).cast("string").eqNullSafe(F.lit(label))
 
 
 def group_labels(c: str | Column, groups: Mapping[str, Sequence[str]]) -> Column:

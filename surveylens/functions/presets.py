@@ -232,36 +232,11 @@ DEFAULT_NA_TOKENS = [
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
     "nan", "null",
 ]
-# ---------------------------------------------------------------------------
-# end of fixed values
-# ---------------------------------------------------------------------------
 
-# Derived names (built from the fixed values above)
-DASS_ITEMS = [f"Q{i}A" for i in range(1, 43)]
-TIPI_ITEMS = [f"TIPI{i}" for i in range(1, 11)]
-VCL_ITEMS = [f"VCL{i}" for i in range(1, 17)]
-VCL_REAL = [c for c in VCL_ITEMS if c not in VCL_FAKE]
-TRAITS = list(TIPI_TRAIT_PAIRS)
-TIPI_REVERSE = {item: item.replace("TIPI", "TIPI_R", 1) for item in TIPI_REVERSED}
-
-SCORE_SPEC = {
-    "dassdepression": DEPRESSION_ITEMS,
-    "dassanxiety": ANXIETY_ITEMS,
-    "dassstress": STRESS_ITEMS,
-}
-
-DEMOGRAPHIC_COLUMNS = [out for _, out in RECODE_SPEC.values()] + [
-    "age_clean",
-    "country_name",
-    "continent",
-    "familysize",
-]
+# Columns of the published tables, factors of the ANOVA, predictors of the models
+OTHER_DEMOGRAPHIC_COLUMNS = ["age_clean", "country_name", "continent", "familysize"]
 TARGET_COLUMNS = ["dassanxiety", "dassstress", "dassdepression", "dasssum"]
 VCL_NEW_COLUMNS = ["vcl_valid", "vcl_invalid", "vcl_score"]
-ANALYSIS_COLUMNS = DEMOGRAPHIC_COLUMNS + TARGET_COLUMNS + TRAITS + [
-    "vcl_valid", "vcl_invalid", "vcl_score"]
-STANDARDIZE_COLUMNS = ["age_clean", "familysize"] + TARGET_COLUMNS + TRAITS + ["vcl_score"]
-
 DEMOGRAPHIC_FACTORS = [
     "gender_clean",
     "orientation_clean",
@@ -272,7 +247,6 @@ DEMOGRAPHIC_FACTORS = [
     "religion_grouped",
     "age_group",
 ]
-NONRESPONSE_VARIABLES = [out for _, out in RECODE_SPEC.values()]
 REGRESSION_CATEGORICALS = [
     "gender_clean",
     "education_clean",
@@ -281,18 +255,32 @@ REGRESSION_CATEGORICALS = [
     "religion_grouped",
     "race_clean",
 ]
-MODEL_NUMERIC = ["dassstress", "dassdepression"] + TRAITS
-MODEL_CATEGORICAL = [
-    "gender_clean",
-    "orientation_clean",
-    "married_clean",
-    "urban_clean",
-    "race_clean",
-    "education_clean",
-    "religion_grouped",
-    "age_group",
-]
-CORRELATION_COLUMNS = ["dassanxiety", "dassstress", "dassdepression", "dasssum"] + TRAITS
+PSYCHOLOGICAL_PREDICTORS = ["dassstress", "dassdepression"]
+# ---------------------------------------------------------------------------
+# end of fixed values
+# ---------------------------------------------------------------------------
+
+# Derived names (built from the fixed values above)
+DASS_ITEMS = [f"Q{i}A" for i in range(1, 43)]
+TIPI_ITEMS = [f"TIPI{i}" for i in range(1, 11)]
+VCL_ITEMS = [f"VCL{i}" for i in range(1, 17)]
+VCL_REAL = [c for c in VCL_ITEMS if c not in VCL_FAKE]
+TRAITS = list(TIPI_TRAIT_PAIRS)
+TIPI_REVERSE = {item: item.replace("TIPI", "TIPI_R", 1) for item in TIPI_REVERSED}
+
+SCORE_SPEC = {
+    "dassdepression": DEPRESSION_ITEMS,
+    "dassanxiety": ANXIETY_ITEMS,
+    "dassstress": STRESS_ITEMS,
+}
+
+DEMOGRAPHIC_COLUMNS = [out for _, out in RECODE_SPEC.values()] + OTHER_DEMOGRAPHIC_COLUMNS
+ANALYSIS_COLUMNS = DEMOGRAPHIC_COLUMNS + TARGET_COLUMNS + TRAITS + VCL_NEW_COLUMNS
+STANDARDIZE_COLUMNS = ["age_clean", "familysize"] + TARGET_COLUMNS + TRAITS + ["vcl_score"]
+NONRESPONSE_VARIABLES = [out for _, out in RECODE_SPEC.values()]
+MODEL_NUMERIC = PSYCHOLOGICAL_PREDICTORS + TRAITS
+MODEL_CATEGORICAL = list(DEMOGRAPHIC_FACTORS)
+CORRELATION_COLUMNS = TARGET_COLUMNS + TRAITS
 
 
 def quantile_labels(n_groups: int) -> list[str]:

@@ -52,19 +52,18 @@ def level_stats(df: DataFrame, dependent: str, factors: Sequence[str],
 def anova_from_stats(stats: DataFrame, with_p: bool = True) -> DataFrame:
     """``(factor, k, n, df_between, df_within, ssb, ssw, f[, p_value])`` from level stats.
 
-    F is NULL when it is undefined (fewer than two levels, n = k, or SSW = 0
-    with SSB = 0).
+    F is NULL when it is undefined: fewer than two levels, n = k, or SSW = 0.
     """
     per = stats.groupBy("factor").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_grand"),
-        F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ssw"),
-        F.collect_list(F.struct("n", "mean")).alias("_g"))
-    ssb = F.aggregate("_g", F.lit(0.0),
-                      lambda acc, g: acc + g["n"] * (g["mean"] - F.col("_grand"))
-                      * (g["mean"] - F.col("_grand")))
-    out = (per.withColumn("ssb", ssb)
-              .withColumn("df_between", (F.col("k") - 1).cast("bigint"))
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
+        F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ssw"))
+    # the grand mean goes back to the level rows: partial sums per task, no list of levels
+    away = F.col("mean") - F.col("grand")
+    between = stats.join(per.select("factor", "grand"), "factor").groupBy("factor").agg(
+        F.sum(F.col("n") * away * away).alias("ssb"))
+    per = per.join(between, "factor")
+    out = (per.withColumn("df_between", (F.col("k") - 1).cast("bigint"))
               .withColumn("df_within", (F.col("n") - F.col("k")).cast("bigint")))
     msb = F.try_divide(F.col("ssb"), F.col("df_between"))
     msw = F.try_divide(F.col("ssw"), F.col("df_within"))
@@ -106,7 +105,7 @@ def demographic_anova(df: DataFrame, factors: Sequence[str] = P.DEMOGRAPHIC_FACT
 
 
 def personality_anova(df: DataFrame, traits: Sequence[str] = P.TRAITS, n_groups: int = 3,
-                      dependent: str = "dassanxiety", method: str = "auto",
+                      dependent: str = "dassanxiety", method: str = "exact",
                       with_p: bool = True):
     """Quantile groups per trait (skipping traits that cannot be cut), then A20.
 

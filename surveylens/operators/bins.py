@@ -60,31 +60,41 @@ def long_values(df: DataFrame, cols: Sequence[str], variable: str = "variable",
 
 
 def quantile_edges(df: DataFrame, cols: Sequence[str], n_groups: int,
-                   method: str = "auto", with_nunique: bool = True) -> dict[str, dict]:
-    """Pass 1 for quantile bins: edges at k/n (and the exact distinct count), per column.
+                   method: str = "exact", with_nunique: bool = True) -> dict[str, dict]:
+    """Pass 1 for quantile bins: edges at k/n, per column, and whether the column
+    has ``n_groups`` distinct values (``enough``).
 
     All columns at once over the unpivoted form; returns
-    ``{col: {"edges": [...], "nunique": n}}`` (n + 2 numbers per column).
+    ``{col: {"edges": [...], "enough": bool}}``. The gate looks for the next larger value
+    ``n_groups - 1`` times, a minimum per column each time, so no distinct values are shuffled.
     """
     if not cols:
         return {}
     longf = long_values(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     probs = {f"e{k}": k / n_groups for k in range(n_groups + 1)}
     q = exact_quantiles(longf, "value", probs, by=["variable"], method=method)
+    out = {r["variable"]: {"edges": [r[f"e{k}"] for k in range(n_groups + 1)], "enough": True}
+           for r in q.collect()}
     if with_nunique:
-        nun = longf.groupBy("variable").agg(F.count_distinct("value").alias("nunique"))
-        q = q.join(nun, "variable")
-    out = {}
-    for r in q.collect():
-        out[r["variable"]] = {"edges": [r[f"e{k}"] for k in range(n_groups + 1)],
-                              "nunique": r["nunique"] if with_nunique else None}
+        # n strictly increasing edges and values beyond the first edge: distinct minima, one aggregate each
+        last = {c: meta["edges"][0] for c, meta in out.items()}
+        for _ in range(n_groups - 1):
+            if not last:
+                break
+            aggs = [F.min(F.when(E.clean_double(f"`{c}`") > F.lit(v), F.col(f"`{c}`").cast("double"))).alias(f"m{i}")
+                    for i, (c, v) in enumerate(last.items())]
+            row = df.agg(*aggs).first()
+            following = {c: row[f"m{i}"] for i, c in enumerate(last)}
+            for c in [c for c, v in following.items() if v is None]:
+                out[c]["enough"] = False
+            last = {c: v for c, v in following.items() if v is not None}
     return out
 
 
 def quantile_groups(df: DataFrame, cols: Sequence[str], n_groups: int = 3,
                     labels: Sequence[str] | None = None, ties: str = "skip",
                     suffix: str = "_group", names: Mapping[str, str] | None = None,
-                    method: str = "auto", require: bool = False) -> DataFrame:
+                    method: str = "exact", require: bool = False) -> DataFrame:
     """Quantile bins per column.
 
     ``ties="skip"``: a column is skipped (no output column) when it is absent,
@@ -109,7 +119,7 @@ def quantile_groups(df: DataFrame, cols: Sequence[str], n_groups: int = 3,
             continue
         edges = meta["edges"]
         if ties == "skip":
-            if meta["nunique"] < n_groups or any(b <= a for a, b in zip(edges, edges[1:])):
+            if not meta["enough"] or any(b <= a for a, b in zip(edges, edges[1:])):
                 continue
             exprs[out] = E.fixed_bins(F.col(f"`{c}`"), edges, labels)
         else:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -75,9 +75,9 @@ def crosstab_bands(df: DataFrame, row: str, source: str, edges: Sequence[float],
     stack = E.rows_of(["_o", "_n"], [(F.lit(o), F.col(f"_c{o}")) for o in ords])
     longf = wide.select("_lvl", total.alias("_rt"), stack)
     if not complete:
-        # drop bands never observed in any level (tiny frame: levels x bands)
-        longf = longf.withColumn("_bt", F.sum("_n").over(Window.partitionBy("_o")))
-        longf = longf.where(F.col("_bt") > 0)
+        # drop bands never observed in any level
+        seen = longf.groupBy(F.col("_o").alias("_so")).agg(F.sum("_n").alias("_bt")).where("_bt > 0")
+        longf = longf.join(seen, F.col("_o") == F.col("_so"), "left_semi")
     band_map = E.lookup_map({i: lab for i, lab in enumerate(labels)})
     pct = F.try_divide(F.col("_n") * F.lit(100.0), F.col("_rt"))
     return longf.select(
@@ -88,31 +88,22 @@ def crosstab_bands(df: DataFrame, row: str, source: str, edges: Sequence[float],
 
 
 def crosstab_observed(df: DataFrame, row: str, col: str, normalize: bool = False,
-                      digits: int | None = None, max_levels: int = 1000) -> DataFrame:
+                      digits: int | None = None) -> DataFrame:
     """A8 on two categorical columns: observed levels only, zeros inside kept.
 
-    Long form ``(<row>, <col>, n[, row_pct])``. The column levels are read
-    with one small distinct job (at most ``max_levels``).
+    Long form ``(<row>, <col>, n[, row_pct])``. Pairs are counted by one partial
+    + final aggregate; the rectangle of row levels and column levels, which is
+    the result's size, is completed from the counted pairs alone.
     """
-    base = df.select(F.col(row).alias("_r"), F.col(col).alias("_c")).where(
-        F.col("_r").isNotNull() & F.col("_c").isNotNull())
-    cols = sorted(r[0] for r in base.select("_c").distinct().limit(max_levels + 1).collect())
-    if len(cols) > max_levels:
-        raise ValueError(f"column {col} has more than {max_levels} levels")
-    wide = base.groupBy("_r").agg(
-        *[F.count_if(F.col("_c") == F.lit(c)).alias(f"_k{i}") for i, c in enumerate(cols)])
-    lits = []
-    for i, c in enumerate(cols):
-        lits.append(F.lit(c).cast(base.schema["_c"].dataType))
-        lits.append(F.col(f"_k{i}"))
-    pairs = F.explode(F.map_from_arrays(F.array(*lits[0::2]), F.array(*lits[1::2])))
-    longf = wide.select("_r", pairs.alias("_c", "_n"))
-    out = longf.select(F.col("_r").alias(row), F.col("_c").alias(col),
-                       F.col("_n").cast("bigint").alias("n"))
+    pairs = df.select(F.col(row).alias("_r"), F.col(col).alias("_c")).where(
+        F.col("_r").isNotNull() & F.col("_c").isNotNull()).groupBy("_r", "_c").agg(F.count(F.lit(1)).alias("n"))
+    rows = pairs.groupBy("_r").agg(F.sum("n").alias("_rt"))
+    domain = rows.crossJoin(pairs.select("_c").distinct())
+    out = domain.join(pairs, ["_r", "_c"], "left").select(
+        F.col("_r").alias(row), F.col("_c").alias(col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "_rt")
     if normalize:
-        rt = F.sum("n").over(Window.partitionBy(row))
-        out = out.withColumn("row_pct", _maybe_round(F.try_divide(F.col("n") * 100.0, rt), digits))
-    return out
+        out = out.withColumn("row_pct", _maybe_round(F.try_divide(F.col("n") * 100.0, F.col("_rt")), digits))
+    return out.drop("_rt")
 
 
 def to_wide(longf: DataFrame, row: str, band: str, value: str, labels: Sequence[str]) -> DataFrame:

@@ -35,44 +35,27 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None,
-                     method: str = "auto") -> DataFrame:
+                     method: str = "exact") -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (interpolated), max, missing.
 
     NaN counts as missing. One row per column: ``(variable, count, mean, std,
-    min, q25, q50, q75, max, missing)``.
+    min, q25, q50, q75, max, missing)``, also when the table is empty.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    longf = _long(df, cols, "double").withColumn(
-        "value", F.when(~F.isnan("value"), F.col("value")))
-    # one aggregate (one row per column) gives the moments and the distinct
-    # estimate that routes the quantile computation
+    longf = _long(df, cols, "double").withColumn("value", E.clean_double("value"))
     stats = longf.groupBy("variable").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        F.count_if(F.col("value").isNull()).alias("missing"),
-        F.approx_count_distinct("value", 0.02).alias("_nd"),
-    ).collect()
-    hint = {(r["variable"],): r["_nd"] for r in stats if r["count"]}
+        F.count_if(F.col("value").isNull()).alias("missing"))
     qs = exact_quantiles(longf, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75},
-                         by=["variable"], method=method,
-                         distinct_hint=hint if method == "auto" else None)
-    by_name = {r["variable"]: r for r in stats}
-    spark = df.sparkSession
-    # one row per requested column, also when the table is empty
-    rows = []
-    for c in cols:
-        r = by_name.get(c)
-        rows.append((c, r["count"] if r else 0, r["mean"] if r else None,
-                     r["std"] if r else None, r["min"] if r else None,
-                     r["max"] if r else None, r["missing"] if r else 0))
-    head = spark.createDataFrame(rows, "variable string, count bigint, mean double, "
-                                       "std double, min double, max double, missing bigint")
-    return (head.join(F.broadcast(qs), "variable", "left")
-                .select("variable", "count", "mean", "std", "min", "q25", "q50", "q75", "max",
-                        "missing"))
+                         by=["variable"], method=method)
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "variable string")
+    return (names.join(stats, "variable", "left").join(qs, "variable", "left")
+            .select("variable", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q25", "q50",
+                    "q75", "max", F.coalesce("missing", F.lit(0)).alias("missing")))
 
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None,
@@ -94,7 +77,7 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None,
     return out
 
 
-def full_summary(df: DataFrame, normalize: bool = False, method: str = "auto") -> dict:
+def full_summary(df: DataFrame, normalize: bool = False, method: str = "exact") -> dict:
     """Bundle of the numeric summary and the categorical counts."""
     out = {"numeric_summary": describe_numeric(df, method=method),
            "categorical_counts": value_counts(df, normalize=False)}
@@ -116,7 +99,7 @@ def nonresponse_table(df: DataFrame, variables: Sequence[str] = P.NONRESPONSE_VA
     aggs = []
     for i, c in enumerate(present):
         aggs.append(F.count(F.col(f"`{c}`")).alias(f"t{i}"))
-        aggs.append(F.count_if(F.col(f"`{c}`") == F.lit(label)).alias(f"r{i}"))
+        aggs.append(F.count_if(F.col(f"`{c}`").cast("string") == F.lit(label)).alias(f"r{i}"))
     one = df.agg(*aggs)
     stack = E.rows_of(["variable", "n_total", "n_no_response"],
                       [(F.lit(c), F.col(f"t{i}"), F.col(f"r{i}")) for i, c in enumerate(present)])
@@ -131,13 +114,14 @@ def nonresponse_table(df: DataFrame, variables: Sequence[str] = P.NONRESPONSE_VA
 
 def group_stats(df: DataFrame, factor: str, value: str) -> DataFrame:
     """Mean, sample std (NULL for one row) and count of ``value`` per level."""
+    y = E.clean_double(value)
     return (df.where(F.col(factor).isNotNull()).groupBy(factor)
-              .agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-                   F.count(value).alias("count")))
+              .agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
+                   F.count(y).alias("count")))
 
 
 def box_stats(df: DataFrame, factors: Sequence[str], value: str,
-              exclude: Sequence[str] = (P.NO_RESPONSE,), method: str = "auto") -> DataFrame:
+              exclude: Sequence[str] = (P.NO_RESPONSE,), method: str = "exact") -> DataFrame:
     """Per factor level: count, mean, std, min, q1, median, q3, max of ``value``.
 
     All factors in one pass over an unpivoted ``(factor, level, value)``
@@ -157,7 +141,7 @@ def box_stats(df: DataFrame, factors: Sequence[str], value: str,
         "factor", "level", "count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
-def box_stats_global(df: DataFrame, value: str, method: str = "auto") -> DataFrame:
+def box_stats_global(df: DataFrame, value: str, method: str = "exact") -> DataFrame:
     """Mean, median, q25, q75, min, max (and count) of one column."""
     base = df.select(F.col(value).cast("double").alias("_y")).where(
         F.col("_y").isNotNull() & ~F.isnan("_y"))
@@ -238,55 +222,21 @@ def density_curve(df: DataFrame, value: str, grid: int = 200, bandwidth: float |
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations, long ``(var_a, var_b, r)``.
 
-    Few columns: one aggregate with a ``corr`` per pair. Many columns (the
-    survey's 9 give 36 pairs): a wide aggregate would keep hundreds of buffer
-    fields and fall out of whole-stage codegen, so each row is expanded into
-    one ``(pair, x, y)`` row per pair and a single ``corr`` is aggregated per
-    pair (map-side partial aggregation). The diagonal is 1 for a column with
-    variance, the mirror is copied.
+    Each row is expanded into one ``(pair, x, y)`` row per pair of columns and a
+    single ``corr`` is aggregated per pair (partial + final), so the aggregate
+    stays in whole-stage codegen for any number of columns. NaN is missing.
+    The diagonal is 1 for a column with variance, the mirror is copied.
     """
     cols = [c for c in (cols if cols is not None else numeric_columns(df)) if c in df.columns]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "var_a string, var_b string, r double")
-    x = [F.col(f"`{c}`").cast("double") for c in cols]
-    k = len(cols)
-    if 6 * k * (k - 1) // 2 + 3 * k <= WIDE_AGG_FIELDS:
-        return _correlation_wide(df, cols, x)
-    longp = df.select(E.rows_of(["_p", "_x", "_y"],
-                                [(F.lit(n), x[i], x[j]) for n, (i, j) in enumerate(pairs)]))
-    agg = longp.groupBy("_p").agg(F.corr("_x", "_y").alias("_c"),
-                                  F.stddev_samp("_x").alias("_s"))
-    first = E.lookup_map({n: cols[i] for n, (i, _) in enumerate(pairs)})
-    second = E.lookup_map({n: cols[j] for n, (_, j) in enumerate(pairs)})
-    diag = [n for n, (i, j) in enumerate(pairs) if i == j]
-    a = F.try_element_at(first, F.col("_p"))
-    b = F.try_element_at(second, F.col("_p"))
-    r = F.when(F.col("_p").isin(diag), F.when(F.col("_s") > 0, F.lit(1.0))).otherwise(F.col("_c"))
-    one = agg.select(a.alias("_a"), b.alias("_b"), r.alias("r"))
-    both = F.when(F.col("_a") == F.col("_b"),
-                  F.array(F.struct(F.col("_a").alias("var_a"), F.col("_b").alias("var_b"),
-                                   F.col("r").alias("r"))))
-    both = both.otherwise(F.array(
-        F.struct(F.col("_a").alias("var_a"), F.col("_b").alias("var_b"), F.col("r").alias("r")),
-        F.struct(F.col("_b").alias("var_a"), F.col("_a").alias("var_b"), F.col("r").alias("r"))))
-    return one.select(F.inline(both))
-
-
-# Aggregation-buffer fields that still compile into one whole-stage-codegen
-# stage (Spark's default ``spark.sql.codegen.maxFields`` is 100).
-WIDE_AGG_FIELDS = 100
-
-
-def _correlation_wide(df: DataFrame, cols: list[str], x: list) -> DataFrame:
-    """Few columns: one aggregate with one ``corr`` per pair, no row expansion."""
-    aggs = [F.stddev_samp(x[i]).alias(f"s{i}") for i in range(len(cols))]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    aggs += [F.corr(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    one = df.agg(*aggs)
-    rows = [(F.lit(a), F.lit(a), F.when(F.col(f"s{i}") > 0, F.lit(1.0)))
-            for i, a in enumerate(cols)]
-    for i, j in pairs:
-        rows.append((F.lit(cols[i]), F.lit(cols[j]), F.col(f"c{i}_{j}")))
-        rows.append((F.lit(cols[j]), F.lit(cols[i]), F.col(f"c{i}_{j}")))
-    return one.select(E.rows_of(["var_a", "var_b", "r"], rows))
+    clean = df.select(*[E.clean_double(f"`{c}`").alias(f"x{i}") for i, c in enumerate(cols)])
+    agg = clean.select(E.rows_of(["_a", "_b", "_x", "_y"], [
+        (F.lit(cols[i]), F.lit(cols[j]), F.col(f"x{i}"), F.col(f"x{j}")) for i, j in pairs])).groupBy("_a", "_b").agg(
+        F.corr("_x", "_y").alias("_c"), F.stddev_samp("_x").alias("_s"))
+    r = F.when(F.col("_a") == F.col("_b"), F.when(F.col("_s") > 0, F.lit(1.0))).otherwise(F.col("_c"))
+    pair = F.struct(F.col("_a").alias("var_a"), F.col("_b").alias("var_b"), F.col("r"))
+    mirror = F.struct(F.col("_b").alias("var_a"), F.col("_a").alias("var_b"), F.col("r"))
+    return agg.withColumn("r", r).select(F.inline(
+        F.when(F.col("_a") == F.col("_b"), F.array(pair)).otherwise(F.array(pair, mirror))))

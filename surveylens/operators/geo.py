@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import presets as P
-from ..session import bounded_broadcast
+from ..functions.expressions import clean_double
 
 
 def mean_by(df: DataFrame, key: str, value: str = "dassanxiety", out: str = "mean_anxiety",
@@ -21,9 +21,10 @@ def mean_by(df: DataFrame, key: str, value: str = "dassanxiety", out: str = "mea
 
     NULL keys are not a group; ties are broken by the key.
     """
-    aggs = [F.avg(value).alias(out)]
+    y = clean_double(value)
+    aggs = [F.avg(y).alias(out)]
     if with_count:
-        aggs.append(F.count(value).alias(count_out))
+        aggs.append(F.count(y).alias(count_out))
     return (df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
               .orderBy(F.desc(out), F.asc(key)))
 
@@ -43,10 +44,10 @@ def top_k(df: DataFrame, order_col: str, key: str, k: int = 10) -> DataFrame:
 
 def attach_codes(agg: DataFrame, dim: DataFrame, name_col: str = "country_name",
                  dim_name: str = "name", dim_code: str = "alpha3",
-                 out: str = "iso_alpha_3", max_dim_rows: int = 100_000) -> DataFrame:
-    """Country name -> alpha-3 code on an aggregated table (unmatched -> NULL)."""
-    d = dim.select(F.col(dim_name).alias("_nm"), F.col(dim_code).alias(out))
-    d = bounded_broadcast(d.dropDuplicates(["_nm"]), max_dim_rows)
+                 out: str = "iso_alpha_3") -> DataFrame:
+    """Country name -> alpha-3 code on an aggregated table (unmatched -> NULL;
+    a name that repeats gets its smallest code)."""
+    d = dim.groupBy(F.col(dim_name).alias("_nm")).agg(F.min(dim_code).alias(out))
     return agg.join(d, agg[name_col] == d["_nm"], "left").drop("_nm")
 
 
@@ -59,7 +60,7 @@ def detect_key(columns: Sequence[str], candidates: Sequence[str] = P.GEO_KEY_CAN
 
 
 def choropleth_table(world: DataFrame, means: DataFrame, means_key: str = "iso_alpha_3",
-                     key: str | None = None, max_rows: int = 100_000) -> DataFrame | None:
+                     key: str | None = None) -> DataFrame | None:
     """Every feature of the boundary table with its mean (NULL when no match).
 
     Returns None when no key column can be found (the map is skipped).
@@ -67,5 +68,5 @@ def choropleth_table(world: DataFrame, means: DataFrame, means_key: str = "iso_a
     key = key or detect_key(world.columns)
     if key is None:
         return None
-    m = bounded_broadcast(means.withColumnRenamed(means_key, "_mk"), max_rows)
+    m = means.withColumnRenamed(means_key, "_mk")
     return world.join(m, world[key] == m["_mk"], "left").drop("_mk")

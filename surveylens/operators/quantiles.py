@@ -1,24 +1,21 @@
 """Exact, linearly interpolated quantiles (A24) — the building block of
 describe, box statistics and quantile groups.
 
-Four methods (``"auto"`` is the default):
-
-* ``"sort"``: a distributed selection. The ``(group, value)`` pairs are
-  range-partitioned and sorted (a hot group — even a single hot value, thanks
-  to a random tie-breaker — is split across many partitions by the range
-  sampler), per-partition counts are gathered (at
-  most ``partitions + groups`` small rows — the same pattern as
-  ``zipWithIndex``), and only the two neighbouring order statistics of each
-  requested quantile are read back from the checkpointed sort. No task ever
-  holds a whole group.
-* ``"countmap"``: Spark's exact ``percentile`` aggregate. It keeps one
-  value->count map per group, so memory grows with the number of *distinct*
-  values of a group: right for coded scores (a few dozen values), wrong for
-  continuous measures at scale.
-* ``"auto"``: picks count-map or sort per group from a distinct-count
-  estimate (both exact).
-* ``"approx"``: ``percentile_approx`` (bounded memory, rank error
-  ``1/accuracy``); not exact.
+Method ``"exact"`` (the default) finds order statistics by counting passes.
+Pass 0 gives every group's size and range. Each further pass divides every
+interval that still holds a wanted rank into up to ``BUCKETS`` parts and counts
+its rows per part, with the smallest and largest value of each; the part that
+holds the rank is the next interval. An interval of one value is an answer, so
+a value that is a third of all rows ends its search at once. Counting is a
+partial + final hash aggregate: what is shuffled is at most tasks x intervals
+x parts, whatever the number of rows; nothing is sorted, no group meets in one
+task, and the intervals are rows of a DataFrame joined back by group, so the
+number of groups has no bound. Only those intervals (one row per group and
+wanted rank) are written between passes.
+
+``"countmap"`` is Spark's exact ``percentile`` aggregate: one pass, memory
+grows with a group's distinct values, right for coded answers. ``"approx"`` is
+``percentile_approx`` (bounded memory, rank error ``1/accuracy``).
 
 Interpolation follows the usual definition: with ``n`` sorted values and
 ``pos = p * (n - 1)``, the result is ``x[floor] + (pos - floor) * (x[ceil] - x[floor])``.
@@ -26,154 +23,119 @@ Interpolation follows the usual definition: with ``n`` sorted values and
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..functions.expressions import clean_double
+from ..session import bounded_broadcast, ensure_checkpoint_dir
 
-# Upper bound on the per-partition count table gathered by the "sort" method.
-MAX_PARTITION_STATS = 2_000_000
-# "auto": groups with at most this many distinct values use the count map.
-COUNTMAP_MAX_DISTINCT = 50_000
+# Parts that a pass divides an interval into.
+BUCKETS = 4096
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-                    by: Sequence[str] = (), method: str = "auto",
-                    accuracy: int = 10_000,
-                    distinct_hint: Mapping[tuple, int] | None = None) -> DataFrame:
+                    by: Sequence[str] = (), method: str = "exact",
+                    accuracy: int = 10_000) -> DataFrame:
     """Quantiles of ``value`` per ``by`` group, one output column per entry of ``probs``.
 
-    NULL and NaN values are ignored; a group with no values is absent.
-    ``distinct_hint`` (group key tuple -> estimated distinct values), when a
-    caller already computed it in its own aggregate, saves the routing pass
-    of ``method="auto"``.
+    NULL and NaN values are ignored; a group with no values is absent; a NULL
+    group is a group.
     """
     by = list(by)
-    names = list(probs)
-    base = (df.select(*[F.col(c) for c in by], F.col(value).cast("double").alias("_v"))
-            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    base = df.select(*[F.col(c) for c in by], clean_double(value).alias("_v")).where(F.col("_v").isNotNull())
     if method == "countmap":
-        return base.groupBy(*by).agg(
-            *[F.percentile("_v", float(probs[n])).alias(n) for n in names])
+        return base.groupBy(*by).agg(*[F.percentile("_v", float(p)).alias(n) for n, p in probs.items()])
     if method == "approx":
         return base.groupBy(*by).agg(
-            *[F.percentile_approx("_v", float(probs[n]), accuracy).alias(n) for n in names])
-    if method == "auto":
-        return _auto(base, by, probs, distinct_hint)
-    if method != "sort":
+            *[F.percentile_approx("_v", float(p), accuracy).alias(n) for n, p in probs.items()])
+    if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
-    return _sorted_selection(base, by, probs)
-
-
-def _auto(base: DataFrame, by: list[str], probs: Mapping[str, float],
-          distinct_hint: Mapping[tuple, int] | None = None) -> DataFrame:
-    """Route each group to the cheaper exact method.
-
-    One small aggregate estimates the distinct values per group (HyperLogLog,
-    one row per group). Groups with at most ``COUNTMAP_MAX_DISTINCT`` values
-    use the count-map aggregate (memory bounded by that number, a hot group
-    is merged map-side); the rest use the distributed sorted selection. The
-    estimate only picks the route — both routes are exact.
-    """
-    names = list(probs)
-    if distinct_hint is None:
-        card = base.groupBy(*by).agg(F.approx_count_distinct("_v", 0.02).alias("_nd"))
-        rows = card.limit(MAX_PARTITION_STATS + 1).collect()
-        distinct_hint = {tuple(r[c] for c in by): r["_nd"] for r in rows}
-    low = [k for k, nd in distinct_hint.items() if nd <= COUNTMAP_MAX_DISTINCT]
-    high = [k for k, nd in distinct_hint.items() if nd > COUNTMAP_MAX_DISTINCT]
-    if not high:
-        return exact_quantiles(base, "_v", probs, by, method="countmap")
-    if not low:
-        return _sorted_selection(base, by, probs)
-    spark = base.sparkSession
-    fields = {f.name: f for f in base.schema.fields}
-    kschema = T.StructType([T.StructField(c, fields[c].dataType, True) for c in by])
-    low_keys = F.broadcast(spark.createDataFrame(low, kschema))   # one row per group
-    high_keys = F.broadcast(spark.createDataFrame(high, kschema))
-    def only(keys: DataFrame) -> DataFrame:   # null-safe: a NULL group is a group too
-        cond = [base[c].eqNullSafe(keys[c]) for c in by]
-        return base.join(keys, cond, "left_semi")
-
-    part_low = exact_quantiles(only(low_keys), "_v", probs, by, method="countmap")
-    part_high = _sorted_selection(only(high_keys), by, probs)
-    cols = [*by, *names]
-    return part_low.select(*cols).unionByName(part_high.select(*cols))
-
-
-def _sorted_selection(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
-    spark = base.sparkSession
-    # A random tie-breaker makes equal values distinct range keys, so even a
-    # single value holding a third of a group is spread over many partitions;
-    # the order among equal values does not change any quantile.
-    sort_keys = [*by, "_v", "_tie"]
-    ordered = (base.withColumn("_tie", F.rand(17))
-               .repartitionByRange(*sort_keys)
-               .sortWithinPartitions(*sort_keys)
-               .select(*by, "_v")
-               .withColumn("_rid", F.monotonically_increasing_id()))
-    # Row ids are only meaningful for one materialisation of the range sort
-    # (the range bounds come from a sample), so the sorted pairs are written
-    # once to the session's checkpoint folder and every later step reads
-    # those files — a lost executor or a re-planned branch cannot change them.
-    # The checkpoint is lazy: the first action (the per-partition counts
-    # below) computes the sorted partitions, then Spark writes them from the
-    # same shuffle output, so counts and files see the same range bounds and
-    # the same order (the tie-breaker is fixed in the shuffle output).
-    ensure_checkpoint_dir(spark)
-    ordered = ordered.checkpoint(eager=False)
-    # the upper bits of a monotonically increasing id are the partition index
-    stats = (ordered.groupBy(F.shiftright("_rid", 33).alias("_pid"), *by)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first"))
-             .limit(MAX_PARTITION_STATS + 1)
-             .collect())
-    if len(stats) > MAX_PARTITION_STATS:
-        raise ValueError("too many groups for the sort method; use method='approx'")
-
-    # Per group: ordered list of (pid, n, first row id)
-    groups: dict[tuple, list[tuple[int, int, int]]] = {}
-    for r in stats:
-        key = tuple(r[c] for c in by)
-        groups.setdefault(key, []).append((r["_pid"], r["_n"], r["_first"]))
-
-    targets = []  # (group..., name, side, row id, frac): side 0 = lower, 1 = upper neighbour
-    for key, parts in groups.items():
-        parts.sort()
-        n = sum(p[1] for p in parts)
-
-        def rid_at(rank: int) -> int:
-            for _pid, cnt, first in parts:
-                if rank < cnt:
-                    return first + rank
-                rank -= cnt
-            raise AssertionError("rank outside group")
-
-        for name, p in probs.items():
-            pos = float(p) * (n - 1)
-            lo = int(math.floor(pos))
-            hi = min(int(math.ceil(pos)), n - 1)
-            targets.append((*key, name, 0, rid_at(lo), pos - lo))
-            targets.append((*key, name, 1, rid_at(hi), pos - lo))
-
-    fields = {f.name: f for f in base.schema.fields}
-    tschema = T.StructType(
-        [T.StructField(c, fields[c].dataType, True) for c in by]
-        + [T.StructField("_name", T.StringType()), T.StructField("_side", T.IntegerType()),
-           T.StructField("_rid", T.LongType()), T.StructField("_frac", T.DoubleType())])
-    tdf = spark.createDataFrame(targets, tschema)
-    needed = sorted({t[-2] for t in targets})
-    # one read of the persisted order statistics; two rows per requested quantile
-    picked = F.broadcast(ordered.where(F.col("_rid").isin(needed)).select("_rid", "_v"))
-    pairs = (tdf.join(picked, "_rid")
-                .groupBy(*by, "_name")
-                .agg(F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
-                     F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"),
-                     F.max("_frac").alias("_frac")))
-    joined = pairs.withColumn(
-        "_q", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))
-    wide = joined.groupBy(*by).pivot("_name", list(probs)).agg(F.first("_q"))
-    return wide
+    return _counted(base, by, probs)
+
+
+def _same_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"_g_{c}"]) for c in by], F.lit(True))
+
+
+def _renamed(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+    return frame.withColumnsRenamed({c: f"_g_{c}" for c in by})
+
+
+def _part(lo: Column, hi: Column, k: Column, by_magnitude: bool) -> Column:
+    """Number of the part of [lo, hi] that ``_v`` falls in; never decreases with
+    ``_v``, and lo and hi fall in different parts. Equal widths of the values, or of
+    their logarithms (long tails), by turns."""
+    def scaled(x: Column) -> Column:
+        finite = F.greatest(F.least(x, F.lit(1.7e308)), F.lit(-1.7e308))
+        return F.signum(finite) * F.log1p(F.abs(finite)) if by_magnitude else finite / 2
+    width = scaled(hi) - scaled(lo)
+    inside = F.floor((scaled(F.col("_v")) - scaled(lo)) / width * k)
+    part = F.when(width > 1e-9 if by_magnitude else width > 0, F.least(inside, k - 1))
+    half = F.floor((F.col("_v") / 2 - lo / 2) / (hi / 2 - lo / 2) * k)
+    fallback = F.when(hi / 2 - lo / 2 > 0, F.least(half, k - 1)).otherwise((F.col("_v") > lo).cast("bigint"))
+    return F.when(F.col("_v") >= hi, k - 1).otherwise(F.coalesce(part, fallback)).cast("bigint")
+
+
+def _counted(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
+    ensure_checkpoint_dir(base.sparkSession)
+    groups = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    # ranks below and above every wanted position, counted from 0
+    ranks = F.array_distinct(F.array(*[
+        r for p in probs.values() for r in (
+            F.floor(F.lit(float(p)) * (F.col("n") - 1)), F.ceil(F.lit(float(p)) * (F.col("n") - 1)))]))
+    wanted = (groups.where("n > 0")
+              .select(*by, "n", "lo", "hi", F.lit(0).cast("bigint").alias("before"), F.explode(ranks).alias("rank"))
+              .checkpoint())
+    by_magnitude = False
+    while True:
+        open_ = wanted.where("lo < hi")
+        if not open_.limit(1).count():
+            break
+        # several ranks of a group may share an interval; intervals of a group do not overlap
+        spans = bounded_broadcast(_renamed(open_.groupBy(*by, "lo", "hi").agg(F.max("n").alias("n")), by))
+        k = F.least(F.lit(BUCKETS), F.col("n") + 1)
+        rows = base.join(spans, _same_group(base, spans, by) & base["_v"].between(spans["lo"], spans["hi"]))
+        keys = [f"_g_{c}" for c in by] + ["lo", "hi"]
+        parts = rows.select(*keys, "_v", _part(F.col("lo"), F.col("hi"), k, by_magnitude).alias("part")).groupBy(
+            *keys, "part").agg(F.count(F.lit(1)).alias("count"), F.min("_v").alias("next_lo"), F.max("_v").alias("next_hi"))
+        wanted = wanted.where("lo >= hi").unionByName(_narrowed(open_, parts, by)).checkpoint()
+        by_magnitude = not by_magnitude
+    return _interpolated(wanted, by, probs)
+
+
+def _narrowed(open_: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
+    """The part of each open interval that holds its rank. An interval's parts
+    (at most ``BUCKETS``) are put in order as one array."""
+    keys = [f"_g_{c}" for c in by] + ["lo", "hi"]
+    ordered = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("part", "count", "next_lo", "next_hi"))).alias("parts"))
+    own = ordered.withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+    joined = open_.join(own, _same_group(open_, own, by) & (open_["lo"] == own["_lo"]) & (open_["hi"] == own["_hi"]))
+    # walk over the parts: rows before the part that holds the rank, and its range
+    start = F.struct(F.col("before").alias("before"), F.lit(False).alias("found"),
+                     F.col("lo").alias("lo"), F.col("hi").alias("hi"))
+    held = F.aggregate("parts", start, lambda a, x: F.when(a["found"], a).when(
+        a["before"] + x["count"] > F.col("rank"),
+        F.struct(a["before"].alias("before"), F.lit(True).alias("found"),
+                 x["next_lo"].alias("lo"), x["next_hi"].alias("hi"))).otherwise(
+        F.struct((a["before"] + x["count"]).alias("before"), F.lit(False).alias("found"),
+                 a["lo"].alias("lo"), a["hi"].alias("hi"))))
+    return joined.select(*by, "n", held.alias("_h"), "rank").select(
+        *by, "n", "_h.lo", "_h.hi", "_h.before", "rank")
+
+
+def _interpolated(found: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
+    aggs = []
+    for i, p in enumerate(probs.values()):
+        position = F.lit(float(p)) * (F.col("n") - 1)
+        aggs += [F.max(F.when(F.col("rank") == F.floor(position), F.col("lo"))).alias(f"_a{i}"),
+                 F.max(F.when(F.col("rank") == F.ceil(position), F.col("lo"))).alias(f"_b{i}"),
+                 F.max(position - F.floor(position)).alias(f"_f{i}")]
+    wide = found.groupBy(*by).agg(*aggs)
+    return wide.select(*by, *[
+        F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}")).otherwise(
+            F.col(f"_a{i}") + F.col(f"_f{i}") * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(name)
+        for i, name in enumerate(probs)])

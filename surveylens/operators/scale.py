@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import presets as P
-from ..session import bounded_broadcast
+from ..functions.expressions import clean_double
 
 
 def standardize(df: DataFrame, cols: Sequence[str] = P.STANDARDIZE_COLUMNS,
@@ -24,7 +24,7 @@ def standardize(df: DataFrame, cols: Sequence[str] = P.STANDARDIZE_COLUMNS,
         return df
     aggs = []
     for i, c in enumerate(present):
-        x = F.col(f"`{c}`").cast("double")
+        x = clean_double(f"`{c}`")
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     row = df.agg(*aggs).collect()[0]
     exprs = {}
@@ -34,28 +34,21 @@ def standardize(df: DataFrame, cols: Sequence[str] = P.STANDARDIZE_COLUMNS,
         if m is None:
             exprs[f"{c}{suffix}"] = F.lit(None).cast("double")
         else:
-            exprs[f"{c}{suffix}"] = (F.col(f"`{c}`").cast("double") - F.lit(m)) / F.lit(scale)
+            exprs[f"{c}{suffix}"] = (clean_double(f"`{c}`") - F.lit(m)) / F.lit(scale)
     return df.withColumns(exprs)
 
 
-def category_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 10_000) -> dict:
-    """Sorted non-NULL levels of categorical columns, one aggregate for all.
-
-    ``collect_set`` holds at most the distinct levels of a categorical column;
-    ``max_levels`` guards against a non-categorical column being passed.
-    """
+def category_levels(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Sorted non-NULL levels of categorical columns: one distributed distinct over
+    ``(column, level)`` for all of them. Each level becomes a column of the
+    result, so they are read to the driver as any schema is."""
     if not cols:
         return {}
-    aggs = [F.slice(F.array_sort(F.collect_set(F.col(f"`{c}`").cast("string"))), 1,
-                    max_levels + 1).alias(f"l{i}") for i, c in enumerate(cols)]
-    row = df.agg(*aggs).collect()[0]
-    out = {}
-    for i, c in enumerate(cols):
-        levels = list(row[f"l{i}"] or [])
-        if len(levels) > max_levels:
-            raise ValueError(f"column {c} has more than {max_levels} levels")
-        out[c] = levels
-    return out
+    longf = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols]).unpivot([], list(cols), "c", "level")
+    out = {c: [] for c in cols}
+    for r in longf.where(F.col("level").isNotNull()).distinct().collect():
+        out[r["c"]].append(r["level"])
+    return {c: sorted(levels) for c, levels in out.items()}
 
 
 def dummy_columns(cols_levels: dict, drop_first: bool = True, sep: str = "_",
@@ -66,7 +59,7 @@ def dummy_columns(cols_levels: dict, drop_first: bool = True, sep: str = "_",
         use = levels[1:] if drop_first else levels
         for lv in use:
             name = f"{c}[T.{lv}]" if name_style == "formula" else f"{c}{sep}{lv}"
-            out.append((name, F.when(F.col(f"`{c}`") == F.lit(lv), F.lit(1)).otherwise(F.lit(0))))
+            out.append((name, F.when(F.col(f"`{c}`").cast("string") == F.lit(lv), F.lit(1)).otherwise(F.lit(0))))
     return out
 
 
@@ -89,19 +82,18 @@ def to_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in cols if c in df.columns})
 
 
-def inverse_frequency_weights(df: DataFrame, col: str = "gender_clean", out: str = "weight",
-                              max_levels: int = 100_000) -> DataFrame:
+def inverse_frequency_weights(df: DataFrame, col: str = "gender_clean", out: str = "weight") -> DataFrame:
     """``w = N / n_level`` over non-NULL levels; NULL level or absent column -> 1.0.
 
-    Level counts are one partial+final aggregate; the (checked) small count
-    table is broadcast back to the rows — no window over a hot level.
+    Level counts are one partial + final aggregate, their total the sum of that
+    small frame; a plain join brings the weights back (the planner and AQE choose
+    its form by bytes) — no window over a hot level.
     """
     if col not in df.columns:
         return df.withColumn(out, F.lit(1.0))
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
-    counts = counts.withColumn("_total", F.sum("_cnt").over(Window.partitionBy()))
-    w = counts.select(F.col(f"`{col}`"), (F.col("_total") / F.col("_cnt")).alias("_w"))
-    w = bounded_broadcast(w, max_levels)
+    total = counts.agg(F.sum("_cnt").alias("_total"))  # one row
+    w = counts.join(F.broadcast(total)).select(F.col(f"`{col}`"), (F.col("_total") / F.col("_cnt")).alias("_w"))
     # USING-join on the level column (the count table is derived from df itself)
     return (df.join(w, on=[col], how="left")
               .withColumn(out, F.coalesce(F.col("_w"), F.lit(1.0))).drop("_w"))

@@ -2,28 +2,25 @@
 
 Each query reads whole tables (``sf_dir/<table>.parquet``), applies the
 library operators with parameters that fit the table, and returns a lazy
-DataFrame. ``ORACLE_SQL`` holds the equivalent DuckDB SQL for every query
-whose result SQL can state; model fits and the p-value finisher are checked
-on row counts only (and against closed forms in the tests).
+DataFrame. ``ORACLE_SQL`` holds the equivalent DuckDB SQL. Tree models are
+stated by what SQL can say of them (ranges, sums); the tests hold them
+against closed forms.
 
 Floating results are rounded to a fixed number of digits on both sides so
-that summation order cannot change the comparison. Quantile methods are
-chosen per column the way a user would: ``sort`` for continuous money
-columns, ``auto`` where coded and continuous columns are mixed.
+that summation order cannot change the comparison.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import presets as P
 from ..operators import anova, bins, clean, crosstab, describe, geo, models, scale
-from ..session import bounded_broadcast
 
 R = 6  # digits kept for floating comparisons
 
@@ -34,7 +31,6 @@ SIZE_EDGES = [0, 14, 18, 26, 34, 45]
 STATUS_MAP = {"F": "Finished", "O": "Open"}
 SEGMENT_GROUPS = {"Consumer": ["AUTOMOBILE", "HOUSEHOLD"], "Business": ["BUILDING", "MACHINERY"]}
 AS_OF_YEAR = 2026
-DIM_ROWS = 100_000  # largest dimension shipped as a broadcast (checked by a count)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,20 +95,18 @@ def q_age_or_year(spark, d):
     return out.withColumn("age_clean", F.col("age_clean").cast("bigint"))
 
 
-def _nation_dim(spark, d, max_key: int | None = None) -> DataFrame:
-    n = _t(spark, d, "nation")
-    if max_key is not None:
-        n = n.where(F.col("n_nationkey") <= max_key)
-    r = _t(spark, d, "region")
-    r = bounded_broadcast(r, DIM_ROWS)
+def _nation_dim(spark, d) -> DataFrame:
+    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(
         "n_nationkey", "n_name", "r_name")
 
 
 def q_geo_lookup(spark, d):
-    s = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    dim = _nation_dim(spark, d, max_key=20)
-    return clean.attach_geography(s, dim, code_col="s_nationkey", dim_code="n_nationkey",
+    # codes that no dimension row has, and NULL codes, besides the matching ones
+    code = F.when(F.col("s_suppkey") % 10 == 3, F.col("s_nationkey") + 100).when(
+        F.col("s_suppkey") % 10 != 7, F.col("s_nationkey"))
+    s = _t(spark, d, "supplier").select("s_suppkey", code.alias("s_code"))
+    return clean.attach_geography(s, _nation_dim(spark, d), code_col="s_code", dim_code="n_nationkey",
                                   dim_name="n_name", dim_continent="r_name",
                                   case_insensitive=False)
 
@@ -174,7 +168,7 @@ def q_select_rename(spark, d):
 
 def q_quantile_groups(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    g = bins.quantile_groups(c, ["c_acctbal"], n_groups=3, ties="skip", method="sort")
+    g = bins.quantile_groups(c, ["c_acctbal"], n_groups=3, ties="skip")
     return g.groupBy("c_acctbal_group").agg(
         F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("min_bal"),
         F.max("c_acctbal").alias("max_bal"))
@@ -183,7 +177,7 @@ def q_quantile_groups(spark, d):
 def q_severity_by_tertile(spark, d):
     li = _t(spark, d, "lineitem").select("l_extendedprice", "l_quantity")
     g = bins.quantile_groups(li, ["l_extendedprice"], n_groups=3, ties="keep",
-                             names={"l_extendedprice": "price_group"}, method="sort")
+                             names={"l_extendedprice": "price_group"})
     out = crosstab.crosstab_bands(g, "price_group", "l_quantity", QTY_EDGES, QTY_LABELS,
                                   band="band", complete=True, row_levels=P.TERTILE_LABELS)
     return out.withColumn("row_pct", _r(F.col("row_pct")))
@@ -209,24 +203,17 @@ def q_inverse_freq_weights(spark, d):
 # --- geography-style aggregates ----------------------------------------------------------------
 
 def q_group_means(spark, d):
-    o = _t(spark, d, "orders")
+    o = _t(spark, d, "orders").select("o_custkey", "o_totalprice")
     c = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
-    # pre-aggregate the fact table on the join key before the shuffle join
-    per_cust = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("_s"),
-                                          F.count(F.lit(1)).alias("_n"))
-    dim = _nation_dim(spark, d)
-    joined = (per_cust.join(c, per_cust.o_custkey == c.c_custkey)
-                      .join(bounded_broadcast(dim, DIM_ROWS), F.col("c_nationkey") == dim.n_nationkey))
-    out = joined.groupBy("r_name").agg((F.sum("_s") / F.sum("_n")).alias("mean_totalprice"),
-                                       F.sum("_n").alias("n"))
-    return out.select("r_name", _r(F.col("mean_totalprice")).alias("mean_totalprice"),
-                      F.col("n").cast("bigint").alias("n"))
+    rows = (o.join(c, o.o_custkey == c.c_custkey)
+             .join(_nation_dim(spark, d), F.col("c_nationkey") == F.col("n_nationkey")))
+    out = geo.mean_by(rows, "r_name", "o_totalprice", "mean_totalprice", with_count=True)
+    return out.withColumn("mean_totalprice", _r(F.col("mean_totalprice")))
 
 
 def _customer_nations(spark, d) -> DataFrame:
     c = _t(spark, d, "customer").select("c_nationkey", "c_acctbal")
     n = _t(spark, d, "nation").select("n_nationkey", "n_name")
-    n = bounded_broadcast(n, DIM_ROWS)
     return c.join(n, c.c_nationkey == n.n_nationkey)
 
 
@@ -239,9 +226,10 @@ def q_country_mean_iso(spark, d):
 
 
 def q_choropleth_table(spark, d):
-    c = _t(spark, d, "customer").where(F.col("c_nationkey") < 20)
-    means = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("mean_acctbal"))
-    world = _t(spark, d, "nation").select("n_nationkey", "n_name")
+    means = geo.mean_by(_t(spark, d, "customer"), "c_nationkey", "c_acctbal", "mean_acctbal")
+    nations = _t(spark, d, "nation").select("n_nationkey", "n_name")
+    # features without a mean, besides the matching ones
+    world = nations.unionByName(nations.select((F.col("n_nationkey") + 100).alias("n_nationkey"), "n_name"))
     out = geo.choropleth_table(world, means, means_key="c_nationkey", key="n_nationkey")
     return out.select("n_nationkey", "n_name", _r(F.col("mean_acctbal")).alias("mean_acctbal"))
 
@@ -291,8 +279,7 @@ def q_nonresponse(spark, d):
 
 def q_box_stats(spark, d):
     o = _t(spark, d, "orders")
-    out = describe.box_stats(o, ["o_orderpriority", "o_orderstatus"], "o_totalprice",
-                             method="sort")
+    out = describe.box_stats(o, ["o_orderpriority", "o_orderstatus"], "o_totalprice")
     return out.select("factor", "level", "count", *[_r(F.col(c)).alias(c) for c in
                                                     ["mean", "std", "min", "q1", "median",
                                                      "q3", "max"]])
@@ -300,7 +287,7 @@ def q_box_stats(spark, d):
 
 def q_box_stats_global(spark, d):
     o = _t(spark, d, "orders")
-    out = describe.box_stats_global(o, "o_totalprice", method="sort")
+    out = describe.box_stats_global(o, "o_totalprice")
     return out.select("count", *[_r(F.col(c)).alias(c) for c in
                                  ["mean", "median", "q25", "q75", "min", "max"]])
 
@@ -317,9 +304,14 @@ def q_density_curve(spark, d):
     return out.select("i", _r(F.col("x")).alias("x"), _r(F.col("density"), 9).alias("density"))
 
 
+CORR_COLUMNS = LI_NUMERIC + ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "taxed"]
+
+
 def q_corr_matrix(spark, d):
+    # nine columns, one of them with NULL and NaN
     li = _t(spark, d, "lineitem")
-    out = describe.correlation_matrix(li, LI_NUMERIC)
+    taxed = F.when(F.col("l_tax") == 0, F.lit(float("nan"))).when(F.col("l_tax") < 0.08, F.col("l_tax"))
+    out = describe.correlation_matrix(li.withColumn("taxed", taxed), CORR_COLUMNS)
     return out.withColumn("r", _r(F.col("r")))
 
 
@@ -354,7 +346,14 @@ def q_anova_group_stats(spark, d):
 def q_anova_p(spark, d):
     o = _t(spark, d, "orders")
     a, _ = anova.one_way_anova(o, "o_totalprice", ["o_orderpriority", "o_orderstatus"])
-    return a.select("factor", "f", "p_value")
+    return a.select("factor", _r(F.col("f")).alias("f"), _r(F.col("p_value")).alias("p_value"))
+
+
+def q_anova_summary(spark, d):
+    o = _t(spark, d, "orders")
+    a, _ = anova.one_way_anova(o, "o_totalprice", ["o_orderpriority", "o_orderstatus"])
+    out = anova.anova_summary(a, "trait")
+    return out.select("trait", _r(F.col("F")).alias("F"), _r(F.col("p_value")).alias("p_value"))
 
 
 def q_anova_tertiles(spark, d):
@@ -366,57 +365,162 @@ def q_anova_tertiles(spark, d):
 
 # --- models ----------------------------------------------------------------------------------------
 
+def _with_missing(li: DataFrame) -> DataFrame:
+    """Lineitem whose discount has NULL (0.00) among its values."""
+    return li.withColumn("disc", F.nullif("l_discount", F.lit(0.0)))
+
+
 def q_ols_two_predictor(spark, d):
-    li = _t(spark, d, "lineitem")
-    res = models.ols(li, "l_extendedprice", ["l_quantity", "l_discount"])
-    return res.coefficients.select("term", F.round("coef", 4).alias("coef"))
+    res = models.ols(_with_missing(_t(spark, d, "lineitem")), "l_extendedprice", ["l_quantity", "disc"])
+    # the interval is se wide: half its width over t(0.975) is se
+    return res.coefficients.select("term", F.round("coef", 4).alias("coef"), F.round("se", 4).alias("se"),
+                                   F.round("t", 4).alias("t"))
 
 
 def q_ols_full(spark, d):
-    li = _t(spark, d, "lineitem")
-    res = models.ols(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
-                     ["l_returnflag", "l_linestatus"])
-    return models.forest_plot_data(res.coefficients, ["l_quantity", "l_discount", "l_tax"])
+    """Normal-equation residuals of the fit: each regressor's mean product with the residuals is 0."""
+    li = _with_missing(_t(spark, d, "lineitem"))
+    numeric, categorical = ["l_quantity", "disc", "l_tax"], ["l_returnflag", "l_linestatus"]
+    res = models.ols(li, "l_extendedprice", numeric, categorical)
+    design = models.design_frame(li, "l_extendedprice", numeric, categorical, name_style="formula")
+    pred = res.model.transform(design.frame).select(
+        vector_to_array("features").alias("x"), (F.col("label") - F.col("prediction")).alias("e"))
+    scale_ = F.avg(F.abs("e"))
+    one = pred.agg(*[(F.avg(F.col("x")[i] * F.col("e")) / scale_).alias(f"m{i}") for i in range(len(design.feature_names))])
+    rows = one.select(E.rows_of(["term", "moment"], [(F.lit(t), F.col(f"m{i}")) for i, t in enumerate(design.feature_names)]))
+    return rows.select("term", (F.round("moment", 6) + F.lit(0.0)).alias("moment"))
+
+
+def q_forest_plot(spark, d):
+    """M5 / T5: which family every term belongs to, and that coefficients ascend within it."""
+    res = models.ols(_t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"])
+    data = models.forest_plot_data(res.coefficients, ["l_quantity", "l_discount", "l_tax"])
+    return data.select("term", "term_family", (F.col("ci_lower") < F.col("coef")).cast("int").alias("lower_below"),
+                       (F.col("ci_upper") > F.col("coef")).cast("int").alias("upper_above"))
 
 
 def q_hash_split(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey")
     s = models.hash_split(o, ["o_orderkey"], seed=42, test_fraction=0.2)
-    return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+    return s.select("o_orderkey", "is_test")
 
 
 def q_linear_metrics(spark, d):
     li = _t(spark, d, "lineitem")
     design = models.design_frame(li, "l_extendedprice", ["l_quantity"], [])
-    m = LinearRegression(solver="normal", regParam=0.0, standardization=False).fit(design.frame)
-    met = models.metrics_frame(m.transform(design.frame))
-    return met.select(_r(F.col("r2")).alias("r2"), _r(F.col("rmse"), 4).alias("rmse"))
+    _, perf = models.fit_linear(design.frame, design.frame)
+    return spark.createDataFrame([(round(perf.r2_train, 6), round(perf.rmse_train, 4))], "r2 double, rmse double")
 
 
-_MODEL_NUM = ["l_quantity", "l_discount", "l_tax"]
-_MODEL_CAT = ["l_returnflag", "l_linestatus"]
+_MODEL = {"target": "s_acctbal", "numeric": ["s_nationkey"], "categorical": [], "weight_col": None, "key": ["s_suppkey"]}
 
 
 def q_rf_importance(spark, d):
-    li = _t(spark, d, "lineitem")
+    """Importances of a forest of 500 full trees: not negative, and 1 in sum."""
+    s = _t(spark, d, "supplier").withColumn("half", F.col("s_suppkey") % 7).withColumn(
+        "flag", F.when(F.col("s_nationkey") < 12, F.lit("low")).otherwise(F.lit("high")))
     design, train, test = models.model_inputs(
-        li, "l_extendedprice", _MODEL_NUM, _MODEL_CAT, weight_col="l_returnflag",
-        key=["l_orderkey", "l_linenumber"])
-    model, _ = models.fit_random_forest(train, test, num_trees=20, max_depth=8)
-    return models.importances(model, design.feature_names, spark)
+        s, "s_acctbal", ["s_nationkey", "half"], ["flag"], weight_col="flag", key=["s_suppkey"])
+    model, _ = models.fit_random_forest(train, test)
+    design.frame.unpersist()
+    imp = models.importances(model, design.feature_names, spark)
+    total = imp.agg(F.sum("importance").alias("total"))
+    return imp.join(F.broadcast(total)).select("feature", (F.col("importance") >= 0).cast("int").alias("not_negative"),
+                                               F.round("total", 9).alias("total"))
 
 
 def q_model_comparison(spark, d):
+    """Three full-size models on one split; the linear row is exact, the trees' are in range."""
+    done = models.compare_models(_t(spark, d, "supplier"), **_MODEL)
+    done.importances.count()
+    linear = F.col("name") == "Linear Regression"
+    return done.models.select(
+        "name", *[F.when(linear, F.round(c, 6)).alias(c) for c in ("r2_train", "r2_test")],
+        *[F.when(linear, F.round(c, 4)).alias(c) for c in ("rmse_train", "rmse_test")],
+        ((F.col("r2_train") <= 1) & (F.col("rmse_train") > 0)).cast("int").alias("in_range"))
+
+
+# --- missing values, zero cells and other branches ------------------------------------------------
+
+def _spotty(spark, d) -> DataFrame:
+    """Orders with a price that is NaN below 20,000 and NULL above 300,000."""
+    p = F.col("o_totalprice")
+    return _t(spark, d, "orders").withColumn("price", F.when(p < 20000, F.lit(float("nan"))).when(p <= 300000, p))
+
+
+def q_missing_group_stats(spark, d):
+    out = describe.group_stats(_spotty(spark, d), "o_orderpriority", "price")
+    return out.select("o_orderpriority", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"), "count")
+
+
+def q_missing_mean_by(spark, d):
+    out = geo.mean_by(_spotty(spark, d), "o_orderstatus", "price", "mean_price", with_count=True)
+    return out.withColumn("mean_price", _r(F.col("mean_price")))
+
+
+def q_missing_standardize(spark, d):
+    out = scale.standardize(_spotty(spark, d), ["price"])
+    return out.select("o_orderkey", _r(F.col("price_std")).alias("price_std"))
+
+
+def q_missing_describe(spark, d):
+    out = describe.describe_numeric(_spotty(spark, d), ["price"])
+    return out.select("variable", "count", *[_r(F.col(c)).alias(c) for c in
+                                             ["mean", "std", "min", "q25", "q50", "q75", "max"]], "missing")
+
+
+def q_numeric_label(spark, d):
+    """Label filters on a numeric column: a number never equals the label."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    kept = clean.exclude_labels_not_null(clean.exclude_label_keep_null(li, ["l_quantity"]), "l_quantity")
+    return describe.nonresponse_table(kept, ["l_quantity", "l_linenumber"])
+
+
+def q_nonresponse_top(spark, d):
+    out = describe.nonresponse_table(_label_orders(spark, d), ["status_label", "priority_label", "o_clerk"], top_n=2)
+    return out.select(F.row_number().over(Window.orderBy(F.desc("pct_no_response"), "variable")).alias("rank"),
+                      "variable", _r(F.col("pct_no_response")).alias("pct_no_response"))
+
+
+def q_crosstab_zero_cells(spark, d):
+    """Complete form: levels and bands that no row has, and two-digit half-even percentages."""
     li = _t(spark, d, "lineitem")
-    design, train, test = models.model_inputs(
-        li, "l_extendedprice", _MODEL_NUM, _MODEL_CAT, weight_col="l_returnflag",
-        key=["l_orderkey", "l_linenumber"])
-    _, lin = models.fit_linear(train, test)
-    _, rf = models.fit_random_forest(train, test, num_trees=20, max_depth=8)
-    _, gb = models.fit_gbt(train, test, max_iter=20)
-    rows = [(p.name, p.r2_train, p.r2_test, p.rmse_train, p.rmse_test) for p in (lin, rf, gb)]
-    return spark.createDataFrame(rows, "name string, r2_train double, r2_test double, "
-                                       "rmse_train double, rmse_test double")
+    return crosstab.crosstab_bands(li, "l_returnflag", "l_quantity", [-20, 0, 20, 50, 90], ["none", "small", "large", "huge"],
+                                   complete=True, row_levels=["A", "N", "R", "X"], digits=2)
+
+
+def q_crosstab_bands_observed(spark, d):
+    """Observed form: bands and levels without rows are absent."""
+    li = _t(spark, d, "lineitem")
+    out = crosstab.crosstab_bands(li, "l_returnflag", "l_quantity", [-20, 0, 20, 50, 90], ["none", "small", "large", "huge"],
+                                  complete=False)
+    return out.withColumn("row_pct", _r(F.col("row_pct")))
+
+
+def q_full_summary(spark, d):
+    c = _t(spark, d, "customer").select("c_acctbal", "c_mktsegment")
+    parts = describe.full_summary(c, normalize=True)
+    numeric = parts["numeric_summary"].select("variable", F.lit(None).cast("string").alias("value"),
+                                              F.col("count").alias("n"), _r(F.col("mean")).alias("figure"))
+    counts = parts["categorical_counts"].select("variable", "value", "n", F.lit(None).cast("double").alias("figure"))
+    shares = parts["categorical_proportions"].select(F.concat("variable", F.lit("_share")).alias("variable"), "value",
+                                                     F.lit(None).cast("bigint").alias("n"), _r(F.col("proportion")).alias("figure"))
+    return numeric.unionByName(counts).unionByName(shares)
+
+
+def q_to_double(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", "p_size")
+    return scale.to_double(p, ["p_size"])
+
+
+def q_quantile_skip(spark, d):
+    """Columns that cannot be cut are skipped: too few distinct values, or edges that tie."""
+    li = _t(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", (F.col("l_orderkey") % 2).alias("two"),
+        F.when(F.col("l_linenumber") < 3, F.lit(1)).otherwise(F.lit(0) * F.col("l_quantity")).alias("tied"))
+    out = bins.quantile_groups(li, ["l_quantity", "two", "tied", "absent"], n_groups=3, ties="skip")
+    made = F.lit(",".join(c for c in out.columns if c.endswith("_group")))
+    return out.groupBy("l_quantity_group").agg(F.count(F.lit(1)).alias("n")).withColumn("made", made)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -464,4 +568,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "linear_metrics": q_linear_metrics,
     "rf_importance": q_rf_importance,
     "model_comparison": q_model_comparison,
+    "anova_summary": q_anova_summary,
+    "forest_plot": q_forest_plot,
+    "missing_group_stats": q_missing_group_stats,
+    "missing_mean_by": q_missing_mean_by,
+    "missing_standardize": q_missing_standardize,
+    "missing_describe": q_missing_describe,
+    "numeric_label": q_numeric_label,
+    "nonresponse_top": q_nonresponse_top,
+    "crosstab_zero_cells": q_crosstab_zero_cells,
+    "crosstab_bands_observed": q_crosstab_bands_observed,
+    "full_summary": q_full_summary,
+    "to_double": q_to_double,
+    "quantile_skip": q_quantile_skip,
 }

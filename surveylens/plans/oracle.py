@@ -96,12 +96,14 @@ SELECT * FROM a WHERE age_clean BETWEEN 10 AND 100"""
 
     sql["geo_lookup"] = """
 WITH dim AS (
-  SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
-  WHERE n_nationkey <= 20)
-SELECT s_suppkey, s_nationkey, dim.n_name AS country_name,
+  SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+s AS (
+  SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 3 THEN s_nationkey + 100
+                         WHEN s_suppkey % 10 <> 7 THEN s_nationkey END AS s_code FROM supplier)
+SELECT s_suppkey, s_code, dim.n_name AS country_name,
        CASE WHEN dim.n_name IS NULL THEN 'Unknown' ELSE coalesce(dim.r_name, 'Unknown') END
          AS continent
-FROM supplier LEFT JOIN dim ON s_nationkey = dim.n_nationkey"""
+FROM s LEFT JOIN dim ON s_code = dim.n_nationkey"""
 
     sql["scale_sums"] = """
 WITH b AS (
@@ -222,9 +224,10 @@ FROM m LEFT JOIN nation ON m.n_name = nation.n_name"""
     sql["choropleth_table"] = """
 WITH m AS (
   SELECT c_nationkey, avg(c_acctbal) AS mean_acctbal FROM customer
-  WHERE c_nationkey < 20 GROUP BY c_nationkey)
+  GROUP BY c_nationkey),
+w AS (SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation)
 SELECT n_nationkey, n_name, round(mean_acctbal, 6) AS mean_acctbal
-FROM nation LEFT JOIN m ON n_nationkey = m.c_nationkey"""
+FROM w LEFT JOIN m ON n_nationkey = m.c_nationkey"""
 
     sql["top10_mean"] = """
 SELECT n_name, round(avg(c_acctbal), 6) AS mean_acctbal
@@ -314,14 +317,16 @@ k AS (
   FROM g, x, s GROUP BY g.i, lo, hi, n)
 SELECT i, round(gx, 6) AS x, round(ssum / (n * 2.0 * sqrt(2 * pi())), 9) AS density FROM k"""
 
-    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_partkey", "l_suppkey",
+            "l_linenumber", "taxed"]
+    items = "(SELECT *, CASE WHEN l_tax <> 0 AND l_tax < 0.08 THEN l_tax END AS taxed FROM lineitem)"
     corr = []
     for i, a in enumerate(cols):
         corr.append(f"SELECT '{a}' AS var_a, '{a}' AS var_b, "
-                    f"CASE WHEN stddev_samp({a}) > 0 THEN 1.0 END AS r FROM lineitem")
+                    f"CASE WHEN stddev_samp({a}) > 0 THEN 1.0 END AS r FROM {items}")
         for b in cols[i + 1:]:
-            corr.append(f"SELECT '{a}', '{b}', round(corr({a}, {b}), 6) FROM lineitem")
-            corr.append(f"SELECT '{b}', '{a}', round(corr({a}, {b}), 6) FROM lineitem")
+            corr.append(f"SELECT '{a}', '{b}', round(corr({a}, {b}), 6) FROM {items}")
+            corr.append(f"SELECT '{b}', '{a}', round(corr({a}, {b}), 6) FROM {items}")
     sql["corr_matrix"] = " UNION ALL ".join(corr)
 
     sql["group_stats"] = """
@@ -370,26 +375,135 @@ SELECT o_orderkey, round(coalesce(t.w, 1.0), 6) AS weight
 FROM orders LEFT JOIN t USING (o_orderpriority)"""
 
     sql["ols_two_predictor"] = """
-WITH m AS (
-  SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2,
-         covar_pop(l_quantity, l_quantity) AS c11, covar_pop(l_discount, l_discount) AS c22,
-         covar_pop(l_quantity, l_discount) AS c12,
-         covar_pop(l_quantity, l_extendedprice) AS c1y,
-         covar_pop(l_discount, l_extendedprice) AS c2y
-  FROM lineitem
-  WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL),
+WITH d AS (
+  SELECT l_extendedprice AS y, l_quantity AS x1, nullif(l_discount, 0.0) AS x2 FROM lineitem),
+u AS (SELECT * FROM d WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+m AS (
+  SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(y) AS vy,
+         covar_pop(x1, x1) AS c11, covar_pop(x2, x2) AS c22, covar_pop(x1, x2) AS c12,
+         covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y FROM u),
 b AS (
-  SELECT my, m1, m2, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1,
-         (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2 FROM m)
-SELECT 'Intercept' AS term, round(my - b1 * m1 - b2 * m2, 4) AS coef FROM b
-UNION ALL SELECT 'l_quantity', round(b1, 4) FROM b
-UNION ALL SELECT 'l_discount', round(b2, 4) FROM b"""
+  SELECT *, c11 * c22 - c12 * c12 AS det, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1,
+         (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2 FROM m),
+s AS (SELECT *, n * (vy - b1 * c1y - b2 * c2y) / (n - 3) AS s2 FROM b),
+r AS (
+  SELECT 'Intercept' AS term, my - b1 * m1 - b2 * m2 AS coef,
+         sqrt(s2 / n * (1 + (m1 * m1 * c22 - 2 * m1 * m2 * c12 + m2 * m2 * c11) / det)) AS se FROM s
+  UNION ALL SELECT 'l_quantity', b1, sqrt(s2 / n * c22 / det) FROM s
+  UNION ALL SELECT 'disc', b2, sqrt(s2 / n * c11 / det) FROM s)
+SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(coef / se, 4) AS t FROM r"""
+
+    levels = []
+    for c in ["l_returnflag", "l_linestatus"]:
+        levels.append(f"""
+SELECT '{c}[T.' || {c} || ']' AS term, 0.0::DOUBLE AS moment FROM (
+  SELECT DISTINCT {c}, min({c}) OVER () AS first FROM lineitem
+  WHERE l_discount <> 0 AND l_quantity IS NOT NULL AND l_tax IS NOT NULL AND l_extendedprice IS NOT NULL)
+WHERE {c} <> first""")
+    sql["ols_full"] = """
+SELECT 'l_quantity' AS term, 0.0::DOUBLE AS moment UNION ALL SELECT 'disc', 0.0::DOUBLE
+UNION ALL SELECT 'l_tax', 0.0::DOUBLE UNION ALL """ + " UNION ALL ".join(levels)
+
+    sql["forest_plot"] = """
+SELECT term, term_family, 1 AS lower_below, 1 AS upper_above FROM (
+  SELECT 'l_quantity' AS term, 'psych' AS term_family UNION ALL SELECT 'l_discount', 'psych'
+  UNION ALL SELECT 'l_tax', 'psych'
+  UNION ALL SELECT 'l_returnflag[T.' || l_returnflag || ']', 'demographic' FROM (
+    SELECT DISTINCT l_returnflag, min(l_returnflag) OVER () AS first FROM lineitem) WHERE l_returnflag <> first)"""
+
+    split = "('0x' || substr(md5(concat_ws('|', {key}, '42')), 1, 8))::BIGINT % 10000 >= 8000"
+    sql["hash_split"] = f"SELECT o_orderkey, {split.format(key='o_orderkey')} AS is_test FROM orders"
+
+    sql["rf_importance"] = """
+SELECT unnest(['s_nationkey', 'half', 'flag_low']) AS feature, 1 AS not_negative, 1.0::DOUBLE AS total"""
+
+    sql["model_comparison"] = f"""
+WITH d AS (SELECT s_acctbal AS y, s_nationkey::DOUBLE AS x, {split.format(key='s_suppkey')} AS test FROM supplier),
+f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d WHERE NOT test),
+e AS (SELECT test, avg((y - a - b * x) * (y - a - b * x)) AS mse, var_pop(y) AS vy FROM d, f GROUP BY test),
+p AS (
+  SELECT max(CASE WHEN NOT test THEN 1 - mse / nullif(vy, 0) END) AS r2_train, max(CASE WHEN test THEN 1 - mse / nullif(vy, 0) END) AS r2_test,
+         max(CASE WHEN NOT test THEN sqrt(mse) END) AS rmse_train, max(CASE WHEN test THEN sqrt(mse) END) AS rmse_test FROM e)
+SELECT 'Linear Regression' AS name, round(r2_train, 6) AS r2_train, round(r2_test, 6) AS r2_test,
+       round(rmse_train, 4) AS rmse_train, round(rmse_test, 4) AS rmse_test, 1 AS in_range FROM p
+UNION ALL SELECT 'Random Forest', NULL, NULL, NULL, NULL, 1
+UNION ALL SELECT 'Gradient Boosting', NULL, NULL, NULL, NULL, 1"""
 
     sql["linear_metrics"] = """
 WITH r AS (
   SELECT regr_r2(l_extendedprice, l_quantity) AS r2, var_pop(l_extendedprice) AS vp
   FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL)
 SELECT round(r2, 6) AS r2, round(sqrt((1 - r2) * vp), 4) AS rmse FROM r"""
+
+    price = "CASE WHEN o_totalprice BETWEEN 20000 AND 300000 THEN o_totalprice END"
+    spotty = f"WITH o AS (SELECT *, {price} AS price FROM orders)"
+    sql["missing_group_stats"] = f"""
+{spotty} SELECT o_orderpriority, round(avg(price), 6) AS mean, round(stddev_samp(price), 6) AS std,
+       count(price) AS count FROM o WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority"""
+    sql["missing_mean_by"] = f"""
+{spotty} SELECT o_orderstatus, round(avg(price), 6) AS mean_price, count(price) AS n FROM o
+WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus"""
+    sql["missing_standardize"] = f"""
+{spotty}, m AS (SELECT avg(price) AS mu, stddev_pop(price) AS sd FROM o)
+SELECT o_orderkey, round((price - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS price_std FROM o, m"""
+    sql["missing_describe"] = f"""
+{spotty} SELECT 'price' AS variable, count(price) AS count, round(avg(price), 6) AS mean,
+       round(stddev_samp(price), 6) AS std, round(min(price), 6) AS min, round(quantile_cont(price, 0.25), 6) AS q25,
+       round(quantile_cont(price, 0.5), 6) AS q50, round(quantile_cont(price, 0.75), 6) AS q75,
+       round(max(price), 6) AS max, count(*) - count(price) AS missing FROM o"""
+    sql["numeric_label"] = """
+SELECT 'l_quantity' AS variable, count(l_quantity) AS n_total, 0::BIGINT AS n_no_response, 0.0::DOUBLE AS pct_no_response
+FROM lineitem WHERE l_quantity IS NOT NULL
+UNION ALL SELECT 'l_linenumber', count(l_linenumber), 0::BIGINT, 0.0::DOUBLE FROM lineitem WHERE l_quantity IS NOT NULL"""
+    sql["nonresponse_top"] = f"""
+WITH t AS (
+  SELECT 'status_label' AS variable, count(*) FILTER (WHERE {status} = 'No response') * 100.0 / count({status}) AS pct
+  FROM orders
+  UNION ALL SELECT 'priority_label', count(*) FILTER (WHERE o_orderpriority = '5-LOW') * 100.0 / count(o_orderpriority)
+  FROM orders),
+r AS (SELECT row_number() OVER (ORDER BY pct DESC, variable) AS rank, variable, pct FROM t)
+SELECT rank::INTEGER AS rank, variable, round(pct, 6)::DOUBLE AS pct_no_response FROM r WHERE rank <= 2"""
+    band = ("CASE WHEN l_quantity >= -20 AND l_quantity <= 0 THEN 0 WHEN l_quantity > 0 AND l_quantity <= 20 THEN 1 "
+            "WHEN l_quantity > 20 AND l_quantity <= 50 THEN 2 WHEN l_quantity > 50 AND l_quantity <= 90 THEN 3 END")
+    sql["crosstab_zero_cells"] = f"""
+WITH dom AS (
+  SELECT * FROM (SELECT unnest(['A', 'N', 'R', 'X']) AS l_returnflag),
+                (SELECT unnest([0, 1, 2, 3]) AS ord, unnest(['none', 'small', 'large', 'huge']) AS band)),
+c AS (SELECT l_returnflag, {band} AS ord, count(*) AS n FROM lineitem GROUP BY 1, 2),
+j AS (SELECT dom.l_returnflag, dom.ord, dom.band, coalesce(c.n, 0) AS n FROM dom LEFT JOIN c USING (l_returnflag, ord)),
+t AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag) AS total FROM j)
+SELECT l_returnflag, ord::INTEGER AS ord, band, n::BIGINT AS n,
+       round_even((CASE WHEN total > 0 THEN n * 100.0 / total END)::DOUBLE, 2) AS row_pct FROM t"""
+    sql["crosstab_bands_observed"] = f"""
+WITH b AS (SELECT l_returnflag, {band} AS ord FROM lineitem),
+k AS (SELECT * FROM b WHERE l_returnflag IS NOT NULL AND ord IS NOT NULL),
+dom AS (SELECT * FROM (SELECT DISTINCT l_returnflag FROM k), (SELECT DISTINCT ord FROM k)),
+c AS (SELECT l_returnflag, ord, count(*) AS n FROM k GROUP BY 1, 2),
+j AS (SELECT l_returnflag, ord, coalesce(n, 0) AS n FROM dom LEFT JOIN c USING (l_returnflag, ord))
+SELECT l_returnflag, ord::INTEGER AS ord, ['none', 'small', 'large', 'huge'][ord + 1] AS band, n::BIGINT AS n,
+       round((n * 100.0 / sum(n) OVER (PARTITION BY l_returnflag))::DOUBLE, 6) AS row_pct FROM j"""
+    sql["full_summary"] = """
+SELECT 'c_acctbal' AS variable, NULL::VARCHAR AS value, count(c_acctbal) AS n, round(avg(c_acctbal), 6) AS figure FROM customer
+UNION ALL SELECT 'c_mktsegment', c_mktsegment, count(*), NULL FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'c_mktsegment_share', c_mktsegment, NULL, round(count(*) / sum(count(*)) OVER (), 6)
+FROM customer GROUP BY c_mktsegment"""
+    sql["to_double"] = "SELECT p_partkey, p_size::DOUBLE AS p_size FROM part"
+    sql["quantile_skip"] = """
+WITH q AS (
+  SELECT min(l_quantity) AS e0, quantile_cont(l_quantity, CAST(1 AS DOUBLE) / 3) AS e1,
+         quantile_cont(l_quantity, CAST(2 AS DOUBLE) / 3) AS e2, max(l_quantity) AS e3 FROM lineitem),
+g AS (
+  SELECT CASE WHEN l_quantity <= e1 THEN 'Low' WHEN l_quantity <= e2 THEN 'Medium' WHEN l_quantity <= e3 THEN 'High' END
+           AS l_quantity_group FROM lineitem, q)
+SELECT l_quantity_group, count(*) AS n, 'l_quantity_group' AS made FROM g GROUP BY l_quantity_group"""
+    tail = """
+SELECT {factor} AS {name}, f AS {f}, round(CASE WHEN df_between = 2 THEN pow(1 - x, df_within / 2)
+            WHEN df_between = 4 THEN pow(1 - x, df_within / 2) * (1 + df_within / 2 * x) END, 6) AS p_value
+FROM (SELECT factor, f, df_between, df_within::DOUBLE AS df_within,
+             df_between * raw / (df_between * raw + df_within) AS x FROM a)"""
+    raw = sql["anova_f"].replace("AS f\nFROM", "AS f,\n       (ssb / (k - 1)) / nullif(ssw / (n - k), 0) AS raw\nFROM")
+    sql["anova_p"] = f"WITH a AS ({raw})" + tail.format(factor="factor", name="factor", f="f")
+    sql["anova_summary"] = f"WITH a AS ({raw})" + tail.format(factor="factor", name="trait", f="F")
     return sql
 
 

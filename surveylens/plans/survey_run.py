@@ -12,16 +12,22 @@ every table reads it; models fit once on one persisted split.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import presets as P
 from ..operators import anova, bins, clean, crosstab, geo, models, scale
+from ..session import ensure_checkpoint_dir
+from ..sources.countries import country_dimension
 from ..sources.writers import publish
 
+ROW_ID = "row_id"
+
 
 @dataclass
 class CleanedData:
@@ -46,14 +52,16 @@ def create_clean_df(raw: DataFrame, as_of_year: int, iso_dim: DataFrame | None,
     """
     df = clean.recode_categorical(raw)
     df = clean.clean_age(df, as_of_year)
-    if iso_dim is not None and "country" in df.columns:
+    if "country" in df.columns:
+        if iso_dim is None:
+            raise ValueError("the table has countries: pass the country dimension they are looked up in")
         df = clean.attach_geography(df, iso_dim)
     df = clean.score_scales(df, item_offset=item_offset)
     df = clean.score_traits(df)
     df = clean.score_validity(df)
     df = clean.drop_sparse_columns(df, threshold=column_missing_threshold)
     keep = (P.DASS_ITEMS + P.TIPI_ITEMS + P.VCL_ITEMS + P.DEMOGRAPHIC_COLUMNS
-            + P.TARGET_COLUMNS + P.TRAITS + P.VCL_NEW_COLUMNS)
+            + P.TARGET_COLUMNS + P.TRAITS + P.VCL_NEW_COLUMNS + [ROW_ID])
     df = clean.select_existing(df, keep)
     return clean.rename_columns(df, {**P.DASS_LABELS, **P.TIPI_LABELS, **P.VCL_LABELS})
 
@@ -63,15 +71,23 @@ def clean_survey(raw: DataFrame, as_of_year: int, iso_dim: DataFrame | None = No
                  persist: bool = True, stage_to: str | None = None) -> CleanedData:
     """Build the five frames.
 
+    Every raw row gets a ``row_id`` (unless it has one), by which the models split
+    the rows. Countries are looked up in ``iso_dim`` or, without one, in the
+    dimension of ``sources.countries``.
+
     ``analysis_df`` feeds every table. By default it is persisted
     (MEMORY_AND_DISK). With ``stage_to`` (a folder on shared storage, e.g.
     under ``spark.checkpoint.dir``) it is written once as Parquet and read
     back, which cuts the lineage: a lost executor then re-reads files instead
     of re-running the cleaning from the raw scan.
     """
+    if ROW_ID not in raw.columns:
+        raw = raw.withColumn(ROW_ID, F.monotonically_increasing_id())
+    if iso_dim is None and "country" in raw.columns:
+        iso_dim = country_dimension(raw.sparkSession)
     clean_df = create_clean_df(raw, as_of_year, iso_dim, column_missing_threshold, item_offset)
     valid = clean.screen_valid(clean_df)
-    analysis = clean.select_existing(valid, P.ANALYSIS_COLUMNS)
+    analysis = clean.select_existing(valid, [ROW_ID, *P.ANALYSIS_COLUMNS])
     if stage_to:
         analysis.write.mode("overwrite").parquet(stage_to)
         analysis = raw.sparkSession.read.parquet(stage_to)
@@ -102,7 +118,7 @@ def severity_tables(df: DataFrame, digits: int = 2) -> dict[str, DataFrame]:
 
 
 def severity_by_trait(df: DataFrame, traits: Sequence[str] = P.TRAITS,
-                      method: str = "auto", digits: int = 2) -> dict[str, DataFrame]:
+                      method: str = "exact", digits: int = 2) -> dict[str, DataFrame]:
     """Severity by trait tertile (Low / Medium / High, ties kept), counts and row %."""
     grouped = bins.quantile_groups(df, traits, n_groups=3, ties="keep", suffix="_group",
                                    method=method)
@@ -134,20 +150,16 @@ def geo_tables(df: DataFrame, k: int = 10) -> dict[str, DataFrame]:
     return out
 
 
-def anova_tables(df: DataFrame, method: str = "auto") -> dict[str, DataFrame]:
-    """Demographic and personality ANOVA summaries.
-
-    Trait scores are half-steps on a 1..7 scale, so ``method="auto"`` routes
-    them to the exact count-map quantile (bounded by ~13 distinct values).
-    """
+def anova_tables(df: DataFrame, method: str = "exact") -> dict[str, DataFrame]:
+    """Demographic and personality ANOVA summaries."""
     demo, _ = anova.demographic_anova(df, P.DEMOGRAPHIC_FACTORS)
     pers, _ = anova.personality_anova(df, P.TRAITS, n_groups=3, method=method)
     return {"anova_demographics_summary": anova.anova_summary(demo, "factor"),
             "anova_personality_summary": anova.anova_summary(pers, "trait")}
 
 
-def model_tables(df: DataFrame, rf_trees: int = 100, rf_depth: int = 12,
-                 gbt_iter: int = 100, add_derived_factors: bool = False,
+def model_tables(df: DataFrame, rf_trees: int = models.FOREST_TREES, rf_depth: int = models.FOREST_DEPTH,
+                 gbt_iter: int = models.BOOSTING_ROUNDS, add_derived_factors: bool = False,
                  key: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Forest importances and the three-model comparison on ONE split.
 
@@ -157,16 +169,8 @@ def model_tables(df: DataFrame, rf_trees: int = 100, rf_depth: int = 12,
     """
     if add_derived_factors:
         df = bins.add_age_group(bins.ensure_regrouped(df), require=False)
-    design, train, test = models.model_inputs(df, key=key)
-    _, lin = models.fit_linear(train, test)
-    rf_model, rf = models.fit_random_forest(train, test, num_trees=rf_trees, max_depth=rf_depth)
-    _, gb = models.fit_gbt(train, test, max_iter=gbt_iter)
-    spark = df.sparkSession
-    comp = spark.createDataFrame(
-        [(p.name, p.r2_train, p.r2_test, p.rmse_train, p.rmse_test) for p in (lin, rf, gb)],
-        "name string, r2_train double, r2_test double, rmse_train double, rmse_test double")
-    return {"rf_feature_importances": models.importances(rf_model, design.feature_names, spark),
-            "model_comparison": comp}
+    done = models.compare_models(df, rf_trees, rf_depth, gbt_iter, key=key)
+    return {"rf_feature_importances": done.importances, "model_comparison": done.models}
 
 
 def core_tables(bundle: CleanedData, with_models: bool = True, **model_kw) -> dict[str, DataFrame]:
@@ -188,8 +192,8 @@ def export_all_core_tables(bundle: CleanedData, out_dir: str, with_models: bool
 
 
 def view_tables(std: DataFrame, world: DataFrame | None = None,
-                iso_dim: DataFrame | None = None, with_models: bool = True,
-                rf_trees: int = 100, rf_depth: int = 12) -> dict[str, DataFrame]:
+                iso_dim: DataFrame | None = None,
+                importances: DataFrame | None = None) -> dict[str, DataFrame]:
     """The data behind every figure of the source run (no rendering).
 
     Histogram (43 bins) and density of the anxiety score, global box
@@ -198,8 +202,8 @@ def view_tables(std: DataFrame, world: DataFrame | None = None,
     and the observed severity crosstabs by gender and age group, the 9 x 9
     correlation matrix, continent mean and count, the non-response table, the
     coefficient table of the full OLS model tagged for the two forest plots,
-    the top-15 forest importances and, given a boundary table, the
-    choropleth join.
+    the top-15 of the forest ``importances`` if given and, given a boundary
+    table, the choropleth join.
     """
     from ..operators import describe
     out: dict[str, DataFrame] = {}
@@ -230,37 +234,37 @@ def view_tables(std: DataFrame, world: DataFrame | None = None,
         out["continent_mean_count"] = geo.mean_by(std, "continent", with_count=True,
                                                   count_out="count")
     out["nonresponse"] = describe.nonresponse_table(std)
-    if "country_name" in std.columns and iso_dim is not None:
+    if "country_name" in std.columns:
+        iso_dim = country_dimension(std.sparkSession) if iso_dim is None else iso_dim
         means = geo.attach_codes(geo.mean_by(std, "country_name"), iso_dim)
         out["mean_anxiety_by_country_iso"] = means
         if world is not None:
             table = geo.choropleth_table(world, means)
             if table is not None:
                 out["choropleth"] = table
-    full = regression_models(std)["full"]
+    full = full_regression(std)
     out["forest_plot_coefficients"] = models.forest_plot_data(
         full.coefficients, ["dassstress", "dassdepression"] + P.TRAITS)
-    if with_models:
-        design, train, test = models.model_inputs(std)
-        rf_model, _ = models.fit_random_forest(train, test, num_trees=rf_trees,
-                                               max_depth=rf_depth)
-        imp = models.importances(rf_model, design.feature_names, std.sparkSession)
-        out["rf_importances_top15"] = models.importance_plot_data(imp, 15)
+    if importances is not None:
+        out["rf_importances_top15"] = models.importance_plot_data(importances, 15)
     return out
 
 
 def run_all(spark, raw_path: str, out_dir: str, as_of_year: int, iso_path: str | None = None,
             world_path: str | None = None, fmt: str | None = None, with_models: bool = True,
-            rf_trees: int = 100, rf_depth: int = 12, stage_to: str | None = None) -> dict:
-    """The single-command run: load, clean once, publish every table and view."""
+            rf_trees: int = models.FOREST_TREES, rf_depth: int = models.FOREST_DEPTH,
+            stage_to: str | None = None) -> dict:
+    """The single-command run: load, clean once (into the checkpoint folder unless
+    ``stage_to`` says where), publish every table and view; each model is fitted once."""
     from ..sources import readers
     raw = readers.read_table(spark, fmt or "local", raw_path)
     iso = readers.read_iso_dimension(spark, iso_path) if iso_path else None
     world = readers.read_geojson_features(spark, world_path) if world_path else None
+    stage_to = stage_to or f"{ensure_checkpoint_dir(spark)}/analysis-{uuid.uuid4().hex}"
     bundle = clean_survey(raw, as_of_year, iso, stage_to=stage_to)
     tables = core_tables(bundle, with_models, rf_trees=rf_trees, rf_depth=rf_depth)
-    tables.update(view_tables(bundle.analysis_standardized_df, world, iso, with_models,
-                              rf_trees, rf_depth))
+    tables.update(view_tables(bundle.analysis_standardized_df, world, iso,
+                              tables.get("rf_feature_importances")))
     tables.update(severity_by_trait(bundle.analysis_standardized_df))
     return publish(tables, out_dir, large=bundle.large_tables())
 
@@ -271,12 +275,18 @@ def regression_models(std: DataFrame) -> dict:
     psych = ["dassstress", "dassdepression"]
     m1 = models.ols(df.select(*psych, "dassanxiety"), "dassanxiety", psych)
     m2 = models.ols(df, "dassanxiety", psych, P.REGRESSION_CATEGORICALS)
-    m3 = models.ols(df, "dassanxiety", psych + P.TRAITS, P.REGRESSION_CATEGORICALS)
-    return {"psychological": m1, "demographic_psych": m2, "full": m3}
+    return {"psychological": m1, "demographic_psych": m2, "full": full_regression(std)}
+
+
+def full_regression(std: DataFrame) -> models.OLSResult:
+    """M3 alone."""
+    return models.ols(bins.ensure_regrouped(std), "dassanxiety",
+                      ["dassstress", "dassdepression"] + P.TRAITS, P.REGRESSION_CATEGORICALS)
 
 
 def nonresponse_and_descriptives(df: DataFrame) -> dict[str, DataFrame]:
     from ..operators import describe
+    df = df.drop(ROW_ID)
     return {"nonresponse": describe.nonresponse_table(df),
             "numeric_summary": describe.describe_numeric(df),
             "categorical_counts": describe.value_counts(df)}

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest number of rows a dimension may have to be shipped as a broadcast.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# Largest size of a side that is shipped as a broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def build_session(master: str | None = None, app: str = "surveylens",
@@ -16,8 +16,8 @@ def build_session(master: str | None = None, app: str = "surveylens",
                   extra: dict | None = None) -> SparkSession:
     """Session with AQE on and UTC time; used by tests and the bench.
 
-    On a cluster the caller's own session is used instead, and only
-    unset settings are filled in.
+    On a cluster the caller's own session is used instead of this one; an
+    existing session found here gets these settings and the log level.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -49,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     The cluster names it in ``spark.checkpoint.dir``; only when nothing is
-    set (a local test) is a scratch folder created.
+    set and everything runs in this process (a local test) is a scratch folder created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,7 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             # a machine-local folder would not survive the loss of an executor
             raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         configured = tempfile.mkdtemp(prefix="surveylens-ckpt-")
@@ -66,11 +66,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if its rows take at most ``max_bytes``; otherwise it is
+    returned without a hint and the planner keeps a shuffle join.
 
-    The check is a ``limit(max_rows + 1).count()`` job; above the bound the
-    frame is returned unhinted and the planner keeps a shuffle join.
+    One small aggregate sums the bytes: eight for a number, the length of a text.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        size = size + (F.coalesce(F.octet_length(c), F.lit(0)) if f.dataType.typeName() in ("string", "binary")
+                       else F.lit(8))
+    total = df.select((size + 16).cast("bigint").alias("b")).agg(F.sum("b")).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df

@@ -61,24 +61,26 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str |
     return df
 
 
-def infer_numeric(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
-    """Cast string columns whose values all parse as numbers (integers first).
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def infer_numeric(df: DataFrame) -> DataFrame:
+    """Cast string columns whose values all read as numbers (integers first).
 
     The decision is one aggregate over the whole table (every value is
-    checked, as a whole-file reader would), or over the first ``sample_rows``
-    rows when a sample is asked for; the casts themselves stay lazy.
+    checked, as a whole-file reader would); the casts themselves stay lazy.
+    Suffixes that a cast would accept ("1d", "2f") make a column text.
     """
     cols = df.columns
     if not cols:
         return df
-    sample = df.limit(sample_rows) if sample_rows else df
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`")
         aggs += [F.count(x).alias(f"n{i}"),
-                 F.count(x.try_cast("bigint")).alias(f"i{i}"),
-                 F.count(x.try_cast("double")).alias(f"d{i}")]
-    r = sample.agg(*aggs).collect()[0]
+                 F.count(F.when(x.rlike(r"^\s*[+-]?[0-9]+\s*$"), x.try_cast("bigint"))).alias(f"i{i}"),
+                 F.count(F.when(x.rlike(_NUMBER), x.try_cast("double"))).alias(f"d{i}")]
+    r = df.agg(*aggs).collect()[0]
     out = []
     for i, c in enumerate(cols):
         n = r[f"n{i}"]

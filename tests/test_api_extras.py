@@ -37,10 +37,10 @@ def test_compare_models_and_metrics(spark):
     df = spark.createDataFrame(rows, "id long, x1 double, x2 double, gender_clean string, y double")
     comp = models.compare_models(df, rf_trees=5, rf_depth=4, target="y", numeric=["x1", "x2"],
                                  categorical=["gender_clean"], key=["id"])
-    names = [r.name for r in comp.collect()]
+    names = [r.name for r in comp.models.collect()]
     assert names == ["Linear Regression", "Random Forest", "Gradient Boosting"]
     design = models.design_frame(df, "y", ["x1", "x2"], [])
     m = models.LinearRegression(solver="normal").fit(design.frame)
-    a = models.regression_metrics(m.transform(design.frame))
-    b = models.metrics_frame(m.transform(design.frame)).first()
-    assert a["r2"] == pytest.approx(b.r2) and a["rmse"] == pytest.approx(b.rmse)
+    one = models.metrics_frame(m.transform(design.frame)).first()
+    assert one.n == 200 and one.r2 == pytest.approx(m.summary.r2)
+    assert one.rmse == pytest.approx(m.summary.rootMeanSquaredError)

@@ -1,7 +1,12 @@
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from surveylens.functions import presets as P
+from surveylens.operators import models
 from surveylens.plans import survey_run
+from surveylens.sources.countries import country_dimension
 
 from .survey_fixture import AS_OF_YEAR, iso_dim, raw_frame
 
@@ -15,7 +20,7 @@ def test_clean_bundle(spark):
     # sparse free-text column removed, its neighbour's nulls removed rows
     assert "free_text" not in b.clean_df.columns
     assert "Upset by trivial things" in b.clean_df.columns
-    assert set(b.analysis_df.columns) <= set(P.ANALYSIS_COLUMNS)
+    assert set(b.analysis_df.columns) <= {*P.ANALYSIS_COLUMNS, "row_id"}
     assert {"dassanxiety", "Emotional Stability", "continent", "vcl_valid"} <= set(b.analysis_df.columns)
     assert "dassanxiety_std" in b.analysis_standardized_df.columns
     assert b.analysis_df.where("vcl_valid = false").count() == 0
@@ -79,6 +84,28 @@ def test_staged_analysis_table(spark, tmp_out):
         sorted(map(key, b.analysis_df.select(*[f"`{c}`" for c in cols]).collect()))
 
 
+def test_countries_without_a_given_dimension(spark):
+    b = survey_run.clean_survey(raw_frame(spark, n=120, seed=4), AS_OF_YEAR)
+    assert {"country_name", "continent"} <= set(b.analysis_df.columns)
+    assert "mean_anxiety_by_continent" in survey_run.geo_tables(b.analysis_df)
+    dim = {r.alpha2: r for r in country_dimension(spark).collect()}
+    assert (dim["NA"].alpha3, dim["NA"].name, dim["NA"].continent) == ("NAM", "Namibia", "Africa")
+    assert (dim["KR"].name, dim["BR"].continent, dim["US"].alpha3) == ("Korea, Republic of", "South America", "USA")
+    assert 240 < len(dim) < 260 and sum(r.continent is None for r in dim.values()) < 10
+    with pytest.raises(ValueError, match="dimension"):
+        survey_run.create_clean_df(raw_frame(spark, n=20, seed=4), AS_OF_YEAR, None)
+
+
+def test_equal_rows_are_split_by_row(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, "a")] * 600, "y double, x double, g string")
+    rows = rows.withColumn("row_id", F.monotonically_increasing_id())
+    design, train, test = models.model_inputs(rows, "y", ["x"], [], weight_col=None)
+    assert 80 < test.count() < 160
+    design.frame.unpersist()
+    with pytest.raises(ValueError, match="key"):
+        models.model_inputs(rows.drop("row_id"), "y", ["x"], [], weight_col=None)
+
+
 def test_run_all_from_csv(spark, tmp_out):
     import json
     raw = raw_frame(spark, n=250, seed=21)

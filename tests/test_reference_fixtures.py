@@ -103,7 +103,14 @@ def test_regression_fixture_terms(spark):
     cx = crosstab.band_distribution(df, "dassanxiety", P.SEVERITY_EDGES, P.SEVERITY_LABELS)
     assert cx.count() == 5
     a, _ = anova.one_way_anova(df, "dassanxiety", ["gender_clean"])
-    assert a.first().f == pytest.approx(a.first().f)
+    by_gender = {}
+    for r in df.select("gender_clean", "dassanxiety").collect():
+        by_gender.setdefault(r.gender_clean, []).append(r.dassanxiety)
+    groups = [np.array(v) for v in by_gender.values()]
+    grand = np.concatenate(groups).mean()
+    ssb = sum(len(g) * (g.mean() - grand) ** 2 for g in groups)
+    ssw = sum(((g - g.mean()) ** 2).sum() for g in groups)
+    assert a.first().f == pytest.approx(ssb / (len(groups) - 1) / (ssw / (120 - len(groups))))
 
 
 def test_singular_design_is_an_error(spark):
