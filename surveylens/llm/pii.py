@@ -251,6 +251,15 @@ def train(texts: list[str], epochs: int = 60, rate: float = 0.5, decay: float =
     return field
 
 
+def _may_be(kind: str, token: str) -> bool:
+    """A label that came from the neighbours alone is not taken for a span."""
+    if kind == "email":
+        return "@" in token
+    if kind == "ip":
+        return token.count(".") == 3
+    return len(_DIGIT.findall(token)) >= (12 if kind == "card" else 1)
+
+
 def added_spans(graph: Graph, marginals: np.ndarray, texts: dict[int, str],
                 base: dict[int, list[tuple[int, int, str]]], least: float = LEAST) -> dict[int, list]:
     """Spans of labelled tokens that no base span touches; neighbours of one
@@ -266,8 +275,7 @@ def added_spans(graph: Graph, marginals: np.ndarray, texts: dict[int, str],
         while e > s and not text[e - 1].isalnum():
             e -= 1
         token, kind = text[s:e], KINDS[label[i]]
-        fits = "@" in token if kind == "email" else _DIGIT.search(token) is not None
-        if not fits or any(s < be and bs < e for bs, be, _ in base[d]):
+        if not _may_be(kind, token) or any(s < be and bs < e for bs, be, _ in base[d]):
             continue
         spans = found.setdefault(d, [])
         if last == i - 1 and spans and spans[-1][2] == kind and kind == "phone" and text[spans[-1][1]:s].isspace():
@@ -275,7 +283,8 @@ def added_spans(graph: Graph, marginals: np.ndarray, texts: dict[int, str],
         else:
             spans.append((s, e, kind))
         last = i
-    return found
+    return {d: kept for d, spans in found.items()
+            if (kept := [x for x in spans if x[2] != "phone" or len(_DIGIT.findall(texts[d][x[0]:x[1]])) >= 7])}
 
 
 def in_order(spans: list[tuple]) -> list[tuple]:

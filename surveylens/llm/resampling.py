@@ -140,7 +140,7 @@ def weighted(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
             bucket, text = ngrams(*utf8_flat(batch.column(1)), table, len(ratios))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text, ratios[bucket], n))],
+                [batch.column(0), pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text, ratios[bucket], n).astype(np.float64))],
                 ["doc_id", "n_ngrams", "log_weight"])
 
     return rows.mapInArrow(run, "doc_id long, n_ngrams long, log_weight double")
