@@ -6,12 +6,13 @@ Pass 0 gives every group's size and range. Each further pass divides every
 interval that still holds a wanted rank into up to ``BUCKETS`` parts and counts
 its rows per part, with the smallest and largest value of each; the part that
 holds the rank is the next interval. An interval of one value is an answer, so
-a value that is a third of all rows ends its search at once. Counting is a
+a value that is a third of all rows ends its search at once; an interval of at most
+``BUCKETS`` rows is counted value by value, which ends it too. Counting is a
 partial + final hash aggregate: what is shuffled is at most tasks x intervals
 x parts, whatever the number of rows; nothing is sorted, no group meets in one
 task, and the intervals are rows of a DataFrame joined back by group, so the
 number of groups has no bound. Only those intervals (one row per group and
-wanted rank) are written between passes.
+wanted rank) are kept between passes, many of them in the checkpoint folder.
 
 ``"countmap"`` is Spark's exact ``percentile`` aggregate: one pass, memory
 grows with a group's distinct values, right for coded answers. ``"approx"`` is
@@ -26,14 +27,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import clean_double
-from ..session import bounded_broadcast, ensure_checkpoint_dir
+from ..session import MAX_BROADCAST_BYTES, ensure_checkpoint_dir, table_size
 
 # Parts that a pass divides an interval into.
 BUCKETS = 4096
+# Intervals that are kept as a local relation between passes.
+HELD_ROWS = 4096
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
@@ -79,6 +83,27 @@ def _part(lo: Column, hi: Column, k: Column, by_magnitude: bool) -> Column:
     return F.when(F.col("_v") >= hi, k - 1).otherwise(F.coalesce(part, fallback)).cast("bigint")
 
 
+def _held(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The intervals, cut from their lineage, and those of them that still hold several
+    values (None: no more). A small table (``HELD_ROWS``) becomes a local relation, without
+    files or further jobs; a larger one is written to the checkpoint folder."""
+    keys = [*by, "lo", "hi", "rows"]
+    table = df.limit(HELD_ROWS + 1).toArrow()
+    if table.num_rows <= HELD_ROWS:
+        spans = table.filter(pc.less(table["lo"], table["hi"])).group_by(keys).aggregate([])
+        held = df.sparkSession.createDataFrame(table, df.schema)
+        if not spans.num_rows:
+            return held, None
+        return held, F.broadcast(df.sparkSession.createDataFrame(spans, df.select(*keys).schema))
+    held = df.checkpoint()
+    # several ranks of a group may share an interval; intervals of a group do not overlap
+    spans = held.where("lo < hi").select(*keys).distinct()
+    n_spans, n_bytes = table_size(spans)
+    if not n_spans:
+        return held, None
+    return held, F.broadcast(spans) if n_bytes <= MAX_BROADCAST_BYTES else spans
+
+
 def _counted(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
     ensure_checkpoint_dir(base.sparkSession)
     groups = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
@@ -86,24 +111,23 @@ def _counted(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> Data
     ranks = F.array_distinct(F.array(*[
         r for p in probs.values() for r in (
             F.floor(F.lit(float(p)) * (F.col("n") - 1)), F.ceil(F.lit(float(p)) * (F.col("n") - 1)))]))
-    wanted = (groups.where("n > 0")
-              .select(*by, "n", "lo", "hi", F.lit(0).cast("bigint").alias("before"), F.explode(ranks).alias("rank"))
-              .checkpoint())
+    open_, spans = _held(groups.where("n > 0").select(
+        *by, "n", "lo", "hi", F.lit(0).cast("bigint").alias("before"), F.col("n").alias("rows"),
+        F.explode(ranks).alias("rank")), by)
+    done = [open_.where("lo >= hi")]
     by_magnitude = False
-    while True:
-        open_ = wanted.where("lo < hi")
-        if not open_.limit(1).count():
-            break
-        # several ranks of a group may share an interval; intervals of a group do not overlap
-        spans = bounded_broadcast(_renamed(open_.groupBy(*by, "lo", "hi").agg(F.max("n").alias("n")), by))
-        k = F.least(F.lit(BUCKETS), F.col("n") + 1)
+    while spans is not None:
+        spans = _renamed(spans, by)
         rows = base.join(spans, _same_group(base, spans, by) & base["_v"].between(spans["lo"], spans["hi"]))
         keys = [f"_g_{c}" for c in by] + ["lo", "hi"]
-        parts = rows.select(*keys, "_v", _part(F.col("lo"), F.col("hi"), k, by_magnitude).alias("part")).groupBy(
+        part = F.when(F.col("rows") <= BUCKETS, F.col("_v")).otherwise(
+            _part(F.col("lo"), F.col("hi"), F.lit(BUCKETS), by_magnitude).cast("double"))
+        parts = rows.select(*keys, "_v", part.alias("part")).groupBy(
             *keys, "part").agg(F.count(F.lit(1)).alias("count"), F.min("_v").alias("next_lo"), F.max("_v").alias("next_hi"))
-        wanted = wanted.where("lo >= hi").unionByName(_narrowed(open_, parts, by)).checkpoint()
+        open_, spans = _held(_narrowed(open_.where("lo < hi"), parts, by), by)
+        done.append(open_.where("lo >= hi"))
         by_magnitude = not by_magnitude
-    return _interpolated(wanted, by, probs)
+    return _interpolated(reduce(DataFrame.unionByName, done), by, probs)
 
 
 def _narrowed(open_: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
@@ -116,15 +140,15 @@ def _narrowed(open_: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
     joined = open_.join(own, _same_group(open_, own, by) & (open_["lo"] == own["_lo"]) & (open_["hi"] == own["_hi"]))
     # walk over the parts: rows before the part that holds the rank, and its range
     start = F.struct(F.col("before").alias("before"), F.lit(False).alias("found"),
-                     F.col("lo").alias("lo"), F.col("hi").alias("hi"))
+                     F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.col("rows").alias("rows"))
     held = F.aggregate("parts", start, lambda a, x: F.when(a["found"], a).when(
         a["before"] + x["count"] > F.col("rank"),
         F.struct(a["before"].alias("before"), F.lit(True).alias("found"),
-                 x["next_lo"].alias("lo"), x["next_hi"].alias("hi"))).otherwise(
+                 x["next_lo"].alias("lo"), x["next_hi"].alias("hi"), x["count"].alias("rows"))).otherwise(
         F.struct((a["before"] + x["count"]).alias("before"), F.lit(False).alias("found"),
-                 a["lo"].alias("lo"), a["hi"].alias("hi"))))
+                 a["lo"].alias("lo"), a["hi"].alias("hi"), a["rows"].alias("rows"))))
     return joined.select(*by, "n", held.alias("_h"), "rank").select(
-        *by, "n", "_h.lo", "_h.hi", "_h.before", "rank")
+        *by, "n", "_h.lo", "_h.hi", "_h.before", "_h.rows", "rank")
 
 
 def _interpolated(found: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:

@@ -66,16 +66,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` if its rows take at most ``max_bytes``; otherwise it is
-    returned without a hint and the planner keeps a shuffle join.
-
-    One small aggregate sums the bytes: eight for a number, the length of a text.
-    """
-    size = F.lit(0)
+def table_size(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of ``df``, by one aggregate: eight bytes for a number, the
+    length of a text, and what a row takes besides."""
+    size = F.lit(16)
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         size = size + (F.coalesce(F.octet_length(c), F.lit(0)) if f.dataType.typeName() in ("string", "binary")
                        else F.lit(8))
-    total = df.select((size + 16).cast("bigint").alias("b")).agg(F.sum("b")).first()[0] or 0
-    return F.broadcast(df) if total <= max_bytes else df
+    row = df.select(size.cast("bigint").alias("b")).agg(F.count("b"), F.sum("b")).first()
+    return row[0], row[1] or 0
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if its rows take at most ``max_bytes``; otherwise it is
+    returned without a hint and the planner keeps a shuffle join."""
+    return F.broadcast(df) if table_size(df)[1] <= max_bytes else df

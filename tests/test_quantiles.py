@@ -41,6 +41,7 @@ def test_tertiles_of_1_to_6(spark):
 def test_more_groups_and_values_than_parts(spark, monkeypatch):
     # every interval needs several passes, and no number of groups is special
     monkeypatch.setattr(Q, "BUCKETS", 3)
+    monkeypatch.setattr(Q, "HELD_ROWS", 5)
     rng = np.random.default_rng(5)
     groups = {f"g{i}": rng.normal(size=1 + i % 7) for i in range(40)} | {"wide": rng.normal(size=200)}
     out = {r.g: r for r in exact_quantiles(_frame(spark, groups, 3), "v", PROBS, by=["g"]).collect()}
