@@ -54,15 +54,13 @@ def anova_from_stats(stats: DataFrame, with_p: bool = True) -> DataFrame:
 
     F is NULL when it is undefined: fewer than two levels, n = k, or SSW = 0.
     """
-    per = stats.groupBy("factor").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
-        F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ssw"))
     # the grand mean goes back to the level rows: partial sums per task, no list of levels
+    grand = stats.groupBy("factor").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
     away = F.col("mean") - F.col("grand")
-    between = stats.join(per.select("factor", "grand"), "factor").groupBy("factor").agg(
+    per = stats.join(grand, "factor").groupBy("factor").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
+        F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ssw"),
         F.sum(F.col("n") * away * away).alias("ssb"))
-    per = per.join(between, "factor")
     out = (per.withColumn("df_between", (F.col("k") - 1).cast("bigint"))
               .withColumn("df_within", (F.col("n") - F.col("k")).cast("bigint")))
     msb = F.try_divide(F.col("ssb"), F.col("df_between"))
