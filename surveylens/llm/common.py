@@ -13,7 +13,18 @@ from pyspark.sql import functions as F
 from surveylens.session import ensure_checkpoint_dir
 
 #: Text bytes that one numpy step works on; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: Rows of an Arrow batch between Spark and Python: texts are long.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, in which whole texts travel."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,17 +44,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Ids (eight bytes each) that a task may get as a broadcast.
-BROADCAST_IDS = 1 << 20
+#: Ids (eight bytes each, several times that in a hash table) that a task may get as a broadcast.
+BROADCAST_IDS = 1 << 18
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """``ids`` as a column ``_id``; up to ``BROADCAST_IDS`` of them (counted) go to
+    the rows as a broadcast, more are shuffled."""
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("_id"))
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def rows_with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is among the distinct ``ids``. Up to
-    ``BROADCAST_IDS`` of them (counted) go to the rows; more are shuffled."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = ids.select(F.col(ids.columns[0]).alias("_wanted"))
-    return df.join(F.broadcast(wanted) if small else wanted,
-                   F.col(column).cast("long").eqNullSafe(F.col("_wanted")), "left_semi")
+    """Rows of ``df`` whose ``column`` is among the distinct ``ids``."""
+    return df.join(_sized(ids), F.col(column).cast("long") == F.col("_id"), "left_semi")
+
+
+def rows_without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not among the distinct ``ids``, or null."""
+    return df.join(_sized(ids), F.col(column).cast("long") == F.col("_id"), "left_anti")
 
 
 def shards_for(n_rows: int, per_shard: int) -> int:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import cut_lineage
+from surveylens.llm.common import cut_lineage, small_batches
 
 FEATURES, SHINGLE = 8, 4
 THRESHOLD, GAMMA, LEAST_PAGES = 0.5, 0.9, 8
@@ -302,6 +302,7 @@ def main_text(page: str | None, noise: frozenset[int]) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
+    small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST"))), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"), host.alias("host"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import mix64, text_slices
+from surveylens.llm.common import mix64, small_batches, text_slices
 
 DOCS_PER_LANG, TRAIN_CHARS = 300, 20_000
 TRAIN_WORDS = 40_000
@@ -39,8 +39,8 @@ FEATURES = 1 << 16
 WORD_CHARS = 24
 WORD_BYTES, TAIL_BYTES = 32, 4
 EPOCHS = 25
-SLICE = 8 << 20
-WORDS_KEPT = 1 << 19
+SLICE = 4 << 20
+WORDS_KEPT = 1 << 18
 UNDETERMINED = "und"
 
 _WORD = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
@@ -275,6 +275,7 @@ def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, d
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              docs_per_lang: int = DOCS_PER_LANG, train_chars: int = TRAIN_CHARS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document."""
+    small_batches(docs.sparkSession)
     field = train(training_texts(docs, id_col, text_col, lang_col, docs_per_lang, train_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import id_text, shards_for
+from surveylens.llm.common import id_text, shards_for, text_slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -64,7 +64,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load_encoder(vocabulary)
         end = np.array([end_id], dtype="<u4")
-        for batch in batches:
+        for batch in text_slices(batches):
             counts, crcs, ids = [], [], []
             for text in batch.column(1).to_pylist():
                 a = np.concatenate([enc.encode_to_numpy(text, disallowed_special=()), end]).astype("<u4")

@@ -43,7 +43,7 @@ LEADING_SHIFT = np.uint64(42)
 #: Stands for a mark that is in the text itself; it becomes byte pieces.
 LITERAL = "\udbff"
 #: Words that one numpy step advances, and words whose ids a task remembers.
-STEP_CHARS, WORDS_KEPT = 1 << 18, 1 << 19
+STEP_CHARS, WORDS_KEPT = 1 << 16, 1 << 18
 # fixed values: piece types of the model file
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 

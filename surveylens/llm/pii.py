@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import id_text, text_slices, utf8_flat
+from surveylens.llm.common import id_text, small_batches, text_slices, utf8_flat
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -359,6 +359,7 @@ def masked_documents(docs: DataFrame, text_col: str = "text", chars_col: str | N
     runs in the same pass, without a join."""
     model = train(training_texts(id_text(docs, "doc_id", text_col), settings.get("train_docs", TRAIN_DOCS),
                                  settings.get("train_chars", TRAIN_CHARS)))
+    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

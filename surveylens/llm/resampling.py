@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import cut_lineage, id_text, mix64, rows_with_ids, text_slices, utf8_flat
-from surveylens.llm.words import MULTIPLIER, TABLE_WORDS
+from surveylens.llm.common import cut_lineage, id_text, mix64, rows_without_ids, text_slices, utf8_flat
+from surveylens.llm.words import MULTIPLIER
 
 BUCKETS = 1 << 16
 #: Labelled documents that the target model counts, those of the smallest id hashes.
@@ -46,6 +46,8 @@ SHARPNESS = 4.0
 #: Bins, and range of the weight per n-gram, that the bar is looked for in.
 GRID, RANGE = 4000, 20.0
 SEED = 11
+#: Words whose hashes a task remembers; their forms cost more than a hash.
+TABLE_WORDS = 1 << 18
 #: Keys are kept in steps of 1 / KEY_STEPS.
 KEY_STEPS = 1 << 20
 
@@ -222,6 +224,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` that the resampling keeps, with all columns."""
-    kept = resample(docs, labels, id_col, **settings).filter("kept").select("doc_id").distinct()
-    return rows_with_ids(docs, cut_lineage(kept), id_col)
+    """The rows of ``docs`` that the resampling keeps, with all columns. Rows that
+    share an id go together; rows without one stay."""
+    lost = resample(docs, labels, id_col, **settings).filter(~F.col("kept")).select("doc_id").distinct()
+    return rows_without_ids(docs, cut_lineage(lost), id_col)

@@ -9,7 +9,7 @@ from surveylens.llm.common import mix64
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: A word table is started anew beyond this many entries.
-TABLE_WORDS = 1 << 20
+TABLE_WORDS = 1 << 16
 
 
 class WordHashes(dict):
