@@ -19,7 +19,8 @@ With ``BANDS`` x ``ROWS`` registers a pair at the threshold of 0.85 is no
 candidate with a probability of about 4e-7.
 
 Null, empty and blank texts have an empty set and link with nothing. Rows that
-share an id are one document. Empty tables give empty results.
+share an id are one document. Rows without an id show the group of their set (or
+null) and always stay. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import cut_lineage, id_text, mix64, rows_with_ids
+from surveylens.llm.common import cut_lineage, id_text, mix64, rows_with_ids, rows_without_ids, shards_for, text_slices
 from surveylens.llm.words import WordHashes, lower_ascii, ngram_hashes
 
 SHINGLE = 5
@@ -45,7 +46,9 @@ LINK = 85
 #: Candidates whose estimate lies below are not confirmed: five standard errors under 0.85.
 SCREEN = 0.69
 #: Members of a bucket, and shingles of theirs, that one task holds against as many others.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 128, 1 << 19
+#: Rows that are searched in one group of blocks, about.
+SLOT_ROWS = 2048
 
 
 def shingle_set(text: str, table: WordHashes, n: int = SHINGLE) -> np.ndarray:
@@ -96,40 +99,37 @@ def estimate(equal: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     return (equal / registers - c) / (1 - c)
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, registers binary, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, registers binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_key, registers, bands`` of ``(doc_id, text)`` rows."""
+    """``doc_id, n_shingles, set_key, registers`` of ``(doc_id, text)`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
-        for batch in batches:
-            sizes, keys, registers, bands = [], [], [], []
+        for batch in text_slices(batches):
+            sizes, keys, registers = [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, table)
                 sizes.append(len(shingles))
                 if not len(shingles):
                     keys.append(b"")
                     registers.append(b"")
-                    bands.append([])
                     continue
                 keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                r = sketch(shingles)
-                registers.append(r.tobytes())
-                part = r.reshape(BANDS, ROWS)
-                bands.append([xxhash.xxh3_64_intdigest(part[i].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)])
+                registers.append(sketch(shingles).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "registers", "bands"])
+                 pa.array(registers, pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "registers"])
 
     return docs.mapInArrow(run, SKETCH_SCHEMA)
 
 
 def _screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` whose sizes and register estimates allow a link."""
-    side = nodes.select("node", "n_shingles", "registers")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    side = rows_with_ids(nodes.select("node", "n_shingles", "registers"), asked, "node")
     left = side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
     fits = ((F.col("na") * 100 >= F.col("nb") * LINK) & (F.col("nb") * 100 >= F.col("na") * LINK))
@@ -184,21 +184,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame, confirm: bool) -> DataFrame:
+def _across(members: DataFrame, confirm: bool, slots: int) -> DataFrame:
     """Search between components within buckets, blocks of members against
     blocks; a pair counts in its first common band only. ``members`` holds
     ``bucket, band, node, component, n_shingles, registers, blocks`` and, to
     ``confirm``, ``text``. Gives the confirmed links ``(a, b)``, or else the
-    members ``(bucket, node)`` that have a likely partner."""
+    members ``(bucket, node)`` that have a likely partner. The pairs of blocks, most of
+    which are small, are dealt into ``slots`` groups."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
+    def search(rows: pd.DataFrame, table: WordHashes) -> tuple[list, np.ndarray]:
         band = int(rows.band.iloc[0])
         registers = np.frombuffer(b"".join(rows.registers), np.uint16).reshape(-1, REGISTERS)
         size, component = rows.n_shingles.to_numpy(), rows.component.to_numpy()
         node, side = rows.node.to_numpy(), rows.side.to_numpy()
         right = np.flatnonzero(side != 0)
-        table, sets, links, likely = WordHashes(), {}, [], np.zeros(len(rows), bool)
+        sets, links, likely = {}, [], np.zeros(len(rows), bool)
 
         def set_of(i: int) -> np.ndarray:
             if i not in sets:
@@ -213,17 +213,26 @@ def _across(members: DataFrame, confirm: bool) -> DataFrame:
             equal = registers[at] == registers[i]
             first = equal.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
             at = at[first & (estimate(equal.sum(axis=1)) >= SCREEN)]
-            if not confirm:
-                likely[at] = True
-                likely[i] |= len(at) > 0
-                continue
-            for j in at:
+            likely[at] = True
+            likely[i] |= len(at) > 0
+            for j in at if confirm else ():
                 common = len(np.intersect1d(set_of(i), set_of(j), assume_unique=True))
                 if 100 * common >= LINK * (size[i] + size[j] - common):
                     links.append((node[i], node[j]))
+        return links, likely
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bucket", "row", "col"], kind="stable").reset_index(drop=True)
+        keys = rows[["bucket", "row", "col"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        table, links, likely = WordHashes(), [], []
+        for start, end in zip(starts, [*starts[1:], len(rows)]):
+            found, marked = search(rows.iloc[start:end], table)
+            links += found
+            likely.append(marked)
         if confirm:
             return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
-        return pd.DataFrame({"bucket": rows.bucket[likely], "node": node[likely]})
+        return rows.loc[np.concatenate(likely), ["bucket", "node"]]
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))
@@ -232,8 +241,9 @@ def _across(members: DataFrame, confirm: bool) -> DataFrame:
         *(c for c in members.columns if c != "blocks"),
         F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    dealt = spread.withColumn("slot", F.pmod(F.xxhash64("bucket", "row", "col"), F.lit(slots)))
     schema = "a long, b long" if confirm else "bucket long, node long"
-    return spread.groupBy("bucket", "row", "col").applyInPandas(run, schema).distinct()
+    return dealt.groupBy("slot").applyInPandas(run, schema).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,29 +252,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sketched = cut_lineage(sketches(rows))
     # equal sets have equal registers: one node for each set, whatever the number of copies
     nodes = cut_lineage(sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(
-        "set_key", "n_shingles", "registers", "bands").agg(F.min("doc_id").alias("node")))
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last")
-    stars = buckets.join(heads.select("bucket", "a"), "bucket").filter("node > a").select(
-        "a", F.col("node").alias("b")).distinct()
+        "set_key", "n_shingles", "registers").agg(F.min("doc_id").alias("node")))
+    # buckets with several members, which are few: all that follows works on these
+    width = 2 * ROWS
+    bands = F.array(*[F.xxhash64(F.substring("registers", width * i + 1, width), F.lit(i)) for i in range(BANDS)])
+    buckets = nodes.select("node", F.posexplode(bands).alias("band", "bucket"))
+    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
+    shared = cut_lineage(buckets.join(heads.select("bucket", "head"), "bucket"))
+    stars = cut_lineage(shared.filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     likely = cut_lineage(_screened(stars, nodes))
     texts = _node_texts(rows, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = cut_lineage(_confirmed(likely, texts))
     labels = components(links)
 
     # buckets in which several components are left
-    named = nodes.select("node", "n_shingles", "registers", "bands").join(labels, "node", "left").withColumn(
+    placed = shared.select("node", "band", "bucket").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    placed = named.select("node", "component", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    placed = cut_lineage(placed.join(rows_with_ids(nodes, shared.select("node").distinct(), "node").select(
+        "node", "n_shingles"), "node"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
-    open_ = placed.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("blocks")).filter(
-        "low < high").select("bucket", "blocks")
-    members = placed.select("node", "band", "bucket").join(open_, "bucket").join(named.drop("bands"), "node")
-    likely = cut_lineage(_across(members, confirm=False))
+    open_ = cut_lineage(placed.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
+        blocks.alias("blocks")).filter("low < high").select("bucket", "n", "blocks"))
+    spread = open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    members = placed.join(open_.drop("n"), "bucket")
+    members = members.join(rows_with_ids(nodes, members.select("node").distinct(), "node").select("node", "registers"), "node")
+    likely = cut_lineage(_across(members, False, shards_for(spread, SLOT_ROWS)))
     texts = _node_texts(rows, likely.select("node").distinct())
-    members = members.join(likely, ["bucket", "node"]).join(texts, "node")
-    links = cut_lineage(links.union(_across(members, confirm=True)))
+    members = members.join(likely, ["bucket", "node"])
+    spread = members.agg(F.sum("blocks")).first()[0] or 0
+    links = cut_lineage(links.union(_across(members.join(texts, "node"), True, shards_for(spread, SLOT_ROWS // 8))))
     labels = components(links)
     by_set = nodes.select("set_key", "node").join(labels, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
@@ -281,5 +298,5 @@ def _node_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document stands for its group, with all columns."""
-    kept = cut_lineage(near_groups(docs, id_col, text_col).filter("kept").select("doc_id").distinct())
-    return rows_with_ids(docs, kept, id_col)
+    copies = near_groups(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id").distinct()
+    return rows_without_ids(docs, cut_lineage(copies), id_col)

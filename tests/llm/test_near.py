@@ -45,6 +45,8 @@ def test_empty_table_nulls_and_repeats(spark):
     rows = [(None, prose(1, 30)), (3, prose(1, 30)), (3, prose(1, 30)), (9, prose(1, 30))]
     out = sorted(near.near_groups(frame(spark, rows)).collect(), key=lambda r: r.doc_id or 0)
     assert [(r.doc_id, r.component_id) for r in out] == [(None, 3), (3, 3), (3, 3), (9, 3)]
+    assert out[0].kept and out[1].kept and not out[3].kept
+    assert {r.doc_id for r in near.keep_one(frame(spark, rows)).collect()} == {None, 3}
     kept = near.keep_one(frame(spark, rows[1:]))
     assert {r.doc_id for r in kept.collect()} == {3} and kept.columns == frame(spark, rows).columns
 
