@@ -43,7 +43,9 @@ LEADING_SHIFT = np.uint64(42)
 #: Stands for a mark that is in the text itself; it becomes byte pieces.
 LITERAL = "\udbff"
 #: Words that one numpy step advances, and words whose ids a task remembers.
-STEP_CHARS, WORDS_KEPT = 1 << 16, 1 << 18
+STEP_CHARS, WORDS_KEPT = 1 << 18, 1 << 19
+#: Bytes of text in a slice: the more words meet, the fewer steps the search takes.
+SLICE = 4 << 20
 # fixed values: piece types of the model file
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -248,7 +250,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Pieces.load(model))
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, slice_bytes=SLICE):
             ids = encoder.encode(batch.column(1).to_pylist())
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -279,7 +281,7 @@ def encode_and_back(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pieces.load(model)
         encoder = Encoder(p)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, slice_bytes=SLICE):
             texts = batch.column(1).to_pylist()
             ids = encoder.encode(texts)
             decoded = [decode_ids(x.tolist(), p) for x in ids]
