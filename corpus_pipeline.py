@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from surveylens.llm import exact, near, packing, pii, resampling
 from surveylens.session import ensure_checkpoint_dir
 
+NEAR = 0.8
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
@@ -22,8 +24,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return near.keep_one(docs)
+    """One document of each group of near copies (a Jaccard similarity of
+    ``NEAR`` or more) stays, the one with the smallest id."""
+    return near.keep_one(docs, threshold=NEAR)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

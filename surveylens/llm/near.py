@@ -15,8 +15,9 @@ links only. Candidates are screened by sizes and by the register estimate,
 corrected for chance collisions of compressed registers, and confirmed on the
 full sets.
 
-With ``BANDS`` x ``ROWS`` registers a pair at the threshold of 0.85 is no
-candidate with a probability of about 4e-7.
+The threshold is a parameter (``THRESHOLD`` unless given); the number of bands of
+``ROWS`` registers and the screen follow from it (``Bar``), so that a pair at the
+threshold is no candidate with a probability of at most ``MISS``.
 
 Null, empty and blank texts have an empty set and link with nothing. Rows that
 share an id are one document. Rows without an id show the group of their set (or
@@ -25,7 +26,10 @@ null) and always stay. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -38,19 +42,52 @@ from surveylens.llm.common import cut_lineage, id_text, mix64, rows_with_ids, ro
 from surveylens.llm.words import WordHashes, lower_ascii, ngram_hashes
 
 SHINGLE = 5
-REGISTERS = 125
-BANDS, ROWS = 25, 5
+THRESHOLD = 0.85
+REGISTERS = 125  # of the threshold of 0.85
+ROWS = 5
 MANTISSA = 10
-#: A link: 100 * intersection >= LINK * union.
-LINK = 85
-#: Candidates whose estimate lies below are not confirmed: five standard errors under 0.85.
-SCREEN = 0.69
+#: Probability, at most, that a pair at the threshold shares no band.
+MISS = 5e-7
+#: Candidates whose estimate lies so many standard errors under the threshold are not confirmed.
+SCREEN_ERRORS = 5
 #: Members of a bucket, and shingles of theirs, that one task holds against as many others.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 #: Rows that are searched in one group of blocks, about.
 SLOT_ROWS = 2048
 
 
+@dataclass(frozen=True)
+class Bar:
+    """A threshold as a fraction (a link: ``whole`` * intersection >= ``part`` *
+    union), and the bands and the screen that find its pairs."""
+
+    part: int
+    whole: int
+    bands: int
+    screen: float
+
+    @classmethod
+    def of(cls, threshold: float) -> Bar:
+        if not 0 < threshold <= 1:
+            raise ValueError(f"threshold {threshold} is not in (0, 1]")
+        exact = Fraction(str(threshold))
+        share = threshold ** ROWS
+        bands = math.ceil(math.log(MISS) / math.log1p(-share)) if share < 1 else 1
+        error = math.sqrt(threshold * (1 - threshold) / (bands * ROWS))
+        return cls(exact.numerator, exact.denominator, bands, threshold - SCREEN_ERRORS * error)
+
+    @property
+    def registers(self) -> int:
+        return self.bands * ROWS
+
+    def links(self, common: int, a: int, b: int) -> bool:
+        return self.whole * common >= self.part * (a + b - common)
+
+    def fits(self, a, b):
+        """Whether sets of these sizes can link (columns or arrays)."""
+        return (a * self.whole >= b * self.part) & (b * self.whole >= a * self.part)
+
+
 def shingle_set(text: str, table: WordHashes, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     words = lower_ascii(text).split()
@@ -102,7 +139,7 @@ def estimate(equal: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, registers binary"
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, registers_of_set: int = REGISTERS) -> DataFrame:
     """``doc_id, n_shingles, set_key, registers`` of ``(doc_id, text)`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +154,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     registers.append(b"")
                     continue
                 keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                registers.append(sketch(shingles).tobytes())
+                registers.append(sketch(shingles, registers_of_set).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                  pa.array(registers, pa.binary())],
@@ -126,27 +163,26 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SKETCH_SCHEMA)
 
 
-def _screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _screened(pairs: DataFrame, nodes: DataFrame, bar: Bar) -> DataFrame:
     """Pairs ``(a, b)`` whose sizes and register estimates allow a link."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     side = rows_with_ids(nodes.select("node", "n_shingles", "registers"), asked, "node")
     left = side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    fits = ((F.col("na") * 100 >= F.col("nb") * LINK) & (F.col("nb") * 100 >= F.col("na") * LINK))
-    both = pairs.join(left, "a").join(right, "b").filter(fits)
+    both = pairs.join(left, "a").join(right, "b").filter(bar.fits(F.col("na"), F.col("nb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, bar.registers)
                           for i in (2, 3))
-                likely = estimate((ra == rb).sum(axis=1)) >= SCREEN
+                likely = estimate((ra == rb).sum(axis=1), bar.registers) >= bar.screen
                 yield batch.select(["a", "b"]).filter(pa.array(likely))
 
     return both.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, bar: Bar) -> DataFrame:
     """Pairs that link on their full sets; ``texts`` has one text per node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +192,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 sa, sb = shingle_set(ta, table), shingle_set(tb, table)
                 common = len(np.intersect1d(sa, sb, assume_unique=True))
-                links.append(100 * common >= LINK * (len(sa) + len(sb) - common))
+                links.append(bar.links(common, len(sa), len(sb)))
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -184,7 +220,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame, confirm: bool, slots: int) -> DataFrame:
+def _across(members: DataFrame, confirm: bool, slots: int, bar: Bar) -> DataFrame:
     """Search between components within buckets, blocks of members against
     blocks; a pair counts in its first common band only. ``members`` holds
     ``bucket, band, node, component, n_shingles, registers, blocks`` and, to
@@ -194,7 +230,7 @@ def _across(members: DataFrame, confirm: bool, slots: int) -> DataFrame:
 
     def search(rows: pd.DataFrame, table: WordHashes) -> tuple[list, np.ndarray]:
         band = int(rows.band.iloc[0])
-        registers = np.frombuffer(b"".join(rows.registers), np.uint16).reshape(-1, REGISTERS)
+        registers = np.frombuffer(b"".join(rows.registers), np.uint16).reshape(-1, bar.registers)
         size, component = rows.n_shingles.to_numpy(), rows.component.to_numpy()
         node, side = rows.node.to_numpy(), rows.side.to_numpy()
         right = np.flatnonzero(side != 0)
@@ -206,18 +242,17 @@ def _across(members: DataFrame, confirm: bool, slots: int) -> DataFrame:
             return sets[i]
 
         for i in np.flatnonzero(side != 1):
-            at = right[(component[right] != component[i]) & (size[i] * 100 >= size[right] * LINK)
-                       & (size[right] * 100 >= size[i] * LINK)]
+            at = right[(component[right] != component[i]) & bar.fits(size[right], size[i])]
             if not len(at):
                 continue
             equal = registers[at] == registers[i]
-            first = equal.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            at = at[first & (estimate(equal.sum(axis=1)) >= SCREEN)]
+            first = equal.reshape(len(at), bar.bands, ROWS).all(axis=2).argmax(axis=1) == band
+            at = at[first & (estimate(equal.sum(axis=1), bar.registers) >= bar.screen)]
             likely[at] = True
             likely[i] |= len(at) > 0
             for j in at if confirm else ():
                 common = len(np.intersect1d(set_of(i), set_of(j), assume_unique=True))
-                if 100 * common >= LINK * (size[i] + size[j] - common):
+                if bar.links(common, int(size[i]), int(size[j])):
                     links.append((node[i], node[j]))
         return links, likely
 
@@ -246,23 +281,25 @@ def _across(members: DataFrame, confirm: bool, slots: int) -> DataFrame:
     return dealt.groupBy("slot").applyInPandas(run, schema).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    bar = Bar.of(threshold)
     rows = id_text(docs, id_col, text_col)
-    sketched = cut_lineage(sketches(rows))
+    sketched = cut_lineage(sketches(rows, bar.registers))
     # equal sets have equal registers: one node for each set, whatever the number of copies
     nodes = cut_lineage(sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(
         "set_key", "n_shingles", "registers").agg(F.min("doc_id").alias("node")))
     # buckets with several members, which are few: all that follows works on these
     width = 2 * ROWS
-    bands = F.array(*[F.xxhash64(F.substring("registers", width * i + 1, width), F.lit(i)) for i in range(BANDS)])
+    bands = F.array(*[F.xxhash64(F.substring("registers", width * i + 1, width), F.lit(i)) for i in range(bar.bands)])
     buckets = nodes.select("node", F.posexplode(bands).alias("band", "bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
     shared = cut_lineage(buckets.join(heads.select("bucket", "head"), "bucket"))
     stars = cut_lineage(shared.filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    likely = cut_lineage(_screened(stars, nodes))
+    likely = cut_lineage(_screened(stars, nodes, bar))
     texts = _node_texts(rows, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    links = cut_lineage(_confirmed(likely, texts))
+    links = cut_lineage(_confirmed(likely, texts, bar))
     labels = components(links)
 
     # buckets in which several components are left
@@ -277,11 +314,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spread = open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
     members = placed.join(open_.drop("n"), "bucket")
     members = members.join(rows_with_ids(nodes, members.select("node").distinct(), "node").select("node", "registers"), "node")
-    likely = cut_lineage(_across(members, False, shards_for(spread, SLOT_ROWS)))
+    likely = cut_lineage(_across(members, False, shards_for(spread, SLOT_ROWS), bar))
     texts = _node_texts(rows, likely.select("node").distinct())
     members = members.join(likely, ["bucket", "node"])
     spread = members.agg(F.sum("blocks")).first()[0] or 0
-    links = cut_lineage(links.union(_across(members.join(texts, "node"), True, shards_for(spread, SLOT_ROWS // 8))))
+    links = cut_lineage(links.union(_across(members.join(texts, "node"), True, shards_for(spread, SLOT_ROWS // 8), bar)))
     labels = components(links)
     by_set = nodes.select("set_key", "node").join(labels, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
@@ -296,7 +333,8 @@ def _node_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         F.min("text").alias("text"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group, with all columns."""
-    copies = near_groups(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id").distinct()
+    copies = near_groups(docs, id_col, text_col, threshold).filter(~F.col("kept")).select("doc_id").distinct()
     return rows_without_ids(docs, cut_lineage(copies), id_col)

@@ -42,7 +42,7 @@ def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies: a Jaccard similarity of 0.85 or more on five-word shingles."""
-    return near.near_groups(documents(spark, sf_dir))
+    return near.near_groups(documents(spark, sf_dir), threshold=0.85)
 
 
 def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def near_brute(rows):
+def near_brute(rows, percent=85):
     """id -> (set size, smallest id reachable) with all pairs that share a shingle."""
     sets = {}
     for i, t in rows:
@@ -56,7 +56,7 @@ def near_brute(rows):
             having[g].append(i)
     common = Counter((a, b) for ids in having.values() for a in ids for b in ids if a < b)
     for (a, b), c in common.items():
-        if 100 * c >= 85 * (len(sets[a]) + len(sets[b]) - c):
+        if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}

@@ -76,3 +76,27 @@ def test_shingles_of_short_texts():
     sizes = [len(near.shingle_set(t, table)) for t in ("", " ", "a", "a b c d", "a b c d e", "a a a a a a a", "a b c d e f")]
     assert sizes == [0, 0, 1, 1, 1, 1, 2]
     assert set(near.shingle_set("A b\tc", table)) == set(near.shingle_set("a B c", table))
+
+
+def test_bar_of_a_threshold():
+    assert (near.Bar.of(0.85).bands, near.Bar.of(0.85).registers) == (25, near.REGISTERS)
+    for t in (0.5, 0.8, 0.85, 0.9, 1):
+        bar = near.Bar.of(t)
+        assert (1 - t ** near.ROWS) ** bar.bands <= near.MISS and bar.screen <= t
+    assert near.Bar.of(0.8).links(8, 9, 9) and not near.Bar.of(0.85).links(8, 9, 9)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_whole_table_at_a_threshold(spark, percent):
+    rows = text_of(spark, "/root/testdata/sf0.01")
+    out = near.near_groups(documents(spark, "/root/testdata/sf0.01"), threshold=percent / 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == near_brute(rows, percent)
+
+
+def test_pipeline_stage_links_at_80_percent(spark):
+    import corpus_pipeline
+    rows = text_of(spark, "/root/testdata/sf0.01")
+    docs = documents(spark, "/root/testdata/sf0.01")
+    stay = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "/root/testdata/sf0.01").collect()}
+    at80, at85 = ({i for i, (_, low) in near_brute(rows, p).items() if low == i} for p in (80, 85))
+    assert stay == at80 != at85

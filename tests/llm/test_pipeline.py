@@ -35,6 +35,16 @@ def test_against_brute_force(spark):
     assert used <= least + 3
 
 
+def test_against_brute_force_at_80_percent(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in resampling.resample(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.kept}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
+    last = {t: i for i, t in sorted(texts.items())}
+    texts = {i: t for i, t in texts.items() if last[t] == i}
+    stay = {i for i, (_, low) in near_brute(list(texts.items()), 80).items() if low == i}
+    assert {p.doc_id for p in corpus_pipeline.run(spark, SF).collect()} == stay
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
