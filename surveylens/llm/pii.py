@@ -11,9 +11,10 @@ message passing over all texts of an Arrow slice at once gives the marginals.
 The field is trained on a bounded sample of documents (``train_docs``, each of
 at most ``train_chars`` characters) that the patterns label: unary weights by
 softmax regression, pair potentials by smoothed log ratios of label pairs
-against independence (piecewise training). Its features see single tokens and
-their neighbours, not the patterns, so it also labels what the patterns drop,
-for instance a card number beside other digits.
+against independence (piecewise training). Its features see single tokens,
+their neighbours and whether neighbouring groups of digits pass the card check
+together, not the patterns, so it also labels what the patterns drop, for
+instance a card number beside other digits, in one piece or in groups.
 
 Null and empty texts have no spans; an empty table or one without personal data
 trains a field that adds nothing. Repeated rows get one row each. Offsets count
@@ -51,6 +52,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
+#: A token that can be part of a number written in groups.
+_GROUP = re.compile(r"""(["'(\[<#:,;.]*)([0-9]+(?:-[0-9]+)*)(["')\]>:,;.!?]*)""")
+#: Digits of one token that may be such a part; more stand by themselves.
+GROUP_DIGITS = range(3, 12)
 
 
 def luhn(digits: str) -> bool:
@@ -112,8 +117,56 @@ def variables(text: str) -> list[tuple[int, int, int]]:
     return [(i, *spans[i]) for i in sorted(wanted)]
 
 
-def features(text: str, s: int, e: int, before: str, after: str) -> list[int]:
-    """Hashed features of one token and its neighbours' forms."""
+def digit_group(text: str, s: int, e: int) -> tuple[int, int, str, bool, bool] | None:
+    """``(start, end, digits)`` of a token that may be part of a number in
+    groups, and whether nothing stands before and behind it in the token."""
+    m = _GROUP.fullmatch(text, s, e)
+    digits = m[2].replace("-", "") if m else ""
+    return (*m.span(2), digits, not m[1], not m[3]) if len(digits) in GROUP_DIGITS else None
+
+
+def card_parts(run: list[tuple]) -> list[tuple[int, int]]:
+    """``(first, last)`` of the parts of a run of digit groups (``start, end,
+    digits, ...``) that are card numbers of several groups; leftmost, longest first."""
+    found, at = [], 0
+    while at < len(run):
+        digits, best = run[at][2], -1
+        for j in range(at + 1, len(run)):
+            digits += run[j][2]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 14 and luhn(digits):
+                best = j
+        if best >= 0:
+            found.append((at, best))
+        at = max(at, best) + 1
+    return found
+
+
+def grouped_cards(text: str, found: list[tuple[int, int, int]]) -> dict[int, str]:
+    """Joined digits for every variable of ``found`` that belongs to a card
+    number in groups."""
+    out: dict[int, str] = {}
+    run: list[tuple] = []
+
+    def close() -> None:
+        for a, b in card_parts(run):
+            out.update(dict.fromkeys((g[5] for g in run[a:b + 1]), "".join(g[2] for g in run[a:b + 1])))
+        run.clear()
+
+    for k, (i, s, e) in enumerate(found):
+        group = digit_group(text, s, e)
+        if run and not (group and group[3] and run[-1][4] and found[k - 1][0] == i - 1):
+            close()
+        if group:
+            run.append((*group, k))
+    close()
+    return out
+
+
+def features(text: str, s: int, e: int, before: str, after: str, in_card: bool = False) -> list[int]:
+    """Hashed features of one token and its neighbours' forms; ``in_card``: it
+    is part of digit groups that are a card number together."""
     token = text[s:e].strip(".,;:!?\"'<>[]{}#$%&*|")
     digits = "".join(_DIGIT.findall(token[:256]))
     parts = token[:64].split(".")
@@ -122,6 +175,8 @@ def features(text: str, s: int, e: int, before: str, after: str) -> list[int]:
             "w:" + before.lower()[:16], "@" if "@" in token else "no@"]
     if len(digits) >= 12:
         said.append(f"luhn:{luhn(digits)}:{14 <= len(digits) <= 19}")
+    if in_card:
+        said.append("groups")
     if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
         said.append(f"octets:{all(len(p) < 4 and int(p) < 256 for p in parts)}")
     return [zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in said]
@@ -143,18 +198,22 @@ class Graph:
             seen: dict[str, int] = {}
             found = variables(text)
             words = [text[s:e] for _, s, e in found]
+            cards = grouped_cards(text, found)
             for k, (i, s, e) in enumerate(found):
                 here = len(g.doc)
                 next_to = k > 0 and found[k - 1][0] == i - 1
                 follows = k + 1 < len(found) and found[k + 1][0] == i + 1
                 g.doc.append(number)
                 g.spans.append((s, e))
-                g.features.append(features(text, s, e, words[k - 1] if next_to else "", words[k + 1] if follows else ""))
+                g.features.append(features(text, s, e, words[k - 1] if next_to else "", words[k + 1] if follows else "",
+                                           k in cards))
                 if next_to:
                     g.edges.append((here - 1, here, 0))
                 token = words[k].strip(".,;:!?\"'").lower()
                 digits = "".join(_DIGIT.findall(token))
-                for key in {token if digits or "@" in token else "", "#" + digits if len(digits) >= 6 else ""} - {""}:
+                # a card number in groups meets its copies, in whatever notation, at its first group
+                whole = "#" + cards[k] if k in cards and not (next_to and cards.get(k - 1) is cards[k]) else ""
+                for key in {token if digits or "@" in token else "", "#" + digits if len(digits) >= 6 else "", whole} - {""}:
                     if key in seen and seen[key] != here:
                         g.edges.append((seen[key], here, 1))
                     seen[key] = here
@@ -262,9 +321,10 @@ def _may_be(kind: str, token: str) -> bool:
 
 def added_spans(graph: Graph, marginals: np.ndarray, texts: dict[int, str],
                 base: dict[int, list[tuple[int, int, str]]], least: float = LEAST) -> dict[int, list]:
-    """Spans of labelled tokens that no base span touches; neighbours of one
-    kind are one span."""
+    """Spans of labelled tokens that no base span touches; neighbouring phone
+    tokens are one span, and so are groups of digits that make a card number."""
     found: dict[int, list] = {}
+    runs: list[tuple[int, list[tuple]]] = []  # of neighbouring card tokens that are groups of digits
     label, p = marginals.argmax(axis=1), marginals.max(axis=1)
     last = -2
     for i in np.flatnonzero((label != OTHER) & (p >= least)).tolist():
@@ -275,7 +335,16 @@ def added_spans(graph: Graph, marginals: np.ndarray, texts: dict[int, str],
         while e > s and not text[e - 1].isalnum():
             e -= 1
         token, kind = text[s:e], KINDS[label[i]]
-        if not _may_be(kind, token) or any(s < be and bs < e for bs, be, _ in base[d]):
+        if any(s < be and bs < e for bs, be, _ in base[d]):
+            continue
+        if kind == "card" and (group := digit_group(text, *graph.spans[i])):
+            if runs and runs[-1][0] == d and last == i - 1 and runs[-1][1][-1][4] and group[3] and text[runs[-1][1][-1][1]:s].isspace():
+                runs[-1][1].append(group)
+            else:
+                runs.append((d, [group]))
+            last = i
+            continue
+        if not _may_be(kind, token):
             continue
         spans = found.setdefault(d, [])
         if last == i - 1 and spans and spans[-1][2] == kind and kind == "phone" and text[spans[-1][1]:s].isspace():
@@ -283,6 +352,12 @@ def added_spans(graph: Graph, marginals: np.ndarray, texts: dict[int, str],
         else:
             spans.append((s, e, kind))
         last = i
+    for d, run in runs:
+        parts = card_parts(run)
+        if not parts and 12 <= sum(len(g[2]) for g in run) <= 19:
+            parts = [(0, len(run) - 1)]
+        if parts:
+            found.setdefault(d, []).extend((run[a][0], run[b][1], "card") for a, b in parts)
     return {d: kept for d, spans in found.items()
             if (kept := [x for x in spans if x[2] != "phone" or len(_DIGIT.findall(texts[d][x[0]:x[1]])) >= 7])}
 

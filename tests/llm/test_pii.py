@@ -118,3 +118,40 @@ def test_masked_documents(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: (None, 1), 2: ("mail <EMAIL> now", 16), 3: ("none", 4), 4: ("<IP> <IP>", 9)}
     assert pii.mask("abcdef", [(0, 3, "ip"), (1, 4, "card"), (5, 6, "ip")]) == "<IP>e<IP>"
+
+
+def mixed_field():
+    """Trained on cards in groups and in one piece, beside other numbers."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for i in range(300):
+        card = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        card += str(next(d for d in range(10) if pii.luhn(card + str(d))))
+        card = " ".join(card[k:k + 4] for k in range(0, 16, 4)) if i % 2 else card
+        years = " ".join(map(str, rng.integers(1900, 2030, 2)))
+        texts.append(f"{prose(i, 8)} card {card} {prose(i + 1, 5)} years {years} {prose(i + 3, 4)} order {i} {prose(i + 2, 4)}")
+    return pii.train(texts)
+
+
+@pytest.mark.parametrize("beside", ["7 {}", "{} 7", "no 12 {}", "({} 7)", "123 {}"])
+def test_field_adds_a_card_in_groups_beside_other_digits(beside):
+    f = mixed_field()
+    card = "4111 1111 1111 1111"
+    text = f"{prose(1, 8)} card {beside.format(card)} {prose(2, 9)}"
+    base = {0: pii.base_spans(text)}
+    assert base == {0: []}  # the pattern's match fails as a whole
+    graph = pii.Graph.of([(0, text)])
+    added = pii.added_spans(graph, f.marginals(graph), {0: text}, base)
+    assert [(text[s:e], k) for s, e, k in added[0]] == [(card, "card")]
+    assert card not in pii.mask(text, added[0])
+
+
+def test_skip_links_join_notations_of_a_card():
+    text = "4111 1111 1111 1111 x 4111111111111111 x (4111-1111 1111-1111) x 4111-1111-1111-1111"
+    graph = pii.Graph.of([(0, text)])
+    first = {}
+    for i, (s, e) in enumerate(graph.spans):
+        first[s] = i
+    at = [first[text.index(t)] for t in ("4111 1111", "4111111111111111", "(4111", "4111-1111-1111-1111")]
+    skips = {(a, b) for a, b, k in graph.edges if k == 1}
+    assert all(pair in skips for pair in zip(at, at[1:]))
