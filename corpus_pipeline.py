@@ -36,7 +36,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, with their place in a sequence."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added_tokens=True)
 
 
 STAGES = [

@@ -33,21 +33,26 @@ CAPACITY = 1024
 END_ID = 2
 GROUP_DOCS = 4096
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Added tokens of the tokenizers file, which the rank file does not hold.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 
 PIECE_SCHEMA = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
                 "sequence_id long, offset long")
 
 
-def load_encoder(vocabulary: str = VOCABULARY):
+def load_encoder(vocabulary: str = VOCABULARY, added_tokens: bool = False):
     """The byte-pair encoder of a public rank file. It gives the ids of the
     tokenizers file with the same vocabulary (tests compare them) at several
-    times its speed."""
+    times its speed. With ``added_tokens`` the strings of ``ADDED_TOKENS`` in a
+    text become their ids, as the tokenizers library does unless told otherwise
+    (its ``add_special_tokens=False`` concerns the ends of a text only); else
+    they are ordinary text."""
     import public_tokenizers
     import tiktoken
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN,
-                             mergeable_ranks=ranks, special_tokens={})
+                             mergeable_ranks=ranks, special_tokens=ADDED_TOKENS if added_tokens else {})
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -57,17 +62,17 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenized(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
-              vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+              vocabulary: str = VOCABULARY, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, crcs`` (CRC-32 of every
     piece's little-endian ids) and, on request, ``ids``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_encoder(vocabulary)
+        enc = load_encoder(vocabulary, added_tokens)
         end = np.array([end_id], dtype="<u4")
         for batch in text_slices(batches):
             counts, crcs, ids = [], [], []
             for text in batch.column(1).to_pylist():
-                a = np.concatenate([enc.encode_to_numpy(text, disallowed_special=()), end]).astype("<u4")
+                a = np.concatenate([enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()), end]).astype("<u4")
                 counts.append(len(a))
                 crcs.append([zlib.crc32(a[s:e].tobytes()) for s, e in piece_bounds(len(a), capacity)])
                 if with_ids:
@@ -142,11 +147,11 @@ def place(tokens: DataFrame, n_docs: int, capacity: int = CAPACITY,
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY,
-                   group_docs: int = GROUP_DOCS) -> DataFrame:
+                   group_docs: int = GROUP_DOCS, added_tokens: bool = False) -> DataFrame:
     """Pieces of all documents with their place: ``doc_id, piece, start, length,
     ids_crc32, sequence_id, offset``."""
     rows = id_text(docs, id_col, text_col)
-    return place(tokenized(rows, capacity, end_id, vocabulary), docs.count(), capacity, group_docs)
+    return place(tokenized(rows, capacity, end_id, vocabulary, added_tokens=added_tokens), docs.count(), capacity, group_docs)
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -155,7 +160,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     capacity = settings.get("capacity", CAPACITY)
     rows = id_text(docs, id_col, text_col)
     ids = tokenized(rows, capacity, settings.get("end_id", END_ID),
-                    settings.get("vocabulary", VOCABULARY), with_ids=True)
+                    settings.get("vocabulary", VOCABULARY), with_ids=True, added_tokens=settings.get("added_tokens", False))
     placed = pack_documents(docs, id_col, text_col, **settings)
     part = F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
     joined = placed.join(ids.select("doc_id", "ids"), "doc_id").select(

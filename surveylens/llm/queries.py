@@ -13,7 +13,7 @@ from surveylens.llm.common import documents
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of at most 1024 tokens, packed by sum of squares."""
-    return packing.pack_documents(documents(spark, sf_dir))
+    return packing.pack_documents(documents(spark, sf_dir), added_tokens=True)
 
 
 def _span_columns(spans, kinds: tuple[str, ...]) -> dict:

@@ -93,3 +93,28 @@ def test_each_step_is_the_best_by_brute_force(seed):
         room[s] -= size
         assert squares(room.values()) == min(costs)
     assert used == len(room)
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>\n\n x", "x  <|endoftext|>  y", "<|endoftext|", "é<|endoftext|>é "]
+
+
+def test_added_tokens_as_the_library_encodes_by_default(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path) as f:
+        assert {t["content"]: t["id"] for t in json.load(f)["added_tokens"]} == packing.ADDED_TOKENS
+    t = Tokenizer.from_file(path)
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in ADDED]
+    got = packing.tokenized(frame(spark, list(enumerate(ADDED))).select("doc_id", "text"), with_ids=True, added_tokens=True)
+    assert {r.doc_id: list(r.ids) for r in got.collect()} == dict(enumerate(want))
+    # the query and the pipeline's stage ask for them
+    import corpus_pipeline
+    from surveylens.llm import queries
+    docs = frame(spark, list(enumerate(ADDED)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.op1_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, str(tmp_path))):
+        assert {r.doc_id: (r.length, r.ids_crc32) for r in out.collect()} == {
+            i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
