@@ -151,8 +151,9 @@ def copy_groups(rows: DataFrame, is_history, shard_keys: int = SHARD_KEYS) -> Da
     """Groups of equal digests over all ``(doc_id, digest)`` rows, of which
     ``is_history`` (a boolean column) says which are indexed and which arrive."""
     old = cut_lineage(digest_groups(rows.filter(F.coalesce(is_history, F.lit(False)))))
-    new = digest_groups(rows.filter(~F.coalesce(is_history, F.lit(False))))
-    shards = shards_for(old.count(), shard_keys)
+    new = cut_lineage(digest_groups(rows.filter(~F.coalesce(is_history, F.lit(False)))))
+    # both sides of the lookup meet by shard: the larger one sets their number
+    shards = shards_for(max(old.count(), new.count()), shard_keys)
     groups = lookup(new, build_index(old, shards), shards)
     return cut_lineage(groups.withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID))))
 

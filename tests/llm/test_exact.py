@@ -59,3 +59,13 @@ def test_small_shards(spark):
     groups = exact.copy_groups(exact.digests(frame(spark, rows)), F.col("doc_id") < 90, shard_keys=5).collect()
     assert len(groups) == 37 and sum(g.group_size for g in groups) == 200
     assert {g.keep_id for g in groups} == set(range(163, 200))
+
+
+def test_shards_follow_the_larger_side(spark, monkeypatch):
+    asked, lookup = [], exact.lookup
+    monkeypatch.setattr(exact, "lookup", lambda new, index, shards: asked.append(shards) or lookup(new, index, shards))
+    # one far smaller id: it is the whole history
+    rows = [(-10**12, "text 0")] + [(i, f"text {i % 50}") for i in range(100)]
+    out = exact.copy_groups(exact.digests(frame(spark, rows), "doc_id", "text"), F.col("doc_id") < 0, shard_keys=10).collect()
+    assert asked == [5]
+    assert sorted((r.keep_id, r.group_size) for r in out) == [(50 + i, 3 if i == 0 else 2) for i in range(50)]
