@@ -4,15 +4,15 @@ The DOMs of one host are merged into a tree of style nodes: elements with the
 same path of tags and class names from the root are one node. A node's
 presentation importance is the entropy of the child sequences that pages show
 there; its content importance is one less the mean entropy of its content
-features (hashes of four-word shingles, the smallest ``FEATURES`` of a page and
-node, which samples alike on every page): what stands on every page of a host
-has importance 0, what stands on one page has importance 1. The composite of
-both, from the leaves upwards, decides: a branch of which no node reaches
-``THRESHOLD`` is removed from each page of the host. Elements whose tag, class
-or role names a menu, header, footer, sidebar, notice, advert, form or reader
-comments have no importance, whatever they hold; where a page marks its article
-(``article``, ``main``), that branch is important and all outside it is not.
-Hosts with fewer than ``LEAST_PAGES`` pages are judged by these marks alone.
+features (hashes of all its four-word shingles): what stands on every page of a
+host has importance 0, what stands on one page has importance 1. The composite
+of both, from the leaves upwards, is smoothed by ``PRIOR_PAGES`` pages that show
+an important node, and decides: a branch of which no node reaches ``THRESHOLD``
+is removed from each page of the host. Elements whose tag, class or role names a
+menu, header, footer, sidebar, notice, advert, form or reader comments have no
+importance, whatever they hold. Where a page marks its article (``article``,
+``main``), ``MARK`` is added to the importance inside; outside, it is taken off,
+and the pages of the prior show an unimportant node.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by two line ends. Null and empty pages give an empty text;
@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import cut_lineage, small_batches
-
-FEATURES, SHINGLE = 8, 4
-THRESHOLD, GAMMA, LEAST_PAGES = 0.5, 0.9, 8
+from surveylens.llm.common import cut_lineage, shards_for, small_batches
+
+SHINGLE = 4
+THRESHOLD, GAMMA = 0.5, 0.9
+#: Weight of the prior in pages, and what an article mark adds to the importance inside it and takes off outside.
+PRIOR_PAGES, MARK = 3, 0.25
+LOW, LOW_INSIDE, HIGH_OUTSIDE = 0, 1, 2
+#: Pages whose content features one task counts, about.
+SLOT_PAGES = 2048
+#: Bytes of a feature's hash that are shuffled: two of a million features of a node and slot meet with a chance of a third.
+FEATURE_BYTES = 5
+#: Child sequences that a task sums up before it passes them on.
+HELD_SEQUENCES = 1 << 16
 #: Style nodes (of all hosts) that go to every task as a broadcast; more are joined by host.
 BROADCAST_NODES = 1 << 18
 
@@ -184,16 +194,36 @@ def _features(text: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(" ".join(words[i:i + n])) >> 1 for i in range(len(words) - n + 1)]
 
 
-FEATURE_SCHEMA = "host string, path long, parent long, kind int, feature long"
+FEATURE_SCHEMA = "slot int, host string, path long, parent long, feature long, n long, nodes binary, features binary"
+STAT_SCHEMA = ("node long, host string, path long, parent long, pages double, shown double, "
+               "occurrences double, repeated double")
 
 
-def style_features(pages: DataFrame) -> DataFrame:
-    """For each ``(host, html)`` row and style node: its child sequences (kind 0) and its
-    smallest content features (kind 1)."""
+def style_features(pages: DataFrame, slots: int) -> DataFrame:
+    """Rows ``host, path, parent, feature, n`` with the child sequences of style
+    nodes and their numbers of pages, and rows ``nodes, features`` with all
+    content features of a batch, packed (besides the slot, ``FEATURE_BYTES`` of
+    each); both dealt into ``slots`` by node and feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequences_of: Counter = Counter()  # summed up over the batches, so that a hot host leaves few rows
+
+        def shown_rows() -> list[tuple]:
+            out = [((node_id(host, path) + feature) % slots, host, path, parent, feature, n, None, None)
+                   for (host, path, parent, feature), n in sequences_of.items()]
+            sequences_of.clear()
+            return out
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[]] * 8
+            types = [pa.int32(), pa.string(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)],
+                ["slot", "host", "path", "parent", "feature", "n", "nodes", "features"])
+
         for batch in batches:
-            out: list[tuple] = []
+            rows: list[tuple] = []
+            ids, counts, flat = [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 if not page:
                     continue
@@ -206,17 +236,83 @@ def style_features(pages: DataFrame) -> DataFrame:
                 for n, text in blocks:
                     held.setdefault(n.path, set()).update(_features(text))
                 for path, sequences in shown.items():
-                    out.append((host, path, parent.get(path, 0), 0, xxhash.xxh3_64_intdigest("|".join(sorted(sequences))) >> 1))
+                    feature = xxhash.xxh3_64_intdigest("|".join(sorted(sequences))) >> 1
+                    sequences_of[host, path, parent.get(path, 0), feature] += 1
                 for path, found in held.items():
-                    out += [(host, path, parent.get(path, 0), 1, f) for f in sorted(found)[:FEATURES]]
-            columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string())] + [pa.array(columns[i], pa.int32() if i == 3 else pa.int64()) for i in (1, 2, 3, 4)],
-                ["host", "path", "parent", "kind", "feature"])
+                    ids.append(node_id(host, path))
+                    counts.append(len(found))
+                    flat.extend(found)
+            features = np.array(flat, np.int64)
+            owners = np.repeat(np.array(ids, np.int64), counts)
+            slot = features % slots
+            order = np.lexsort((owners, slot))
+            ends = np.searchsorted(slot[order], np.arange(slots + 1))
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                at = order[ends[k]:ends[k + 1]]
+                rows.append((k, None, 0, 0, 0, 0, owners[at].tobytes(), _packed(features[at])))
+            if len(sequences_of) >= HELD_SEQUENCES:
+                rows += shown_rows()
+            yield batch_of(rows)
+        yield batch_of(shown_rows())
 
     return pages.mapInArrow(run, FEATURE_SCHEMA)
 
 
+def node_id(host: str, path: int) -> int:
+    """One number for a host's style node."""
+    return xxhash.xxh3_64_intdigest(host.encode("utf-8", "replace"), seed=path) >> 1
+
+
+def _packed(features: np.ndarray) -> bytes:
+    """The upper ``FEATURE_BYTES`` of each feature (of 63 bits)."""
+    return (features >> (63 - 8 * FEATURE_BYTES)).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :FEATURE_BYTES].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // FEATURE_BYTES, 8), np.uint8)
+    out[:, :FEATURE_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, FEATURE_BYTES)
+    return out.view("<i8").ravel()
+
+
+def _counted(nodes: np.ndarray, features: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct nodes, and the sums of ``n`` and ``n ln n`` over their features' counts ``n``."""
+    order = np.lexsort((features, nodes))
+    nodes, features = nodes[order], features[order]
+    first = np.ones(len(nodes), bool)
+    first[1:] = (nodes[1:] != nodes[:-1]) | (features[1:] != features[:-1])
+    start = np.flatnonzero(first)
+    n = np.add.reduceat(times[order].astype(float), start)
+    owner, at = np.unique(nodes[start], return_inverse=True)
+    return owner, np.bincount(at, n, len(owner)), np.bincount(at, n * np.log(n), len(owner))
+
+
+def style_stats(features: DataFrame) -> DataFrame:
+    """``host, path, parent, pages, shown, occurrences, repeated`` of every style
+    node: each slot counts its features, the slots' sums are added up."""
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        packed = rows.features.notna()
+        shows = rows[~packed]
+        out = []
+        if len(shows):
+            ids = np.array([node_id(h, p) for h, p in zip(shows.host, shows.path)], np.int64)
+            node, pages, shown = _counted(ids, shows.feature.to_numpy(), shows.n.to_numpy())
+            meta = pd.DataFrame({"node": ids, "host": shows.host.to_numpy(), "path": shows.path.to_numpy(),
+                                 "parent": shows.parent.to_numpy()}).groupby("node").agg(
+                {"host": "first", "path": "first", "parent": "min"}).loc[node].reset_index()
+            out.append(meta.assign(pages=pages, shown=shown, occurrences=0.0, repeated=0.0))
+        if packed.any():
+            nodes = np.frombuffer(b"".join(rows.nodes[packed]), np.int64)
+            node, n, repeated = _counted(nodes, _unpacked(b"".join(rows.features[packed])), np.ones(len(nodes)))
+            out.append(pd.DataFrame({"node": node, "host": None, "path": 0, "parent": 0, "pages": 0.0, "shown": 0.0,
+                                     "occurrences": n, "repeated": repeated}))
+        return pd.concat(out)
+
+    sums = [F.sum(c).alias(c) for c in ("pages", "shown", "occurrences", "repeated")]
+    return features.groupBy("slot").applyInPandas(count, STAT_SCHEMA).groupBy("node").agg(
+        F.max("host").alias("host"), F.max("path").alias("path"), F.min(F.when(F.col("host").isNotNull(), F.col("parent"))).alias("parent"), *sums)
+
+
 def importances(stats: pd.DataFrame, gamma: float = GAMMA) -> dict[int, float]:
     """Composite importance of a host's style nodes, from ``path, parent,
     pages, shown, occurrences, repeated`` (the last two sums of ``n`` and ``n ln n``)."""
@@ -251,52 +347,63 @@ def importances(stats: pd.DataFrame, gamma: float = GAMMA) -> dict[int, float]:
     return done
 
 
-def noise_nodes(counts: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``host, path`` of the style nodes that are removed, from the numbers of
-    pages ``n`` by ``host, path, parent, kind, feature``. Nodes on fewer than
-    ``least_pages`` pages are not judged, so a host's rows here are as many as
-    its templates have nodes, whatever the number of its pages."""
-    n = F.col("n").cast("double")
-    shown, held = F.col("kind") == 0, F.col("kind") == 1
-    stats = counts.groupBy("host", "path").agg(
-        F.min("parent").alias("parent"), F.coalesce(F.sum(F.when(shown, n)), F.lit(0.0)).alias("pages"),
-        F.coalesce(F.sum(F.when(shown, n * F.log(n))), F.lit(0.0)).alias("shown"),
-        F.coalesce(F.sum(F.when(held, n)), F.lit(0.0)).alias("occurrences"),
-        F.coalesce(F.sum(F.when(held, n * F.log(n))), F.lit(0.0)).alias("repeated"))
+def smoothed(value: float, pages: float, prior: float) -> float:
+    """An importance seen on ``pages`` pages, with ``PRIOR_PAGES`` more that show ``prior``."""
+    return (pages * value + PRIOR_PAGES * prior) / (pages + PRIOR_PAGES)
+
+
+def judged_nodes(stats: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``host, path, verdict`` of the style nodes that the tree decides:
+    ``LOW`` branches go from pages without a mark, ``LOW_INSIDE`` ones from
+    inside a mark too, ``HIGH_OUTSIDE`` nodes stay beside a mark. A node on few
+    pages cannot get any of them, whatever it holds, so those are left out and a
+    host's rows here are as many as its templates have nodes."""
+    least = min(n for n in range(1, 1000) if smoothed(0, n, 1) < threshold or smoothed(1, n, 0) - MARK >= threshold)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        value = importances(rows)
-        best = dict(value)  # of a branch
+        pages, value = dict(zip(rows.path, rows.pages)), importances(rows)
+        best = {p: smoothed(v, pages[p], 1) for p, v in value.items()}  # of a branch
         parent = dict(zip(rows.path, rows.parent))
-        for path in value:
+        for path, own in list(best.items()):
             up, seen = parent.get(path), {path}
             while up in best and up not in seen:
-                best[up] = max(best[up], value[path])
+                best[up] = max(best[up], own)
                 seen.add(up)
                 up = parent.get(up)
-        low = [p for p, v in best.items() if v < threshold]
-        return pd.DataFrame({"host": [key[0]] * len(low), "path": np.array(low, np.int64)})
+        found = [(p, LOW) for p, v in best.items() if v < threshold]
+        found += [(p, LOW_INSIDE) for p, v in best.items() if v + MARK < threshold]
+        found += [(p, HIGH_OUTSIDE) for p, v in value.items() if smoothed(v, pages[p], 0) - MARK >= threshold]
+        return pd.DataFrame({"host": [key[0]] * len(found), "path": np.array([p for p, _ in found], np.int64),
+                             "verdict": np.array([v for _, v in found], np.int32)})
 
-    return stats.filter(F.col("pages") >= least_pages).groupBy("host").applyInPandas(run, "host string, path long")
+    return stats.filter(F.col("pages") >= least).groupBy("host").applyInPandas(run, "host string, path long, verdict int")
 
 
-def main_text(page: str | None, noise: frozenset[int]) -> str:
-    """The blocks of a page that are left, joined."""
+def main_text(page: str | None, noise: frozenset[int], inside: frozenset[int] = frozenset(),
+              outside: frozenset[int] = frozenset()) -> str:
+    """The blocks of a page that are left, joined: without branches of
+    ``noise``; on a page with a mark, without branches of ``inside`` in it and
+    with the nodes of ``outside`` beside it."""
     if not page:
         return ""
     blocks, nodes, links = blocks_of(page)
     marked = any(n.tag in MAIN_TAGS and not n.furniture for n in nodes)
     parent = dict(links)
 
-    def low(path: int) -> bool:
+    def low(path: int, gone: frozenset[int]) -> bool:
         seen = 0
         while path and seen < 10_000:
-            if path in noise:
+            if path in gone:
                 return True
             path, seen = parent.get(path, 0), seen + 1
         return False
 
-    kept = [text for n, text in blocks if not n.furniture and (n.main if marked else not low(n.path))]
+    def stays(n: Node) -> bool:
+        if not marked:
+            return not low(n.path, noise)
+        return not low(n.path, inside) if n.main else n.path in outside
+
+    kept = [text for n, text in blocks if not n.furniture and stays(n)]
     return "\n\n".join(kept)
 
 
@@ -306,17 +413,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST"))), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    counts = style_features(rows.select("host", "html")).groupBy("host", "path", "parent", "kind", "feature").agg(
-        F.count(F.lit(1)).alias("n"))
-    noise = cut_lineage(noise_nodes(counts))
-    small = noise.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    by_host = noise.groupBy("host").agg(F.collect_list("path").alias("noise"))
-    joined = rows.join(F.broadcast(by_host) if small else by_host, "host", "left").select("page_id", "url", "html", "noise")
+    slots = shards_for(pages.count(), SLOT_PAGES)
+    judged = cut_lineage(judged_nodes(style_stats(style_features(rows.select("host", "html"), slots))))
+    small = judged.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    by_host = judged.groupBy("host").agg(*[
+        F.collect_list(F.when(F.col("verdict") == v, F.col("path"))).alias(f"v{v}") for v in (LOW, LOW_INSIDE, HIGH_OUTSIDE)])
+    joined = rows.join(F.broadcast(by_host) if small else by_host, "host", "left").select("page_id", "url", "html", "v0", "v1", "v2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, frozenset(low or ())) for page, low in zip(
-                batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(page, *(frozenset(v or ()) for v in verdicts)) for page, *verdicts in zip(
+                *(batch.column(i).to_pylist() for i in range(2, 6)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])

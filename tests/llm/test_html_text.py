@@ -79,3 +79,41 @@ def test_importance_of_one_and_of_every_page():
     value = html_text.importances(stats(
         root=("", 100, same, 0, 0), menu=("root", 100, same, 300, 300 * log(100)), story=("root", 100, same, 300, 0.0)))
     assert value["menu"] == 0 and value["story"] == 1 and 0 < value["root"] < 1
+
+
+def marked_site(n, frame="<p>All of this was made by hand here</p>", first=0):
+    rows = []
+    for i in range(first, first + n):
+        body = "".join(f"<p>story {i} part {j} tells of {i * 31 + j} things that happened {i * 7 + j} days ago</p>" for j in range(3))
+        rows.append((i, f"http://m.example/{i}", f"<body><article><div class='tale'>{body}</div><div class='end'>{frame}</div></article></body>"))
+    return rows
+
+
+def extracted(spark, rows):
+    return [r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+
+
+def test_repeated_block_inside_a_mark_goes(spark):
+    for text in extracted(spark, marked_site(30)):
+        assert text.count("story") == 3 and "made by hand" not in text
+    assert all("made by hand" in t for t in extracted(spark, marked_site(4)))  # the mark outweighs few pages
+
+
+def test_important_text_beside_a_mark_stays(spark):
+    rows = [(i, u, h.replace("</body>", "<article>Read our guide to all sites</article></body>")) for i, u, h in site(30)]
+    for text in extracted(spark, rows):
+        assert text.count("story") == 3 and "Welcome" not in text and "made by hand" not in text
+
+
+def test_few_pages_are_judged(spark):
+    # a frame on all of 6 pages goes as on 30
+    assert all("Welcome" not in t and t.count("story") == 3 for t in extracted(spark, site(6)))
+
+
+def test_all_shingles_count(spark):
+    from math import log
+    long = " ".join(f"w{k}" for k in range(400))  # on both pages; 100 words more are the page's own
+    rows = [(i, f"http://a/{i}", f"<div>{long} " + " ".join(f"p{i}x{k}" for k in range(100)) + "</div>") for i in range(2)]
+    df = spark.createDataFrame([("a", h) for _, _, h in rows], "host string, html string")
+    (div,) = [r for r in html_text.style_stats(html_text.style_features(df, 3)).collect() if r.occurrences]
+    assert (div.host, div.pages, div.occurrences) == ("a", 2, 2 * 497) and abs(div.repeated - 397 * 2 * log(2)) < 1e-6
