@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylens.llm import exact, html_text, langid, near, packing, pieces, pii, resampling, rules, secret_scan
+from surveylens.llm import (
+    exact, html_text, langid, merkle, near, packing, pieces, pii, resampling, rules, secret_scan)
 from surveylens.llm.common import documents
 
 
@@ -79,6 +80,14 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op13_sha_midstate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of the documents; a third of the ids, by their check sum, are
+    checked with a text in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(tampered, merkle.ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.verify(documents(spark, sf_dir), {"text": text}).drop("pos")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_skip_chain": op2_pii_skip_chain,
@@ -90,6 +99,7 @@ QUERIES = {
     "op8_repetition_rules": op8_repetition_rules,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_language_crf": op10_language_crf,
+    "op13_sha_midstate_tree": op13_sha_midstate_tree,
 }
 
 #: DuckDB SQL of the queries that SQL can state.
