@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveylens.llm import (
-    exact, html_text, langid, merkle, near, packing, pieces, pii, resampling, rules, secret_scan)
+    exact, html_text, langid, merkle, near, packing, pieces, pii, resampling, rules, secret_scan,
+    spelling)
 from surveylens.llm.common import documents
 
 
@@ -80,6 +81,11 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_prefix_suffix_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents with their near words, forms and roots."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_sha_midstate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of the documents; a third of the ids, by their check sum, are
     checked with a text in lower case."""
@@ -99,6 +105,7 @@ QUERIES = {
     "op8_repetition_rules": op8_repetition_rules,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_language_crf": op10_language_crf,
+    "op11_prefix_suffix_tiling": op11_prefix_suffix_tiling,
     "op13_sha_midstate_tree": op13_sha_midstate_tree,
 }
 
