@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveylens.llm import (
     exact, html_text, langid, merkle, near, packing, pieces, pii, resampling, rules, secret_scan,
-    spelling)
+    spelling, suffixes)
 from surveylens.llm.common import documents
 
 
@@ -86,6 +86,14 @@ def op11_prefix_suffix_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_external_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the documents that 200-byte repeats cover, and the digest of the others."""
+    found = suffixes.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_sha_midstate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of the documents; a third of the ids, by their check sum, are
     checked with a text in lower case."""
@@ -106,6 +114,7 @@ QUERIES = {
     "op9_importance_resampling": op9_importance_resampling,
     "op10_language_crf": op10_language_crf,
     "op11_prefix_suffix_tiling": op11_prefix_suffix_tiling,
+    "op12_external_induced_sorting": op12_external_induced_sorting,
     "op13_sha_midstate_tree": op13_sha_midstate_tree,
 }
 
