@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import expressions as E
 from ..functions import presets as P
+from .moments import co_moments
 from .quantiles import exact_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -222,21 +223,18 @@ def density_curve(df: DataFrame, value: str, grid: int = 200, bandwidth: float |
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations, long ``(var_a, var_b, r)``.
 
-    Each row is expanded into one ``(pair, x, y)`` row per pair of columns and a
-    single ``corr`` is aggregated per pair (partial + final), so the aggregate
-    stays in whole-stage codegen for any number of columns. NaN is missing.
-    The diagonal is 1 for a column with variance, the mirror is copied.
+    One pass of mergeable co-moments over all pairs (``moments.co_moments``): a task gives one row
+    per pair, whatever the number of its rows. NaN is missing. The diagonal is 1 for a
+    column with variance, the mirror is copied.
     """
     cols = [c for c in (cols if cols is not None else numeric_columns(df)) if c in df.columns]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    if not pairs:
+    if not cols:
         return df.sparkSession.createDataFrame([], "var_a string, var_b string, r double")
-    clean = df.select(*[E.clean_double(f"`{c}`").alias(f"x{i}") for i, c in enumerate(cols)])
-    agg = clean.select(E.rows_of(["_a", "_b", "_x", "_y"], [
-        (F.lit(cols[i]), F.lit(cols[j]), F.col(f"x{i}"), F.col(f"x{j}")) for i, j in pairs])).groupBy("_a", "_b").agg(
-        F.corr("_x", "_y").alias("_c"), F.stddev_samp("_x").alias("_s"))
-    r = F.when(F.col("_a") == F.col("_b"), F.when(F.col("_s") > 0, F.lit(1.0))).otherwise(F.col("_c"))
+    names = F.array(*[F.lit(c) for c in cols])
+    agg = co_moments(df, [E.clean_double(f"`{c}`") for c in cols])
+    varied = (F.col("n") > 1) & (F.col("sxx") > 0) & (F.col("syy") > 0)
+    own = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("sxy") / F.sqrt(F.col("sxx")) / F.sqrt(F.col("syy")))
+    agg = agg.select(names[F.col("i")].alias("_a"), names[F.col("j")].alias("_b"), F.when(varied, own).alias("r"))
     pair = F.struct(F.col("_a").alias("var_a"), F.col("_b").alias("var_b"), F.col("r"))
     mirror = F.struct(F.col("_b").alias("var_a"), F.col("_a").alias("var_b"), F.col("r"))
-    return agg.withColumn("r", r).select(F.inline(
-        F.when(F.col("_a") == F.col("_b"), F.array(pair)).otherwise(F.array(pair, mirror))))
+    return agg.select(F.inline(F.when(F.col("_a") == F.col("_b"), F.array(pair)).otherwise(F.array(pair, mirror))))
