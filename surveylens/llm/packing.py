@@ -12,12 +12,14 @@ is packed by itself, so a task holds a few thousand lengths whatever the table
 size, and leaves a handful of sequences less than full.
 
 Null text is an empty document (one piece that holds the end id); an empty
-table gives no rows; repeated rows are packed each by itself.
+table gives no rows; repeated rows are packed each by itself, in any group. Texts are encoded whole,
+whatever their length. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -27,32 +29,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import id_text, shards_for, text_slices
+from surveylens.llm.common import id_text, shards_for, small_batches, text_slices
 
 CAPACITY = 1024
 END_ID = 2
 GROUP_DOCS = 4096
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Added tokens of the tokenizers file, which the rank file does not hold.
-ADDED_TOKENS = {"<|endoftext|>": 50256}
+#: The tokenizers file of a rank file's vocabulary.
+LIBRARY_FILE = {VOCABULARY: "byte_bpe_50k.json"}
 
 PIECE_SCHEMA = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
                 "sequence_id long, offset long")
 
 
-def load_encoder(vocabulary: str = VOCABULARY, added_tokens: bool = False):
-    """The byte-pair encoder of a public rank file. It gives the ids of the
-    tokenizers file with the same vocabulary (tests compare them) at several
-    times its speed. With ``added_tokens`` the strings of ``ADDED_TOKENS`` in a
-    text become their ids, as the tokenizers library does unless told otherwise
-    (its ``add_special_tokens=False`` concerns the ends of a text only); else
-    they are ordinary text."""
-    import public_tokenizers
-    import tiktoken
-    with open(public_tokenizers.path(vocabulary), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN,
-                             mergeable_ranks=ranks, special_tokens=ADDED_TOKENS if added_tokens else {})
+class Encoder:
+    """Byte-pair ids of texts as the tokenizers library gives them for a public vocabulary.
+
+    ``tiktoken`` with the rank file of the same vocabulary gives the same ids (tests compare them) at
+    several times the speed; a text that it cannot split (it gives up on very long runs of white space)
+    goes to the library itself. With ``added_tokens`` the added tokens of the library's file become
+    their ids where a text holds them, as the library does unless told otherwise (its
+    ``add_special_tokens=False`` concerns the ends of a text only); else they are ordinary text."""
+
+    def __init__(self, vocabulary: str = VOCABULARY, added_tokens: bool = False):
+        import public_tokenizers
+        import tiktoken
+        self.file, self.added = public_tokenizers.path(LIBRARY_FILE[vocabulary]), added_tokens
+        with open(public_tokenizers.path(vocabulary), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(self.file, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                      special_tokens=added if added_tokens else {})
+        self.whole = None
+
+    def library(self):
+        if self.whole is None:
+            from tokenizers import Tokenizer
+            self.whole = Tokenizer.from_file(self.file)
+            self.whole.encode_special_tokens = not self.added
+        return self.whole
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:
+            return np.array(self.library().encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -67,12 +89,12 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
     piece's little-endian ids) and, on request, ``ids``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_encoder(vocabulary, added_tokens)
+        enc = Encoder(vocabulary, added_tokens)
         end = np.array([end_id], dtype="<u4")
         for batch in text_slices(batches):
             counts, crcs, ids = [], [], []
             for text in batch.column(1).to_pylist():
-                a = np.concatenate([enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()), end]).astype("<u4")
+                a = np.concatenate([enc.ids(text), end]).astype("<u4")
                 counts.append(len(a))
                 crcs.append([zlib.crc32(a[s:e].tobytes()) for s, e in piece_bounds(len(a), capacity)])
                 if with_ids:
@@ -84,6 +106,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, crcs array<long>" + (", ids array<int>" if with_ids else "")
     return docs.mapInArrow(encode, schema)
 
@@ -141,7 +164,8 @@ def place(tokens: DataFrame, n_docs: int, capacity: int = CAPACITY,
             "offset": np.where(head, offset[at], 0)})
 
     groups = shards_for(n_docs, group_docs)
-    dealt = tokens.withColumn("_group", F.pmod(F.xxhash64("doc_id", "n_tokens", "crcs"), F.lit(groups)))
+    # rows that repeat are dealt too: their place in the table takes part
+    dealt = tokens.withColumn("_group", F.pmod(F.xxhash64("doc_id", "n_tokens", "crcs", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(pack, PIECE_SCHEMA)
 
 

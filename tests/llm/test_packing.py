@@ -118,3 +118,21 @@ def test_added_tokens_as_the_library_encodes_by_default(spark, tmp_path):
     for out in (queries.op1_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, str(tmp_path))):
         assert {r.doc_id: (r.length, r.ids_crc32) for r in out.collect()} == {
             i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
+
+
+def test_texts_that_the_fast_encoder_gives_up_on(spark):
+    """A million blanks, between words and with the added token: the library's ids."""
+    rows = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "x <|endoftext|> y")]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder(added_tokens=True)
+    for _, text in rows:
+        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    pieces = packing.pack_documents(frame(spark, rows[:2])).collect()
+    check(pieces, rows[:2], packing.CAPACITY)
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    out = packing.pack_documents(frame(spark, [(1, "one two three")] * 400), group_docs=20).collect()
+    assert len({p.sequence_id >> 40 for p in out}) > 10
