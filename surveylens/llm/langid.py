@@ -55,7 +55,12 @@ class Numbers(dict):
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters. The pattern also takes numbers that are no digits (fractions, Roman numerals,
+    circled ones): those part words."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 def feature_rows(words: list[str], lexicon: dict[str, int]) -> np.ndarray:

@@ -76,3 +76,7 @@ def test_language_is_no_input(spark):
     field = langid.train([("the house and garden", "en"), ("das haus und garten", "de")] * 5)
     a = langid.predict(["the garden", "das haus"], field, langid.Numbers(), [np.zeros((0, 2), np.float32)])[0]
     assert a == ["en", "de"] and docs.filter(F.col("lang").isNull()).count() == 0
+
+
+def test_numbers_that_are_no_letters():
+    assert [langid.words_of(t) for t in ("½ ²", "Ⅷ", "①", "a½b cd", "Éa ß")] == [[], [], [], ["a", "b", "cd"], ["éa", "ß"]]
