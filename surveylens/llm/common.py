@@ -46,23 +46,44 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 #: Ids (eight bytes each, several times that in a hash table) that a task may get as a broadcast.
 BROADCAST_IDS = 1 << 18
+#: Rows of one key beyond which a join treats it by itself.
+HOT_ROWS = 1 << 10
 
 
-def _sized(ids: DataFrame) -> DataFrame:
-    """``ids`` as a column ``_id``; up to ``BROADCAST_IDS`` of them (counted) go to
-    the rows as a broadcast, more are shuffled."""
-    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("_id"))
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+def is_few(ids: DataFrame) -> bool:
+    """Whether ``ids`` has so few rows that it may be a broadcast."""
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
+def _by_id(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """Join with the distinct ``ids``, under a name that ``df`` does not have; up to
+    ``BROADCAST_IDS`` of them (counted) go to the rows as a broadcast, more are shuffled."""
+    name = "_id"
+    while name in df.columns:
+        name += "_"
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias(name))
+    return df.join(F.broadcast(ids) if is_few(ids) else ids, F.col(column).cast("long") == F.col(name), how)
 
 
 def rows_with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` is among the distinct ``ids``."""
-    return df.join(_sized(ids), F.col(column).cast("long") == F.col("_id"), "left_semi")
+    return _by_id(df, ids, column, "left_semi")
 
 
 def rows_without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` is not among the distinct ``ids``, or null."""
-    return df.join(_sized(ids), F.col(column).cast("long") == F.col("_id"), "left_anti")
+    return _by_id(df, ids, column, "left_anti")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``left`` with the one row of ``right`` (or none) that has its ``key``. The keys in ``hot``, each
+    of which has many rows of ``left``, are few: their rows stay where they are and get the
+    right side as a broadcast. Should they be too many, the join is an ordinary one, which AQE can split."""
+    hot = cut_lineage(hot)
+    if not is_few(hot):
+        return left.join(right, key, "left")
+    of_hot = F.broadcast(hot.join(right, key, "left"))
+    return left.join(of_hot, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left"))
 
 
 def shards_for(n_rows: int, per_shard: int) -> int:

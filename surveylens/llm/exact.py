@@ -12,7 +12,8 @@ nonmembers form groups of their own.
 Texts are equal when their UTF-8 bytes are; null counts as empty. The largest
 id of a group stays. Rows that repeat both id and text are one document: all
 of them carry the same answer, and ``drop_copies`` leaves one. A group whose ids
-are all null has a null ``keep_id``. Empty tables give empty results.
+are all null has a null ``keep_id``. Texts of any length are hashed whole. Columns other than id and
+text are carried or not read, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import cut_lineage, id_text, mix64, shards_for
+from surveylens.llm.common import cut_lineage, id_text, is_few, mix64, shards_for
 
 SHARD_KEYS = 1 << 16
 GAMMA = 1.5
@@ -175,12 +176,24 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_history=None) -> DataFrame:
-    """The rows that stay, with all columns of ``docs``."""
+    """The rows that stay, with all columns of ``docs``. Only ids and digests of those that go
+    meet the rows, as a broadcast while they are few, so the texts are not shuffled."""
     rows = digests(docs, id_col, text_col)
     groups = copy_groups(rows, older_half(docs, id_col) if is_history is None else is_history)
-    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
-    winners = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    condition = (digest == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))
-    stay = docs.join(winners, condition, "left_semi")
-    repeats = rows.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count()
-    return stay.dropDuplicates([id_col, text_col]) if repeats else stay
+    lost = cut_lineage(rows.join(groups, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest").distinct())
+    repeats = cut_lineage(rows.groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id", "digest"))
+    # names that no column of docs has
+    name = "_" * (1 + max(map(len, docs.columns)))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"), 256))
+    marked = docs.withColumn(f"{name}digest", digest)
+
+    def met(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias(f"{name}id"), F.col("digest").alias(f"{name}key"))
+        same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"{name}id")) & (F.col(f"{name}digest") == F.col(f"{name}key"))
+        return df.join(F.broadcast(keys) if is_few(keys) else keys, same, how)
+
+    stay = met(marked, lost, "left_anti")
+    if repeats.limit(1).count():
+        once = met(stay, repeats, "left_semi").dropDuplicates([id_col, f"{name}digest"])
+        stay = met(stay, repeats, "left_anti").unionByName(once)
+    return stay.drop(f"{name}digest")

@@ -69,3 +69,13 @@ def test_shards_follow_the_larger_side(spark, monkeypatch):
     out = exact.copy_groups(exact.digests(frame(spark, rows), "doc_id", "text"), F.col("doc_id") < 0, shard_keys=10).collect()
     assert asked == [5]
     assert sorted((r.keep_id, r.group_size) for r in out) == [(50 + i, 3 if i == 0 else 2) for i in range(50)]
+
+
+def test_clashing_names_and_null_beside_empty(spark):
+    """Columns named like helpers of the operator; (5, null) and (5, '') are one document."""
+    rows = [(5, None, 1, 2), (5, "", 1, 2), (6, "x", 1, 2), (7, "x", 1, 2), (7, "x", 1, 2), (7, "y", 1, 2), (None, "z", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _digest int, _keep int")
+    out = exact.drop_copies(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text or "") for r in out.collect()), key=repr) == sorted(
+        [(5, ""), (7, "x"), (7, "y"), (None, "z")], key=repr)

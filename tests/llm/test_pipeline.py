@@ -25,7 +25,7 @@ def test_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
     winner = {t: max(i for i in texts if texts[i] == t) for t in set(texts.values())}
     texts = {i: t for i, t in texts.items() if winner[t] == i}
-    texts = {i: texts[i] for i, (_, low) in near_brute(list(texts.items())).items() if low == i}
+    texts = {i: texts[i] for i, (_, low) in near_brute(list(texts.items()), 80).items() if low == i}
     left = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     masked = {r.doc_id: r.masked if r.masked is not None else texts[r.doc_id]
               for r in pii.find_personal_data(left, with_masked=True).collect()}
@@ -79,13 +79,14 @@ COLUMNS = {
     3: "doc_id n_ids", 4: "doc_id n_shingles component_id kept", 5: "page_id url text n_chars",
     6: "doc_id keep_id group_size kept text_sha256", 7: "doc_id n_assign n_access n_hex base_sha256 spans",
     8: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", 9: "doc_id kept",
-    10: "doc_id held_out lang_pred score",
+    10: "doc_id held_out lang_pred score", 11: "word form root n n_near form_n",
+    12: "doc_id n_bytes n_removed n_spans kept_sha256", 13: "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
 def test_one_query_for_each_operator(spark):
     named = {int(n[2:].split("_")[0]): n for n in queries.QUERIES}
-    assert sorted(named) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(named) == list(range(1, 14)) and "pipeline" in entry.queries()
     for number, name in named.items():
         assert set(COLUMNS[number].split()) <= set(entry.queries()[name](spark, SF).columns)
 
