@@ -1,5 +1,6 @@
 import math
 import os
+import subprocess
 import sys
 
 import duckdb
@@ -54,3 +55,11 @@ def test_query_matches_oracle(spark, duck, name):
     sv = sorted(tuple(_norm(r[i]) for i in so) for r in srows)
     dv = sorted(tuple(_norm(r[i]) for i in do) for r in drows)
     assert sv == dv
+
+
+def test_survey_queries_without_the_libraries_of_the_others():
+    """Another process in which ``xxhash`` cannot be imported."""
+    code = ("import sys, warnings; sys.modules['xxhash'] = None; warnings.simplefilter('ignore'); "
+            "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))")
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__))
+    assert done.stdout.split() == [str(len(QUERIES))] * 2, done.stderr
