@@ -1,11 +1,18 @@
-"""Forests larger than the driver's memory, and the statistics of single splits.
+"""Random forests of full trees, grown out of core, and the statistics of single splits.
 
-``fit_stored_forest`` grows a forest batch by batch: every batch of trees has a seed of its
-own, is written to shared storage as soon as it is fitted and forgotten; what stays in
-the driver is one number per feature (the running sum of importances). Predictions are
-running sums too: a batch writes ``(row, its share)`` of all rows, narrow Parquet files
-that one aggregate adds up. So 500 full trees need the memory of ``batch_trees``, and what a
-lost executor held is read or computed again.
+``fit_stored_forest`` bins every feature (``max_bins`` cut points at most) and keeps a compact table of
+coded rows in the checkpoint folder. A row's part in a tree, how often the bootstrap draws it, is a
+hash of row, tree and seed, so it depends neither on tasks nor on partitions. Trees grow in batches:
+
+* Nodes of more than ``local_rows`` rows are split from histograms: every task adds up its rows per
+  ``(tree, node, feature, bin)``, a group per node merges them, and only the chosen cuts reach the driver.
+* Rows then walk down those cuts; equal codes are summed in the task; what remains of a tree below a
+  node, bounded by ``local_rows``, is one group, which grows it to the end (``grow_tree``).
+* The subtrees of a batch are written to shared storage before the next begins.
+
+Prediction sends the distinct codes of the rows to the subtrees they end in, and one aggregate adds
+up the trees. So no whole tree, row set or forest is ever held in the driver or broadcast, and what a lost
+executor held is read or computed again.
 
 ``best_splits`` states the first split of a regression tree as one aggregate over
 ``(feature, value)``: the sums left of every cut, and the variance gain of each.
@@ -13,75 +20,379 @@ lost executor held is read or computed again.
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import rows_of
 from ..session import ensure_checkpoint_dir
 
-BATCH_TREES = 25
-#: Memory for the statistics of one pass over the rows: nodes that do not fit wait for the next pass.
-PASS_MEMORY_MB = 512
+BATCH_TREES = 50
+#: Rows of a node that one group may grow to the end; larger nodes are split from histograms.
+LOCAL_ROWS = 1 << 19
+#: Rows that a task sums by their codes before it hands them on.
+MERGE_ROWS = 1 << 17
+BINS = 256  # a code is a byte
+
+#: How often a bootstrap of many rows draws one row: cumulative Poisson(1).
+DRAWS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+
+
+def draws(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """Number of times that the bootstrap of ``tree`` draws each row id."""
+    with np.errstate(over="ignore"):
+        x = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((seed * 0x2545F4914F6CDD1D + tree * 0xD1342543DE82EF95) % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(DRAWS, (x >> np.uint64(11)) * 2.0 ** -53, "right")
+
+
+@dataclass
+class Tree:
+    """Nodes in arrays: rows whose code of ``feature`` is at most ``cut`` go to ``left``, others to
+    the node after it; ``feature`` is -1 in a leaf."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+    gain: np.ndarray
+
+    def walk(self, codes: np.ndarray) -> np.ndarray:
+        """The leaf of every row of codes."""
+        node = np.zeros(len(codes), np.int64)
+        open_ = np.flatnonzero(self.feature[node] >= 0)
+        while len(open_):
+            at = node[open_]
+            node[open_] = self.left[at] + (codes[open_, self.feature[at]] > self.cut[at])
+            open_ = open_[self.feature[node[open_]] >= 0]
+        return node
+
+    def importance(self, size: int) -> np.ndarray:
+        inner = self.feature >= 0
+        return np.bincount(self.feature[inner], self.gain[inner], size)
+
+
+def _first_best(gain: np.ndarray, node: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest gain of each node and the first candidate that reaches it, but for rounding;
+    candidates are ordered by node."""
+    best, at = np.zeros(n), np.full(n, -1, np.int64)
+    if len(gain):
+        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        best[node[start]] = np.maximum.reduceat(gain, start)
+        near = np.flatnonzero(gain >= best[node] * (1 - 1e-9))
+        first = near[np.concatenate([[True], node[near][1:] != node[near][:-1]])]
+        at[node[first]] = first
+    return best, at
+
+
+def _sums_gain(lw: np.ndarray, ly: np.ndarray, w: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What a cut takes off the sum of squares, from weights and sums left of it and in all."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = ly * ly / lw + (y - ly) ** 2 / (w - lw) - y * y / w
+    return np.where((lw > 0) & (w - lw > 0), gain, 0.0)
+
+
+def grow_tree(codes: np.ndarray, w: np.ndarray, wy: np.ndarray, max_depth: int | None = None, least_gain: float = 0.0) -> Tree:
+    """A tree over rows of codes with weights and weighted labels, all its levels at once: the rows are
+    sorted by node and code for each feature, and running sums give every cut's gain."""
+    n_features = codes.shape[1]
+    width = codes.max(axis=0).astype(np.int64) + 1
+    feature, cut, left, value, gains = [], [], [], [], []
+    rows, node, n, total, depth = np.arange(len(codes)), np.zeros(len(codes), np.int64), 1, 0, 0
+    while n:
+        all_w, all_y = np.bincount(node, w[rows], n), np.bincount(node, wy[rows], n)
+        best, chosen, place = np.zeros(n), np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        if max_depth is None or depth < max_depth:
+            for f in range(n_features):
+                if n * width[f] <= 4 * len(rows) + 4096:  # few enough cells: a histogram, else sorted rows
+                    key = node * width[f] + codes[rows, f]
+                    sum_w, sum_y = (np.bincount(key, x[rows], n * width[f]).reshape(n, -1).cumsum(axis=1) for x in (w, wy))
+                    gain = _sums_gain(sum_w[:, :-1], sum_y[:, :-1], all_w[:, None], all_y[:, None])
+                    top = gain.max(axis=1, initial=0.0)
+                    first = (gain >= top[:, None] * (1 - 1e-9)).argmax(axis=1) if width[f] > 1 else np.full(n, -1)
+                    code = first
+                else:
+                    key = node * BINS + codes[rows, f]
+                    order = np.argsort(key, kind="stable")
+                    key = key[order]
+                    sum_w, sum_y = np.cumsum(w[rows][order]), np.cumsum(wy[rows][order])
+                    of = key // BINS
+                    at = np.flatnonzero((key[1:] != key[:-1]) & (of[1:] == of[:-1]))
+                    begin = np.searchsorted(of, np.arange(n))
+                    before_w, before_y = (np.concatenate([[0.0], s])[begin] for s in (sum_w, sum_y))
+                    k = of[at]
+                    gain = _sums_gain(sum_w[at] - before_w[k], sum_y[at] - before_y[k], all_w[k], all_y[k])
+                    top, first = _first_best(gain, k, n)
+                    code = (key[at] % BINS)[first] if len(at) else first
+                better = (first >= 0) & (top > best * (1 + 1e-9)) & (top > least_gain)
+                best[better], chosen[better] = top[better], f
+                place[better] = code[better]
+        split = chosen >= 0
+        child = total + n + 2 * (np.cumsum(split) - 1)
+        feature.append(chosen)
+        cut.append(place)
+        left.append(np.where(split, child, -1))
+        value.append(all_y / np.maximum(all_w, 1e-300))
+        gains.append(best)
+        stay = split[node]
+        rows, node = rows[stay], node[stay]
+        node = child[node] - (total + n) + (codes[rows, chosen[node]] > place[node])
+        total, n, depth = total + n, 2 * int(split.sum()), depth + 1
+    return Tree(*(np.concatenate(x) for x in (feature, cut, left, value, gains)))
+
+
+def cut_points(rows: DataFrame, size: int, max_bins: int) -> list[np.ndarray]:
+    """At most ``max_bins - 1`` cuts of each feature: midway between all its values if those are few, else
+    at its approximate quantiles."""
+    x = F.col("_x")
+    few = max_bins - 1
+    shares = F.array(*[F.lit((k + 1) / max_bins) for k in range(few)])
+    aggs = [c for i in range(size) for c in (F.approx_count_distinct(x[i]).alias(f"n{i}"),
+                                             F.percentile_approx(x[i], shares, 10_000).alias(f"q{i}"))]
+    row = rows.select("_x").agg(*aggs).first()
+    # an estimate may be off by some percent: such features are looked at, up to a bound
+    small = [i for i in range(size) if row[f"n{i}"] <= 2 * max_bins]
+    values: dict[int, list[float]] = {i: [] for i in small}
+    if small:
+        pairs = rows.select(rows_of(["i", "v"], [(F.lit(i), x[i]) for i in small])).distinct()
+        for r in pairs.limit(len(small) * 4 * max_bins).collect():
+            values[r.i].append(r.v)
+    out = []
+    for i in range(size):
+        known = np.unique(values.get(i, []))
+        if 0 < len(known) <= max_bins:
+            out.append((known[1:] + known[:-1]) / 2)
+        else:
+            out.append(np.unique(np.array(row[f"q{i}"] or [], float)))
+    return out
+
+
+def _coded(rows: DataFrame, cuts: list[np.ndarray], columns: Sequence[str]) -> DataFrame:
+    """``columns`` and ``code``, a byte for each feature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(n, len(cuts))
+            codes = np.column_stack([np.searchsorted(c, x[:, i], "left") for i, c in enumerate(cuts)]).astype(np.uint8) if n else x
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([r.tobytes() for r in codes], pa.binary())],
+                                             [*columns, "code"])
+    fields = rows.select(*columns).schema.fields
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", code binary"
+    return rows.select(*columns, "_x").mapInArrow(run, schema)
+
+
+def _matrix(codes, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), np.uint8).reshape(-1, size)
+
+
+def _merged(codes: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of codes with their sums."""
+    flat = np.ascontiguousarray(codes).view(np.dtype((np.void, codes.shape[1]))).reshape(-1)
+    distinct, at = np.unique(flat, return_inverse=True)
+    at = at.reshape(-1)
+    return distinct.view(np.uint8).reshape(-1, codes.shape[1]), *(np.bincount(at, s, len(distinct)) for s in sums)
+
+
+TREE_FIELDS = ("feature", "cut", "left", "value", "gain")
+TREE_SCHEMA = ("tree int, node long, feature array<int>, cut array<int>, left array<long>, "
+               "value array<double>, gain array<double>")
 
 
 @dataclass
 class StoredForest:
-    """Trees in batches on shared storage."""
+    """Subtrees on shared storage, and the few cuts above them (``tops``, by tree)."""
 
     spark: SparkSession
     folder: str
-    sizes: list[int] = field(default_factory=list)
-    total: np.ndarray | None = None
-
-    def path(self, batch: int) -> str:
-        return f"{self.folder}/trees-{batch:05d}"
+    cuts: list[np.ndarray]
+    tops: list[Tree]
+    mean: float
+    importance: np.ndarray
 
     @property
     def num_trees(self) -> int:
-        return sum(self.sizes)
+        return len(self.tops)
 
     @property
     def featureImportances(self) -> DenseVector:  # the name MLlib's models have
-        return DenseVector(self.total / max(self.num_trees, 1))
+        return DenseVector(self.importance)
+
+    def subtrees(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/*")
+
+    def predict(self, rows: DataFrame, key: str, features: str = "features") -> DataFrame:
+        """``key, prediction`` of ``rows``."""
+        size, tops = len(self.cuts), self.tops
+        coded = _coded(rows.withColumn("_x", vector_to_array(features)), self.cuts, [key]).checkpoint()
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                codes = _matrix(batch.column(0).to_pylist(), size)
+                out = [(t, k, codes[at == k].tobytes()) for t, top in enumerate(tops)
+                       for at in [top.walk(codes)] for k in np.unique(at).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))],
+                                                 ["tree", "node", "codes"])
+
+        def score(key: tuple, cells: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+            if not len(cells) or not len(trees):
+                return pd.DataFrame({"code": [], "value": []})
+            row = trees.iloc[0]
+            tree = Tree(*(np.asarray(row[f]) for f in TREE_FIELDS))
+            codes = _matrix(cells.codes, size)
+            return pd.DataFrame({"code": [c.tobytes() for c in codes], "value": tree.value[tree.walk(codes)]})
+
+        cells = coded.select("code").distinct().mapInArrow(spread, "tree int, node long, codes binary")
+        values = cells.groupBy("tree", "node").cogroup(self.subtrees().groupBy("tree", "node")).applyInPandas(
+            score, "code binary, value double")
+        sums = values.groupBy("code").agg((F.sum("value") / self.num_trees + self.mean).alias("prediction"))
+        return coded.join(sums, "code").select(key, "prediction")
+
 
-    def add(self, model: RandomForestRegressionModel, size: int) -> None:
-        model.write().overwrite().save(self.path(len(self.sizes)))
-        own = model.featureImportances.toArray() * size
-        self.total = own if self.total is None else self.total + own
-        self.sizes.append(size)
+def _batch_rows(coded: DataFrame, tops: dict[int, Tree], seed: int, size: int) -> DataFrame:
+    """``tree, node, codes, sums``: what the bootstraps of the trees draw, by the node where it ends, equal
+    codes summed (weight and weighted label)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
-    def predict(self, rows: DataFrame, key: str) -> DataFrame:
-        """``key, prediction`` of ``rows`` (``key`` identifies a row), a batch of trees at a time."""
-        shares = f"{self.folder}/shares-{uuid.uuid4().hex}"
-        for batch, size in enumerate(self.sizes):
-            model = RandomForestRegressionModel.load(self.path(batch))
-            model.transform(rows).select(key, (F.col("prediction") * size).alias("share")).write.parquet(f"{shares}/batch={batch}")
-        return self.spark.read.parquet(shares).groupBy(key).agg((F.sum("share") / self.num_trees).alias("prediction"))
+        def out() -> pa.RecordBatch:
+            codes, ids, w, wy = (np.concatenate(x) for x in zip(*held))
+            flat = np.ascontiguousarray(codes).view(np.dtype((np.void, size))).reshape(-1)
+            distinct, at = np.unique(flat, return_inverse=True)
+            distinct, at = distinct.view(np.uint8).reshape(-1, size), at.reshape(-1)
+            found = []
+            for t, top in tops.items():
+                k = draws(ids, t, seed)
+                sums = np.stack([np.bincount(at, k, len(distinct)), np.bincount(at, k * w, len(distinct)), np.bincount(at, k * wy, len(distinct))])
+                leaf, drawn = top.walk(distinct), sums[0] > 0
+                for node in np.unique(leaf[drawn]).tolist():
+                    own = drawn & (leaf == node)
+                    found.append((t, node, int(sums[0, own].sum()), distinct[own].tobytes(), sums[1:, own].tobytes()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                ["tree", "node", "n", "codes", "sums"])
+
+        n = 0
+        for batch in batches:
+            if batch.num_rows:
+                ids, w, wy = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                held.append((_matrix(batch.column(3).to_pylist(), size), ids, w, wy))
+                n += batch.num_rows
+            if n >= MERGE_ROWS:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    return coded.select("_row", "_w", "_wy", "code").mapInArrow(run, "tree int, node long, n long, codes binary, sums binary")
+
+
+def _unpacked(rows: pd.DataFrame, size: int) -> tuple[np.ndarray, ...]:
+    parts = [np.frombuffer(b, np.float64).reshape(2, -1) for b in rows.sums]
+    return _merged(_matrix(rows.codes, size), *np.concatenate(parts, axis=1))
+
+
+def _split_large(coded: DataFrame, trees: list[int], seed: int, size: int, n_rows: int, local_rows: int, least_gain: float) -> dict[int, Tree]:
+    """The cuts above the nodes that fit a group, level by level, from histograms."""
+    leaf = (np.array([-1]), np.zeros(1, np.int64), np.array([-1]), np.zeros(1), np.zeros(1))
+    tops = {t: Tree(*(x.copy() for x in leaf)) for t in trees}
+    large = {(t, 0) for t in trees} if n_rows > local_rows else set()
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, node, n, codes, sums in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (t, node) not in large:
+                    continue
+                codes, sums = _matrix([codes], size), np.frombuffer(sums, np.float64).reshape(2, -1)
+                cells = (codes + np.arange(size) * BINS).ravel()
+                dense = [np.bincount(cells, np.repeat(s, size), size * BINS) for s in sums]
+                out.append((t, node, n, np.concatenate(dense).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
+                                                 ["tree", "node", "n", "sums"])
+
+    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        both = np.sum([np.frombuffer(b, np.float64) for b in rows.sums], axis=0).reshape(2, size, BINS)
+        lw, ly = both.cumsum(axis=2)
+        gain = _sums_gain(lw, ly, lw[:, -1:], ly[:, -1:])
+        gain[:, -1] = 0.0
+        tops_of = gain.max(axis=1)
+        f = int(np.flatnonzero(tops_of >= tops_of.max() * (1 - 1e-9))[0])
+        c = int(np.flatnonzero(gain[f] >= tops_of[f] * (1 - 1e-9))[0])
+        return pd.DataFrame({"tree": [key[0]], "node": [key[1]], "n": [rows.n.sum()], "feature": [f], "cut": [c], "gain": [gain[f, c]]})
+
+    while large:
+        sums = _batch_rows(coded, tops, seed, size).mapInArrow(histogram, "tree int, node long, n long, sums binary")
+        chosen = sums.groupBy("tree", "node").applyInPandas(choose, "tree int, node long, n long, feature int, cut int, gain double").collect()
+        large = set()
+        for r in chosen:
+            if r.n <= local_rows or r.gain <= least_gain:
+                continue
+            top = tops[r.tree]
+            top.feature[r.node], top.cut[r.node], top.left[r.node], top.gain[r.node] = r.feature, r.cut, len(top.feature), r.gain
+            tops[r.tree] = Tree(*(np.append(a, [b, b]) for a, b in zip((top.feature, top.cut, top.left, top.value, top.gain), (-1, 0, -1, 0.0, 0.0))))
+            large |= {(r.tree, int(top.left[r.node])), (r.tree, int(top.left[r.node]) + 1)}
+    return tops
 
 
 def fit_stored_forest(train: DataFrame, num_trees: int, batch_trees: int = BATCH_TREES, seed: int = 42,
-                      weight_col: str | None = None, **params) -> StoredForest:
-    """A forest of ``num_trees`` regression trees over ``features`` and ``label``; ``params``
-    go to MLlib's learner."""
+                      weight_col: str | None = None, max_bins: int = 64, max_depth: int | None = None,
+                      local_rows: int = LOCAL_ROWS, features: str = "features", label: str = "label") -> StoredForest:
+    """A forest of ``num_trees`` regression trees, all features per split, on Poisson bootstraps; trees
+    grow until nothing is left to split, or to ``max_depth`` below the nodes split from histograms."""
     if num_trees < 1 or batch_trees < 1:
         raise ValueError("a forest needs one tree at least, and so does a batch")
+    if not 2 <= max_bins <= BINS:
+        raise ValueError(f"max_bins must lie between 2 and {BINS}")
     spark = train.sparkSession
-    forest = StoredForest(spark, f"{ensure_checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}")
-    for batch, begin in enumerate(range(0, num_trees, batch_trees)):
-        size = min(batch_trees, num_trees - begin)
-        learner = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=size, seed=seed + batch,
-                                        maxMemoryInMB=PASS_MEMORY_MB, checkpointInterval=10, **params)
-        if weight_col:
-            learner = learner.setWeightCol(weight_col)
-        forest.add(learner.fit(train), size)
-    return forest
+    folder = f"{ensure_checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    rows = train.select(vector_to_array(features).alias("_x"), F.col(label).cast("double").alias("_y"), w.alias("_w"))
+    first = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), F.max(F.size("_x")).alias("size"),
+                     F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("squares")).first()
+    if not first.n:
+        raise ValueError("no rows to grow trees on")
+    size, mean = first.size, first.mean
+    cuts = cut_points(rows, size, max_bins)
+    # labels are taken from their mean, so that running sums stay small
+    named = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_wy", F.col("_w") * (F.col("_y") - mean))
+    coded = _coded(named, cuts, ["_row", "_w", "_wy"]).checkpoint()
+    least = 1e-12 * max(first.squares, 1e-300)
+
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        codes, w, wy = _unpacked(rows, size)
+        tree = grow_tree(codes, w, wy, max_depth, least)
+        return pd.DataFrame({"tree": [key[0]], "node": [key[1]], **{f: [getattr(tree, f)] for f in TREE_FIELDS}})
+
+    tops: dict[int, Tree] = {}
+    for begin in range(0, num_trees, batch_trees):
+        batch = list(range(begin, min(begin + batch_trees, num_trees)))
+        own = _split_large(coded, batch, seed, size, first.n, local_rows, least)
+        grown = _batch_rows(coded, own, seed, size).groupBy("tree", "node").applyInPandas(grow, TREE_SCHEMA)
+        grown.write.parquet(f"{folder}/trees-{begin:06d}")
+        tops |= own
+    # a tree's gains by feature, in shares of 1; then the mean over the trees
+    gains = spark.read.parquet(f"{folder}/*").select("tree", F.explode(F.arrays_zip("feature", "gain")).alias("x")).filter(
+        "x.feature >= 0").groupBy("tree", F.col("x.feature").alias("feature")).agg(F.sum("x.gain").alias("gain")).collect()
+    total = np.stack([tops[t].importance(size) for t in range(num_trees)])
+    for r in gains:
+        total[r.tree, r.feature] += r.gain
+    shares = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
+    whole = shares.sum()
+    return StoredForest(spark, folder, cuts, [tops[t] for t in range(num_trees)], mean, shares.sum(axis=0) / (whole if whole else 1.0))
 
 
 def best_splits(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None) -> DataFrame:

@@ -158,7 +158,7 @@ def anova_tables(df: DataFrame, method: str = "exact") -> dict[str, DataFrame]:
             "anova_personality_summary": anova.anova_summary(pers, "trait")}
 
 
-def model_tables(df: DataFrame, rf_trees: int = models.FOREST_TREES, rf_depth: int = models.FOREST_DEPTH,
+def model_tables(df: DataFrame, rf_trees: int = models.FOREST_TREES, rf_depth: int | None = models.FOREST_DEPTH,
                  gbt_iter: int = models.BOOSTING_ROUNDS, add_derived_factors: bool = False,
                  key: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Forest importances and the three-model comparison on ONE split.
@@ -252,7 +252,7 @@ def view_tables(std: DataFrame, world: DataFrame | None = None,
 
 def run_all(spark, raw_path: str, out_dir: str, as_of_year: int, iso_path: str | None = None,
             world_path: str | None = None, fmt: str | None = None, with_models: bool = True,
-            rf_trees: int = models.FOREST_TREES, rf_depth: int = models.FOREST_DEPTH,
+            rf_trees: int = models.FOREST_TREES, rf_depth: int | None = models.FOREST_DEPTH,
             stage_to: str | None = None) -> dict:
     """The single-command run: load, clean once (into the checkpoint folder unless
     ``stage_to`` says where), publish every table and view; each model is fitted once."""
