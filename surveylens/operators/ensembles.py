@@ -261,7 +261,7 @@ class StoredForest:
         return coded.join(sums, "code").select(key, "prediction")
 
 
-def _batch_rows(coded: DataFrame, tops: dict[int, Tree], seed: int, size: int) -> DataFrame:
+def _batch_rows(coded: DataFrame, tops: dict[int, Tree], seed: int | None, size: int) -> DataFrame:
     """``tree, node, codes, sums``: what the bootstraps of the trees draw, by the node where it ends, equal
     codes summed (weight and weighted label)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +274,7 @@ def _batch_rows(coded: DataFrame, tops: dict[int, Tree], seed: int, size: int) -
             distinct, at = distinct.view(np.uint8).reshape(-1, size), at.reshape(-1)
             found = []
             for t, top in tops.items():
-                k = draws(ids, t, seed)
+                k = np.ones(len(ids), np.int64) if seed is None else draws(ids, t, seed)
                 sums = np.stack([np.bincount(at, k, len(distinct)), np.bincount(at, k * w, len(distinct)), np.bincount(at, k * wy, len(distinct))])
                 leaf, drawn = top.walk(distinct), sums[0] > 0
                 for node in np.unique(leaf[drawn]).tolist():
@@ -304,7 +304,7 @@ def _unpacked(rows: pd.DataFrame, size: int) -> tuple[np.ndarray, ...]:
     return _merged(_matrix(rows.codes, size), *np.concatenate(parts, axis=1))
 
 
-def _split_large(coded: DataFrame, trees: list[int], seed: int, size: int, n_rows: int, local_rows: int, least_gain: float) -> dict[int, Tree]:
+def _split_large(coded: DataFrame, trees: list[int], seed: int | None, size: int, n_rows: int, local_rows: int, least_gain: float) -> dict[int, Tree]:
     """The cuts above the nodes that fit a group, level by level, from histograms."""
     leaf = (np.array([-1]), np.zeros(1, np.int64), np.array([-1]), np.zeros(1), np.zeros(1))
     tops = {t: Tree(*(x.copy() for x in leaf)) for t in trees}
@@ -348,11 +348,12 @@ def _split_large(coded: DataFrame, trees: list[int], seed: int, size: int, n_row
     return tops
 
 
-def fit_stored_forest(train: DataFrame, num_trees: int, batch_trees: int = BATCH_TREES, seed: int = 42,
+def fit_stored_forest(train: DataFrame, num_trees: int, batch_trees: int = BATCH_TREES, seed: int | None = 42,
                       weight_col: str | None = None, max_bins: int = 64, max_depth: int | None = None,
                       local_rows: int = LOCAL_ROWS, features: str = "features", label: str = "label") -> StoredForest:
-    """A forest of ``num_trees`` regression trees, all features per split, on Poisson bootstraps; trees
-    grow until nothing is left to split, or to ``max_depth`` below the nodes split from histograms."""
+    """A forest of ``num_trees`` regression trees, all features per split, on Poisson bootstraps (``seed`` None: on
+    all rows as they are); trees grow until nothing is left to split, or to ``max_depth`` below the nodes split
+    from histograms."""
     if num_trees < 1 or batch_trees < 1:
         raise ValueError("a forest needs one tree at least, and so does a batch")
     if not 2 <= max_bins <= BINS:

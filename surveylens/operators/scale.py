@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import presets as P
 from ..functions.expressions import clean_double
+from ..session import ensure_checkpoint_dir
 
 
 def standardize(df: DataFrame, cols: Sequence[str] = P.STANDARDIZE_COLUMNS,
@@ -51,6 +52,25 @@ def category_levels(df: DataFrame, cols: Sequence[str]) -> dict:
     return {c: sorted(levels) for c, levels in out.items()}
 
 
+def level_positions(df: DataFrame, col: str) -> DataFrame:
+    """``level, position``: the non-NULL levels of a column as text, in order, counted from 0.
+
+    Any number of levels: they are sorted by ranges, numbered within each, and the ranges' sizes (one
+    row per partition) make the offsets.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    levels = df.select(F.col(f"`{col}`").cast("string").alias("level")).where("level IS NOT NULL").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the id's upper bits are the partition, its lower 33 the place in it
+    numbered = levels.repartitionByRange(parts, "level").sortWithinPartitions("level").withColumn(
+        "_id", F.monotonically_increasing_id()).checkpoint()
+    placed = numbered.select("level", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_place"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").select("level", (F.col("_before") + F.col("_place")).alias("position"))
+
+
 def dummy_columns(cols_levels: dict, drop_first: bool = True, sep: str = "_",
                   name_style: str = "plain") -> list[tuple[str, object]]:
     """``[(name, Column)]`` of 0/1 indicators; the first sorted level is the reference."""

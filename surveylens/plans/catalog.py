@@ -372,9 +372,25 @@ def _with_missing(li: DataFrame) -> DataFrame:
 
 def q_ols_two_predictor(spark, d):
     res = models.ols(_with_missing(_t(spark, d, "lineitem")), "l_extendedprice", ["l_quantity", "disc"])
-    # the interval is se wide: half its width over t(0.975) is se
-    return res.coefficients.select("term", F.round("coef", 4).alias("coef"), F.round("se", 4).alias("se"),
-                                   F.round("t", 4).alias("t"))
+    return _coefficients(res)
+
+
+def _coefficients(res) -> DataFrame:
+    return res.coefficients.select("term", *[F.round(c, 4).alias(c) for c in ("coef", "se", "t", "ci_lower", "ci_upper")],
+                                   F.round("p_value", 7).alias("p_value"))
+
+
+def q_ols_collinear(spark, d):
+    """A predictor that comes twice: the shortest solution halves its coefficient; rank and t stay."""
+    li = _with_missing(_t(spark, d, "lineitem")).withColumn("quantity_again", F.col("l_quantity"))
+    return _coefficients(models.ols(li, "l_extendedprice", ["l_quantity", "disc", "quantity_again"]))
+
+
+def q_sparse_design(spark, d):
+    """A factor of many levels as sparse rows: the column that each order is 1 in (none for the first level)."""
+    orders = _t(spark, d, "orders").withColumn("customer", F.col("o_custkey").cast("string"))
+    design = models.sparse_design(orders, "o_totalprice", [], ["customer", "o_orderpriority"], passthrough=["o_orderkey"])
+    return design.frame.select("o_orderkey", F.array_join("columns", ",").alias("columns"), _r(F.col("label")).alias("label"))
 
 
 def q_ols_full(spark, d):
@@ -395,7 +411,7 @@ def q_forest_plot(spark, d):
     """M5 / T5: which family every term belongs to, and that coefficients ascend within it."""
     res = models.ols(_t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"])
     data = models.forest_plot_data(res.coefficients, ["l_quantity", "l_discount", "l_tax"])
-    return data.select("term", "term_family", (F.col("ci_lower") < F.col("coef")).cast("int").alias("lower_below"),
+    return data.select("term", "term_family", "rank", (F.col("ci_lower") < F.col("coef")).cast("int").alias("lower_below"),
                        (F.col("ci_upper") > F.col("coef")).cast("int").alias("upper_above"))
 
 
@@ -412,32 +428,73 @@ def q_linear_metrics(spark, d):
     return spark.createDataFrame([(round(perf.r2_train, 6), round(perf.rmse_train, 4))], "r2 double, rmse double")
 
 
-_MODEL = {"target": "s_acctbal", "numeric": ["s_nationkey"], "categorical": [], "weight_col": None, "key": ["s_suppkey"]}
+_MODEL = {"target": "l_extendedprice", "numeric": ["l_quantity", "l_discount", "l_tax"],
+          "categorical": ["l_returnflag", "l_linestatus"], "weight_col": "l_returnflag", "key": ["l_orderkey", "l_linenumber"]}
 
 
 def q_rf_importance(spark, d):
-    """Importances of a forest of 500 full trees: not negative, and 1 in sum."""
-    s = _t(spark, d, "supplier").withColumn("half", F.col("s_suppkey") % 7).withColumn(
-        "flag", F.when(F.col("s_nationkey") < 12, F.lit("low")).otherwise(F.lit("high")))
-    design, train, test = models.model_inputs(
-        s, "s_acctbal", ["s_nationkey", "half"], ["flag"], weight_col="flag", key=["s_suppkey"])
-    model, _ = models.fit_random_forest(train, test)
+    """Importances of a forest of 500 full trees: in descending order, not negative, 1 in sum. Quantity
+    has most values to cut between, so it comes first."""
+    design, train, _ = models.model_inputs(_t(spark, d, "lineitem"), **_MODEL)
+    forest = models.fit_stored_forest(train, models.FOREST_TREES, weight_col="weight")
     design.frame.unpersist()
-    imp = models.importances(model, design.feature_names, spark)
-    total = imp.agg(F.sum("importance").alias("total"))
-    return imp.join(F.broadcast(total)).select("feature", (F.col("importance") >= 0).cast("int").alias("not_negative"),
-                                               F.round("total", 9).alias("total"))
+    imp = models.importances(forest, design.feature_names, spark)
+    order = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
+    whole = Window.partitionBy()
+    return imp.select(
+        F.row_number().over(order).alias("rank"),
+        F.when(F.row_number().over(order) == 1, F.col("feature")).alias("first"),
+        (F.coalesce(F.lag("importance").over(order), F.lit(1.0)) >= F.col("importance")).cast("int").alias("descends"),
+        (F.col("importance") >= 0).cast("int").alias("not_negative"), F.round(F.sum("importance").over(whole), 9).alias("total"))
 
 
 def q_model_comparison(spark, d):
-    """Three full-size models on one split; the linear row is exact, the trees' are in range."""
-    done = models.compare_models(_t(spark, d, "supplier"), **_MODEL)
+    """Three full-size models on one split. The linear row is exact; no model of these predictors can
+    explain more of the training rows than the means of their combinations (``cells_r2``)."""
+    li = _t(spark, d, "lineitem")
+    done = models.compare_models(li, **_MODEL)
     done.importances.count()
+    cells = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    train = models.hash_split(li, _MODEL["key"]).where(~F.col("is_test")).where(F.col("l_returnflag") != P.NO_RESPONSE)
+    sums = train.dropna(subset=[*cells, "l_extendedprice"]).groupBy(*cells).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("m"), F.var_pop("l_extendedprice").alias("v"))
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    within = F.sum(F.col("n") * F.col("v"))
+    one = sums.agg(within.alias("w"), n.alias("n"), mean.alias("mean"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s"))
+    one = one.select((1 - F.col("w") / (F.col("w") + F.col("s") - F.col("n") * F.col("mean") ** 2)).alias("cells_r2"))
     linear = F.col("name") == "Linear Regression"
-    return done.models.select(
+    return done.models.join(F.broadcast(one)).select(
         "name", *[F.when(linear, F.round(c, 6)).alias(c) for c in ("r2_train", "r2_test")],
         *[F.when(linear, F.round(c, 4)).alias(c) for c in ("rmse_train", "rmse_test")],
-        ((F.col("r2_train") <= 1) & (F.col("rmse_train") > 0)).cast("int").alias("in_range"))
+        F.round("cells_r2", 6).alias("cells_r2"), (F.col("r2_train") <= F.col("cells_r2") + 1e-9).cast("int").alias("below_cells"),
+        ((F.col("r2_train") > 0) & (F.col("rmse_train") > 0)).cast("int").alias("in_range"))
+
+
+def q_tree_split(spark, d):
+    """Best weighted cut of every predictor, and the one that a tree of depth 1 chose, with its leaves."""
+    li = _t(spark, d, "lineitem").withColumn("flag_r", (F.col("l_returnflag") == "R").cast("double"))
+    names = ["l_quantity", "l_discount", "l_tax", "flag_r"]
+    design = models.design_frame(li, "l_extendedprice", names, [], passthrough=["l_linenumber"])
+    forest = models.fit_stored_forest(design.frame, 1, seed=None, weight_col="l_linenumber", max_depth=1)
+    tree = forest.subtrees().select(F.explode(F.arrays_zip("feature", "cut", "left", "value")).alias("x")).select("x.*").collect()
+    root, low, high = tree[0], tree[1], tree[2]
+    best = models.best_splits(li, names, "l_extendedprice", "l_linenumber")
+    chosen = F.col("feature") == names[root.feature]
+    return best.select(
+        "feature", _r(F.col("threshold"), 4).alias("threshold"), _r(F.col("gain"), 2).alias("gain"),
+        _r(F.col("left_mean"), 4).alias("left_mean"), _r(F.col("right_mean"), 4).alias("right_mean"), "n_left",
+        chosen.cast("int").alias("chosen"),
+        F.when(chosen, F.round(F.lit(float(forest.cuts[root.feature][root.cut])), 4)).alias("tree_threshold"),
+        F.when(chosen, F.round(F.lit(low.value + forest.mean), 4)).alias("tree_left"),
+        F.when(chosen, F.round(F.lit(high.value + forest.mean), 4)).alias("tree_right"))
+
+
+def q_boost_rounds(spark, d):
+    """Two boosting rounds of depth 1: each round's cut and leaf values."""
+    names = ["l_quantity", "l_discount", "l_tax"]
+    design = models.design_frame(_t(spark, d, "lineitem"), "l_extendedprice", names, [])
+    out = models.boosted_stumps(design.frame, names, 2)
+    return out.select("round", "feature", *[_r(F.col(c), 4).alias(c) for c in ("threshold", "left_mean", "right_mean")])
 
 
 # --- missing values, zero cells and other branches ------------------------------------------------
@@ -566,6 +623,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ols_full": q_ols_full,
     "hash_split": q_hash_split,
     "linear_metrics": q_linear_metrics,
+    "ols_collinear": q_ols_collinear,
+    "sparse_design": q_sparse_design,
+    "tree_split": q_tree_split,
+    "boost_rounds": q_boost_rounds,
     "rf_importance": q_rf_importance,
     "model_comparison": q_model_comparison,
     "anova_summary": q_anova_summary,

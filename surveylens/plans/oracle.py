@@ -1,12 +1,69 @@
 """DuckDB SQL equivalents of the registered queries (same column names and types).
 
-Model fits (``anova_p``, ``ols_full``, ``hash_split``, ``rf_importance``,
-``model_comparison``) have no SQL form and are checked on row counts.
+Of full tree ensembles SQL states what holds for any right fit (order, sums, the bound of the cell
+means); single splits and boosting rounds are stated exactly.
 """
 
 from __future__ import annotations
 
 
+_LINEAR = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _dummies() -> list[tuple[str, str]]:
+    """Name and 0/1 expression of the dummies of the two flag columns; the levels are those of the generated tables."""
+    return [(f"{c}[T.{v}]", f"(CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END)")
+            for c, levels in (("l_returnflag", "NR"), ("l_linestatus", "O")) for v in levels]
+
+
+def _solved(x: list[tuple[str, str]], y: str, source: str) -> str:
+    """``term, coef`` of the least squares of ``y`` on the named expressions, without the intercept: Gauss-Jordan
+    elimination of the normal matrix, written out one pivot at a time."""
+    p = len(x)
+    cols = [e for _, e in x] + [y]
+    covs = ", ".join(f"covar_pop({cols[i]}, {cols[j]}) AS a0_{i}_{j}" for i in range(p) for j in range(p + 1))
+    steps, last = [f"s0 AS (SELECT {covs} FROM {source})"], "s0"
+    for k in range(p):
+        out = []
+        for i in range(p):
+            for j in range(p + 1):
+                pivot = f"a{k}_{k}_{j} / a{k}_{k}_{k}"
+                out.append((pivot if i == k else f"a{k}_{i}_{j} - a{k}_{i}_{k} * {pivot}") + f" AS a{k + 1}_{i}_{j}")
+        steps.append(f"s{k + 1} AS (SELECT {', '.join(out)} FROM {last})")
+        last = f"s{k + 1}"
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS term, a{p}_{i}_{p} AS coef FROM {last}" for i, (name, _) in enumerate(x))
+    return f"WITH {', '.join(steps)} {rows}"
+
+
+def _forest_plot_coefficients() -> str:
+    x = [(c, c) for c in _LINEAR] + _dummies()[:2]
+    return f"SELECT *, CASE WHEN term LIKE '%[%' THEN 'demographic' ELSE 'psych' END AS term_family FROM ({_solved(x, 'l_extendedprice', 'lineitem')})"
+
+
+def _model_comparison(test: str) -> str:
+    x = [(c, c) for c in _LINEAR] + _dummies()
+    fit = _solved(x, "l_extendedprice", "(SELECT * FROM d WHERE NOT test)")
+    line = " + ".join(f"max(CASE WHEN term = '{n}' THEN coef END) AS b{i}" for i, (n, _) in enumerate(x)).replace(" + ", ", ")
+    score = " + ".join(f"b{i} * {e}" for i, (_, e) in enumerate(x))
+    means = ", ".join(f"avg({e}) AS m{i}" for i, (_, e) in enumerate(x))
+    intercept = " - ".join(["my", *[f"b{i} * m{i}" for i in range(len(x))]])
+    return f"""
+WITH d AS (SELECT *, {test} AS test FROM lineitem),
+f AS (SELECT {line} FROM ({fit})),
+m AS (SELECT avg(l_extendedprice) AS my, {means} FROM d WHERE NOT test),
+e AS (SELECT test, avg((l_extendedprice - ({intercept}) - ({score})) ** 2) AS mse, var_pop(l_extendedprice) AS vy FROM d, f, m GROUP BY test),
+p AS (
+  SELECT max(CASE WHEN NOT test THEN 1 - mse / vy END) AS r2_train, max(CASE WHEN test THEN 1 - mse / vy END) AS r2_test,
+         max(CASE WHEN NOT test THEN sqrt(mse) END) AS rmse_train, max(CASE WHEN test THEN sqrt(mse) END) AS rmse_test FROM e),
+c AS (SELECT sum(n * v) AS within FROM (
+  SELECT count(*) AS n, var_pop(l_extendedprice) AS v FROM d WHERE NOT test
+  GROUP BY l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)),
+t AS (SELECT 1 - within / (SELECT count(*) * var_pop(l_extendedprice) FROM d WHERE NOT test) AS cells FROM c)
+SELECT 'Linear Regression' AS name, round(r2_train, 6) AS r2_train, round(r2_test, 6) AS r2_test, round(rmse_train, 4) AS rmse_train,
+       round(rmse_test, 4) AS rmse_test, round(cells, 6) AS cells_r2, 1 AS below_cells, 1 AS in_range FROM p, t
+UNION ALL SELECT unnest(['Random Forest', 'Gradient Boosting']), NULL, NULL, NULL, NULL, round(cells, 6), 1, 1 FROM t"""
+
+
 def _case_bins(col: str, edges: list[float]) -> str:
     parts = []
     for i in range(len(edges) - 1):
@@ -374,7 +431,18 @@ t AS (SELECT o_orderpriority, CAST(sum(n) OVER () AS DOUBLE) / n AS w FROM c)
 SELECT o_orderkey, round(coalesce(t.w, 1.0), 6) AS weight
 FROM orders LEFT JOIN t USING (o_orderpriority)"""
 
-    sql["ols_two_predictor"] = """
+    # t(0.975) by its expansion about the normal quantile; the tail by Simpson's rule over the density
+    inference = """,
+k AS (SELECT *, coef / se AS t, (SELECT n - 3 FROM m) AS v, 1.959963984540054::DOUBLE AS z FROM r),
+q AS (SELECT *, z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v * v) AS tq,
+             exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) AS c0 FROM k),
+p AS (
+  SELECT term, sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+                   * c0 * (1 + (i * least(abs(t), 40) / 4000.0) ** 2 / v) ** (-(v + 1) / 2.0)) * max(least(abs(t), 40)) / 12000.0 AS half
+  FROM q, generate_series(0, 4000) AS g(i) GROUP BY term)
+SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(t, 4) AS t, round(coef - tq * se, 4) AS ci_lower,
+       round(coef + tq * se, 4) AS ci_upper, round(greatest(1 - 2 * half, 0.0), 7) AS p_value FROM q JOIN p USING (term)"""
+    two = """
 WITH d AS (
   SELECT l_extendedprice AS y, l_quantity AS x1, nullif(l_discount, 0.0) AS x2 FROM lineitem),
 u AS (SELECT * FROM d WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
@@ -389,9 +457,50 @@ s AS (SELECT *, n * (vy - b1 * c1y - b2 * c2y) / (n - 3) AS s2 FROM b),
 r AS (
   SELECT 'Intercept' AS term, my - b1 * m1 - b2 * m2 AS coef,
          sqrt(s2 / n * (1 + (m1 * m1 * c22 - 2 * m1 * m2 * c12 + m2 * m2 * c11) / det)) AS se FROM s
-  UNION ALL SELECT 'l_quantity', b1, sqrt(s2 / n * c22 / det) FROM s
-  UNION ALL SELECT 'disc', b2, sqrt(s2 / n * c11 / det) FROM s)
-SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(coef / se, 4) AS t FROM r"""
+  UNION ALL SELECT {first}, sqrt(s2 / n * c22 / det){half} FROM s{again}
+  UNION ALL SELECT 'disc', b2, sqrt(s2 / n * c11 / det) FROM s)"""
+    sql["ols_two_predictor"] = two.format(first="'l_quantity', b1", half="", again="") + inference
+    # x1 twice: each half has half the coefficient and half its standard error
+    sql["ols_collinear"] = two.format(
+        first="'l_quantity', b1 / 2", half=" / 2",
+        again=" UNION ALL SELECT 'quantity_again', b1 / 2, sqrt(s2 / n * c22 / det) / 2 FROM s") + inference
+
+    sql["sparse_design"] = """
+WITH c AS (SELECT o_orderkey, o_totalprice, dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS a,
+                  dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS b FROM orders
+           WHERE o_custkey IS NOT NULL AND o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL),
+n AS (SELECT *, max(a) OVER () AS k FROM c)
+SELECT o_orderkey, concat_ws(',', CASE WHEN a > 0 THEN a - 1 END, CASE WHEN b > 0 THEN k + b - 1 END) AS columns,
+       round(o_totalprice, 6) AS label FROM n"""
+
+    splits = """
+l AS (SELECT feature, value, sum(w) AS w, sum(w * y) AS wy, sum(w * y * y) AS wyy, count(*) AS n FROM x GROUP BY 1, 2),
+g AS (SELECT feature, (value + lead(value) OVER o) / 2 AS threshold, sum(w) OVER o AS lw, sum(wy) OVER o AS ly, sum(wyy) OVER o AS lyy,
+             sum(n) OVER o AS n_left, sum(w) OVER f AS tw, sum(wy) OVER f AS ty, sum(wyy) OVER f AS tyy
+      FROM l WINDOW o AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)),
+h AS (SELECT feature, threshold, ly / lw AS left_mean, (ty - ly) / (tw - lw) AS right_mean, n_left,
+             (tyy - ty * ty / tw - (lyy - ly * ly / lw) - (tyy - lyy - (ty - ly) ** 2 / (tw - lw))) / tw AS gain
+      FROM g WHERE threshold IS NOT NULL),
+best AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, threshold) = 1)"""
+    sql["tree_split"] = f"""
+WITH x AS (
+  SELECT unnest(['l_quantity', 'l_discount', 'l_tax', 'flag_r']) AS feature,
+         unnest([l_quantity, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END]::DOUBLE[]) AS value,
+         l_linenumber::DOUBLE AS w, l_extendedprice::DOUBLE AS y FROM lineitem),{splits},
+c AS (SELECT *, row_number() OVER (ORDER BY gain DESC) = 1 AS chosen FROM best)
+SELECT feature, round(threshold, 4) AS threshold, round(gain, 2) AS gain, round(left_mean, 4) AS left_mean,
+       round(right_mean, 4) AS right_mean, n_left, chosen::INT AS chosen, CASE WHEN chosen THEN round(threshold, 4) END AS tree_threshold,
+       CASE WHEN chosen THEN round(left_mean, 4) END AS tree_left, CASE WHEN chosen THEN round(right_mean, 4) END AS tree_right FROM c"""
+    columns = "unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_discount, l_tax]::DOUBLE[]) AS value, 1.0 AS w"
+    value = "CASE feature WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END::DOUBLE"
+    one = f"(WITH x AS (SELECT {columns}, l_extendedprice::DOUBLE AS y FROM lineitem),{splits} SELECT * FROM best ORDER BY gain DESC LIMIT 1)"
+    rest = (f"2 * (l_extendedprice::DOUBLE - CASE WHEN {value} <= threshold THEN left_mean ELSE right_mean END)")
+    two_ = f"""(WITH first AS {one},
+z AS (SELECT lineitem.*, {rest} AS y FROM lineitem, first),
+x AS (SELECT {columns}, y FROM z),{splits} SELECT * FROM best ORDER BY gain DESC LIMIT 1)"""
+    sql["boost_rounds"] = " UNION ALL ".join(
+        f"SELECT {k} AS round, feature, round(threshold, 4) AS threshold, round(left_mean, 4) AS left_mean, round(right_mean, 4) AS right_mean FROM {q}"
+        for k, q in ((1, one), (2, two_)))
 
     levels = []
     for c in ["l_returnflag", "l_linestatus"]:
@@ -404,30 +513,19 @@ WHERE {c} <> first""")
 SELECT 'l_quantity' AS term, 0.0::DOUBLE AS moment UNION ALL SELECT 'disc', 0.0::DOUBLE
 UNION ALL SELECT 'l_tax', 0.0::DOUBLE UNION ALL """ + " UNION ALL ".join(levels)
 
+    # a family's terms in order of their coefficients: the group means do not give them, the normal equations do
     sql["forest_plot"] = """
-SELECT term, term_family, 1 AS lower_below, 1 AS upper_above FROM (
-  SELECT 'l_quantity' AS term, 'psych' AS term_family UNION ALL SELECT 'l_discount', 'psych'
-  UNION ALL SELECT 'l_tax', 'psych'
-  UNION ALL SELECT 'l_returnflag[T.' || l_returnflag || ']', 'demographic' FROM (
-    SELECT DISTINCT l_returnflag, min(l_returnflag) OVER () AS first FROM lineitem) WHERE l_returnflag <> first)"""
+SELECT term, term_family, row_number() OVER (PARTITION BY term_family ORDER BY coef, term)::INT AS rank, 1 AS lower_below, 1 AS upper_above
+FROM ({coefficients})""".replace("{coefficients}", _forest_plot_coefficients())
 
     split = "('0x' || substr(md5(concat_ws('|', {key}, '42')), 1, 8))::BIGINT % 10000 >= 8000"
     sql["hash_split"] = f"SELECT o_orderkey, {split.format(key='o_orderkey')} AS is_test FROM orders"
 
     sql["rf_importance"] = """
-SELECT unnest(['s_nationkey', 'half', 'flag_low']) AS feature, 1 AS not_negative, 1.0::DOUBLE AS total"""
+SELECT i::INT AS rank, CASE WHEN i = 1 THEN 'l_quantity' END AS first, 1 AS descends, 1 AS not_negative, 1.0::DOUBLE AS total
+FROM generate_series(1, (SELECT 3 + count(DISTINCT l_returnflag) - 1 + count(DISTINCT l_linestatus) - 1 FROM lineitem)) AS g(i)"""
 
-    sql["model_comparison"] = f"""
-WITH d AS (SELECT s_acctbal AS y, s_nationkey::DOUBLE AS x, {split.format(key='s_suppkey')} AS test FROM supplier),
-f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d WHERE NOT test),
-e AS (SELECT test, avg((y - a - b * x) * (y - a - b * x)) AS mse, var_pop(y) AS vy FROM d, f GROUP BY test),
-p AS (
-  SELECT max(CASE WHEN NOT test THEN 1 - mse / nullif(vy, 0) END) AS r2_train, max(CASE WHEN test THEN 1 - mse / nullif(vy, 0) END) AS r2_test,
-         max(CASE WHEN NOT test THEN sqrt(mse) END) AS rmse_train, max(CASE WHEN test THEN sqrt(mse) END) AS rmse_test FROM e)
-SELECT 'Linear Regression' AS name, round(r2_train, 6) AS r2_train, round(r2_test, 6) AS r2_test,
-       round(rmse_train, 4) AS rmse_train, round(rmse_test, 4) AS rmse_test, 1 AS in_range FROM p
-UNION ALL SELECT 'Random Forest', NULL, NULL, NULL, NULL, 1
-UNION ALL SELECT 'Gradient Boosting', NULL, NULL, NULL, NULL, 1"""
+    sql["model_comparison"] = _model_comparison(split.format(key="concat_ws('|', l_orderkey, l_linenumber)"))
 
     sql["linear_metrics"] = """
 WITH r AS (
