@@ -31,15 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import BROADCAST_IDS, cut_lineage, id_text, mix64, shards_for, small_batches, text_slices, utf8_flat
+from surveylens.llm.common import cut_lineage, id_text, is_few, mix64, shards_for, small_batches, text_slices, utf8_flat
 from surveylens.llm.induced import sort_suffixes
 
 WIDTH = 200
 GRAM = 32
 RUN = 512
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 19
 #: Bytes of text that are hashed at once; places within it fit ``PLACE_BITS``.
-PIECE, PLACE_BITS = 1 << 20, 21
+PIECE, PLACE_BITS = 1 << 18, 21
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
@@ -129,15 +129,11 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
     return cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _few(ids: DataFrame) -> bool:
-    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-
-
 def _with_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (with ``text``) joined with ``found`` by ``doc_id, hash``; where few texts are
     asked for, the others are not shuffled."""
     asked = found.select("hash").distinct()
-    if _few(asked):
+    if is_few(asked):
         docs = docs.join(F.broadcast(asked), "hash", "left_semi")
     right = found.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
     return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).drop("_id", "_hash")
@@ -230,7 +226,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = different.agg(F.sum(length)).first()[0] or 0
     shards = shards_for(total, shard_bytes)
     hot = different.groupBy("anchor").agg(F.ceil(F.sum(length) / shard_bytes).alias("parts")).filter("parts > 1")
-    sized = different.join(F.broadcast(hot) if _few(hot) else hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sized = different.join(F.broadcast(hot) if is_few(hot) else hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     ids = by_row.select("row", "doc_id", "hash")
     asked = sized.groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "copies", "start", "count", "parts")).alias("segments"))
     held = _with_texts(texts, cut_lineage(asked.join(ids, "row").drop("row")))
@@ -276,7 +272,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = _with_texts(texts, spans).select("doc_id", "text", "spans").mapInArrow(run, schema)
     ids = spans.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    whole = texts.join(F.broadcast(ids) if _few(ids) else ids, same, "left_anti")
+    whole = texts.join(F.broadcast(ids) if is_few(ids) else ids, same, "left_anti")
     return cut.unionByName(whole.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(REMOVED).alias("removed"),
         F.col("text").cast("binary").alias("kept")))
