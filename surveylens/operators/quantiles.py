@@ -1,8 +1,10 @@
 """Exact, linearly interpolated quantiles (A24) — the building block of
 describe, box statistics and quantile groups.
 
-Method ``"exact"`` (the default) finds order statistics by counting passes.
-Pass 0 gives every group's size and range. Each further pass divides every
+Method ``"exact"`` (the default) finds order statistics in two scans: a sketch of every group
+brackets each wanted share, a count of what lies below, inside and above the brackets gives the
+values (``_bracketed``). Ranks that this leaves open, in very large groups or by a sketch that
+is off, are found by counting passes. Each pass divides every
 interval that still holds a wanted rank into up to ``BUCKETS`` parts and counts
 its rows per part, with the smallest and largest value of each; the part that
 holds the rank is the next interval. An interval of one value is an answer, so
@@ -38,6 +40,11 @@ from ..session import MAX_BROADCAST_BYTES, ensure_checkpoint_dir, table_size
 BUCKETS = 4096
 # Intervals that are kept as a local relation between passes.
 HELD_ROWS = 4096
+# A sketch's marks are off by one part in ACCURACY of the rows at most; brackets reach twice as far.
+ACCURACY = 10_000
+MARGIN = 2 / ACCURACY
+# Groups of more rows have too many values in a bracket for one array: it is divided like any interval.
+VALUE_ROWS = BUCKETS * ACCURACY // 8
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
@@ -104,16 +111,60 @@ def _held(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
     return held, F.broadcast(spans) if n_bytes <= MAX_BROADCAST_BYTES else spans
 
 
-def _counted(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
+def _kept(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A small table as a local relation (True), a larger one in the checkpoint folder."""
+    table = df.limit(HELD_ROWS + 1).toArrow()
+    if table.num_rows <= HELD_ROWS:
+        return df.sparkSession.createDataFrame(table, df.schema), True
+    return df.checkpoint(), False
+
+
+def _bracketed(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
+    """``by, n, lo, hi, before, rows, rank`` after two scans: one sketch of every group, whose marks on both
+    sides of each wanted share bracket it, and one count. The rows inside a bracket are counted value by
+    value, those between brackets as one part each; so a rank inside its bracket is found (lo = hi),
+    and should a sketch be off, its rank lies in a part that the counting passes divide further."""
     ensure_checkpoint_dir(base.sparkSession)
-    groups = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    marks = [x for p in probs.values() for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(float(x)) for x in marks]), ACCURACY)
+    groups, small = _kept(base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), sketch.alias("marks")).where("n > 0"))
+    right = _renamed(groups, by)
+    if small or table_size(groups.drop("marks"))[1] * len(marks) <= MAX_BROADCAST_BYTES:
+        right = F.broadcast(right)
+    rows = base.join(right, _same_group(base, right, by))
+    v = F.col("_v")
+    pairs = [(F.col("marks")[k], F.col("marks")[k + 1]) for k in range(0, len(marks), 2)]
+    inside = reduce(lambda x, y: x | y, [v.between(lo, hi) for lo, hi in pairs])
+    # a step function of the value: between two steps lie no marks
+    step = reduce(lambda x, y: x + y, [(v >= lo).cast("int") + (v > hi).cast("int") for lo, hi in pairs])
+    exact = F.when(inside & (F.col("n") <= VALUE_ROWS), v)
+    keys = [f"_g_{c}" for c in by]
+    cells = rows.select(*keys, "n", "_v", step.alias("step"), exact.alias("value")).groupBy(*keys, "n", "step", "value").agg(
+        F.count(F.lit(1)).alias("count"), F.min("_v").alias("next_lo"), F.max("_v").alias("next_hi"))
+    whole = cells.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("next_lo", "next_hi", "count"))).alias("parts"))
     # ranks below and above every wanted position, counted from 0
     ranks = F.array_distinct(F.array(*[
         r for p in probs.values() for r in (
             F.floor(F.lit(float(p)) * (F.col("n") - 1)), F.ceil(F.lit(float(p)) * (F.col("n") - 1)))]))
-    open_, spans = _held(groups.where("n > 0").select(
-        *by, "n", "lo", "hi", F.lit(0).cast("bigint").alias("before"), F.col("n").alias("rows"),
-        F.explode(ranks).alias("rank")), by)
+    asked = whole.select(*[F.col(f"_g_{c}").alias(c) for c in by], "n", "parts", F.explode(ranks).alias("rank"))
+    nothing = F.lit(0).cast("bigint")
+    start = F.struct(nothing.alias("before"), F.lit(False).alias("found"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), nothing.alias("rows"))
+    held = _holding(start)
+    return asked.select(*by, "n", held.alias("_h"), "rank").select(*by, "n", "_h.lo", "_h.hi", "_h.before", "_h.rows", "rank")
+
+
+def _holding(start: Column) -> Column:
+    """Walk over ``parts`` in order: the one that holds ``rank``, and the rows before it."""
+    return F.aggregate("parts", start, lambda a, x: F.when(a["found"], a).when(
+        a["before"] + x["count"] > F.col("rank"),
+        F.struct(a["before"].alias("before"), F.lit(True).alias("found"),
+                 x["next_lo"].alias("lo"), x["next_hi"].alias("hi"), x["count"].alias("rows"))).otherwise(
+        F.struct((a["before"] + x["count"]).alias("before"), F.lit(False).alias("found"),
+                 a["lo"].alias("lo"), a["hi"].alias("hi"), a["rows"].alias("rows"))))
+
+
+def _counted(base: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
+    open_, spans = _held(_bracketed(base, by, probs), by)
     done = [open_.where("lo >= hi")]
     by_magnitude = False
     while spans is not None:
@@ -141,12 +192,7 @@ def _narrowed(open_: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
     # walk over the parts: rows before the part that holds the rank, and its range
     start = F.struct(F.col("before").alias("before"), F.lit(False).alias("found"),
                      F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.col("rows").alias("rows"))
-    held = F.aggregate("parts", start, lambda a, x: F.when(a["found"], a).when(
-        a["before"] + x["count"] > F.col("rank"),
-        F.struct(a["before"].alias("before"), F.lit(True).alias("found"),
-                 x["next_lo"].alias("lo"), x["next_hi"].alias("hi"), x["count"].alias("rows"))).otherwise(
-        F.struct((a["before"] + x["count"]).alias("before"), F.lit(False).alias("found"),
-                 a["lo"].alias("lo"), a["hi"].alias("hi"), a["rows"].alias("rows"))))
+    held = _holding(start)
     return joined.select(*by, "n", held.alias("_h"), "rank").select(
         *by, "n", "_h.lo", "_h.hi", "_h.before", "_h.rows", "rank")
 
