@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import presets as P
@@ -42,11 +42,29 @@ def top_k(df: DataFrame, order_col: str, key: str, k: int = 10) -> DataFrame:
     return df.orderBy(F.desc(order_col), F.asc(key)).limit(k)
 
 
+def _caseless(name) -> Column:
+    return F.lower(F.trim(name))
+
+
+def alias_table(dim: DataFrame, aliases: Sequence[str], code: str) -> DataFrame:
+    """``alias, code``: every name under which a row of ``dim`` can be asked for, in lower case and without
+    blanks around it. Of codes that share an alias, the one from the column named first in
+    ``aliases`` counts, then the smallest."""
+    rows = F.array(*[F.struct(F.lit(k).alias("place"), _caseless(F.col(f"`{c}`").cast("string")).alias("alias"),
+                              F.col(f"`{code}`").alias("code")) for k, c in enumerate(aliases)])
+    return dim.select(F.inline(rows)).where("alias <> '' AND code IS NOT NULL").groupBy("alias").agg(
+        F.min(F.struct("place", "code")).alias("first")).select("alias", "first.code")
+
+
 def attach_codes(agg: DataFrame, dim: DataFrame, name_col: str = "country_name",
                  dim_name: str = "name", dim_code: str = "alpha3",
-                 out: str = "iso_alpha_3") -> DataFrame:
+                 out: str = "iso_alpha_3", aliases: Sequence[str] = ()) -> DataFrame:
     """Country name -> alpha-3 code on an aggregated table (unmatched -> NULL;
-    a name that repeats gets its smallest code)."""
+    a name that repeats gets its smallest code). With ``aliases``, columns of ``dim``, a
+    name may be any of them in any case (``alias_table``)."""
+    if aliases:
+        d = alias_table(dim, aliases, dim_code).select(F.col("alias").alias("_nm"), F.col("code").alias(out))
+        return agg.join(d, _caseless(agg[name_col]) == d["_nm"], "left").drop("_nm")
     d = dim.groupBy(F.col(dim_name).alias("_nm")).agg(F.min(dim_code).alias(out))
     return agg.join(d, agg[name_col] == d["_nm"], "left").drop("_nm")
 

@@ -225,6 +225,15 @@ def q_country_mean_iso(spark, d):
     return out.select("n_name", _r(F.col("mean_acctbal")).alias("mean_acctbal"), "n_nationkey")
 
 
+def q_country_alias(spark, d):
+    """Nations asked for by name or by a short form that several share, in any case, with blanks."""
+    nation = _t(spark, d, "nation").withColumn("short", F.substring("n_name", 1, 3))
+    asked = nation.select(F.inline(F.array(*[F.struct(x.alias("asked")) for x in (
+        F.lower("n_name"), F.concat(F.lit("  "), F.col("n_name"), F.lit(" ")), F.initcap("short"), F.concat("n_name", F.lit("?")))])))
+    out = geo.attach_codes(asked.distinct(), nation, "asked", dim_code="n_nationkey", out="n_nationkey", aliases=["n_name", "short"])
+    return out.select("asked", "n_nationkey")
+
+
 def q_choropleth_table(spark, d):
     means = geo.mean_by(_t(spark, d, "customer"), "c_nationkey", "c_acctbal", "mean_acctbal")
     nations = _t(spark, d, "nation").select("n_nationkey", "n_name")
@@ -602,6 +611,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "one_hot": q_one_hot,
     "group_means": q_group_means,
     "country_mean_iso": q_country_mean_iso,
+    "country_alias": q_country_alias,
     "choropleth_table": q_choropleth_table,
     "top10_mean": q_top10_mean,
     "top10_count": q_top10_count,

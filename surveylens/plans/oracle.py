@@ -278,6 +278,16 @@ WITH m AS (
 SELECT m.n_name, round(mean_acctbal, 6) AS mean_acctbal, nation.n_nationkey
 FROM m LEFT JOIN nation ON m.n_name = nation.n_name"""
 
+    sql["country_alias"] = """
+WITH a AS (
+  SELECT 0 AS place, lower(trim(n_name)) AS alias, n_nationkey AS code FROM nation
+  UNION ALL SELECT 1, lower(trim(substr(n_name, 1, 3))), n_nationkey FROM nation),
+f AS (SELECT alias, code FROM a QUALIFY row_number() OVER (PARTITION BY alias ORDER BY place, code) = 1),
+q AS (
+  SELECT lower(n_name) AS asked FROM nation UNION SELECT '  ' || n_name || ' ' FROM nation
+  UNION SELECT upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2, 2)) FROM nation UNION SELECT n_name || '?' FROM nation)
+SELECT asked, f.code AS n_nationkey FROM q LEFT JOIN f ON lower(trim(asked)) = f.alias"""
+
     sql["choropleth_table"] = """
 WITH m AS (
   SELECT c_nationkey, avg(c_acctbal) AS mean_acctbal FROM customer

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import presets as P
 from ..operators import anova, bins, clean, crosstab, geo, models, scale
 from ..session import ensure_checkpoint_dir
-from ..sources.countries import country_dimension
+from ..sources.countries import ALIASES, country_dimension
 from ..sources.writers import publish
 
 ROW_ID = "row_id"
@@ -236,7 +236,8 @@ def view_tables(std: DataFrame, world: DataFrame | None = None,
     out["nonresponse"] = describe.nonresponse_table(std)
     if "country_name" in std.columns:
         iso_dim = country_dimension(std.sparkSession) if iso_dim is None else iso_dim
-        means = geo.attach_codes(geo.mean_by(std, "country_name"), iso_dim)
+        names = [c for c in ALIASES if c in iso_dim.columns]
+        means = geo.attach_codes(geo.mean_by(std, "country_name"), iso_dim, aliases=names)
         out["mean_anxiety_by_country_iso"] = means
         if world is not None:
             table = geo.choropleth_table(world, means)

@@ -1,4 +1,4 @@
-"""The country dimension ``(alpha2, alpha3, name, continent)`` used when a survey run gets none.
+"""The country dimension ``(alpha2, alpha3, name, continent, common_name)`` used when a survey run gets none.
 
 Codes and English names come from the JVM's ISO 3166 tables; only what these
 lack is stated here.
@@ -34,6 +34,10 @@ NAMES = {
 }
 
 
+#: Columns under which a country can be asked for, in order of precedence.
+ALIASES = ("name", "official_name", "common_name", "alpha2", "alpha3")
+
+
 def country_dimension(spark: SparkSession) -> DataFrame:
     """One row per ISO 3166-1 country (about 250)."""
     jvm = spark.sparkContext._jvm
@@ -42,6 +46,6 @@ def country_dimension(spark: SparkSession) -> DataFrame:
     rows = []
     for code in jvm.java.util.Locale.getISOCountries():
         place = jvm.java.util.Locale("", code)
-        rows.append((code, place.getISO3Country(), NAMES.get(code, place.getDisplayCountry(english)),
-                     continent.get(code)))
-    return spark.createDataFrame(rows, "alpha2 string, alpha3 string, name string, continent string")
+        common = place.getDisplayCountry(english)
+        rows.append((code, place.getISO3Country(), NAMES.get(code, common), continent.get(code), common))
+    return spark.createDataFrame(rows, "alpha2 string, alpha3 string, name string, continent string, common_name string")
