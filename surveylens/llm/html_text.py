@@ -8,15 +8,19 @@ features (hashes of all its four-word shingles): what stands on every page of a
 host has importance 0, what stands on one page has importance 1. The composite
 of both, from the leaves upwards, is smoothed by ``PRIOR_PAGES`` pages that show
 an important node, and decides: a branch of which no node reaches ``THRESHOLD``
-is removed from each page of the host. Elements whose tag, class or role names a
+is removed from each page of the host. Elements whose tag, role or class name is that of a
 menu, header, footer, sidebar, notice, advert, form or reader comments have no
-importance, whatever they hold. Where a page marks its article (``article``,
+importance, whatever they hold. A name with such a word among others (``social-science``) is a
+prior only: it counts if the element holds no more than half of the page's text; names that
+say something of a page (``has-sidebar``, ``comments-open``) do not count. Where a page marks its article (``article``,
 ``main``), ``MARK`` is added to the importance inside; outside, it is taken off,
 and the pages of the prior show an unimportant node.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by two line ends. Null and empty pages give an empty text;
-pages without a url share the host ''. Repeated rows get one row each.
+pages without a url share the host ''. Repeated rows get one row each; columns other than id, url and
+html are not read, whatever their names. An empty table gives an empty result. Long and deeply
+nested pages take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -63,6 +67,11 @@ FURNITURE_WORDS = frozenset("""ad ads advert advertisement adverts advertising b
 comments consent cookie cookies copyright discussion disqus footer gdpr header masthead menu modal nav navbar navigation
 newsletter notice notices pager pagination popup promo promoted promotion reactions related replies reply respond share
 sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split())
+#: Words that say where or what kind a piece of furniture is, and words that make a name say something of a page.
+PLACE_WORDS = frozenset("""area bar block body bottom box buttons center col column container content fixed float global group
+inner item items left links list main outer overlay page panel primary right row secondary section site sticky tertiary top
+user users wrap wrapper""".split())
+STATE_WORDS = frozenset("close closed disabled enabled has hide hidden is no not off on open opened show without with".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN_TAGS = frozenset("article main".split())
 
@@ -74,24 +83,49 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
-    """An open element: its style path's hash, and what it tells about its content."""
+    """An open element: its style path's hash, and what it tells about its content. ``doubt`` is the
+    innermost element around (or itself) whose names only may mean furniture."""
 
-    __slots__ = ("tag", "path", "furniture", "main", "children")
+    __slots__ = ("tag", "path", "furniture", "main", "children", "doubt", "outer", "size")
 
-    def __init__(self, tag: str, style: str, parent: Node | None, furniture: bool) -> None:
+    def __init__(self, tag: str, style: str, parent: Node | None, furniture: bool, doubtful: bool = False) -> None:
         self.tag = tag
         self.path = xxhash.xxh3_64_intdigest(style, seed=parent.path if parent else 0) >> 1
         self.main = tag in MAIN_TAGS or bool(parent and parent.main)
         self.furniture = furniture or bool(parent and parent.furniture)
         self.children: list[str] = []
+        self.outer = parent.doubt if parent else None
+        self.doubt = self if doubtful else self.outer
+        self.size = 0  # characters of text, where doubtful
 
 
-def _opens(stack: list[Node], tag: str) -> None:
+class Stack(list):
+    """The open elements, with counts by tag and by path."""
+
+    def __init__(self, root: Node) -> None:
+        super().__init__([root])
+        self.tags, self.paths = Counter([root.tag]), Counter([root.path])
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.tags[node.tag] += 1
+        self.paths[node.path] += 1
+
+    def cut(self, i: int) -> None:
+        while len(self) > i:
+            node = self.pop()
+            self.tags[node.tag] -= 1
+            self.paths[node.path] -= 1
+
+
+def _opens(stack: Stack, tag: str) -> None:
     """Elements that a new block element closes by itself."""
     def drop(names: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        if not any(stack.tags[n] for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
-                del stack[i:]
+                stack.cut(i)
                 return
             if stack[i].tag in stop:
                 return
@@ -109,25 +143,35 @@ def _opens(stack: list[Node], tag: str) -> None:
         drop(("h1", "h2", "h3", "h4", "h5", "h6"), ("article", "div", "li", "td", "section", "body"))
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """Class names in order, and whether class, id or role names page furniture."""
-    classes, furniture = "", False
+def _says(token: str) -> int:
+    """What one class or id says: 2, it is furniture (only furniture words, and words of place or form);
+    1, it may be (a furniture word among others); 0, it is not (``has-sidebar`` says so of a page)."""
+    parts = _WORD.findall(token)
+    if FURNITURE_WORDS.isdisjoint(parts) or not STATE_WORDS.isdisjoint(parts):
+        return 0
+    return 2 if all(p in FURNITURE_WORDS or p in PLACE_WORDS for p in parts) else 1
+
+
+def _marks(attributes: str) -> tuple[str, int]:
+    """Class names in order, and what class, id or role say about furniture (``_says``)."""
+    classes, says = "", 0
     for m in _NAMES.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
-            furniture |= not FURNITURE_ROLES.isdisjoint(value.split())
+            says = max(says, 0 if FURNITURE_ROLES.isdisjoint(value.split()) else 2)
         else:
-            furniture |= not FURNITURE_WORDS.isdisjoint(_WORD.findall(value))
+            says = max([says, *map(_says, value.split())])
             if m[1].lower() == "class":
                 classes = ".".join(sorted({_DIGITS.sub("0", v) for v in value.split()}))
-    return classes, furniture
+    return classes, says
 
 
 def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node], list[tuple[int, int]]]:
     """Text blocks with the element that holds them, all block elements, and
-    the (child, parent) paths."""
+    the (child, parent) paths. Time is in proportion to the page, however it is nested."""
     root = Node("#", "#", None, False)
-    stack, nodes, links = [root], [root], []
+    stack, nodes, links = Stack(root), [root], []
+    last = page.rfind(">")  # behind it are no tags
     blocks: list[tuple[Node, str]] = []
     parts: list[str] = []
 
@@ -141,7 +185,7 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node], list[tuple
 
     at, end = 0, len(page)
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last else None
         if m is None:
             parts.append(page[at:])
             break
@@ -161,9 +205,9 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node], list[tuple
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if stack.tags[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    stack.cut(i)
                     break
                 if stack[i].main and stack[i].tag in MAIN_TAGS and tag not in ("body", "html"):
                     break  # a stray end tag does not end the article
@@ -173,18 +217,33 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node], list[tuple
         if tag in BLOCKS:
             _opens(stack, tag)
         parent = stack[-1]
-        classes, furniture = _marks(m[3]) if m[3] else ("", False)
+        classes, says = _marks(m[3]) if m[3] else ("", 0)
         if tag in SKIPPED or (tag in FURNITURE_TAGS and not (tag == "header" and parent.main)):
-            furniture = True
+            says = 2
         if tag in ("html", "body") or tag in MAIN_TAGS:
-            furniture = False
+            says = 0
         parent.children.append(tag)
-        node = Node(tag, f"{tag}.{classes}" if classes else tag, parent, furniture)
-        if node.path not in (n.path for n in stack):
+        node = Node(tag, f"{tag}.{classes}" if classes else tag, parent, says == 2, says == 1)
+        if not stack.paths[node.path]:
             links.append((node.path, parent.path))
-        stack.append(node)
+        stack.push(node)
         nodes.append(node)
     flush()
+    # what may be furniture is none if it holds more than half of the page's text
+    whole = 0
+    for node, text in blocks:
+        if not node.furniture:
+            whole += len(text)
+            if node.doubt:
+                node.doubt.size += len(text)
+    for node in reversed(nodes):
+        if node.doubt is node and node.outer:
+            node.outer.size += node.size
+    for node in nodes:  # parents come first
+        if node.doubt is node:
+            node.furniture |= 2 * node.size <= whole or bool(node.outer and node.outer.furniture)
+        elif node.doubt:
+            node.furniture |= node.doubt.furniture
     return blocks, nodes, links
 
 
@@ -313,6 +372,15 @@ def style_stats(features: DataFrame) -> DataFrame:
         F.max("host").alias("host"), F.max("path").alias("path"), F.min(F.when(F.col("host").isNotNull(), F.col("parent"))).alias("parent"), *sums)
 
 
+def _downwards(rows, children: dict[int, list[int]], parent: dict[int, int]) -> list[int]:
+    """All paths, parents before their children."""
+    order, todo = [], [p for p in rows if parent[p] not in rows or parent[p] == p]
+    while todo:
+        order.append(todo.pop())
+        todo += children.get(order[-1], [])
+    return order
+
+
 def importances(stats: pd.DataFrame, gamma: float = GAMMA) -> dict[int, float]:
     """Composite importance of a host's style nodes, from ``path, parent,
     pages, shown, occurrences, repeated`` (the last two sums of ``n`` and ``n ln n``)."""
@@ -338,10 +406,7 @@ def importances(stats: pd.DataFrame, gamma: float = GAMMA) -> dict[int, float]:
         weight = gamma ** len(children.get(path, []))
         return (1 - weight) * presentation + weight * below
 
-    order, todo = [], [p for p in rows if rows[p].parent not in rows or rows[p].parent == p]
-    while todo:
-        order.append(todo.pop())
-        todo += children.get(order[-1], [])
+    order = _downwards(rows, children, {p: r.parent for p, r in rows.items()})
     for path in reversed(order):
         done[path] = own(path)
     return done
@@ -364,12 +429,13 @@ def judged_nodes(stats: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pages, value = dict(zip(rows.path, rows.pages)), importances(rows)
         best = {p: smoothed(v, pages[p], 1) for p, v in value.items()}  # of a branch
         parent = dict(zip(rows.path, rows.parent))
-        for path, own in list(best.items()):
-            up, seen = parent.get(path), {path}
-            while up in best and up not in seen:
-                best[up] = max(best[up], own)
-                seen.add(up)
-                up = parent.get(up)
+        children: dict[int, list[int]] = {}
+        for path, up in parent.items():
+            if up in parent and up != path:
+                children.setdefault(up, []).append(path)
+        for path in reversed(_downwards(best, children, parent)):
+            if parent[path] in best:
+                best[parent[path]] = max(best[parent[path]], best[path])
         found = [(p, LOW) for p, v in best.items() if v < threshold]
         found += [(p, LOW_INSIDE) for p, v in best.items() if v + MARK < threshold]
         found += [(p, HIGH_OUTSIDE) for p, v in value.items() if smoothed(v, pages[p], 0) - MARK >= threshold]
@@ -390,18 +456,18 @@ def main_text(page: str | None, noise: frozenset[int], inside: frozenset[int] =
     marked = any(n.tag in MAIN_TAGS and not n.furniture for n in nodes)
     parent = dict(links)
 
-    def low(path: int, gone: frozenset[int]) -> bool:
-        seen = 0
-        while path and seen < 10_000:
-            if path in gone:
-                return True
-            path, seen = parent.get(path, 0), seen + 1
-        return False
+    def removed(gone: frozenset[int]) -> dict[int, bool]:
+        """Whether a path lies in a branch of ``gone``, for all paths; parents come first."""
+        out: dict[int, bool] = {0: False}
+        for n in nodes:
+            if n.path not in out:
+                out[n.path] = n.path in gone or out.get(parent.get(n.path, 0), False)
+        return out
+
+    low = removed(inside if marked else noise)
 
     def stays(n: Node) -> bool:
-        if not marked:
-            return not low(n.path, noise)
-        return not low(n.path, inside) if n.main else n.path in outside
+        return n.path in outside if marked and not n.main else not low[n.path]
 
     kept = [text for n, text in blocks if not n.furniture and stays(n)]
     return "\n\n".join(kept)

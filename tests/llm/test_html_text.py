@@ -117,3 +117,30 @@ def test_all_shingles_count(spark):
     df = spark.createDataFrame([("a", h) for _, _, h in rows], "host string, html string")
     (div,) = [r for r in html_text.style_stats(html_text.style_features(df, 3)).collect() if r.occurrences]
     assert (div.host, div.pages, div.occurrences) == ("a", 2, 2 * 497) and abs(div.repeated - 397 * 2 * log(2)) < 1e-6
+
+
+STORY = "<h1>Title</h1><p>" + "A story is told here at some length. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='content has-sidebar'>{STORY}</div>", f"<div id='page' class='with-header'>{STORY}</div>",
+    f"<div class='hentry comments-open'>{STORY}</div>", f"<article><div class='social-science'>{STORY}</div></article>",
+    f"<div class='share-price'>{STORY}</div><div class='share-buttons'><p>Tell all</p></div>",
+    f"<body class='has-widget'><div class='widget-area'><p>w</p></div>{STORY}<div class='ad-slot-3'><p>Buy</p></div></body>",
+    f"{STORY}<div class='user comments'><p>{'I do not agree at all. ' * 40}</p></div>",
+    f"<div class='header-image-shop'><p>x</p></div>{STORY}<section id='site-footer'><p>y</p></section>",
+])
+def test_names_that_are_no_verdict(page):
+    text = html_text.main_text(page, frozenset())
+    assert text == "Title\n\n" + ("A story is told here at some length. " * 5).strip()
+
+
+@pytest.mark.parametrize("page,blocks", [
+    ("<blockquote>" * 60_000 + "x", 1), ("<div>" * 60_000 + "x", 1), ("<a " * 200_000, 1), ("</p>" * 200_000 + "x", 1),
+    ("<div class='ad-hoc'>" * 30_000 + "x", 1), ("<li>a" * 60_000, 60_000), ("<p>" + "<b " * 100_000 + "> y", 1),
+])
+def test_long_and_deep_pages(page, blocks):
+    import time
+    began = time.perf_counter()
+    assert len([b for b in html_text.main_text(page, frozenset()).split("\n\n") if b]) == blocks
+    assert time.perf_counter() - began < 20
