@@ -9,9 +9,12 @@ similarity, for short texts as well.
 
 Candidates come from bands of compressed registers. Documents with one and the
 same set are one node before that. In a bucket every node is held against the
-smallest one only; confirmed links make components; buckets that still span
-several components are then searched in blocks, across components, and yield
-links only. Candidates are screened by sizes and by the register estimate,
+smallest one only; confirmed links make components. In buckets that still span
+several components the smallest members of those are compared, in blocks, turn by turn, which
+leaves one component of a group of copies whatever its size. What is then still apart is
+compared in full: all members of a bucket with those outside its largest component. Only that
+step grows with the square of a bucket, namely of one whose members are unlike each other. A block pair
+gives fewer links than it has rows (union-find). Candidates are screened by sizes and by the register estimate,
 corrected for chance collisions of compressed registers, and confirmed on the
 full sets.
 
@@ -21,7 +24,8 @@ threshold is no candidate with a probability of at most ``MISS``.
 
 Null, empty and blank texts have an empty set and link with nothing. Rows that
 share an id are one document. Rows without an id show the group of their set (or
-null) and always stay. Empty tables give empty results.
+null) and always stay. Texts of any length are read whole. Columns other than id and text are not
+read, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import cut_lineage, id_text, mix64, rows_with_ids, rows_without_ids, shards_for, text_slices
+from surveylens.llm.common import (
+    HOT_ROWS, cut_lineage, id_text, join_hot, mix64, rows_with_ids, rows_without_ids, shards_for, small_batches, text_slices)
 from surveylens.llm.words import WordHashes, lower_ascii, ngram_hashes
 
 SHINGLE = 5
@@ -54,6 +59,8 @@ SCREEN_ERRORS = 5
 BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 #: Rows that are searched in one group of blocks, about.
 SLOT_ROWS = 2048
+#: Turns, at most, in which components are joined by their smallest members before all members are.
+TURNS = 4
 
 
 @dataclass(frozen=True)
@@ -207,12 +214,19 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = cut_lineage(edges.groupBy(F.col("u").alias("node")).agg(
         F.min("v").alias("low")).select("node", F.least("node", "low").alias("component")))
+    many = labels.limit(HOT_ROWS + 1).count() > HOT_ROWS
     while True:
         near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(
             F.min("component").alias("low"))
-        passed = labels.join(near, "node").select("node", "component", F.least("component", "low").alias("next"))
+        passed = cut_lineage(labels.join(near, "node").select(
+            "node", "component", F.least("component", "low").alias("next")))
         up = passed.select(F.col("node").alias("next"), F.col("next").alias("top"))
-        moved = cut_lineage(passed.join(up, "next").select(
+        if many:
+            hot = passed.groupBy("next").count().filter(F.col("count") > HOT_ROWS).select("next")
+            above = join_hot(passed, up, "next", hot)
+        else:
+            above = passed.join(up, "next")
+        moved = cut_lineage(above.select(
             "node", F.least("next", "top").alias("component"),
             (F.least("next", "top") != F.col("component")).alias("changed")))
         labels = moved.select("node", "component")
@@ -220,15 +234,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame, confirm: bool, slots: int, bar: Bar) -> DataFrame:
-    """Search between components within buckets, blocks of members against
-    blocks; a pair counts in its first common band only. ``members`` holds
-    ``bucket, band, node, component, n_shingles, registers, blocks`` and, to
-    ``confirm``, ``text``. Gives the confirmed links ``(a, b)``, or else the
-    members ``(bucket, node)`` that have a likely partner. The pairs of blocks, most of
+class Joined(dict):
+    """Union-find over components: a pair that is joined already needs no link."""
+
+    def top(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = self[up]
+            x = up
+        return x
+
+
+def _search(members: DataFrame, confirm: bool, slots: int, bar: Bar) -> DataFrame:
+    """Compare the rows of each block pair, side 0 with side 1 (2: with all others), across
+    components; a pair counts in its first common band only. ``members`` holds ``bucket, row,
+    col, side, band, node, component, n_shingles, registers`` and, to ``confirm``, ``text``.
+    Gives confirmed links ``(a, b)``, of each group fewer than it has components, or else
+    the members ``(bucket, node)`` that have a likely partner. The block pairs, most of
     which are small, are dealt into ``slots`` groups."""
 
-    def search(rows: pd.DataFrame, table: WordHashes) -> tuple[list, np.ndarray]:
+    def search(rows: pd.DataFrame, table: WordHashes, joined: Joined) -> tuple[list, np.ndarray]:
         band = int(rows.band.iloc[0])
         registers = np.frombuffer(b"".join(rows.registers), np.uint16).reshape(-1, bar.registers)
         size, component = rows.n_shingles.to_numpy(), rows.component.to_numpy()
@@ -251,45 +275,92 @@ def _across(members: DataFrame, confirm: bool, slots: int, bar: Bar) -> DataFram
             likely[at] = True
             likely[i] |= len(at) > 0
             for j in at if confirm else ():
+                x, y = joined.top(component[i]), joined.top(component[j])
+                if x == y:
+                    continue
                 common = len(np.intersect1d(set_of(i), set_of(j), assume_unique=True))
                 if bar.links(common, int(size[i]), int(size[j])):
                     links.append((node[i], node[j]))
+                    joined[max(x, y)] = min(x, y)
         return links, likely
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bucket", "row", "col"], kind="stable").reset_index(drop=True)
         keys = rows[["bucket", "row", "col"]].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-        table, links, likely = WordHashes(), [], []
+        table, joined, links, likely = WordHashes(), Joined(), [], []
         for start, end in zip(starts, [*starts[1:], len(rows)]):
-            found, marked = search(rows.iloc[start:end], table)
+            found, marked = search(rows.iloc[start:end], table, joined)
             links += found
             likely.append(marked)
         if confirm:
             return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
         return rows.loc[np.concatenate(likely), ["bucket", "node"]]
 
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))
-    # a member is in its own block's row and column of the grid of blocks
-    spread = members.withColumn("own", own).withColumn("other", F.explode(others)).select(
-        *(c for c in members.columns if c != "blocks"),
-        F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = spread.withColumn("slot", F.pmod(F.xxhash64("bucket", "row", "col"), F.lit(slots)))
+    dealt = members.withColumn("slot", F.pmod(F.xxhash64("bucket", "row", "col"), F.lit(slots)))
     schema = "a long, b long" if confirm else "bucket long, node long"
     return dealt.groupBy("slot").applyInPandas(run, schema).distinct()
 
 
+def _linked(dealt: DataFrame, nodes: DataFrame, rows: DataFrame, bar: Bar) -> DataFrame:
+    """Confirmed links among ``dealt``, members in block pairs (``_search`` without registers and
+    text): likely partners first, so that only their texts are fetched."""
+    dealt = cut_lineage(dealt)
+    registers = rows_with_ids(nodes, dealt.select("node").distinct(), "node").select("node", "registers")
+    members = cut_lineage(dealt.join(registers, "node"))
+    likely = cut_lineage(_search(members, False, shards_for(members.count(), SLOT_ROWS), bar))
+    texts = _node_texts(rows, likely.select("node").distinct())
+    members = members.join(likely, ["bucket", "node"])
+    return cut_lineage(_search(members.join(texts, "node"), True, shards_for(members.count(), SLOT_ROWS // 8), bar))
+
+
+def _blocks(n, shingles):
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Members of the buckets in which several components are left."""
+    spans = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return placed.join(spans.filter("low < high").select("bucket"), "bucket")
+
+
+def _heads(open_: DataFrame, turn: int) -> DataFrame:
+    """The smallest member of each component in a bucket, in blocks of their own: one in, fewer out."""
+    heads = open_.groupBy("bucket", "component").agg(F.min(F.struct("node", "band", "n_shingles")).alias("m")).select(
+        "bucket", "component", "m.*")
+    blocks = heads.groupBy("bucket").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"))
+    own = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
+    return heads.join(blocks, "bucket").withColumn("row", own).withColumn("col", F.col("row")).withColumn(
+        "side", F.lit(2)).drop("blocks")
+
+
+def _rest(open_: DataFrame) -> DataFrame:
+    """All members of a bucket against those outside its largest component: in blocks, the
+    one by the other."""
+    sizes = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    per = sizes.groupBy("bucket").agg(
+        F.max(F.struct("n", "s", "component")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s")).select(
+        "bucket", F.col("most.component").alias("largest"), _blocks(F.col("n"), F.col("s")).alias("cols"),
+        _blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("rows"))
+    both = open_.join(per, "bucket")
+    def grid(side: int, own: str, other: str, out: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias("row" if side == 0 else "col")
+        spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(out)
+        return both.filter("component != largest" if side == 0 else "true").select(
+            "bucket", "band", "node", "component", "n_shingles", F.lit(side).alias("side"), mine, spread)
+    return grid(0, "rows", "cols", "col").unionByName(grid(1, "cols", "rows", "row"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     bar = Bar.of(threshold)
+    small_batches(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)
     sketched = cut_lineage(sketches(rows, bar.registers))
     # equal sets have equal registers: one node for each set, whatever the number of copies
     nodes = cut_lineage(sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(
-        "set_key", "n_shingles", "registers").agg(F.min("doc_id").alias("node")))
+        "set_key", "n_shingles", "registers").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")))
     # buckets with several members, which are few: all that follows works on these
     width = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.substring("registers", width * i + 1, width), F.lit(i)) for i in range(bar.bands)])
@@ -301,28 +372,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = _node_texts(rows, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = cut_lineage(_confirmed(likely, texts, bar))
     labels = components(links)
-
-    # buckets in which several components are left
-    placed = shared.select("node", "band", "bucket").join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    placed = cut_lineage(placed.join(rows_with_ids(nodes, shared.select("node").distinct(), "node").select(
-        "node", "n_shingles"), "node"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
-    open_ = cut_lineage(placed.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
-        blocks.alias("blocks")).filter("low < high").select("bucket", "n", "blocks"))
-    spread = open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    members = placed.join(open_.drop("n"), "bucket")
-    members = members.join(rows_with_ids(nodes, members.select("node").distinct(), "node").select("node", "registers"), "node")
-    likely = cut_lineage(_across(members, False, shards_for(spread, SLOT_ROWS), bar))
-    texts = _node_texts(rows, likely.select("node").distinct())
-    members = members.join(likely, ["bucket", "node"])
-    spread = members.agg(F.sum("blocks")).first()[0] or 0
-    links = cut_lineage(links.union(_across(members.join(texts, "node"), True, shards_for(spread, SLOT_ROWS // 8), bar)))
-    labels = components(links)
+    sizes = rows_with_ids(nodes, shared.select("node").distinct(), "node").select("node", "n_shingles")
+    shared = cut_lineage(shared.select("node", "band", "bucket").join(sizes, "node"))
+
+    def placed() -> DataFrame:
+        return shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    # a bucket's components by their smallest members, while that joins some; then what is still apart
+    apart, turn = cut_lineage(_open(placed())), 0
+    while apart.limit(1).count():
+        dealt = _heads(apart, turn) if turn < TURNS else _rest(apart)
+        found = _linked(dealt, nodes, rows, bar)
+        joins = found.limit(1).count()
+        if joins:
+            links = links.unionByName(found)
+            labels = components(links)
+        if turn == TURNS:
+            break
+        # turns go on while they join something; the rest comes last
+        turn = turn + 1 if joins else TURNS
+        apart = cut_lineage(_open(placed())) if joins else apart
     by_set = nodes.select("set_key", "node").join(labels, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
-    return sketched.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left").select(
+    # texts without words have no set; a set of many documents is a hot key
+    hot = nodes.filter(F.col("copies") > HOT_ROWS).select("set_key")
+    whole = join_hot(sketched.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), by_set, "set_key", hot)
+    whole = whole.unionByName(sketched.filter("n_shingles = 0").select(
+        "doc_id", "n_shingles", "set_key", F.lit(None).cast("long").alias("component")))
+    return whole.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -100,3 +100,41 @@ def test_pipeline_stage_links_at_80_percent(spark):
     stay = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "/root/testdata/sf0.01").collect()}
     at80, at85 = ({i for i, (_, low) in near_brute(rows, p).items() if low == i} for p in (80, 85))
     assert stay == at80 != at85
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_links_of_a_group_grow_with_its_rows(spark, monkeypatch, n):
+    """Near copies of one text, and one text that shares bands with them but is unlike: the
+    smallest member of their buckets. Links stay in proportion to the members."""
+    rng = random.Random(5)
+    text = prose(1, 120).split()
+    unlike = text[:84] + prose(2, 36).split()
+    rows = [(0, " ".join(unlike))] + [(k, edited(rng, " ".join(text), 2)) for k in range(1, n)]
+    seen, found = [], near.components
+    monkeypatch.setattr(near, "components", lambda links: seen.append(links.count()) or found(links))
+    out = result(frame(spark, rows))
+    assert out == near_brute_by_base(rows)
+    assert max(seen) <= 8 * n
+
+
+def near_brute_by_base(rows):
+    """Groups by comparing every pair of sets."""
+    sets = [set(zip(*[t.lower().split()[k:] for k in range(5)])) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if find(i) != find(j) and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {rows[i][0]: (len(sets[i]), rows[find(i)][0]) for i in range(len(rows))}
+
+
+def test_a_column_named_like_a_helper(spark):
+    df = frame(spark, [(1, prose(1, 30)), (2, prose(1, 30))]).withColumnRenamed("node", "_id")
+    assert [r.doc_id for r in near.keep_one(df).collect()] == [1]
