@@ -313,6 +313,12 @@ def q_density_curve(spark, d):
     return out.select("i", _r(F.col("x")).alias("x"), _r(F.col("density"), 9).alias("density"))
 
 
+def q_density_continuous(spark, d):
+    """A column of almost as many values as rows."""
+    out = describe.density_curve(_t(spark, d, "lineitem"), "l_extendedprice", grid=40)
+    return out.select("i", _r(F.col("x"), 4).alias("x"), (F.round(F.col("density") * 1e9, 4)).alias("density"))
+
+
 CORR_COLUMNS = LI_NUMERIC + ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "taxed"]
 
 
@@ -430,6 +436,14 @@ def q_hash_split(spark, d):
     return s.select("o_orderkey", "is_test")
 
 
+def q_content_split(spark, d):
+    """The split by ids made from the rows' content, among many equal rows."""
+    rows = clean.content_ids(_t(spark, d, "orders").select("o_orderstatus", "o_orderpriority"))
+    split = models.hash_split(rows, ["row_id"])
+    return split.groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("ids"), F.sum(F.col("is_test").cast("int")).alias("tests"))
+
+
 def q_linear_metrics(spark, d):
     li = _t(spark, d, "lineitem")
     design = models.design_frame(li, "l_extendedprice", ["l_quantity"], [])
@@ -622,6 +636,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "box_stats_global": q_box_stats_global,
     "histogram": q_histogram,
     "density_curve": q_density_curve,
+    "density_continuous": q_density_continuous,
     "corr_matrix": q_corr_matrix,
     "group_stats": q_group_stats,
     "anova_f": q_anova_f,
@@ -633,6 +648,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ols_full": q_ols_full,
     "hash_split": q_hash_split,
     "linear_metrics": q_linear_metrics,
+    "content_split": q_content_split,
     "ols_collinear": q_ols_collinear,
     "sparse_design": q_sparse_design,
     "tree_split": q_tree_split,

@@ -529,6 +529,20 @@ SELECT term, term_family, row_number() OVER (PARTITION BY term_family ORDER BY c
 FROM ({coefficients})""".replace("{coefficients}", _forest_plot_coefficients())
 
     split = "('0x' || substr(md5(concat_ws('|', {key}, '42')), 1, 8))::BIGINT % 10000 >= 8000"
+    sql["content_split"] = f"""
+WITH r AS (
+  SELECT o_orderstatus, o_orderpriority, md5(concat_ws('|', coalesce(length(o_orderstatus) || ':' || o_orderstatus, '-'),
+         coalesce(length(o_orderpriority) || ':' || o_orderpriority, '-'))) || '-' ||
+         (row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority) - 1) AS row_id FROM orders)
+SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT row_id) AS ids,
+       sum(CASE WHEN {split.format(key='row_id')} THEN 1 ELSE 0 END)::BIGINT AS tests FROM r GROUP BY 1, 2"""
+    sql["density_continuous"] = """
+WITH m AS (
+  SELECT count(l_extendedprice) AS n, stddev_samp(l_extendedprice) * count(l_extendedprice) ** (-0.2) AS h,
+         min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+g AS (SELECT i::INT AS i, lo + i * (hi - lo) / 39 AS x, n, h FROM m, generate_series(0, 39) AS s(i)),
+k AS (SELECT i, x, sum(exp(-0.5 * ((x - l_extendedprice) / h) ** 2)) / any_value(n * h * sqrt(2 * pi())) AS density FROM g, lineitem GROUP BY i, x)
+SELECT i, round(x, 4) AS x, round(density * 1e9, 4) AS density FROM k"""
     sql["hash_split"] = f"SELECT o_orderkey, {split.format(key='o_orderkey')} AS is_test FROM orders"
 
     sql["rf_importance"] = """

@@ -71,8 +71,8 @@ def clean_survey(raw: DataFrame, as_of_year: int, iso_dim: DataFrame | None = No
                  persist: bool = True, stage_to: str | None = None) -> CleanedData:
     """Build the five frames.
 
-    Every raw row gets a ``row_id`` (unless it has one), by which the models split
-    the rows. Countries are looked up in ``iso_dim`` or, without one, in the
+    Every raw row gets a ``row_id`` (unless it has one) from its content, by which the models split
+    the rows, whatever the files and partitions. Countries are looked up in ``iso_dim`` or, without one, in the
     dimension of ``sources.countries``.
 
     ``analysis_df`` feeds every table. By default it is persisted
@@ -82,7 +82,7 @@ def clean_survey(raw: DataFrame, as_of_year: int, iso_dim: DataFrame | None = No
     of re-running the cleaning from the raw scan.
     """
     if ROW_ID not in raw.columns:
-        raw = raw.withColumn(ROW_ID, F.monotonically_increasing_id())
+        raw = clean.content_ids(raw, ROW_ID)
     if iso_dim is None and "country" in raw.columns:
         iso_dim = country_dimension(raw.sparkSession)
     clean_df = create_clean_df(raw, as_of_year, iso_dim, column_missing_threshold, item_offset)
