@@ -1,11 +1,13 @@
 """Sources: S1–S3 (delimited / JSON / Parquet tables) and S5 (boundary GeoJSON).
 
-Scans are lazy; only the delimiter probe (first line of the file) and
+Scans are lazy; only the delimiter probe (the head of the first file) and
 the GeoJSON key probe (schema metadata) run before the plan is built.
 """
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +19,49 @@ from ..functions import presets as P
 DELIMITERS = [",", ";", "\t"]
 
 
+#: Bytes at the beginning of a file by which its delimiter is told.
+HEAD_BYTES = 1 << 16
+
+
+def _head(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The first bytes of the first file under ``path`` as text, and whether they are all of it."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        return "", True
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0]))
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        data = bytes(stream.readNBytes(HEAD_BYTES))
+    finally:
+        stream.close()
+    return data.decode("utf-8", "ignore").removeprefix("\ufeff"), len(data) < HEAD_BYTES
+
+
+def _records(head: str, whole: bool, sep: str) -> list[list[str]]:
+    """Records of the head, quotes understood; one that may be cut off does not count."""
+    rows = [r for r in csv.reader(io.StringIO(head, newline=""), delimiter=sep) if r]
+    return rows if whole or len(rows) < 2 else rows[:-1]
+
+
+def sniff_format(spark: SparkSession, path: str, candidates: Sequence[str] = DELIMITERS) -> tuple[str, bool]:
+    """The delimiter of a file, and whether quoted fields hold line ends.
+
+    Of the delimiters that give every record of the file's head the same number of fields, the one that gives
+    most; if none does, the one whose header has most fields. A delimiter inside quotes parts nothing.
+    """
+    head, whole = _head(spark, path)
+    parsed = {d: _records(head, whole, d) for d in candidates}
+    counts = {d: [len(r) for r in rows] or [0] for d, rows in parsed.items()}
+    even = [d for d in candidates if len(set(counts[d])) == 1 and counts[d][0] > 1]
+    best = max(even or candidates, key=lambda d: counts[d][0])
+    return best, any("\n" in v or "\r" in v for r in parsed[best] for v in r)
+
+
 def sniff_delimiter(spark: SparkSession, path: str,
                     candidates: Sequence[str] = DELIMITERS) -> str:
-    """Pick the delimiter that splits the header line into the most fields."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return candidates[0]
-    header = first[0][0] or ""
-    return max(candidates, key=lambda d: header.count(d))
+    """The delimiter of a delimited file (``sniff_format``)."""
+    return sniff_format(spark, path, candidates)[0]
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -35,11 +72,14 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str |
     Columns are read as strings, missing-value tokens become NULL (except in
     ``keep_literal`` columns, so the country code ``NA`` survives), then
     each column is cast to ``schema`` (or, without a schema, to an inferred
-    type when ``infer``).
+    type when ``infer``). Quotes are doubled inside quoted fields. Files are read in splits unless the first
+    one's head shows quoted line ends. Every file's header must be the first one's: files with
+    another delimiter or other columns raise when they are read.
     """
-    sep = sep or sniff_delimiter(spark, path)
-    raw = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
-           .option("inferSchema", False).csv(path))
+    told, lines = sniff_format(spark, path)
+    sep = sep or told
+    raw = (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").option("escape", '"')
+           .option("multiLine", lines).option("enforceSchema", False).option("inferSchema", False).csv(path))
     tokens = list(na_tokens)
     exprs = []
     for c in raw.columns:
