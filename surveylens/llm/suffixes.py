@@ -8,7 +8,7 @@ text or another. Every byte that a repeated window covers goes.
 * Anchors that come once have no repeated window. Of the others, equal segments are counted first, before any
   shuffle, so a passage of a third of all texts is one segment with a number of copies.
 * The texts of the different segments are dealt by anchor into shards of about ``SHARD_BYTES``. An anchor with more
-  text than that is divided by the hash of its whole windows, so no shard grows with one passage.
+  than ``HOT_BYTES`` is divided by the hash of its whole windows, so no shard grows with one passage.
 * A shard is one text, its segments parted by a separator, whose suffixes are put in order by ``induced.sort_suffixes``,
   an external induced sort that carries common prefixes. Windows that share ``width`` bytes with a neighbour in that
   order are repeated, as are all windows of a segment with copies.
@@ -38,6 +38,8 @@ WIDTH = 200
 GRAM = 32
 RUN = 512
 SHARD_BYTES = 1 << 19
+#: Text of one anchor's different segments beyond which it is divided over several shards.
+HOT_BYTES = 1 << 22
 #: Bytes of text that are hashed at once; places within it fit ``PLACE_BITS``.
 PIECE, PLACE_BITS = 1 << 18, 21
 
@@ -208,7 +210,7 @@ def _sorted_shards(rows: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                   shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                   shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``doc_id, hash, spans``: of the texts (by id and ``xxhash64``) with repeated windows, the
     bytes that those cover, as maximal spans ``begin, end`` in order."""
     if width < 8:
@@ -224,8 +226,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     different = cut_lineage(different.select("anchor", "segment", "copies", "one.*"))
     length = F.col("count") + F.lit(width - 1)
     total = different.agg(F.sum(length)).first()[0] or 0
-    shards = shards_for(total, shard_bytes)
-    hot = different.groupBy("anchor").agg(F.ceil(F.sum(length) / shard_bytes).alias("parts")).filter("parts > 1")
+    # divided, a segment falls apart into its windows, nearly
+    hot = different.groupBy("anchor").agg(F.sum(length).alias("bytes"), F.sum(F.col("count") * F.lit(width).cast("long")).alias("windows")).filter(
+        F.col("bytes") > hot_bytes).select("anchor", F.greatest(F.ceil(F.col("windows") / shard_bytes), F.lit(2)).alias("parts"))
+    divided = different.join(F.broadcast(hot) if is_few(hot) else hot, "anchor", "left_semi").agg(F.sum("count")).first()[0] or 0
+    shards = shards_for(total + divided * width, shard_bytes)
     sized = different.join(F.broadcast(hot) if is_few(hot) else hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     ids = by_row.select("row", "doc_id", "hash")
     asked = sized.groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "copies", "start", "count", "parts")).alias("segments"))
@@ -245,9 +250,9 @@ REMOVED = "array<struct<begin: long, end: long>>"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                   shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                   shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, removed`` (maximal spans) and ``kept``, the bytes that stay."""
-    spans = repeated_spans(docs, id_col, text_col, width, shard_bytes)
+    spans = repeated_spans(docs, id_col, text_col, width, shard_bytes, hot_bytes)
     texts = id_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

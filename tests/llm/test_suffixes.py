@@ -115,7 +115,7 @@ def test_hot_anchor_is_divided(spark, monkeypatch, width):
     dealt by their windows; runs of windows are cut."""
     monkeypatch.setattr(suffixes, "RUN", 16)
     rows = planted(3)[:30] + AWKWARD[3:8]
-    assert result(suffixes.remove_repeats(frame(spark, rows), width=width, shard_bytes=2000)) == brute(rows, width)
+    assert result(suffixes.remove_repeats(frame(spark, rows), width=width, shard_bytes=2000, hot_bytes=2000)) == brute(rows, width)
 
 
 def test_pieces_of_long_texts(spark, monkeypatch):
