@@ -10,8 +10,8 @@ similarity, for short texts as well.
 Candidates come from bands of compressed registers. Documents with one and the
 same set are one node before that. In a bucket every node is held against the
 smallest one only; confirmed links make components. In buckets that still span
-several components the smallest members of those are compared, in blocks, turn by turn, which
-leaves one component of a group of copies whatever its size. What is then still apart is
+several components the smallest members of those are compared, in blocks, turn by turn while a
+bucket has more than a block of them, which leaves a block's worth of a group of copies whatever its size. What is then still apart is
 compared in full: all members of a bucket with those outside its largest component. Only that
 step grows with the square of a bucket, namely of one whose members are unlike each other. A block pair
 gives fewer links than it has rows (union-find). Candidates are screened by sizes and by the register estimate,
@@ -59,6 +59,8 @@ SCREEN_ERRORS = 5
 BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 #: Rows that are searched in one group of blocks, about.
 SLOT_ROWS = 2048
+#: Nodes of links from which on a label may be a hot key; the plan differs, not the result.
+HOT_NODES = 1 << 16
 #: Turns, at most, in which components are joined by their smallest members before all members are.
 TURNS = 4
 
@@ -214,7 +216,7 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = cut_lineage(edges.groupBy(F.col("u").alias("node")).agg(
         F.min("v").alias("low")).select("node", F.least("node", "low").alias("component")))
-    many = labels.limit(HOT_ROWS + 1).count() > HOT_ROWS
+    many = labels.limit(HOT_NODES + 1).count() > HOT_NODES
     while True:
         near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(
             F.min("component").alias("low"))
@@ -379,19 +381,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     # a bucket's components by their smallest members, while that joins some; then what is still apart
-    apart, turn = cut_lineage(_open(placed())), 0
+    apart, turn, wide = cut_lineage(_open(placed())), 0, True
     while apart.limit(1).count():
-        dealt = _heads(apart, turn) if turn < TURNS else _rest(apart)
-        found = _linked(dealt, nodes, rows, bar)
+        heads = wide and turn < TURNS
+        found = _linked(_heads(apart, turn) if heads else _rest(apart), nodes, rows, bar)
         joins = found.limit(1).count()
         if joins:
             links = links.unionByName(found)
             labels = components(links)
-        if turn == TURNS:
+        if not heads:
             break
-        # turns go on while they join something; the rest comes last
-        turn = turn + 1 if joins else TURNS
-        apart = cut_lineage(_open(placed())) if joins else apart
+        turn += 1
+        if joins:
+            apart = cut_lineage(_open(placed()))
+        # another turn is of use only where heads of a bucket stood in several blocks
+        wide = joins and apart.groupBy("bucket").agg(F.countDistinct("component").alias("n")).filter(F.col("n") > BLOCK).limit(1).count() > 0
     by_set = nodes.select("set_key", "node").join(labels, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
     # texts without words have no set; a set of many documents is a hot key
