@@ -122,3 +122,36 @@ def test_best_splits(spark):
         assert out[f].threshold == (c + above) / 2 and abs(out[f].gain - gain / w.sum()) < 1e-9
         low = codes[:, k] <= c
         assert abs(out[f].left_mean - np.average(y[low], weights=w[low])) < 1e-9 and out[f].n_left == low.sum()
+
+
+def test_a_tree_takes_cells_not_rows(spark):
+    """Rows of equal codes are summed before they leave their task, in whatever partitions they came."""
+    rng = np.random.default_rng(2)
+    n, cells = 6000, 12
+    x = rng.integers(0, [4, 3], (n, 2))
+    y = x[:, 0] * 2.0 + (x[:, 1] == 1) + rng.normal(size=n)
+    rows = [(k, float(k % 3 + 1), float(v), bytes(c)) for k, (c, v) in enumerate(zip(x.astype(np.uint8), y))]
+    coded = spark.createDataFrame(rows, "_row long, _w double, _wy double, code binary").repartition(16)
+    chunks = ensembles._chunks(coded, n, 2).checkpoint()
+    parts = chunks.rdd.getNumPartitions()
+    leaf = ensembles.Tree(np.array([-1]), np.zeros(1, np.int64), np.array([-1]), np.zeros(1), np.zeros(1))
+    out = ensembles._batch_rows(chunks, {3: leaf, 4: leaf}, 42, 2).collect()
+    for tree in (3, 4):
+        mine = [r for r in out if r.tree == tree]
+        assert cells <= sum(r.n for r in mine) < cells + parts
+        codes = np.concatenate([np.frombuffer(r.codes, np.uint8).reshape(-1, 2) for r in mine])
+        sums = np.concatenate([np.frombuffer(r.sums).reshape(2, -1) for r in mine], axis=1)
+        k = ensembles.draws(np.arange(n), tree, 42).astype(float)
+        for code in np.unique(x, axis=0):
+            own, got = (x == code).all(axis=1), (codes == code).all(axis=1)
+            w = np.arange(n) % 3 + 1
+            np.testing.assert_allclose(sums[:, got].sum(axis=1), [(k * w)[own].sum(), (k * y)[own].sum()], atol=1e-8)
+
+
+def test_cells_decide_what_a_group_grows(spark):
+    """Many rows of few codes need no histograms: one group grows the tree."""
+    rng = np.random.default_rng(3)
+    rows = [(Vectors.dense(float(a)), float(a + e), 1.0) for a, e in zip(rng.integers(0, 5, 2000), rng.normal(size=2000))]
+    df = spark.createDataFrame(rows, ["features", "label", "weight"])
+    forest = ensembles.fit_stored_forest(df, 2, local_rows=200)
+    assert all(len(t.feature) == 1 for t in forest.tops)
