@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from surveylens.session import ensure_checkpoint_dir
@@ -44,6 +44,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, *conditions: Column) -> tuple:
+    """``df`` as ``cut_lineage`` gives it, its number of rows, and of rows that meet each of the
+    ``conditions``: counted while it is written, without a job or a shuffle of their own."""
+    seen = Observation()
+    sums = [F.count_if(c).alias(f"n{i}") for i, c in enumerate(conditions)]
+    df = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"), *sums))
+    return df, seen.get["n"], *(seen.get[f"n{i}"] for i in range(len(conditions)))
+
+
 #: Ids (eight bytes each, several times that in a hash table) that a task may get as a broadcast.
 BROADCAST_IDS = 1 << 18
 #: Rows of one key beyond which a join treats it by itself.
@@ -55,32 +64,33 @@ def is_few(ids: DataFrame) -> bool:
     return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
-def _by_id(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+def _by_id(df: DataFrame, ids: DataFrame, column: str, how: str, n: int | None) -> DataFrame:
     """Join with the distinct ``ids``, under a name that ``df`` does not have; up to
-    ``BROADCAST_IDS`` of them (counted) go to the rows as a broadcast, more are shuffled."""
+    ``BROADCAST_IDS`` of them (``n``, or counted) go to the rows as a broadcast, more are shuffled."""
     name = "_id"
     while name in df.columns:
         name += "_"
     ids = ids.select(F.col(ids.columns[0]).cast("long").alias(name))
-    return df.join(F.broadcast(ids) if is_few(ids) else ids, F.col(column).cast("long") == F.col(name), how)
+    few = is_few(ids) if n is None else n <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, F.col(column).cast("long") == F.col(name), how)
 
 
-def rows_with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+def rows_with_ids(df: DataFrame, ids: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """Rows of ``df`` whose ``column`` is among the distinct ``ids``."""
-    return _by_id(df, ids, column, "left_semi")
+    return _by_id(df, ids, column, "left_semi", n)
 
 
-def rows_without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+def rows_without_ids(df: DataFrame, ids: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """Rows of ``df`` whose ``column`` is not among the distinct ``ids``, or null."""
-    return _by_id(df, ids, column, "left_anti")
+    return _by_id(df, ids, column, "left_anti", n)
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """``left`` with the one row of ``right`` (or none) that has its ``key``. The keys in ``hot``, each
     of which has many rows of ``left``, are few: their rows stay where they are and get the
     right side as a broadcast. Should they be too many, the join is an ordinary one, which AQE can split."""
-    hot = cut_lineage(hot)
-    if not is_few(hot):
+    hot, n = counted(hot)
+    if not 0 < n <= BROADCAST_IDS:
         return left.join(right, key, "left")
     of_hot = F.broadcast(hot.join(right, key, "left"))
     return left.join(of_hot, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left"))

@@ -43,7 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveylens.llm.common import (
-    HOT_ROWS, cut_lineage, id_text, join_hot, mix64, rows_with_ids, rows_without_ids, shards_for, small_batches, text_slices)
+    BROADCAST_IDS, HOT_ROWS, counted, cut_lineage, id_text, join_hot, mix64, rows_with_ids, rows_without_ids, shards_for,
+    small_batches, text_slices)
 from surveylens.llm.words import WordHashes, lower_ascii, ngram_hashes
 
 SHINGLE = 5
@@ -59,7 +60,8 @@ SCREEN_ERRORS = 5
 BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 #: Rows that are searched in one group of blocks, about.
 SLOT_ROWS = 2048
-#: Nodes of links from which on a label may be a hot key; the plan differs, not the result.
+#: Rows (labels of nodes, members of blocks) up to which a side of a join is a broadcast; with more
+#: of them rows are shuffled, and a label may be a hot key. The plan differs, not the result.
 HOT_NODES = 1 << 16
 #: Turns, at most, in which components are joined by their smallest members before all members are.
 TURNS = 4
@@ -172,13 +174,26 @@ def sketches(docs: DataFrame, registers_of_set: int = REGISTERS) -> DataFrame:
     return docs.mapInArrow(run, SKETCH_SCHEMA)
 
 
-def _screened(pairs: DataFrame, nodes: DataFrame, bar: Bar) -> DataFrame:
-    """Pairs ``(a, b)`` whose sizes and register estimates allow a link."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    side = rows_with_ids(nodes.select("node", "n_shingles", "registers"), asked, "node")
+def _of_nodes(df: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """Rows of ``df`` whose ``node`` is among ``ids``, which has ``most`` rows and may repeat one."""
+    return rows_with_ids(df, ids, "node", most) if most <= BROADCAST_IDS else rows_with_ids(df, ids.distinct(), "node")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _met(pairs: DataFrame, n: int, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``n`` pairs with the columns of both ends."""
+    return (F.broadcast(pairs) if n <= HOT_NODES else pairs).join(left, "a").join(right, "b")
+
+
+def _screened(pairs: DataFrame, n: int, nodes: DataFrame, bar: Bar) -> DataFrame:
+    """Those of ``n`` pairs ``(a, b)`` whose sizes and register estimates allow a link."""
+    side = _of_nodes(nodes.select("node", "n_shingles", "registers"), _ends(pairs), 2 * n)
     left = side.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = side.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    both = pairs.join(left, "a").join(right, "b").filter(bar.fits(F.col("na"), F.col("nb")))
+    both = _met(pairs, n, left, right).filter(bar.fits(F.col("na"), F.col("nb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,8 +206,8 @@ def _screened(pairs: DataFrame, nodes: DataFrame, bar: Bar) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, bar: Bar) -> DataFrame:
-    """Pairs that link on their full sets; ``texts`` has one text per node."""
+def _confirmed(pairs: DataFrame, n: int, texts: DataFrame, bar: Bar) -> DataFrame:
+    """Those of ``n`` pairs that link on their full sets; ``texts`` has one text per node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
@@ -206,34 +221,50 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, bar: Bar) -> DataFrame:
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return _met(pairs, n, left, right).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(node, component)`` for every node of ``links (a, b)``: the smallest
-    node reachable, by passing the smallest label on and jumping over it."""
-    edges = cut_lineage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-        links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = cut_lineage(edges.groupBy(F.col("u").alias("node")).agg(
+    """``(node, component)`` for every node of ``links (a, b)``, which every round reads: the smallest
+    node reachable, by passing the smallest label on and jumping over it. A round of few
+    nodes shuffles once, as their labels go to the rows."""
+    both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    edges = links.select(F.explode(both).alias("e")).select("e.*")
+    labels, n = counted(edges.groupBy(F.col("u").alias("node")).agg(
         F.min("v").alias("low")).select("node", F.least("node", "low").alias("component")))
-    many = labels.limit(HOT_NODES + 1).count() > HOT_NODES
+    few = n <= HOT_NODES
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(
+        near = edges.join(side(labels.withColumnRenamed("node", "v")), "v").groupBy(F.col("u").alias("node")).agg(
             F.min("component").alias("low"))
-        passed = cut_lineage(labels.join(near, "node").select(
-            "node", "component", F.least("component", "low").alias("next")))
+        passed, _, changed = counted(near.join(side(labels), "node").select(
+            "node", "component", F.least("component", "low").alias("next")), F.col("next") != F.col("component"))
+        # labels that are equal along all links are the smallest nodes
+        if not changed:
+            return labels
         up = passed.select(F.col("node").alias("next"), F.col("next").alias("top"))
-        if many:
+        if few:
+            above = passed.join(F.broadcast(up), "next")
+        else:
             hot = passed.groupBy("next").count().filter(F.col("count") > HOT_ROWS).select("next")
             above = join_hot(passed, up, "next", hot)
-        else:
-            above = passed.join(up, "next")
-        moved = cut_lineage(above.select(
-            "node", F.least("next", "top").alias("component"),
-            (F.least("next", "top") != F.col("component")).alias("changed")))
-        labels = moved.select("node", "component")
-        if not moved.filter("changed").limit(1).count():
-            return labels
+        labels = cut_lineage(above.select("node", F.least("next", "top").alias("component")))
+
+
+def _relabeled(labels: DataFrame, n: int, tops: DataFrame, few: bool) -> DataFrame:
+    """``n`` labels after components were joined: ``tops``, which are ``few`` or not, has those that were as nodes."""
+    up = tops.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    if few:
+        above = labels.join(F.broadcast(up), "component", "left")
+    else:
+        hot = labels.groupBy("component").count().filter(F.col("count") > HOT_ROWS).select("component")
+        above = join_hot(labels, up, "component", hot)
+    known = labels.select("node")
+    alone = tops.join(F.broadcast(known) if n <= HOT_NODES else known, "node", "left_anti")
+    return above.select("node", F.coalesce("top", "component").alias("component")).unionByName(alone)
 
 
 class Joined(dict):
@@ -246,19 +277,22 @@ class Joined(dict):
         return x
 
 
+MEMBER_SCHEMA = ("bucket long, row int, col int, side int, band int, node long, component long, "
+                 "n_shingles long, registers binary")
+
+
 def _search(members: DataFrame, confirm: bool, slots: int, bar: Bar) -> DataFrame:
     """Compare the rows of each block pair, side 0 with side 1 (2: with all others), across
-    components; a pair counts in its first common band only. ``members`` holds ``bucket, row,
-    col, side, band, node, component, n_shingles, registers`` and, to ``confirm``, ``text``.
-    Gives confirmed links ``(a, b)``, of each group fewer than it has components, or else
-    the members ``(bucket, node)`` that have a likely partner. The block pairs, most of
-    which are small, are dealt into ``slots`` groups."""
+    components; a pair counts in its first common band only. ``members`` has the columns of
+    ``MEMBER_SCHEMA`` and, to ``confirm``, ``text``. Gives confirmed links ``(a, b)`` of components,
+    of each group fewer than it has components, or else the members that have a likely
+    partner in their block pair. The block pairs, most of which are small, are dealt into ``slots`` groups."""
 
     def search(rows: pd.DataFrame, table: WordHashes, joined: Joined) -> tuple[list, np.ndarray]:
         band = int(rows.band.iloc[0])
         registers = np.frombuffer(b"".join(rows.registers), np.uint16).reshape(-1, bar.registers)
         size, component = rows.n_shingles.to_numpy(), rows.component.to_numpy()
-        node, side = rows.node.to_numpy(), rows.side.to_numpy()
+        side = rows.side.to_numpy()
         right = np.flatnonzero(side != 0)
         sets, links, likely = {}, [], np.zeros(len(rows), bool)
 
@@ -282,10 +316,12 @@ def _search(members: DataFrame, confirm: bool, slots: int, bar: Bar) -> DataFram
                     continue
                 common = len(np.intersect1d(set_of(i), set_of(j), assume_unique=True))
                 if bar.links(common, int(size[i]), int(size[j])):
-                    links.append((node[i], node[j]))
+                    links.append((component[i], component[j]))
                     joined[max(x, y)] = min(x, y)
         return links, likely
 
+    names = [x.split()[0] for x in MEMBER_SCHEMA.split(", ")]
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bucket", "row", "col"], kind="stable").reset_index(drop=True)
         keys = rows[["bucket", "row", "col"]].to_numpy()
@@ -297,42 +333,39 @@ def _search(members: DataFrame, confirm: bool, slots: int, bar: Bar) -> DataFram
             likely.append(marked)
         if confirm:
             return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
-        return rows.loc[np.concatenate(likely), ["bucket", "node"]]
+        return rows.loc[np.concatenate(likely), names]
 
     dealt = members.withColumn("slot", F.pmod(F.xxhash64("bucket", "row", "col"), F.lit(slots)))
-    schema = "a long, b long" if confirm else "bucket long, node long"
-    return dealt.groupBy("slot").applyInPandas(run, schema).distinct()
+    return dealt.groupBy("slot").applyInPandas(run, "a long, b long" if confirm else MEMBER_SCHEMA)
 
 
-def _linked(dealt: DataFrame, nodes: DataFrame, rows: DataFrame, bar: Bar) -> DataFrame:
-    """Confirmed links among ``dealt``, members in block pairs (``_search`` without registers and
-    text): likely partners first, so that only their texts are fetched."""
-    dealt = cut_lineage(dealt)
-    registers = rows_with_ids(nodes, dealt.select("node").distinct(), "node").select("node", "registers")
-    members = cut_lineage(dealt.join(registers, "node"))
-    likely = cut_lineage(_search(members, False, shards_for(members.count(), SLOT_ROWS), bar))
-    texts = _node_texts(rows, likely.select("node").distinct())
-    members = members.join(likely, ["bucket", "node"])
-    return cut_lineage(_search(members.join(texts, "node"), True, shards_for(members.count(), SLOT_ROWS // 8), bar))
+def _linked(dealt: DataFrame, n: int, nodes: DataFrame, rows: DataFrame, bar: Bar) -> tuple[DataFrame, int]:
+    """Confirmed links of components among ``dealt``, ``n`` members in block pairs (``_search`` without
+    sizes, registers and text), and their number: likely partners first, so that only their texts are fetched."""
+    side = nodes.select("node", "n_shingles", "registers")
+    if n <= HOT_NODES:
+        members = side.join(F.broadcast(dealt), "node")
+    else:
+        members = _of_nodes(side, dealt.select("node"), n).join(dealt, "node")
+    likely, n = counted(_search(members, False, shards_for(n, SLOT_ROWS), bar))
+    texts = _node_texts(rows, likely.select("node"), n)
+    found = _search(likely.join(texts, "node"), True, shards_for(n, SLOT_ROWS // 8), bar)
+    return counted(found) if n else (likely, 0)
 
 
 def _blocks(n, shingles):
     return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def _open(placed: DataFrame) -> DataFrame:
-    """Members of the buckets in which several components are left."""
-    spans = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return placed.join(spans.filter("low < high").select("bucket"), "bucket")
-
-
-def _heads(open_: DataFrame, turn: int) -> DataFrame:
-    """The smallest member of each component in a bucket, in blocks of their own: one in, fewer out."""
-    heads = open_.groupBy("bucket", "component").agg(F.min(F.struct("node", "band", "n_shingles")).alias("m")).select(
-        "bucket", "component", "m.*")
-    blocks = heads.groupBy("bucket").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"))
+def _heads(placed: DataFrame, turn: int) -> DataFrame:
+    """The smallest member of each component in a bucket that has several (``n``), in blocks of
+    their own: one in, fewer out."""
+    heads = placed.groupBy("bucket", "component").agg(
+        F.min("node").alias("node"), F.min("band").alias("band"), F.min_by("n_shingles", "node").alias("s"))
+    several = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s")).filter("n > 1").select(
+        "bucket", "n", _blocks(F.col("n"), F.col("s")).alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
-    return heads.join(blocks, "bucket").withColumn("row", own).withColumn("col", F.col("row")).withColumn(
+    return heads.drop("s").join(several, "bucket").withColumn("row", own).withColumn("col", F.col("row")).withColumn(
         "side", F.lit(2)).drop("blocks")
 
 
@@ -349,7 +382,7 @@ def _rest(open_: DataFrame) -> DataFrame:
         mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias("row" if side == 0 else "col")
         spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(out)
         return both.filter("component != largest" if side == 0 else "true").select(
-            "bucket", "band", "node", "component", "n_shingles", F.lit(side).alias("side"), mine, spread)
+            "bucket", "band", "node", "component", F.lit(side).alias("side"), mine, spread)
     return grid(0, "rows", "cols", "col").unionByName(grid(1, "cols", "rows", "row"))
 
 
@@ -366,38 +399,38 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # buckets with several members, which are few: all that follows works on these
     width = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.substring("registers", width * i + 1, width), F.lit(i)) for i in range(bar.bands)])
-    buckets = nodes.select("node", F.posexplode(bands).alias("band", "bucket"))
+    buckets = nodes.select("node", "n_shingles", F.posexplode(bands).alias("band", "bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
     shared = cut_lineage(buckets.join(heads.select("bucket", "head"), "bucket"))
-    stars = cut_lineage(shared.filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    likely = cut_lineage(_screened(stars, nodes, bar))
-    texts = _node_texts(rows, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    links = cut_lineage(_confirmed(likely, texts, bar))
-    labels = components(links)
-    sizes = rows_with_ids(nodes, shared.select("node").distinct(), "node").select("node", "n_shingles")
-    shared = cut_lineage(shared.select("node", "band", "bucket").join(sizes, "node"))
+    stars, n = counted(shared.filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    likely, n = counted(_screened(stars, n, nodes, bar))
+    links, n = counted(_confirmed(likely, n, _node_texts(rows, _ends(likely), 2 * n), bar))
+    labels, n_labels = components(links), 2 * n  # at most
 
-    def placed() -> DataFrame:
-        return shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def labeled(df: DataFrame) -> DataFrame:
+        side = F.broadcast(labels) if n_labels <= HOT_NODES else labels
+        return df.join(side, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     # a bucket's components by their smallest members, while that joins some; then what is still apart
-    apart, turn, wide = cut_lineage(_open(placed())), 0, True
-    while apart.limit(1).count():
-        heads = wide and turn < TURNS
-        found = _linked(_heads(apart, turn) if heads else _rest(apart), nodes, rows, bar)
-        joins = found.limit(1).count()
+    turn, joins = 0, 1
+    while True:
         if joins:
-            links = links.unionByName(found)
-            labels = components(links)
-        if not heads:
+            placed = labeled(shared.drop("head"))
+            dealt, n, wide = counted(_heads(placed, turn), F.col("n") > BLOCK)
+        if not n:
             break
-        turn += 1
-        if joins:
-            apart = cut_lineage(_open(placed()))
         # another turn is of use only where heads of a bucket stood in several blocks
-        wide = joins and apart.groupBy("bucket").agg(F.countDistinct("component").alias("n")).filter(F.col("n") > BLOCK).limit(1).count() > 0
-    by_set = nodes.select("set_key", "node").join(labels, "node", "left").select(
-        "set_key", F.coalesce("component", "node").alias("component"))
+        full = turn > 0 and not (joins and wide and turn < TURNS)
+        if full:
+            open_ = dealt.select("bucket").distinct()
+            members, n = counted(_rest(placed.join(F.broadcast(open_) if n <= HOT_NODES else open_, "bucket", "left_semi")))
+        found, joins = _linked(members if full else dealt.drop("n"), n, nodes, rows, bar)
+        if joins:
+            labels, n_labels = counted(_relabeled(labels, n_labels, components(found), 2 * joins <= HOT_NODES))
+        if full:
+            break
+        turn += 1
+    by_set = labeled(nodes.select("set_key", "node")).select("set_key", "component")
     # texts without words have no set; a set of many documents is a hot key
     hot = nodes.filter(F.col("copies") > HOT_ROWS).select("set_key")
     whole = join_hot(sketched.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), by_set, "set_key", hot)
@@ -408,14 +441,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _node_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, text)`` of the given nodes; an id that repeats counts once."""
-    return rows_with_ids(rows.withColumnRenamed("doc_id", "node"), nodes, "node").groupBy("node").agg(
+def _node_texts(rows: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """``(node, text)`` of the given nodes (``most`` rows, which may repeat); an id that repeats counts once."""
+    return _of_nodes(rows.withColumnRenamed("doc_id", "node"), nodes, most).groupBy("node").agg(
         F.min("text").alias("text"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group, with all columns."""
-    copies = near_groups(docs, id_col, text_col, threshold).filter(~F.col("kept")).select("doc_id").distinct()
-    return rows_without_ids(docs, cut_lineage(copies), id_col)
+    copies, n = counted(near_groups(docs, id_col, text_col, threshold).filter(~F.col("kept")).select("doc_id").distinct())
+    return rows_without_ids(docs, copies, id_col, n)

@@ -138,3 +138,35 @@ def near_brute_by_base(rows):
 def test_a_column_named_like_a_helper(spark):
     df = frame(spark, [(1, prose(1, 30)), (2, prose(1, 30))]).withColumnRenamed("node", "_id")
     assert [r.doc_id for r in near.keep_one(df).collect()] == [1]
+
+
+def many_heads():
+    """Copies of one text that an unlike text parts into several components of its buckets."""
+    rng = random.Random(5)
+    text = prose(1, 120).split()
+    return [(0, " ".join(text[:84] + prose(2, 36).split()))] + [(k, edited(rng, " ".join(text), 2)) for k in range(1, 40)]
+
+
+def test_tasks_of_few_nodes(spark):
+    """Stages are few, as each has a task, and most a shuffle file, for every partition however few
+    the nodes are: 256 stages when every join was shuffled and every count a job."""
+    sc = spark.sparkContext
+    df = frame(spark, many_heads())
+    df.count()
+    sc.setJobGroup("tasks of few nodes", "")
+    try:
+        found = result(df)
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("tasks of few nodes") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            sc.setLocalProperty(name, None)
+    assert found == near_brute_by_base(many_heads())
+    assert 0 < len(stages) <= 150
+
+
+@pytest.mark.parametrize("names", [["HOT_NODES"], ["HOT_NODES", "BROADCAST_IDS"]])
+def test_the_plan_of_many_nodes_gives_the_same(spark, monkeypatch, names):
+    for name in names:
+        monkeypatch.setattr(near, name, 0)
+    assert result(frame(spark, many_heads())) == near_brute_by_base(many_heads())
