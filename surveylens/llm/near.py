@@ -9,11 +9,14 @@ similarity, for short texts as well.
 
 Candidates come from bands of compressed registers. Documents with one and the
 same set are one node before that. In a bucket every node is held against the
-smallest one only; confirmed links make components. In buckets that still span
-several components the smallest members of those are compared, in blocks, turn by turn while a
+smallest one only; confirmed links make components. Of buckets that still span
+several components, members that hold too many shingles which no other member of such buckets has go: they
+cannot link, as what they share is too little for the sizes in their bucket (``_may_link``; exact). Of the others
+the smallest members of components are compared, in blocks, turn by turn while a
 bucket has more than a block of them, which leaves a block's worth of a group of copies whatever its size. What is then still apart is
 compared in full: all members of a bucket with those outside its largest component. Only that
-step grows with the square of a bucket, namely of one whose members are unlike each other. A block pair
+step grows with the square of a bucket, namely of one with many members that are unlike each other and yet
+have few shingles of their own. A block pair
 gives fewer links than it has rows (union-find). Candidates are screened by sizes and by the register estimate,
 corrected for chance collisions of compressed registers, and confirmed on the
 full sets.
@@ -357,6 +360,56 @@ def _blocks(n, shingles):
     return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """``(node, own)``: the number of a node's shingles that no other of ``texts`` (one per node) has; nodes
+    without one may be missing. A task sums up the shingles it has seen before they are shuffled."""
+
+    def summed(nodes: list, sets: list) -> pa.RecordBatch:
+        shingles, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+        owner = np.repeat(np.array(nodes, np.int64), [len(s) for s in sets])[first]
+        return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(owner), pa.array(n)],
+                                          ["shingle", "node", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, nodes, sets, held = WordHashes(), [], [], 0
+        for batch in text_slices(batches):
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                nodes.append(node)
+                sets.append(shingle_set(text, table))
+                held += len(sets[-1])
+                if held >= BLOCK_SHINGLES:
+                    yield summed(nodes, sets)
+                    nodes, sets, held = [], [], 0
+        if nodes:
+            yield summed(nodes, sets)
+
+    seen = texts.select("node", "text").mapInArrow(run, "shingle long, node long, n long")
+    return seen.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy(
+        "node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _may_link(open_: DataFrame, n: int, rows: DataFrame, bar: Bar) -> DataFrame:
+    """The rows of ``open_`` (members of buckets that span components, ``n`` rows) that may link with
+    another of their bucket. Two members share at most what either holds besides its own shingles, those
+    that no other member of any of these buckets has; with the sizes, that rules out members without a
+    comparison. The others of a bucket are looked at in classes of about two percent of size, by
+    the smallest and the largest size and the most besides own shingles, which rule out no more."""
+    ids = open_.select("node").distinct()
+    own = _own_shingles(_node_texts(rows, ids, n))
+    spare = cut_lineage(open_.join(F.broadcast(own) if n <= HOT_NODES else own, "node", "left").withColumn(
+        "most", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own"))
+    sizes = spare.groupBy("bucket", F.floor(32 * F.log2("n_shingles"))).agg(
+        F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max("most").alias("most"))
+    of_bucket = sizes.groupBy("bucket").agg(F.collect_list(F.struct("low", "high", "most")).alias("sizes"))
+
+    def possible(other):
+        size = F.col("n_shingles")
+        return ((other["high"] * bar.whole >= size * bar.part) & (size * bar.whole >= other["low"] * bar.part)
+                & (F.least(F.col("most"), other["most"]) * (bar.whole + bar.part) >= (size + other["low"]) * bar.part))
+
+    return spare.join(of_bucket, "bucket").filter(F.exists("sizes", possible)).select(open_.columns)
+
+
 def _heads(placed: DataFrame, turn: int) -> DataFrame:
     """The smallest member of each component in a bucket that has several (``n``), in blocks of
     their own: one in, fewer out."""
@@ -411,11 +464,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         side = F.broadcast(labels) if n_labels <= HOT_NODES else labels
         return df.join(side, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
+    # of buckets that span components, the members that may link at all
+    placed = labeled(shared.drop("head"))
+    several = placed.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    shared, n = counted(placed.join(several, "bucket", "left_semi").drop("component"))
+    if n:
+        shared = cut_lineage(_may_link(shared, n, rows, bar))
     # a bucket's components by their smallest members, while that joins some; then what is still apart
     turn, joins = 0, 1
     while True:
         if joins:
-            placed = labeled(shared.drop("head"))
+            placed = labeled(shared)
             dealt, n, wide = counted(_heads(placed, turn), F.col("n") > BLOCK)
         if not n:
             break
@@ -423,7 +483,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = turn > 0 and not (joins and wide and turn < TURNS)
         if full:
             open_ = dealt.select("bucket").distinct()
-            members, n = counted(_rest(placed.join(F.broadcast(open_) if n <= HOT_NODES else open_, "bucket", "left_semi")))
+            placed = cut_lineage(placed.join(F.broadcast(open_) if n <= HOT_NODES else open_, "bucket", "left_semi"))
+            members, n = counted(_rest(placed))
         found, joins = _linked(members if full else dealt.drop("n"), n, nodes, rows, bar)
         if joins:
             labels, n_labels = counted(_relabeled(labels, n_labels, components(found), 2 * joins <= HOT_NODES))

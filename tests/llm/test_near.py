@@ -170,3 +170,36 @@ def test_the_plan_of_many_nodes_gives_the_same(spark, monkeypatch, names):
     for name in names:
         monkeypatch.setattr(near, name, 0)
     assert result(frame(spark, many_heads())) == near_brute_by_base(many_heads())
+
+
+def own_words(n):
+    """``n`` texts about one text: two parts of three with one or none of its words replaced by a word
+    of their own; one part with four such words, unlike all others and yet in their buckets. Then texts
+    that end early, among them one that a text with words of its own is like, and shared edits."""
+    rng, text, new = random.Random(7), prose(1, 120).split(), iter(range(10 ** 6))
+    rows = []
+    for k in range(n):
+        w = list(text)
+        for at in rng.sample(range(0, 120, 6), 4 if k % 3 == 1 else rng.randrange(2)):
+            w[at] = f"own{next(new)}"
+        rows.append((k, " ".join(w)))
+    rows += [(n + k, " ".join(text[:120 - k])) for k in range(12, 26, 2)]
+    rows += [(n + 30 + k, " ".join(text[:100 - k] + [f"tail{k}x{j}" for j in range(6)])) for k in range(4)]
+    return rows + [(n + 40 + k, " ".join(text[:60] + ["both"] * (k % 2) + text[64:])) for k in range(6)]
+
+
+def test_members_with_words_of_their_own_meet_no_other(spark, monkeypatch):
+    """Rows dealt into block pairs stay within one for each band of each text: 8,240 for 257 texts when
+    all outside a bucket's largest component met all of its members."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    rows, seen, linked = own_words(240), [], near._linked
+    monkeypatch.setattr(near, "_linked", lambda dealt, n, *a: seen.append(n) or linked(dealt, n, *a))
+    assert result(frame(spark, rows)) == near_brute_by_base(rows)
+    assert max(seen, default=0) <= len(rows) * near.REGISTERS // near.ROWS
+
+
+def test_own_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 5)  # sums of several parts of a task
+    texts = [(1, "a b c d e f g"), (2, "a b c d e f x"), (3, "A b c d e"), (4, "p q"), (5, "")]
+    df = spark.createDataFrame(texts, "node long, text string")
+    assert {r.node: r.own for r in near._own_shingles(df).collect()} == {1: 1, 2: 1, 4: 1}
